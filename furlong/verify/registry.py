@@ -8,6 +8,7 @@ from furlong.verify.base import ORACLE, QUERIES
 
 _PARTS = (
     "windows",
+    "scalars",
 )
 
 for _part in _PARTS:
