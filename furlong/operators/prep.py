@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furlong.operators.skew import column_quantiles
+
 
 def fill_policy(
     df: DataFrame,
@@ -28,10 +30,11 @@ def fill_policy(
         df = df.withColumn(c, F.coalesce(F.col(c), F.lit("Unknown")))
     if median:
         valid = {c: F.when(F.col(c) > 0, F.col(c)) for c in median}
-        # one row, whatever the size of the table
-        medians = df.agg(
+        exact = column_quantiles(df.select(*[v.alias(c) for c, v in valid.items()]), list(median), [0.5])
+        # one row with one column per filled column, whatever the size of the table
+        medians = exact.agg(
             *[
-                F.coalesce(F.percentile(valid[c], 0.5), F.lit(default)).alias(f"_m_{c}")
+                F.coalesce(F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))), F.lit(default)).alias(f"_m_{c}")
                 for c, default in median.items()
             ]
         )

@@ -147,3 +147,62 @@ def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
             (F.col("_before") + F.col("_lower") + (F.col("_n") + 1) / 2.0).alias(out),
         )
     )
+
+
+def column_value_counts(df: DataFrame, columns: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Rows per (column, value) of several numeric columns in one pass: (also..., column, value, n).
+
+    Missing values are left out.
+    """
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    )
+    return (
+        df.select(*also, F.explode(pairs).alias("_p"))
+        .select(*also, "_p.column", "_p.value")
+        .filter(F.col("value").isNotNull())
+        .groupBy(*also, "column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def quantiles(counts: DataFrame, probabilities: Sequence[float], keys: Sequence[str] = ("column",)) -> DataFrame:
+    """Exact quantiles with linear interpolation of each group of value counts.
+
+    counts has (keys..., value, n); the result is one row per group with ``total`` and
+    ``q``, an array in the order of the probabilities. Every value learns how many rows
+    lie below it, slice by slice, and a quantile is then a conditional maximum, so no
+    task sees a whole column.
+    """
+    keys = list(keys)
+    sliced = counts.withColumn("_slice", value_slice(F.col("value")))
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_s"))
+    ordered = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    carry = per_slice.select(
+        *keys,
+        "_slice",
+        F.coalesce(F.sum("_s").over(ordered), F.lit(0)).alias("_before"),
+        F.sum("_s").over(whole).alias("_total"),
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        sliced.withColumn("_lower", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .join(carry, [*keys, "_slice"])
+        .withColumn("_below", F.col("_before") + F.col("_lower"))
+    )
+    low, high = [], []
+    for i, p in enumerate(probabilities):
+        pos = F.lit(p) * (F.col("_total") - 1)
+        low.append(F.max(F.when(F.col("_below") <= F.floor(pos), F.col("value"))).alias(f"_lo{i}"))
+        high.append(F.max(F.when(F.col("_below") <= F.ceil(pos), F.col("value"))).alias(f"_hi{i}"))
+    found = placed.groupBy(*keys).agg(F.max("_total").alias("total"), *low, *high)
+    values = []
+    for i, p in enumerate(probabilities):
+        pos = F.lit(p) * (F.col("total") - 1)
+        values.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos)))
+    return found.select(*keys, "total", F.array(*values).alias("q"))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    return quantiles(column_value_counts(df, columns), probabilities)

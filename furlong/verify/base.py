@@ -115,3 +115,89 @@ def with_entries(select: str) -> str:
 
 def with_runners(select: str) -> str:
     return f"WITH {RUNNERS_SQL} {select}"
+
+
+# Text rows as an audit sees them, with gaps of every kind made from the columns.
+AUDIT_SQL = (
+    RUNNERS_SQL
+    + """, audit AS (
+  SELECT CAST(race_id AS VARCHAR) AS race_id, CASE WHEN qty <> 12 THEN strftime(race_date, '%Y%m%d') END AS race_date,
+    CASE WHEN qty <> 13 THEN venue ELSE '' END AS venue,
+    CASE WHEN runner_no <> 3 THEN CAST(race_id % 12 + 1 AS VARCHAR) END AS race_number,
+    CASE WHEN race_id % 100 BETWEEN 1 AND 12 THEN CAST(race_id % 100 AS INTEGER) END AS race_number_derived,
+    CASE WHEN qty <> 14 THEN 'H' || horse_id ELSE ' ' END AS horse_id, horse_name,
+    CASE WHEN runner_no <> 7 THEN CAST((runner_no + 1) // 2 AS VARCHAR) END AS frame_number,
+    CAST(runner_no AS VARCHAR) AS horse_number,
+    CASE WHEN qty = 44 THEN '' WHEN finish IS NULL THEN '取消' ELSE CAST(finish AS VARCHAR) END AS finish_position,
+    CASE WHEN qty <= 43 AND qty <> 20 THEN '1:' || (CAST(qty AS INTEGER) + 10) || '.5' END AS result_time,
+    CASE WHEN finish > 1 AND qty <> 21 THEN '1/2' END AS margin,
+    CASE WHEN qty = 30 THEN 'x' WHEN qty <> 31 THEN CAST(CAST(qty AS INTEGER) AS VARCHAR) END AS odds,
+    CASE WHEN qty = 33 THEN '?' WHEN qty <> 32 THEN CAST(runner_no AS VARCHAR) ELSE '' END AS popularity,
+    CASE WHEN runner_no <> 2 THEN '480' END AS horse_weight, 'J' || jockey_id AS jockey, 'T' || trainer_id AS trainer,
+    CASE WHEN discount > 0.02 THEN sire END AS sire, CASE WHEN discount > 0.01 THEN dam END AS dam,
+    CASE WHEN discount > 0.01 THEN sire END AS broodmare_sire, surface AS race_type, CAST(distance AS VARCHAR) AS distance,
+    surface, race_class AS class, CASE WHEN status = 'O' THEN 'entry' ELSE 'result' END AS source_page_type,
+    strftime(race_date, '%Y') AS year, strftime(race_date, '%m') AS month,
+    CASE WHEN runner_no = 1 THEN '1.9.0' WHEN runner_no = 2 THEN '2.0.0' WHEN runner_no <> 4 THEN '2.1' END AS parser_version,
+    strftime(race_date, '%Y-%m-%d') || ' 00:00:00' AS fetched_at, CASE WHEN tax > 0.01 THEN 1 ELSE 0 END AS source_html_present,
+    CASE WHEN qty = 40 THEN '404' ELSE '200' END AS http_status, 0 AS is_error_page,
+    price, qty, discount, tax, runner_no
+  FROM runners)"""
+)
+
+
+def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    qty, no = F.col("qty"), F.col("runner_no")
+    text = lambda c: F.col(c).cast("string")
+    return runners(spark, sf).select(
+        text("race_id").alias("race_id"),
+        F.when(qty != 12, F.date_format("race_date", "yyyyMMdd")).alias("race_date"),
+        F.when(qty != 13, F.col("venue")).otherwise(F.lit("")).alias("venue"),
+        F.when(no != 3, (F.col("race_id") % 12 + 1).cast("string")).alias("race_number"),
+        F.when((F.col("race_id") % 100).between(1, 12), (F.col("race_id") % 100).cast("int")).alias(
+            "race_number_derived"
+        ),
+        F.when(qty != 14, F.concat(F.lit("H"), "horse_id")).otherwise(F.lit(" ")).alias("horse_id"),
+        "horse_name",
+        F.when(no != 7, F.floor((no + 1) / 2).cast("string")).alias("frame_number"),
+        text("runner_no").alias("horse_number"),
+        F.when(qty == 44, F.lit(""))
+        .when(F.col("finish").isNull(), F.lit("取消"))
+        .otherwise(text("finish"))
+        .alias("finish_position"),
+        F.when((qty <= 43) & (qty != 20), F.concat(F.lit("1:"), qty.cast("int") + 10, F.lit(".5"))).alias(
+            "result_time"
+        ),
+        F.when((F.col("finish") > 1) & (qty != 21), F.lit("1/2")).alias("margin"),
+        F.when(qty == 30, F.lit("x")).when(qty != 31, qty.cast("int").cast("string")).alias("odds"),
+        F.when(qty == 33, F.lit("?")).when(qty != 32, text("runner_no")).otherwise(F.lit("")).alias("popularity"),
+        F.when(no != 2, F.lit("480")).alias("horse_weight"),
+        F.concat(F.lit("J"), "jockey_id").alias("jockey"),
+        F.concat(F.lit("T"), "trainer_id").alias("trainer"),
+        F.when(F.col("discount") > 0.02, F.col("sire")).alias("sire"),
+        F.when(F.col("discount") > 0.01, F.col("dam")).alias("dam"),
+        F.when(F.col("discount") > 0.01, F.col("sire")).alias("broodmare_sire"),
+        F.col("surface").alias("race_type"),
+        text("distance").alias("distance"),
+        "surface",
+        F.col("race_class").alias("class"),
+        F.when(F.col("status") == "O", F.lit("entry")).otherwise(F.lit("result")).alias("source_page_type"),
+        F.date_format("race_date", "yyyy").alias("year"),
+        F.date_format("race_date", "MM").alias("month"),
+        F.when(no == 1, F.lit("1.9.0")).when(no == 2, F.lit("2.0.0")).when(no != 4, F.lit("2.1")).alias(
+            "parser_version"
+        ),
+        F.date_format("race_date", "yyyy-MM-dd 00:00:00").alias("fetched_at"),
+        F.when(F.col("tax") > 0.01, 1).otherwise(0).alias("source_html_present"),
+        F.when(qty == 40, F.lit("404")).otherwise(F.lit("200")).alias("http_status"),
+        F.lit(0).alias("is_error_page"),
+        "price",
+        "qty",
+        "discount",
+        "tax",
+        "runner_no",
+    )
+
+
+def with_audit(select: str) -> str:
+    return f"WITH {AUDIT_SQL} {select}"

@@ -8,7 +8,12 @@ from furlong.verify.base import ORACLE, QUERIES
 
 _PARTS = (
     "windows",
+    "sources",
     "scalars",
+    "joins",
+    "stats",
+    "lookup",
+    "quality",
 )
 
 for _part in _PARTS:
