@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.operators.joins import top_per_group
-from furlong.operators.skew import slice_hot
+from furlong.operators.skew import slice_hot, with_row
 
 
 def recent(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -123,7 +123,7 @@ def contract_check(docs: DataFrame, data: str, expected: Mapping[str, str]) -> D
         right = F.when(
             F.col("expected_type") == t, sum((F.col(f"_{k}") for k in kinds[1:]), F.col(f"_{kinds[0]}"))
         ).otherwise(right)
-    joined = found.join(F.broadcast(declared), "field", "full_outer").join(F.broadcast(total))
+    joined = with_row(found.join(declared, "field", "full_outer"), total)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     wrong = zero(F.col("present")) - zero(F.col("_null")) - zero(right)
     out = joined.select(

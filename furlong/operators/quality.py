@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.text import int_or_null, number_or_null, version_key
-from furlong.operators.skew import column_value_counts, quantiles
+from furlong.operators.skew import column_value_counts, quantiles, with_row
 from furlong.operators.stats import (
     CORE_FIELDS,
     IMPORTANT_FIELDS,
@@ -235,7 +235,7 @@ def consistency_checks(
     )
     wide = per_row
     for part in (dup_races, dup_horses, dup_numbers, starters, empty, pedigree, columns):
-        wide = wide.join(F.broadcast(part))  # every part is a single row
+        wide = with_row(wide, part)
     listed = F.array(
         *[
             F.struct(F.lit(n).alias("name"), F.lit(lev).alias("level"), F.col(n).cast("bigint").alias("failed_count"))

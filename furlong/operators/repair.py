@@ -11,6 +11,7 @@ from furlong.functions.pages import page_valid
 from furlong.operators import quality as Q
 from furlong.operators.joins import top_per_group
 from furlong.operators.lookup import dedupe_priority
+from furlong.operators.skew import with_row
 from furlong.operators.stats import CORE_FIELDS, IMPORTANT_FIELDS, RESULT_FIELDS, gap_kind, is_missing
 
 SECONDS_PER_REQUEST = 1.2
@@ -171,7 +172,7 @@ def refresh_totals(
         F.lit(0), F.col("repair_count") - F.col("update_candidate_count")
     )
     return (
-        counted.join(F.broadcast(absent))  # single rows
+        with_row(counted, absent)
         .withColumn("refetch_count", refetch)
         .withColumn("estimated_http_request_count", requests)
         .withColumn("estimated_runtime", F.round(F.col("estimated_http_request_count") * F.lit(seconds), 1))

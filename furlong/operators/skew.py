@@ -206,3 +206,11 @@ def quantiles(counts: DataFrame, probabilities: Sequence[float], keys: Sequence[
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     return quantiles(column_value_counts(df, columns), probabilities)
+
+
+def with_row(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery."""
+    row = single.select(F.struct(*single.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(
+        *[F.col(c) for c in df.columns], *[F.col(f"_row.{c}").alias(c) for c in single.columns]
+    )

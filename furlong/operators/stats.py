@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furlong.operators.history import ORDER, expanding, runs, win
 from furlong.operators.joins import top_per_group
-from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked
+from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, with_row
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -158,7 +158,7 @@ def backtest_roi(
         F.round(F.avg(F.coalesce((F.col(finish) <= 3).cast("int"), F.lit(0))), 6).alias("top1_show"),
         F.round(F.sum(payoff) / (F.count(F.lit(1)) * 100), 6).alias("roi"),
     )
-    return picks.join(F.broadcast(races))
+    return with_row(picks, races)
 
 
 def hit_roi(df: DataFrame, hit: str, roi: str) -> DataFrame:
@@ -205,8 +205,7 @@ def overview(
     fields = runners.groupBy(race).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.min("_n").alias("min_field"), F.max("_n").alias("max_field"), F.round(F.avg("_n"), 6).alias("avg_field")
     )
-    # each side is a single row
-    return days.join(F.broadcast(empty)).join(F.broadcast(horses)).join(F.broadcast(fields))
+    return with_row(with_row(with_row(days, empty), horses), fields)
 
 
 # ---- audits of text rows ----------------------------------------------------
@@ -348,4 +347,4 @@ def reason_breakdown(df: DataFrame, keys: Sequence[str], priority: str = "priori
     """Counts per combination, with the total of its priority, largest first."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     total = counted.groupBy(priority).agg(F.sum("count").alias("priority_total"))
-    return counted.join(F.broadcast(total), priority).orderBy(F.desc("count"), *keys)
+    return counted.join(total, priority).orderBy(F.desc("count"), *keys)

@@ -14,6 +14,9 @@ _PARTS = (
     "stats",
     "lookup",
     "quality",
+    "modelling",
+    "betting",
+    "analysis",
 )
 
 for _part in _PARTS:
