@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.operators.joins import top_combinations, top_per_group
-from furlong.operators.skew import HOT_ROWS, ranked
+from furlong.functions.racing import season_code
+from furlong.operators.joins import top_per_group
 
 # Bet types in the order that decides ties, the number of runners in one,
 # whether order matters, the factor on the probability, the most candidates kept and the
@@ -60,8 +60,6 @@ def longshot(df: DataFrame, race: str, odds: str, ev: str, ties: Sequence[str],
 
 
 def season_bonus(day: Column) -> Column:
-    from furlong.functions.racing import season_code
-
     return F.get(F.array(*[F.lit(x) for x in SEASON_FACTORS]), season_code(day))
 
 
@@ -89,37 +87,68 @@ def pro_action(difficulty_: Column, max_ev: Column) -> tuple[Column, Column]:
     return action, confidence
 
 
+def _combinations(runners: Column, size: int, ordered: bool) -> Column:
+    """All ways to take size elements of a ranked array, as an array of arrays."""
+    taken = F.transform(runners, lambda a: F.array(a))
+    for _ in range(size - 1):
+
+        def extend(legs: Column) -> Column:
+            def fits(x: Column) -> Column:
+                if ordered:
+                    return ~F.exists(legs, lambda y: y["_rn"] == x["_rn"])
+                return x["_rn"] > F.element_at(legs, -1)["_rn"]
+
+            return F.transform(F.filter(runners, fits), lambda x: F.concat(legs, F.array(x)))
+
+        taken = F.flatten(F.transform(taken, extend))
+    return taken
+
+
 def bet_candidates(
     df: DataFrame, race: str, number: str, ev: str, probability: str, ties: Sequence[str], top_n: int = 5
 ) -> DataFrame:
     """(race, bet_type, combination, expected_value, probability, position) from the best top_n by expected value.
 
     Expected values are averaged, probabilities multiplied; position orders the
-    candidates of a type, and types with a limit keep that many.
+    candidates of a type, and types with a limit keep that many. The runners of a race
+    are gathered once, after the cut to top_n, and all types are made from that array.
     """
     order = [F.desc(ev), *[F.col(t) for t in ties]]
-    out = None
+    top = top_per_group(df, [race], order, top_n, "_rn")
+    runner = F.struct(
+        "_rn", F.col(number).cast("string").alias("no"), F.col(ev).alias("ev"), F.col(probability).alias("p")
+    )
+    arrays = top.groupBy(race).agg(F.array_sort(F.collect_list(runner)).alias("_a"))
+    parts = []
     for kind, rule in BET_TYPES.items():
-        size, mark = rule["size"], "→" if rule["ordered"] else "-"
-        legs = ["a", "b", "c"][:size]
-        combos = top_combinations(df, race, order, [number, ev, probability], size, top_n, rule["ordered"])
-        total = sum((F.col(f"{x}.{ev}") for x in legs[1:]), F.col(f"a.{ev}"))
-        product = F.lit(rule["factor"])
-        for x in legs:
-            product = product * F.col(f"{x}.{probability}")
-        part = combos.select(
-            race,
-            F.lit(kind).alias("bet_type"),
-            F.concat_ws(mark, *[F.col(f"{x}.{number}").cast("string") for x in legs]).alias("combination"),
-            (total / size).alias("expected_value"),
-            product.alias("probability"),
-            F.struct(*[F.col(f"{x}._rn") for x in legs]).alias("_seq"),
+        size, mark, factor = rule["size"], "→" if rule["ordered"] else "-", rule["factor"]
+
+        def bet(legs: Column, size=size, mark=mark, factor=factor) -> Column:
+            mean = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x["ev"]) / size
+            return F.struct(
+                (-F.round(mean, 9)).alias("k"),
+                F.transform(legs, lambda x: x["_rn"]).alias("seq"),
+                F.array_join(F.transform(legs, lambda x: x["no"]), mark).alias("combination"),
+                mean.alias("ev"),
+                F.aggregate(legs, F.lit(factor), lambda s, x: s * x["p"]).alias("p"),
+            )
+
+        bets = F.array_sort(F.transform(_combinations(F.col("_a"), size, rule["ordered"]), bet))
+        if rule["keep"]:
+            bets = F.slice(bets, 1, rule["keep"])
+        parts.append(
+            F.transform(
+                bets,
+                lambda x, i, kind=kind: F.struct(
+                    F.lit(kind).alias("bet_type"),
+                    x["combination"].alias("combination"),
+                    x["ev"].alias("expected_value"),
+                    x["p"].alias("probability"),
+                    (i + 1).alias("position"),
+                ),
+            )
         )
-        position = [F.desc(F.round("expected_value", 9)), F.col("_seq")]
-        keep = rule["keep"] or 10**6  # more than any number of combinations of top_n runners
-        part = top_per_group(part, [race], position, keep, "position").drop("_seq")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return arrays.select(race, F.explode(F.concat(*parts)).alias("_b")).select(race, "_b.*")
 
 
 def best_bet_type(candidates: DataFrame, race: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Betting queries: scored runners are line items, their probability the discount share."""
+"""Betting queries: scored runners are line items, their probability made from the price."""
 
 from __future__ import annotations
 
@@ -12,13 +12,13 @@ ID = ["race_id", "runner_no", "horse_id", "jockey_id"]
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"
 TIE_SQL = "runner_no, horse_id, jockey_id, price, qty, discount, tax"
 
-# p from the discount, odds from the quantity: expected values spread around 1.
-SCORED_SQL = """scored AS (SELECT *, discount * 2 + 0.0113::DOUBLE AS p, CASE WHEN runner_no <> 7 THEN qty / 2 + 1.0::DOUBLE END AS o,
-  CASE WHEN runner_no <> 7 THEN (discount * 2 + 0.0113::DOUBLE) * (qty / 2 + 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS ev FROM entries)"""
+# p from the root of the price, odds from the quantity: irrational values have no rounding ties.
+SCORED_SQL = """scored AS (SELECT *, sqrt(price) / 1000 AS p, CASE WHEN runner_no <> 7 THEN qty / 2 + 1.0::DOUBLE END AS o,
+  CASE WHEN runner_no <> 7 THEN sqrt(price) / 1000 * (qty / 2 + 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS ev FROM entries)"""
 
 
 def scored(df):
-    df = df.withColumn("p", F.col("discount") * 2 + 0.0113)
+    df = df.withColumn("p", F.sqrt("price") / 1000)
     df = df.withColumn("o", F.when(F.col("runner_no") != 7, F.col("qty") / 2 + 1.0))
     return df.withColumn("ev", B.expected_value(F.col("o"), F.col("p")))
 
@@ -26,11 +26,11 @@ def scored(df):
 @query(
     "expected_value",
     with_entries(
-        f"""SELECT {ID_SQL}, round(CASE WHEN runner_no = 7 THEN 0.0 ELSE coalesce(nullif(discount, 0), nullif(tax, 0), 0.25) * odds END, 6) AS expected_value FROM entries"""
+        f"""SELECT {ID_SQL}, round(CASE WHEN runner_no = 7 THEN 0.0 ELSE coalesce(nullif(discount, 0), nullif(tax, 0), 0.25) * sqrt(odds) END, 6) AS expected_value FROM entries"""
     ),
 )
 def expected_value(spark, sf):
-    odds = F.when(F.col("runner_no") != 7, F.col("odds"))
+    odds = F.when(F.col("runner_no") != 7, F.sqrt("odds"))
     ev = B.expected_value(odds, F.col("discount"), F.col("tax"), F.lit(0.25))
     return entries(spark, sf).select(*ID, F.round(ev, 6).alias("expected_value"))
 

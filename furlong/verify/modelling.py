@@ -242,14 +242,14 @@ def score_races(spark, sf):
 @query(
     "ensemble",
     with_entries(
-        f""", s AS (SELECT *, discount + 0.0137 AS m, CASE WHEN runner_no <> 6 THEN tax + 0.0119 END AS p FROM entries),
+        f""", s AS (SELECT *, sqrt(discount + 0.0137) AS m, CASE WHEN runner_no <> 6 THEN sqrt(tax + 0.0119) END AS p FROM entries),
         b AS (SELECT *, CASE WHEN count(*) OVER w = count(p) OVER w THEN 0.6 * m + 0.4 * p ELSE m END AS x, CASE WHEN count(*) OVER w = count(p) OVER w THEN 0.5 * m + 0.5 * p ELSE m END AS y FROM s WINDOW w AS (PARTITION BY race_id))
         SELECT {ID_SQL}, round(x / sum(x) OVER w, 6) AS p_win, round(y / sum(y) OVER w, 6) AS p_speed FROM b WINDOW w AS (PARTITION BY race_id)"""
     ),
 )
 def ensemble(spark, sf):
     df = entries(spark, sf).withColumns(
-        {"m": F.col("discount") + 0.0137, "p": F.when(F.col("runner_no") != 6, F.col("tax") + 0.0119)}
+        {"m": F.sqrt(F.col("discount") + 0.0137), "p": F.when(F.col("runner_no") != 6, F.sqrt(F.col("tax") + 0.0119))}
     )
     df = M.ensemble(df, "race_id", "m", "p", out="p_win")
     df = M.ensemble(df, "race_id", "m", "p", target="speed_deviation", out="p_speed")
