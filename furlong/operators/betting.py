@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +104,35 @@ def _combinations(runners: Column, size: int, ordered: bool) -> Column:
     return taken
 
 
+def _bet(rule: dict) -> Callable[[Column], Column]:
+    """Legs to (sort key, ranks, text, mean expected value, probability)."""
+
+    def make(legs: Column) -> Column:
+        mean = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x["ev"]) / rule["size"]
+        return F.struct(
+            (-F.round(mean, 9)).alias("k"),
+            F.transform(legs, lambda x: x["_rn"]).alias("seq"),
+            F.array_join(F.transform(legs, lambda x: x["no"]), "→" if rule["ordered"] else "-").alias("combination"),
+            mean.alias("ev"),
+            F.aggregate(legs, F.lit(rule["factor"]), lambda s, x: s * x["p"]).alias("p"),
+        )
+
+    return make
+
+
+def _row(kind: str) -> Callable[[Column, Column], Column]:
+    def make(x: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("bet_type"),
+            x["combination"].alias("combination"),
+            x["ev"].alias("expected_value"),
+            x["p"].alias("probability"),
+            (i + 1).alias("position"),
+        )
+
+    return make
+
+
 def bet_candidates(
     df: DataFrame, race: str, number: str, ev: str, probability: str, ties: Sequence[str], top_n: int = 5
 ) -> DataFrame:
@@ -121,33 +150,11 @@ def bet_candidates(
     arrays = top.groupBy(race).agg(F.array_sort(F.collect_list(runner)).alias("_a"))
     parts = []
     for kind, rule in BET_TYPES.items():
-        size, mark, factor = rule["size"], "→" if rule["ordered"] else "-", rule["factor"]
-
-        def bet(legs: Column, size=size, mark=mark, factor=factor) -> Column:
-            mean = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x["ev"]) / size
-            return F.struct(
-                (-F.round(mean, 9)).alias("k"),
-                F.transform(legs, lambda x: x["_rn"]).alias("seq"),
-                F.array_join(F.transform(legs, lambda x: x["no"]), mark).alias("combination"),
-                mean.alias("ev"),
-                F.aggregate(legs, F.lit(factor), lambda s, x: s * x["p"]).alias("p"),
-            )
-
-        bets = F.array_sort(F.transform(_combinations(F.col("_a"), size, rule["ordered"]), bet))
+        taken = _combinations(F.col("_a"), rule["size"], rule["ordered"])
+        bets = F.array_sort(F.transform(taken, _bet(rule)))
         if rule["keep"]:
             bets = F.slice(bets, 1, rule["keep"])
-        parts.append(
-            F.transform(
-                bets,
-                lambda x, i, kind=kind: F.struct(
-                    F.lit(kind).alias("bet_type"),
-                    x["combination"].alias("combination"),
-                    x["ev"].alias("expected_value"),
-                    x["p"].alias("probability"),
-                    (i + 1).alias("position"),
-                ),
-            )
-        )
+        parts.append(F.transform(bets, _row(kind)))
     return arrays.select(race, F.explode(F.concat(*parts)).alias("_b")).select(race, "_b.*")
 
 
