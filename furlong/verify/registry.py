@@ -17,6 +17,7 @@ _PARTS = (
     "modelling",
     "betting",
     "analysis",
+    "streaming",
 )
 
 for _part in _PARTS:
