@@ -23,6 +23,7 @@ def expanding(
     sums: Mapping[str, Column],
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Totals over all strictly earlier events of the entity, one column per entry of sums.
 
@@ -31,7 +32,9 @@ def expanding(
     That needs one shuffle and one sort, and no join back. Totals must be integers or
     decimals, for which the difference is exact. Rows without an entity get null.
     """
-    sliced = slice_hot(df, entity, F.unix_date(F.col(order[0])), order, hot_rows)
+    how = (entity, F.unix_date(F.col(order[0])), order, hot_rows, source)
+    sliced = slice_hot(df, *how)
+    base = sliced if source is None else slice_hot(source, *how)
     part = [*entity, "_slice"]
     upto = Window.partitionBy(*part).orderBy(*order)
     own = Window.partitionBy(*part, *order)
@@ -42,7 +45,7 @@ def expanding(
             for n, c in sums.items()
         ],
     )
-    carry = slice_carry(sliced, entity, {f"_c_{n}": F.sum(_zero_if_null(c)) for n, c in sums.items()})
+    carry = slice_carry(base, entity, {f"_c_{n}": F.sum(_zero_if_null(c)) for n, c in sums.items()})
     known = F.lit(True)
     for e in entity:
         known = known & F.col(e).isNotNull()
@@ -65,6 +68,7 @@ def rolling(
     tie: Sequence[str] = (),
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics over the last rows of the entity before the event.
 
@@ -76,14 +80,16 @@ def rolling(
 
     A slice of a hot entity is preceded by copies of the last ``length`` rows before it.
     """
-    sliced = slice_hot(df, entity, F.unix_date(F.col(order[0])), order, hot_rows)
+    how = (entity, F.unix_date(F.col(order[0])), order, hot_rows, source)
+    sliced = slice_hot(df, *how)
+    base = sliced if source is None else slice_hot(source, *how)
     part = [*entity, "_slice"]
     seq = [*order, *[t for t in tie if t not in order and t not in entity]]
     kept = list(dict.fromkeys([*seq, *[c for c in inputs if c not in entity]]))
 
     newest = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in seq])
     tails = (
-        sliced.filter("_hot")
+        base.filter("_hot")
         .select(*part, *kept, F.row_number().over(newest).alias("_rn"))
         .filter(F.col("_rn") <= length)
         .groupBy(*part)
@@ -124,6 +130,7 @@ def day_range(
     sums: Mapping[str, Column],
     days: int,
     day: str = "race_date",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Totals over the events of the entity in the ``days`` days before the row's day.
 
@@ -133,7 +140,7 @@ def day_range(
     known = F.lit(True)
     for e in entity:
         known = known & F.col(e).isNotNull()
-    daily = df.filter(known).groupBy(*entity, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    daily = (df if source is None else source).filter(known).groupBy(*entity, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     window = Window.partitionBy(*entity).orderBy(F.unix_date(F.col(day))).rangeBetween(-days, -1)
     prior = daily.select(*entity, day, *[F.sum(n).over(window).alias(n) for n in sums])
     return df.join(prior, [*entity, day], "left")
@@ -145,13 +152,14 @@ def days_since_last(
     event: str = "race_id",
     day: str = "race_date",
     out: str = "days_since_last",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Days since the entity's previous event, positive values only.
 
     Of several events of one day the first one counts the days, the others have none.
     """
     daily = (
-        df.filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
+        (df if source is None else source).filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
         .groupBy(entity, day)
         .agg(F.min(event).alias("_first"))
     )
@@ -192,9 +200,10 @@ def expanding_rate(
     finish: str = "finish",
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win rate and prior count; 0 with no history."""
-    out = expanding(df, entity, {"_w": win(finish), "_n": runs()}, order, hot_rows)
+    out = expanding(df, entity, {"_w": win(finish), "_n": runs()}, order, hot_rows, source)
     return (
         out.withColumn(f"{prefix}_win_rate", rate("_w", "_n"))
         .withColumn(f"{prefix}_count", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"))
@@ -211,6 +220,7 @@ def expanding_multi(
     null_as_zero: bool = False,
     defaults: tuple[float, int, float | None] = (0.0, 0, None),
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win rate, count and mean finish, with a default for each where there is no history.
 
@@ -223,6 +233,7 @@ def expanding_multi(
         {"_w": win(finish), "_n": runs(), "_f": F.col(finish).cast("bigint"), "_m": seen},
         order,
         hot_rows,
+        source,
     )
     return (
         out.withColumn(f"{prefix}_win_rate", rate("_w", "_n", defaults[0]))
@@ -240,6 +251,7 @@ def entity_career(
     compat: bool = False,
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win, top-2 and top-3 rates. compat=True lets a missing finish count as placed."""
     out = expanding(
@@ -253,6 +265,7 @@ def entity_career(
         },
         order,
         hot_rows,
+        source,
     )
     return (
         out.withColumn(f"{prefix}_win_rate", rate("_1", "_n"))
@@ -274,9 +287,10 @@ def has_history(count: Column, least: int = 3) -> Column:
 
 
 def pair_smoothed(
-    df: DataFrame, pair: Sequence[str], prefix: str, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS
+    df: DataFrame, pair: Sequence[str], prefix: str, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    out = expanding_rate(df, pair, prefix, order=order, hot_rows=hot_rows)
+    out = expanding_rate(df, pair, prefix, order=order, hot_rows=hot_rows, source=source)
     return out.withColumn(
         f"{prefix}_win_rate_smooth", smooth_rate(F.col(f"{prefix}_win_rate"), F.col(f"{prefix}_count"))
     )
@@ -473,19 +487,22 @@ def cumulative_pnl(
     cost: str = "cost",
     payout: str = "payout",
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Running cost, return, profit and recovery percentage in time order, per key.
 
     cost and payout should be integers or decimals, so that the totals are exact.
     """
-    sliced = slice_hot(df, keys, F.unix_date(F.col(time).cast("date")), [time, ident], hot_rows)
+    how = (keys, F.unix_date(F.col(time).cast("date")), [time, ident], hot_rows, source)
+    sliced = slice_hot(df, *how)
+    base = sliced if source is None else slice_hot(source, *how)
     upto = Window.partitionBy(*keys, "_slice").orderBy(time, ident).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = sliced.select(
         "*", F.sum(cost).over(upto).alias("_lc"), F.sum(payout).over(upto).alias("_lp")
     )
-    carry = slice_carry(sliced, keys, {"_cc": F.sum(cost), "_cp": F.sum(payout)})
+    carry = slice_carry(base, keys, {"_cc": F.sum(cost), "_cp": F.sum(payout)})
     total_cost = F.col("_lc") + F.coalesce(F.col("_cc"), F.lit(0))
     total_return = F.col("_lp") + F.coalesce(F.col("_cp"), F.lit(0))
     return local.join(carry, [*keys, "_slice"], "left").select(

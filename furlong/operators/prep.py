@@ -65,8 +65,10 @@ def label(
     distance: str = "distance",
     surface: str = "surface",
     out: str = "label",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add a label: win, place3, win_tie, speed_deviation or rank."""
+    base = df if source is None else source
     f = F.col(finish)
     won = F.coalesce(f == 1, F.lit(False))
     if target == "win":
@@ -75,17 +77,17 @@ def label(
         return df.withColumn(out, F.coalesce(f <= 3, F.lit(False)).cast("int"))
     if target == "win_tie":
         timed = F.when(F.trim(time) != "", F.col(time))
-        s = join_group_stats(df, [race], {"_wt": F.min(F.when(won, timed))})
+        s = join_group_stats(df, [race], {"_wt": F.min(F.when(won, timed))}, base)
         tie = F.coalesce((timed == F.col("_wt")) & f.isNotNull(), F.lit(False))
         return s.withColumn(out, (won | tie).cast("int")).drop("_wt")
     if target == "speed_deviation":
         speed = F.col(distance) / F.nullif(F.col(seconds), F.lit(0))
         s = join_group_stats(
-            df.withColumn("_v", speed), [distance, surface], {"_m": F.avg("_v"), "_d": F.stddev_samp("_v")}
+            df.withColumn("_v", speed), [distance, surface], {"_m": F.avg(speed), "_d": F.stddev_samp(speed)}, base
         )
         return s.withColumn(out, (F.col("_v") - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).drop("_v", "_m", "_d")
     if target == "rank":
-        worst = df.agg(F.max(f).alias("_max"))  # one row
+        worst = base.agg(F.max(f).alias("_max"))  # one row
         score = F.greatest(F.col("_max") - f + 1, F.lit(0))
         return with_row(df, worst).withColumn(out, F.coalesce(score, F.lit(0)).cast("int")).drop("_max")
     raise ValueError(f"unknown target: {target}")

@@ -41,13 +41,18 @@ def slice_hot(
     slice_expr: Column,
     spread: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_hot`` and ``_slice``.
 
     slice_expr must be a bigint that never decreases along the order used later.
     Rows without a key have no group; they are spread by hash over NULL_SLICES.
+
+    source, here and below, is a frame with the same rows and a shorter plan. Operators
+    read their input more than once; in a chain of operators every one should count on
+    the frame before the chain, or the plan grows with each link.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df if source is None else source, keys, hot_rows)
     keyless = F.lit(False)
     for k in keys:
         keyless = keyless | F.col(k).isNull()
@@ -79,7 +84,9 @@ def value_slice(value: Column, descending: bool = False) -> Column:
     return F.coalesce(s.cast("bigint"), F.lit(2**62))
 
 
-def join_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def join_group_stats(
+    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], source: DataFrame | None = None
+) -> DataFrame:
     """Attach statistics of the group to each of its rows.
 
     Written as aggregate and join rather than as a window: the aggregate combines on
@@ -87,7 +94,7 @@ def join_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Col
     Missing keys form a group of their own.
     """
     names = [f"_g_{k}" for k in keys]
-    grouped = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+    grouped = (df if source is None else source).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         *[c.alias(n) for n, c in stats.items()]
     )
     cond = F.lit(True)
@@ -105,17 +112,20 @@ def ranked(
     ties: Sequence[Column] = (),
     method: str = "min",
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Rank by value inside each group, missing values last.
 
     method "min" gives the SQL rank, "first" numbers rows by value and then ties.
     """
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    sliced = slice_hot(df, keys, value_slice(F.col(value), descending), [*keys, value], hot_rows)
+    how = (keys, value_slice(F.col(value), descending), [*keys, value], hot_rows, source)
+    sliced = slice_hot(df, *how)
+    base = sliced if source is None else slice_hot(source, *how)
     w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
     fn = F.rank() if method == "min" else F.row_number()
     local = sliced.withColumn("_local", fn.over(w))
-    carry = slice_carry(sliced, keys, {"_before": F.count(F.lit(1))})
+    carry = slice_carry(base, keys, {"_before": F.count(F.lit(1))})
     return (
         local.join(carry, [*keys, "_slice"], "left")
         .withColumn(out, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint"))

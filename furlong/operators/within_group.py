@@ -13,16 +13,19 @@ EPS = 1e-8
 LOG_EPS = 1e-10
 
 
-def normalise(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def normalise(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, source: DataFrame | None = None
+) -> DataFrame:
     """value / group total; unchanged where the total is not positive."""
-    withsum = join_group_stats(df, keys, {"_sum": F.sum(value)})
+    withsum = join_group_stats(df, keys, {"_sum": F.sum(value)}, source)
     return withsum.withColumn(
         out, F.when(F.col("_sum") > 0, F.col(value) / F.col("_sum")).otherwise(F.col(value))
     ).drop("_sum")
 
 
 def zscore(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, zero_for_single: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, out: str, zero_for_single: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """(x - mean) / (sample deviation + 1e-8) within the group.
 
@@ -32,6 +35,7 @@ def zscore(
         df,
         keys,
         {"_m": F.avg(value), "_d": F.stddev_samp(value), "_k": F.count(F.lit(1))},
+        source,
     )
     z = (F.col(value) - F.col("_m")) / (F.col("_d") + F.lit(EPS))
     if zero_for_single:
@@ -40,10 +44,11 @@ def zscore(
 
 
 def odds_rank(
-    df: DataFrame, keys: Sequence[str], odds: str, out: str, popularity: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], odds: str, out: str, popularity: str | None = None, hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Smallest odds first, missing odds last; also stands in for a missing popularity."""
-    ranked_df = ranked(df, keys, odds, out, hot_rows=hot_rows)
+    ranked_df = ranked(df, keys, odds, out, hot_rows=hot_rows, source=source)
     if popularity:
         ranked_df = ranked_df.withColumn(popularity, F.coalesce(F.col(popularity), F.col(out)))
     return ranked_df

@@ -1,6 +1,8 @@
-"""The feature build: ordered stages, each a function from frame to frame.
+"""The feature build: ordered stages, each a function of the frame so far and the base.
 
-Without history only what a race itself tells is added. Stages are the extension point:
+The base has the rows of the frame and the columns that exist before any stage; totals
+and hot keys are counted on it, so the plan grows by one step per operator. Without
+history only what a race itself tells is added. Stages are the extension point:
 ``feature_build(df, stages=[*STAGES, mine])``.
 """
 
@@ -14,72 +16,74 @@ from pyspark.sql import functions as F
 from furlong.functions import racing as R
 from furlong.operators import history as H
 from furlong.operators import within_group as G
+from furlong.operators.joins import history_plus_target
 
-Stage = Callable[[DataFrame], DataFrame]
+Stage = Callable[[DataFrame, DataFrame], DataFrame]
 
 TIE = ("runner_no",)
 
 
-def season(df: DataFrame) -> DataFrame:
-    return df.withColumns(R.season_cycle(F.col("race_date"))).withColumn(
-        "distance_band", R.distance_band(F.col("distance"))
+def with_scalars(df: DataFrame) -> DataFrame:
+    """What a row tells by itself."""
+    return df.withColumns(R.season_cycle(F.col("race_date"))).withColumns(
+        {
+            "distance_band": R.distance_band(F.col("distance")),
+            "implied_prob": R.implied_prob(F.col("odds")),
+            "odds_is_missing": R.missing_flag(F.col("odds")),
+        }
     )
 
 
-def market(df: DataFrame) -> DataFrame:
-    df = df.withColumns(
-        {"implied_prob": R.implied_prob(F.col("odds")), "odds_is_missing": R.missing_flag(F.col("odds"))}
-    )
-    df = G.normalise(df, ["race_id"], "implied_prob", "implied_prob_norm")
-    df = G.odds_rank(df, ["race_id"], "odds", "odds_rank_in_race")
-    df = G.zscore(df, ["race_id"], "odds", "odds_z_in_race")
-    return df.join(G.market_entropy(df.select("race_id", "odds")), "race_id", "left")
+def market(df: DataFrame, base: DataFrame) -> DataFrame:
+    df = G.normalise(df, ["race_id"], "implied_prob", "implied_prob_norm", source=base)
+    df = G.odds_rank(df, ["race_id"], "odds", "odds_rank_in_race", source=base)
+    df = G.zscore(df, ["race_id"], "odds", "odds_z_in_race", source=base)
+    return df.join(G.market_entropy(base.select("race_id", "odds")), "race_id", "left")
 
 
-def rest(df: DataFrame) -> DataFrame:
-    df = H.days_since_last(df)
+def rest(df: DataFrame, base: DataFrame) -> DataFrame:
+    df = H.days_since_last(df, source=base)
     return df.withColumn("rest_code", R.rest_code(F.col("days_since_last")))
 
 
-def aptitude(df: DataFrame) -> DataFrame:
-    """Prior win rates of the horse by surface, venue and both."""
-    df = H.expanding_rate(df, ["horse_id", "surface"], "horse_surface")
-    df = H.expanding_rate(df, ["horse_id", "venue"], "horse_venue")
-    df = H.expanding_rate(df, ["horse_id", "venue", "surface"], "horse_venue_surface")
-    return H.expanding_multi(df, ["horse_id", "distance"], "horse_distance")
+def aptitude(df: DataFrame, base: DataFrame) -> DataFrame:
+    """Prior win rates of the horse by surface, venue and both, and by distance."""
+    df = H.expanding_rate(df, ["horse_id", "surface"], "horse_surface", source=base)
+    df = H.expanding_rate(df, ["horse_id", "venue"], "horse_venue", source=base)
+    df = H.expanding_rate(df, ["horse_id", "venue", "surface"], "horse_venue_surface", source=base)
+    return H.expanding_multi(df, ["horse_id", "distance"], "horse_distance", source=base)
 
 
-def people(df: DataFrame) -> DataFrame:
+def people(df: DataFrame, base: DataFrame) -> DataFrame:
     """Careers of jockey, trainer and sire, and the pair of jockey and trainer."""
     for entity, prefix in (("jockey_id", "jockey"), ("trainer_id", "trainer"), ("sire", "sire")):
-        df = H.entity_career(df, entity, prefix)
+        df = H.entity_career(df, entity, prefix, source=base)
         df = df.withColumn(
             f"{prefix}_win_rate_smooth", H.smooth_rate(F.col(f"{prefix}_win_rate"), F.col(f"{prefix}_race_count"))
         )
-    df = H.expanding_rate(df, ["jockey_id", "venue"], "jockey_course")
-    return H.pair_smoothed(df, ["jockey_id", "trainer_id"], "combo")
+    df = H.expanding_rate(df, ["jockey_id", "venue"], "jockey_course", source=base)
+    return H.pair_smoothed(df, ["jockey_id", "trainer_id"], "combo", source=base)
 
 
-def form(df: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    df = H.recent_form(df, "horse_id", tie)
-    df = H.recent_rate(df, "jockey_id", "jockey_recent30", tie)
+def form(df: DataFrame, base: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
+    df = H.recent_form(df, "horse_id", tie, source=base)
+    df = H.recent_rate(df, "jockey_id", "jockey_recent30", tie, source=base)
     return df.withColumn("jockey_course_advantage", F.col("jockey_course_win_rate") - F.col("jockey_recent30"))
 
 
-RACE_STAGES: list[Stage] = [season, market]
+RACE_STAGES: list[Stage] = [market]
 HISTORY_STAGES: list[Stage] = [rest, aptitude, people, form]
 STAGES: list[Stage] = RACE_STAGES + HISTORY_STAGES
 
 
 def feature_build(df: DataFrame, stages: Sequence[Stage] = STAGES) -> DataFrame:
+    base = out = with_scalars(df)
     for stage in stages:
-        df = df.transform(stage)
-    return df
+        out = stage(out, base)
+    return out
 
 
 def feature_build_for(target: DataFrame, history: DataFrame, stages: Sequence[Stage] = STAGES) -> DataFrame:
     """Features of the target races with the history behind them; only the target rows come back."""
-    from furlong.operators.joins import history_plus_target
-
     both = history_plus_target(history, target.withColumn("_target", F.lit(True)))
     return feature_build(both, stages).filter(F.col("_target")).drop("_target")

@@ -30,8 +30,9 @@ def make_target(spark, sf):
             "time_seconds": 60 + F.col("qty").cast("int"),
         }
     )
+    base = df
     for target in ("win", "place3", "win_tie", "speed_deviation", "rank"):
-        df = P.label(df, target, out=f"y_{target}")
+        df = P.label(df, target, out=f"y_{target}", source=base)
     return df.select(
         *ID,
         F.col("y_win").alias("win"),

@@ -49,7 +49,7 @@ def stream_ingest(spark, sf):
 @query(
     "stream_latest_odds",
     """WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2)
-    SELECT e.user_id, e.event_type, e.value, CAST(epoch(e.ts) AS BIGINT) AS at FROM events e JOIN l ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts = l.ts
+    SELECT e.user_id, e.event_type, e.value, CAST(floor(epoch(e.ts)) AS BIGINT) AS at FROM events e JOIN l ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts = l.ts
     WHERE e.ts > (SELECT max(ts) FROM events) - INTERVAL 86400 SECOND""",
 )
 def stream_latest_odds(spark, sf):

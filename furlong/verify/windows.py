@@ -50,8 +50,9 @@ def odds_rank(spark, sf):
     ),
 )
 def zscore_in_group(spark, sf):
-    df = G.zscore(runners(spark, sf), ["race_id"], "odds", "odds_z")
-    df = G.zscore(df, ["surface", "distance"], "qty", "speed_z", zero_for_single=True)
+    base = runners(spark, sf)
+    df = G.zscore(base, ["race_id"], "odds", "odds_z")
+    df = G.zscore(df, ["surface", "distance"], "qty", "speed_z", zero_for_single=True, source=base)
     return df.select(*ID, r("odds_z", 4), r("speed_z", 4))
 
 
@@ -125,8 +126,9 @@ def _rate(num: str, den: str, alias: str, default: str = "0.0") -> str:
     ),
 )
 def expanding_rate(spark, sf):
-    df = H.expanding_rate(runners(spark, sf), ["jockey_id", "venue"], "jockey_venue")
-    df = H.expanding_rate(df, ["horse_id", "surface"], "horse_surface")
+    base = runners(spark, sf)
+    df = H.expanding_rate(base, ["jockey_id", "venue"], "jockey_venue")
+    df = H.expanding_rate(df, ["horse_id", "surface"], "horse_surface", source=base)
     return df.select(
         *ID,
         r("jockey_venue_win_rate"),
@@ -173,8 +175,9 @@ _TOP = "sum(CASE WHEN finish BETWEEN 1 AND {0} THEN 1 ELSE 0 END) AS {1}{0}"
     ),
 )
 def entity_career(spark, sf):
-    df = H.entity_career(runners(spark, sf), "jockey_id", "jockey")
-    df = H.entity_career(df, "sire", "sire")
+    base = runners(spark, sf)
+    df = H.entity_career(base, "jockey_id", "jockey")
+    df = H.entity_career(df, "sire", "sire", source=base)
     cols = [f"{p}_{k}_rate" for p in ("jockey", "sire") for k in ("win", "top2", "top3")]
     return df.select(*ID, *[r(c) for c in cols], "jockey_race_count", "sire_race_count")
 
@@ -469,8 +472,9 @@ def range_180d(spark, sf):
     ),
 )
 def venue_advantage(spark, sf):
-    df = H.expanding_rate(runners(spark, sf), ["jockey_id", "venue"], "course")
-    df = H.recent_rate(df, "jockey_id", "recent30", TIE)
+    base = runners(spark, sf)
+    df = H.expanding_rate(base, ["jockey_id", "venue"], "course")
+    df = H.recent_rate(df, "jockey_id", "recent30", TIE, source=base)
     gain = F.round(F.col("course_win_rate") - F.col("recent30"), 6)
     return df.select(*ID, gain.alias("venue_advantage"))
 
