@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from furlong.operators.prep import stable_unit
 from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, value_ranks, with_row
-from furlong.operators.within_group import normalise, softmax
+from furlong.operators.within_group import normalise
 
 FEATURES = "features"
 
@@ -224,13 +224,18 @@ def score_races(
     one below the lowest of the race; classes are clipped to 0..1.
     """
     if target in ("speed_deviation", "rank"):
-        low = join_group_stats(df, [race], {"_low": F.min(raw)})
+        # softmax keeps the order, so the rank is that of the raw score
+        placed = ranked(df, [race], raw, rank, descending=True, hot_rows=hot_rows)
+        ends = join_group_stats(placed, [race], {"_low": F.min(raw), "_high": F.max(raw)}, df)
         safe = F.coalesce(F.col(raw), F.col("_low") - 1, F.lit(-5.0))
-        p = softmax(low.withColumn("_s", safe), [race], "_s", out).drop("_low", "_s")
-    else:
-        clipped = df.withColumn("_p", F.greatest(F.least(F.col(raw), F.lit(1.0)), F.lit(0.0)))
-        p = normalise(clipped, [race], "_p", out).drop("_p")
-    return ranked(p, [race], out, rank, descending=True, hot_rows=hot_rows)
+        powers = ends.withColumn("_e", F.exp(safe - F.coalesce(F.col("_high"), F.lit(-5.0))))
+        totals = join_group_stats(df, [race], {"_low": F.min(raw), "_high": F.max(raw)}).withColumn(
+            "_e", F.exp(safe - F.coalesce(F.col("_high"), F.lit(-5.0)))
+        )
+        return normalise(powers, [race], "_e", out, source=totals).drop("_low", "_high", "_e")
+    clipped = df.withColumn("_p", F.greatest(F.least(F.col(raw), F.lit(1.0)), F.lit(0.0)))
+    placed = ranked(clipped, [race], "_p", rank, descending=True, hot_rows=hot_rows)
+    return normalise(placed, [race], "_p", out, source=clipped).drop("_p")
 
 
 def ensemble(
