@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.sources.tables import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -149,7 +151,7 @@ AUDIT_SQL = (
 def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
     qty, no = F.col("qty"), F.col("runner_no")
     text = lambda c: F.col(c).cast("string")
-    return runners(spark, sf).select(
+    return spread(runners(spark, sf)).select(
         text("race_id").alias("race_id"),
         F.when(qty != 12, F.date_format("race_date", "yyyyMMdd")).alias("race_date"),
         F.when(qty != 13, F.col("venue")).otherwise(F.lit("")).alias("venue"),
