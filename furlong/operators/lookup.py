@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from furlong.operators.joins import top_per_group
 from furlong.operators.skew import slice_hot, with_row

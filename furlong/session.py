@@ -48,11 +48,3 @@ def _local_base() -> str:
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="furlong-"))
     return _LOCAL[0]
-
-
-def materialise(df, purpose: str):
-    """Write df to the shared folder and read it back: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

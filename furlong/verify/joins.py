@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furlong.operators import joins as J
-from furlong.verify.base import TIE, entries, query, r, races, runners, table, with_entries, with_runners
+from furlong.verify.base import TIE, entries, query, races, runners, table, with_entries, with_runners
 
 ID = ["race_id", "runner_no", "horse_id", "jockey_id"]
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"

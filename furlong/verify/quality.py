@@ -8,9 +8,9 @@ from furlong.functions.text import normalise_url
 from furlong.operators import quality as Q
 from furlong.operators import repair as P
 from furlong.operators import stats as S
-from furlong.verify.base import audit_rows, entries, query, r, races, runners, table, with_audit, with_entries, with_runners
+from furlong.verify.base import audit_rows, entries, query, r, races, runners, table, with_audit, with_runners
 from furlong.verify.sources import _NORM
-from furlong.verify.stats import _FIELD_SQL, _PLACED, GAPS_SQL, allowed_sql
+from furlong.verify.stats import _FIELD_SQL, GAPS_SQL, allowed_sql
 
 ID = ["race_id", "runner_no", "horse_id", "jockey_id"]
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"

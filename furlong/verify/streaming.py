@@ -11,7 +11,7 @@ from furlong.plans import features as P
 from furlong.session import shared_dir
 from furlong.streaming import streams as S
 from furlong.verify.base import TIE, query, r, runners, table, with_runners
-from furlong.verify.windows import ID, ID_SQL, TIE_SQL, WON, _WIN, _rate, last_sql, prior_sql
+from furlong.verify.windows import ID, TIE_SQL, WON, _WIN, _rate, last_sql, prior_sql
 
 
 def _events(spark, sf):
