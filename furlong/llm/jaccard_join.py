@@ -17,6 +17,7 @@ task row group of its own, so a hot one spreads over the cluster.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
@@ -169,11 +170,6 @@ def _in_blocks(rows: DataFrame, group: list[str], size_col: str, block: int, mem
     )
 
 
-def _edges(members: np.ndarray, root: np.ndarray) -> pd.DataFrame:
-    some = np.flatnonzero(root != np.arange(len(root)))
-    return pd.DataFrame({"a": members[some], "b": members[root[some]]})
-
-
 def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block: int = BUCKET_BLOCK) -> DataFrame:
     """(a, b): spanning forests of the pairs that share a bucket and survive the pruning."""
     least = least_matches(threshold, tolerance)
@@ -189,20 +185,58 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block:
                 [pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(keys.ravel())], names=["rep", "bucket"]
             )
 
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint16).reshape(-1, HASHES)
-        left = (group["part"] == group["lo"]).to_numpy()
-        order = np.concatenate([np.flatnonzero(left), np.flatnonzero(~left)])
-        sig, members = sig[order], group["rep"].to_numpy()[order]
-        k = int(left.sum())
-        i, j = surviving(sig[:k], sig[k:] if k < len(sig) else sig, least)
-        return _edges(members, forest(len(members), i, j + (k if k < len(sig) else 0)))
+    def edges_of(rep: np.ndarray, left: np.ndarray, sig: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges of the groups that begin at the places at (the last place is the end)."""
+        a, b = [], []
+        two = at[:-1][np.diff(at) == 2]  # most groups are one pair
+        keep = two
+        count = np.zeros(len(two), dtype=np.int64)
+        for step, fewest in enumerate(least):
+            part = slice(step * STEP, (step + 1) * STEP)
+            count = count + (sig[keep, part] == sig[keep + 1, part]).sum(axis=1)
+            good = count >= fewest
+            keep, count = keep[good], count[good]
+        a.append(np.maximum(rep[keep], rep[keep + 1]))
+        b.append(np.minimum(rep[keep], rep[keep + 1]))
+        for lo, hi in zip(at[:-1][np.diff(at) > 2], at[1:][np.diff(at) > 2], strict=True):
+            order = lo + np.argsort(~left[lo:hi], kind="stable")
+            own, k = sig[order], int(left[lo:hi].sum())
+            alone = k == hi - lo
+            i, j = surviving(own[:k], own if alone else own[k:], least)
+            root = forest(hi - lo, i, j if alone else j + k)
+            some = np.flatnonzero(root != np.arange(hi - lo))
+            a.append(rep[order[some]])
+            b.append(rep[order[root[some]]])
+        return np.concatenate(a), np.concatenate(b)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; the last group of a batch waits for the next one."""
+        rest: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch])
+            if batch is not None and rest is not None:
+                table = pa.concat_tables([rest, table])
+            if table is None or not len(table):
+                continue
+            bucket, lo, hi, part, rep = (table.column(k).to_numpy() for k in range(5))
+            new = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            at = np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
+            if batch is not None:
+                rest = table.slice(at[-2])
+                at = at[:-1]
+            if len(at) < 2:
+                continue
+            sig = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+            a, b = edges_of(rep, part == lo, sig, at)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     members = reps.select("rep", "sig").mapInArrow(bands, "rep bigint, bucket bigint")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = members.join(shared, "bucket").join(reps.select("rep", "sig"), "rep")
     rows = _in_blocks(rows, ["bucket"], "size", block, "rep")
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(prune, "a bigint, b bigint").distinct()
+    rows = rows.select("bucket", "lo", "hi", "part", "rep", "sig").repartition("bucket", "lo", "hi")
+    rows = rows.sortWithinPartitions("bucket", "lo", "hi")
+    return rows.mapInArrow(prune, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
