@@ -243,8 +243,9 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(member, root): the least member of each component, for all members of an edge.
 
     Rounds of the two star steps: every member links its larger neighbours to its least one, then
-    its smaller ones. A hub's neighbours are never gathered; the minimum is joined back. Each round
-    is written to the shared folder, and rounds end when no edge changes.
+    its smaller ones. A hub's neighbours are never gathered: the minimum is joined back, and as both
+    sides of that join are read from the shared folder, adaptive execution splits a hub's rows. Rounds
+    end when no edge changes.
     """
     spark = edges.sparkSession
     folder = shared_dir(spark, purpose)
@@ -261,10 +262,10 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     while seen != (now := state(edges)):
         seen, step = now, step + 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), f"{step}c")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = kept(large.filter("a <> b").distinct(), f"{step}a")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = kept(large.groupBy("a").agg(F.min("b").alias("low")), f"{step}d")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         edges = kept(small.union(low.select("a", F.col("low").alias("b"))).distinct(), f"{step}b")
     return edges.select(F.col("a").alias("member"), F.col("b").alias("root")).union(
