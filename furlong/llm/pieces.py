@@ -28,8 +28,8 @@ from furlong.llm.words import Texts, Words, mix, texts_of
 NAME = "op10_piece_transducer"
 SQL = None
 _NEVER = np.int64(1 << 40)
-_GROUP = 8 << 20
-KNOWN_UNITS = 2_000_000
+_GROUP = 2 << 20
+KNOWN_UNITS = 600_000
 
 
 def _merge_all(symbols: list[int], joined: dict[tuple[int, int], int], rank: np.ndarray) -> list[list[int]]:

@@ -99,7 +99,7 @@ def padded(items: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     """Items of like length together: their places, a byte matrix, its prefix hashes, their lengths.
 
     Padding stands on the right, so whatever is computed from left to right does not see it. A
-    group holds at most about four million bytes, unless one item alone is longer.
+    group holds at most about two million bytes, unless one item alone is longer.
     """
     size = np.array([len(x) for x in items], dtype=np.int64)
     low = 0
@@ -110,7 +110,7 @@ def padded(items: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     for width in widths:
         places = np.flatnonzero((size > low) & (size <= width))
         low = width
-        step = max(1, (1 << 22) // max(width, 1))
+        step = max(1, (1 << 21) // max(width, 1))
         for k in range(0, len(places), step):
             part = places[k : k + step]
             rows = np.frombuffer(b"".join(items[i].ljust(width, b"\0") for i in part), dtype=np.uint8)

@@ -17,7 +17,7 @@ _INV = pow(_MULT, -1, 1 << 64)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
