@@ -38,7 +38,7 @@ def difficulty(df: DataFrame, race: str, probability: str, variant: str = "conce
     """(race, difficulty): higher is easier to predict.
 
     "concentration" joins spread and how far the best stands out; "spread" is five
-    times the deviation, at most 1.
+    times the deviation, at most 1. A race without any probability has difficulty 0.
     """
     s = df.groupBy(race).agg(
         F.stddev_pop(probability).alias("d"), F.max(probability).alias("m"), F.avg(probability).alias("a")
@@ -47,7 +47,8 @@ def difficulty(df: DataFrame, race: str, probability: str, variant: str = "conce
         value = F.least(F.col("d") * 5, F.lit(1.0))
     else:
         value = F.least(F.lit(1.0), (F.col("d") * 10 + F.col("m") / (F.col("a") + 1e-6) / 5) / 2)
-    return s.select(race, F.coalesce(value, F.lit(0.0)).alias("difficulty"))
+    # least() skips nulls, so a race without probabilities would get the bound
+    return s.select(race, F.when(F.col("m").isNotNull(), value).otherwise(F.lit(0.0)).alias("difficulty"))
 
 
 def longshot(df: DataFrame, race: str, odds: str, ev: str, ties: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.operators.joins import top_per_group
-from furlong.operators.skew import slice_hot, with_row
+from furlong.operators.skew import with_row
 
 
 def recent(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -23,25 +23,21 @@ def race_card(df: DataFrame, fields: Sequence[str], race: str = "race_id", numbe
 
 
 def race_bundle(
-    races: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]], race: str, hot_rows: int = 100_000
+    races: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]], race: str, parts: int = 1
 ) -> DataFrame:
     """Race with each child table as a sorted array of structs, empty where there is none.
 
-    One row (part 0) per race. The children of a race with more than hot_rows of them are
-    spread by hash over several parts, each a row of its own, so no array grows without bound.
+    One row for each race and part 0 .. parts - 1, at any size. Where a race may have more children
+    than an array should hold, ask for more parts; children are dealt to them by a hash of their fields.
     """
-    out = races.withColumn("part", F.lit(0).cast("bigint"))
+    out = races.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     for name, (df, fields) in children.items():
-        spread = F.pmod(F.xxhash64(*fields), F.lit(1024))
-        grouped = (
-            slice_hot(df, [race], spread, [race, *fields], hot_rows)
-            .groupBy(race, F.col("_slice").alias("part"))
-            .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-        )
-        out = out.join(grouped, [race, "part"], "full_outer").withColumn(
+        part = F.pmod(F.xxhash64(*fields), F.lit(parts)).cast("int").alias("part")
+        grouped = df.groupBy(race, part).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        out = out.join(grouped, [race, "part"], "left").withColumn(
             name, F.coalesce(F.col(name), F.array().cast(grouped.schema[name].dataType))
         )
-    return out.join(races.select(race), race, "left_semi")
+    return out
 
 
 def score_topk(df: DataFrame, race: str, score: str, ties: Sequence[str], k: int, out: str = "position") -> DataFrame:

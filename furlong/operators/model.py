@@ -155,14 +155,11 @@ def ev_weights(
     return with_row(raw, mean).withColumn(out, F.col("_w") / F.col("_mean")).drop("_w", "_mean")
 
 
-def fit_calibrator(df: DataFrame, score: str, label: str, digits: int = 4):
-    """Isotonic fit on a validation fold.
-
-    Scores are first reduced to their mean label per rounded score, so the fit works on
-    at most 10**digits + 1 weighted points however many rows there are.
-    """
+def fit_calibrator(df: DataFrame, score: str, label: str):
+    """Isotonic fit on a validation fold, on the mean label of each distinct score; null scores are left out."""
     points = (
-        df.groupBy(F.round(score, digits).alias("_x"))
+        df.filter(F.col(score).isNotNull())
+        .groupBy(F.col(score).alias("_x"))
         .agg(F.avg(label).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
     )
     return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(points)
@@ -176,8 +173,9 @@ def eval_metrics(df: DataFrame, score: str, label: str, eps: float = 1e-15) -> D
     """One row: AUC, log loss, Brier, RMSE, MAE, R2 and Spearman of a score against a label.
 
     AUC and Spearman come from average ranks over the whole table, which are taken on
-    the counts per distinct value.
+    the counts per distinct value. Rows without a score or a label count in none of them, nor in n.
     """
+    df = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     p = F.greatest(F.least(F.col(score), F.lit(1 - eps)), F.lit(eps))
     y = F.col(label).cast("double")
     err = F.col(score) - y
@@ -221,7 +219,8 @@ def score_races(
     """Raw scores to probabilities that sum to 1 per race, and the rank they give.
 
     Regression and ranking scores go through softmax, where a missing score counts as
-    one below the lowest of the race; classes are clipped to 0..1.
+    one below the lowest of the race; classes are clipped to 0..1, and a missing one has no
+    probability and the last rank.
     """
     if target in ("speed_deviation", "rank"):
         # softmax keeps the order, so the rank is that of the raw score
@@ -233,7 +232,7 @@ def score_races(
             "_e", F.exp(safe - F.coalesce(F.col("_high"), F.lit(-5.0)))
         )
         return normalise(powers, [race], "_e", out, source=totals).drop("_low", "_high", "_e")
-    clipped = df.withColumn("_p", F.greatest(F.least(F.col(raw), F.lit(1.0)), F.lit(0.0)))
+    clipped = df.withColumn("_p", F.when(F.col(raw).isNotNull(), F.greatest(F.least(F.col(raw), F.lit(1.0)), F.lit(0.0))))
     placed = ranked(clipped, [race], "_p", rank, descending=True, hot_rows=hot_rows)
     return normalise(placed, [race], "_p", out, source=clipped).drop("_p")
 

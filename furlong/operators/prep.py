@@ -117,14 +117,19 @@ def time_split(
     keys: Sequence[str],
     last_days: int | None = None,
     test_size: float = 0.2,
-    least: tuple[int, int] = (200, 50),
+    method: str = "date",
     out: str = "split",
 ) -> DataFrame:
-    """Mark rows train or test by date: the last N days, or the last share of the rows.
+    """Mark rows train or test: by "date", the last N days or the last share of the rows, or by a
+    "hash" of their keys.
 
-    If either side would be smaller than ``least`` rows, rows are split by a hash of
-    their keys instead. The decision is one row of the plan, not a driver round trip.
+    The method never changes with the size of the data, so with "date" no later row is trained on. A
+    side may be empty (a single day); side_sizes() tells before training.
     """
+    if method == "hash":
+        return df.withColumn(out, F.when(stable_unit(keys) < test_size, "test").otherwise("train"))
+    if method != "date":
+        raise ValueError(f"unknown method {method}")
     number = F.unix_date(F.col(day))
     if last_days is not None:
         cut = df.agg((F.max(number) - last_days - 1).cast("double").alias("_cut"))
@@ -132,19 +137,12 @@ def time_split(
         cut = column_quantiles(df.select(number.alias("d")), ["d"], [1 - test_size]).select(
             F.floor(F.get("q", F.lit(0))).cast("double").alias("_cut")
         )
-    per_day = df.groupBy(number.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    sides = with_row(per_day, cut).agg(
-        F.max("_cut").alias("_cut"),
-        F.coalesce(F.sum(F.when(F.col("_d") <= F.col("_cut"), F.col("_n"))), F.lit(0)).alias("_tr"),
-        F.coalesce(F.sum(F.when(F.col("_d") > F.col("_cut"), F.col("_n"))), F.lit(0)).alias("_te"),
-    )
-    enough = F.coalesce((F.col("_tr") >= least[0]) & (F.col("_te") >= least[1]), F.lit(False))
-    test = F.when(enough, number > F.col("_cut")).otherwise(stable_unit(keys) < test_size)
-    return (
-        with_row(df, sides)
-        .withColumn(out, F.when(test, "test").otherwise("train"))
-        .drop("_cut", "_tr", "_te")
-    )
+    return with_row(df, cut).withColumn(out, F.when(number > F.col("_cut"), "test").otherwise("train")).drop("_cut")
+
+
+def side_sizes(split: DataFrame, out: str = "split") -> DataFrame:
+    """One row: rows to train on, rows to test on."""
+    return split.agg(*[F.count(F.when(F.col(out) == side, 1)).alias(side) for side in ("train", "test")])
 
 
 def leak_guard(df: DataFrame, keep: Sequence[str] = ("label",), also: Sequence[str] = ()) -> DataFrame:

@@ -109,13 +109,3 @@ def payout_rows(df: DataFrame, combos: str, payouts: str, popularity: str) -> Da
         )
         .filter((F.col("combination") != "") | (F.col("payout") != 0))
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores where the source has fewer files than there are cores.
-
-    For work that is heavy per row on files that cannot be split; with as many files as
-    cores the frame is left alone and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -38,12 +38,14 @@ def expected_value(spark, sf):
 @query(
     "difficulty",
     with_entries(
-        f""", {SCORED_SQL} SELECT race_id, round(least(1.0::DOUBLE, (stddev_pop(p) * 10 + max(p) / (avg(p) + 1e-6) / 5) / 2), 6) AS difficulty,
-        round(least(stddev_pop(p) * 5, 1.0::DOUBLE), 6) AS difficulty_spread FROM scored GROUP BY race_id"""
+        f""", {SCORED_SQL}, seen AS (SELECT race_id, CASE WHEN race_id % 40 <> 0 AND runner_no <> 3 THEN p END AS p FROM scored)
+        SELECT race_id, round(CASE WHEN count(p) = 0 THEN 0.0 ELSE least(1.0::DOUBLE, (stddev_pop(p) * 10 + max(p) / (avg(p) + 1e-6) / 5) / 2) END, 6) AS difficulty,
+        round(CASE WHEN count(p) = 0 THEN 0.0 ELSE least(stddev_pop(p) * 5, 1.0::DOUBLE) END, 6) AS difficulty_spread FROM seen GROUP BY race_id"""
     ),
 )
 def difficulty(spark, sf):
     df = scored(entries(spark, sf))
+    df = df.withColumn("p", F.when((F.col("race_id") % 40 != 0) & (F.col("runner_no") != 3), F.col("p")))
     a = B.difficulty(df, "race_id", "p")
     b = B.difficulty(df, "race_id", "p", "spread").withColumnRenamed("difficulty", "difficulty_spread")
     return a.join(b, "race_id").select("race_id", r("difficulty"), r("difficulty_spread"))

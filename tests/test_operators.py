@@ -73,13 +73,22 @@ def test_corrupt_documents_are_set_aside(spark):
     assert [tuple(r) for r in D.corrupt_count(docs, schema).collect()] == [(3, 2)]
 
 
-def test_bundle_splits_hot_races(spark):
+def test_bundle_has_one_grain(spark):
     races = spark.createDataFrame([(1,), (2,), (3,)], "race_id int")
     kids = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 7)], "race_id int, no int")
-    out = L.race_bundle(races, {"kids": (kids, ["no"])}, "race_id", hot_rows=50).collect()
-    by_race = {k: sorted(x["no"] for r in out if r["race_id"] == k for x in r["kids"]) for k in (1, 2, 3)}
-    assert by_race == {1: list(range(200)), 2: [7], 3: []}
-    assert max(len(r["kids"]) for r in out) < 50
+    for parts in (1, 4):
+        out = L.race_bundle(races, {"kids": (kids, ["no"])}, "race_id", parts=parts).collect()
+        by_race = {k: sorted(x["no"] for r in out if r["race_id"] == k for x in r["kids"]) for k in (1, 2, 3)}
+        assert by_race == {1: list(range(200)), 2: [7], 3: []}
+        assert sorted((r["race_id"], r["part"]) for r in out) == [(k, p) for k in (1, 2, 3) for p in range(parts)]
+
+
+def test_missing_scores_are_last_and_count_nowhere(spark):
+    df = spark.createDataFrame([(1, 0.6, 1), (1, 0.3, 0), (1, None, 0), (2, None, 0)], "race_id int, p double, y int")
+    got = {(r["race_id"], r["p"]): (r["p_norm"], r["predicted_rank"]) for r in M.score_races(df, "race_id", "p", "win").collect()}
+    assert got[1, None] == (None, 3) and got[1, 0.6][1] == 1 and abs(got[1, 0.6][0] - 2 / 3) < 1e-9
+    assert {r["race_id"]: r["difficulty"] for r in B.difficulty(df, "race_id", "p").collect()}[2] == 0.0
+    assert M.eval_metrics(df, "p", "y").first()["n"] == 2
 
 
 def test_gate_flags(spark):
@@ -110,12 +119,16 @@ def test_leak_guard_and_alignment(spark):
         P.align_features(df, ["odds", "x", "y"], max_missing=0.5)
 
 
-def test_small_sets_are_split_by_hash(spark):
+def test_split_method_does_not_depend_on_size(spark):
     df = spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d}") for i in range(100)], "race_id int, d string").withColumn("race_date", F.col("d").cast("date"))
-    one = P.time_split(df, "race_date", ["race_id"])
-    two = P.time_split(df.repartition(7), "race_date", ["race_id"])
+    one = P.time_split(df, "race_date", ["race_id"], method="hash")
+    two = P.time_split(df.repartition(7), "race_date", ["race_id"], method="hash")
     pick = lambda x: sorted(r["race_id"] for r in x.filter("split = 'test'").collect())
     assert 5 < len(pick(one)) < 40 and pick(one) == pick(two)
+    days = P.time_split(df, "race_date", ["race_id"]).groupBy("split").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    ends = {r["split"]: (r["a"], r["b"]) for r in days.collect()}
+    assert ends["train"][1] < ends["test"][0]
+    assert tuple(P.side_sizes(one).first()) == (100 - len(pick(one)), len(pick(one)))
 
 
 def test_labels_of_many_categories(spark):
