@@ -368,7 +368,11 @@ def labelled_pages(sample: list[str | None], seed: int = 11) -> list[tuple[list[
 def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Field:
     """A field trained on at most sample_pages pages, those with the least hash of their html."""
     rows = pages.filter(F.col(html_col).isNotNull()).select(html_col)
-    sample = rows.orderBy(F.xxhash64(html_col), html_col).limit(sample_pages).collect()
+    # first the hashes alone, so that tasks send no pages which are not taken
+    least = rows.select(F.xxhash64(html_col).alias("h")).distinct().orderBy("h").limit(sample_pages)
+    last = least.agg(F.max("h")).first()[0]
+    taken = rows.filter(F.xxhash64(html_col) <= F.lit(last)).distinct()
+    sample = sorted(taken.limit(sample_pages).collect())
     return train(labelled_pages([r[0] for r in sample]))
 
 
