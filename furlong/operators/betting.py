@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations, permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.racing import season_code
@@ -21,6 +23,7 @@ BET_TYPES = {
     "馬単": {"size": 2, "ordered": True, "factor": 0.5, "keep": 20, "points": 20},
     "三連単": {"size": 3, "ordered": True, "factor": 0.3, "keep": 30, "points": 30},
 }
+LEGS = max(rule["size"] for rule in BET_TYPES.values())
 # Month factors from winter to autumn.
 SEASON_FACTORS = [1.00, 1.10, 0.90, 1.05]
 # Share of the race limit by level.
@@ -88,50 +91,24 @@ def pro_action(difficulty_: Column, max_ev: Column) -> tuple[Column, Column]:
     return action, confidence
 
 
-def _combinations(runners: Column, size: int, ordered: bool) -> Column:
-    """All ways to take size elements of a ranked array, as an array of arrays."""
-    taken = F.transform(runners, lambda a: F.array(a))
-    for _ in range(size - 1):
-
-        def extend(legs: Column) -> Column:
-            def fits(x: Column) -> Column:
-                if ordered:
-                    return ~F.exists(legs, lambda y: y["_rn"] == x["_rn"])
-                return x["_rn"] > F.element_at(legs, -1)["_rn"]
-
-            return F.transform(F.filter(runners, fits), lambda x: F.concat(legs, F.array(x)))
-
-        taken = F.flatten(F.transform(taken, extend))
-    return taken
-
-
-def _bet(rule: dict) -> Callable[[Column], Column]:
-    """Legs to (sort key, ranks, text, mean expected value, probability)."""
-
-    def make(legs: Column) -> Column:
-        mean = F.aggregate(legs, F.lit(0.0), lambda s, x: s + x["ev"]) / rule["size"]
-        return F.struct(
-            (-F.round(mean, 9)).alias("k"),
-            F.transform(legs, lambda x: x["_rn"]).alias("seq"),
-            F.array_join(F.transform(legs, lambda x: x["no"]), "→" if rule["ordered"] else "-").alias("combination"),
-            mean.alias("ev"),
-            F.aggregate(legs, F.lit(rule["factor"]), lambda s, x: s * x["p"]).alias("p"),
-        )
-
-    return make
-
+def _ways(top_n: int) -> Column:
+    """All combinations of all bet types over top_n ranks, written out: an array of (bet_type, last, l0, l1, l2)."""
+    found = []
+    for kind, rule in BET_TYPES.items():
+        for legs in (permutations if rule["ordered"] else combinations)(range(top_n), rule["size"]):
+            ranks = [*legs, *[None] * (LEGS - len(legs))]
+            found.append(
+                F.struct(
+                    F.lit(kind).alias("bet_type"),
+                    F.lit(max(legs)).alias("last"),
+                    *[F.lit(i).cast("int").alias(f"l{n}") for n, i in enumerate(ranks)],
+                )
+            )
+    return F.array(*found)
 
-def _row(kind: str) -> Callable[[Column, Column], Column]:
-    def make(x: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("bet_type"),
-            x["combination"].alias("combination"),
-            x["ev"].alias("expected_value"),
-            x["p"].alias("probability"),
-            (i + 1).alias("position"),
-        )
 
-    return make
+def _mean_ev(legs: Sequence[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [x["ev"] for x in legs]) / len(legs)
 
 
 def bet_candidates(
@@ -141,7 +118,7 @@ def bet_candidates(
 
     Expected values are averaged, probabilities multiplied; position orders the
     candidates of a type, and types with a limit keep that many. The runners of a race
-    are gathered once, after the cut to top_n, and all types are made from that array.
+    are gathered once, after the cut to top_n; all types read them by rank.
     """
     order = [F.desc(ev), *[F.col(t) for t in ties]]
     top = top_per_group(df, [race], order, top_n, "_rn")
@@ -149,14 +126,31 @@ def bet_candidates(
         "_rn", F.col(number).cast("string").alias("no"), F.col(ev).alias("ev"), F.col(probability).alias("p")
     )
     arrays = top.groupBy(race).agg(F.array_sort(F.collect_list(runner)).alias("_a"))
-    parts = []
+    # the ways are a constant; those that need a rank the race does not have go at once
+    ways = arrays.select(race, "_a", F.explode(_ways(top_n)).alias("_w")).filter(F.col("_w.last") < F.size("_a"))
+    legs = [F.get("_a", F.col(f"_w.l{n}")) for n in range(LEGS)]
+    text, mean, chance, keep = [], [], [], []
     for kind, rule in BET_TYPES.items():
-        taken = _combinations(F.col("_a"), rule["size"], rule["ordered"])
-        bets = F.array_sort(F.transform(taken, _bet(rule)))
+        used, here = legs[: rule["size"]], F.col("_w.bet_type") == kind
+        text.append(F.when(here, F.concat_ws("→" if rule["ordered"] else "-", *[x["no"] for x in used])))
+        mean.append(F.when(here, _mean_ev(used)))
+        chance.append(F.when(here, reduce(lambda x, y: x * y, [x["p"] for x in used], F.lit(rule["factor"]))))
         if rule["keep"]:
-            bets = F.slice(bets, 1, rule["keep"])
-        parts.append(F.transform(bets, _row(kind)))
-    return arrays.select(race, F.explode(F.concat(*parts)).alias("_b")).select(race, "_b.*")
+            keep.append((F.col("bet_type") != kind) | (F.col("position") <= rule["keep"]))
+    bets = ways.select(
+        race,
+        "_w.*",
+        F.coalesce(*text).alias("combination"),
+        F.coalesce(*mean).alias("expected_value"),
+        F.coalesce(*chance).alias("probability"),
+    )
+    # the rows of a race are still together, so this window sorts but does not shuffle
+    best = Window.partitionBy(race, "bet_type").orderBy(-F.round("expected_value", 9), *[f"l{n}" for n in range(LEGS)])
+    return (
+        bets.withColumn("position", F.row_number().over(best))
+        .filter(reduce(lambda x, y: x & y, keep))
+        .select(race, "bet_type", "combination", "expected_value", "probability", "position")
+    )
 
 
 def best_bet_type(candidates: DataFrame, race: str) -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.operators.prep import stable_unit
-from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, value_ranks, with_row
+from furlong.operators.skew import HOT_ROWS, column_quantiles, join_group_stats, ranked, value_ranks, with_row
 from furlong.operators.within_group import normalise
 
 FEATURES = "features"
@@ -30,6 +31,53 @@ def fill_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+class FillMissing(Estimator, HasInputCols, HasOutputCols):
+    """Learns what stands for missing values: the exact median of a number, the most frequent category of a
+    text (a tie goes to the first in the alphabet). The fitted stage fills any frame with the learned values.
+
+    Only one value per column reaches the driver.
+    """
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str], suffix: str = "_filled"):
+        super().__init__()
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        inputs = [*self.numeric, *self.categorical]
+        self._set(inputCols=inputs, outputCols=[f"{c}{suffix}" for c in inputs])
+
+    def _fit(self, df: DataFrame) -> SQLTransformer:
+        known = {}
+        if self.numeric:
+            known |= {r["column"]: r["q"][0] for r in column_quantiles(df, self.numeric, [0.5]).collect()}
+        for c in self.categorical:
+            counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            known[c] = counts.agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c)))).first()[0]
+        filled = []
+        for c, out in zip(self.getInputCols(), self.getOutputCols()):
+            value = known.get(c)
+            if value is None:  # nothing to learn from
+                filled.append(f"`{c}` AS `{out}`")
+            elif c in self.numeric:
+                filled.append(f"coalesce(CAST(`{c}` AS DOUBLE), {value!r}D) AS `{out}`")
+            else:
+                text = value.replace("\\", "\\\\").replace("'", "\\'")
+                filled.append(f"coalesce(`{c}`, '{text}') AS `{out}`")
+        return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def prep_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = FEATURES) -> list:
+    """Fitted medians and modes, then one-hot categories and one vector; unseen categories get a slot of their own."""
+    fill = FillMissing(numeric, categorical)
+    names = fill.getOutputCols()
+    numbers, texts = names[: len(numeric)], names[len(numeric) :]
+    index, coded = [f"{c}_index" for c in categorical], [f"{c}_hot" for c in categorical]
+    encode = [
+        StringIndexer(inputCols=texts, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=index, outputCols=coded, handleInvalid="keep"),
+    ]
+    vector = VectorAssembler(inputCols=[*numbers, *coded], outputCol=out, handleInvalid="keep")
+    return [fill, *(encode if texts else []), vector]
+
+
 def prep_stages(numeric: Sequence[str], categorical: Sequence[str], out: str = FEATURES) -> list:
     """Median-imputed numbers and one-hot categories in one vector; unseen categories get a slot of their own."""
     stages = []
@@ -165,6 +213,23 @@ def fit_calibrator(df: DataFrame, score: str, label: str):
     return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(points)
 
 
+def calibrator_column(model) -> Callable[[Column], Column]:
+    """A fitted isotonic model as a column function: straight lines between its points, flat outside."""
+    return piecewise(list(model.boundaries), list(model.predictions))
+
+
+def piecewise(xs: Sequence[float], ys: Sequence[float]) -> Callable[[Column], Column]:
+    points = [(float(x), float(y)) for x, y in zip(xs, ys)]
+
+    def apply(p: Column) -> Column:
+        out = F.when(p <= points[0][0], F.lit(points[0][1]))
+        for (x0, y0), (x1, y1) in zip(points, points[1:]):
+            out = out.when(p <= x1, y0 + (p - x0) * ((y1 - y0) / (x1 - x0)) if x1 > x0 else F.lit(y1))
+        return out.otherwise(F.lit(points[-1][1]))
+
+    return apply
+
+
 def brier(p: str, label: str) -> Column:
     return F.avg((F.col(p) - F.col(label)) * (F.col(p) - F.col(label)))
 
@@ -214,13 +279,14 @@ def eval_metrics(df: DataFrame, score: str, label: str, eps: float = 1e-15) -> D
 
 
 def score_races(
-    df: DataFrame, race: str, raw: str, target: str, out: str = "p_norm", rank: str = "predicted_rank", hot_rows: int = HOT_ROWS
+    df: DataFrame, race: str, raw: str, target: str, out: str = "p_norm", rank: str = "predicted_rank", hot_rows: int = HOT_ROWS,
+    calibrator: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Raw scores to probabilities that sum to 1 per race, and the rank they give.
 
     Regression and ranking scores go through softmax, where a missing score counts as
-    one below the lowest of the race; classes are clipped to 0..1, and a missing one has no
-    probability and the last rank.
+    one below the lowest of the race; classes are clipped to 0..1, calibrated if a calibrator is
+    given (see calibrator_column), and a missing one has no probability and the last rank.
     """
     if target in ("speed_deviation", "rank"):
         # softmax keeps the order, so the rank is that of the raw score
@@ -233,6 +299,8 @@ def score_races(
         )
         return normalise(powers, [race], "_e", out, source=totals).drop("_low", "_high", "_e")
     clipped = df.withColumn("_p", F.when(F.col(raw).isNotNull(), F.greatest(F.least(F.col(raw), F.lit(1.0)), F.lit(0.0))))
+    if calibrator:
+        clipped = clipped.withColumn("_p", F.when(F.col("_p").isNotNull(), calibrator(F.col("_p"))))
     placed = ranked(clipped, [race], "_p", rank, descending=True, hot_rows=hot_rows)
     return normalise(placed, [race], "_p", out, source=clipped).drop("_p")
 

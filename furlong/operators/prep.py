@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furlong.operators.skew import column_quantiles, join_group_stats, with_row
+from furlong.operators.skew import column_quantiles, join_group_stats, text_slices, with_row
 
 
 def fill_policy(
@@ -156,15 +156,14 @@ def leak_guard(df: DataFrame, keep: Sequence[str] = ("label",), also: Sequence[s
     return out
 
 
-def label_table(df: DataFrame, column: str, unknown: str = "Unknown", prefix: int = 6) -> DataFrame:
+def label_table(df: DataFrame, column: str, unknown: str = "Unknown", slices: int = 1024) -> DataFrame:
     """Codes 0, 1, 2, ... of the sorted categories: (column, code); missing is a category of its own.
 
-    Categories are numbered within slices that share a text prefix, then shifted by the
-    categories of the earlier slices, so a column with very many categories is not
-    sorted by one task.
+    Categories are numbered within ranges of about even size, then shifted by the categories of
+    the earlier ranges, so a column with very many categories is not sorted by one task.
     """
     cats = df.select(F.coalesce(F.col(column).cast("string"), F.lit(unknown)).alias(column)).distinct()
-    cats = cats.withColumn("_slice", F.substring(column, 1, prefix))
+    cats = text_slices(cats, column, "_slice", slices)
     sizes = cats.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -207,13 +206,13 @@ def align_features(df: DataFrame, trained: Sequence[str], max_missing: float = 0
     return df.select(*[F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in trained])
 
 
-def number_rows(df: DataFrame, key: Column, out: str, slices: int = 4096) -> DataFrame:
+def number_rows(df: DataFrame, key: Column, out: str, bits: int = 18) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of a hash, slice by slice.
 
-    The slices are ranges of the hash, so they are of even size whatever the data; rows
+    The 2 ** bits slices are ranges of the hash, so they are of even size whatever the data; rows
     of equal hash are ordered by all their columns.
     """
-    keyed = df.withColumn("_h", key).withColumn("_slice", F.shiftrightunsigned(F.col("_h"), 64 - 12) % slices)
+    keyed = df.withColumn("_h", key).withColumn("_slice", F.shiftrightunsigned(F.col("_h"), 64 - bits))
     sizes = keyed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

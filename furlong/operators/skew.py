@@ -13,6 +13,7 @@ rows each.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 MAX_HOT = 10_000
 NULL_SLICES = 1024
+SLICES = 16_384
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -77,9 +79,12 @@ def slice_carry(sliced: DataFrame, keys: Sequence[str], totals: Mapping[str, Col
 
 def value_slice(value: Column, descending: bool = False) -> Column:
     """Slice number of a numeric order key: equal values share a slice, larger values
-    never get a smaller one. The scale is logarithmic, 4096 slices per factor e."""
+    never get a smaller one. Slices are of equal relative width, SLICES per factor e around any
+    magnitude, so small values spread as widely as large ones."""
     v = value.cast("double")
-    s = F.signum(v) * F.floor(F.log1p(F.abs(v)) * 4096)
+    size = F.least(F.abs(v), F.lit(sys.float_info.max))
+    s = F.signum(v) * (F.floor(F.ln(F.nullif(size, F.lit(0.0))) * SLICES) + 1000 * SLICES)
+    s = F.when(F.isnan(v), F.lit(2.0**61)).when(v == 0, F.lit(0.0)).otherwise(s)
     s = -s if descending else s
     return F.coalesce(s.cast("bigint"), F.lit(2**62))
 
@@ -159,6 +164,24 @@ def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
+def text_slices(df: DataFrame, column: str, out: str, slices: int = 1024) -> DataFrame:
+    """Add the number of the range a text falls into; the ranges hold about as many rows each.
+
+    df has one row per text. The edges are the slices - 1 texts of least hash, a fair choice that
+    comes out the same on every run, whatever prefixes the texts share. slices is a power of two.
+    """
+    edges = (
+        df.select(column).orderBy(F.xxhash64(column), column).limit(slices - 1)
+        .agg(F.sort_array(F.collect_list(column)).alias("_edges"))
+    )
+    steps = F.array(*[F.lit(slices >> k) for k in range(1, slices.bit_length())])
+
+    def narrowed(at: Column, step: Column) -> Column:
+        return F.when(F.get("_edges", at + step - 1) <= F.col(column), at + step).otherwise(at)
+
+    return with_row(df, edges).withColumn(out, F.aggregate(steps, F.lit(0), narrowed)).drop("_edges")
+
+
 def column_value_counts(df: DataFrame, columns: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
     """Rows per (column, value) of several numeric columns in one pass: (also..., column, value, n).
 

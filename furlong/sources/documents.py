@@ -12,12 +12,16 @@ CORRUPT = "_corrupt"
 
 
 def parse_documents(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
-    """Parse a JSON text column into the declared fields; unreadable text is kept in _corrupt."""
+    """Parse a JSON text column into the declared fields; unreadable text is kept in _corrupt.
+
+    The parsed document comes out of a generator, which a later filter on its fields does not pass, so
+    each text is parsed once.
+    """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(data), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     names = [f.name for f in schema.fields]
     rest = [c for c in df.columns if c != data and c not in names]
-    return df.withColumn("_doc", parsed).select(
+    return df.select("*", F.explode(F.array(parsed)).alias("_doc")).select(
         *rest,
         *[F.col(f"_doc.{n}").alias(n) for n in names],
         F.when(F.col(data).isNull(), F.lit("")).otherwise(F.col(f"_doc.{CORRUPT}")).alias(CORRUPT),

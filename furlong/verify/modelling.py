@@ -141,6 +141,58 @@ def prep_stages(spark, sf):
     return out.select(*ID, F.array_join(values.cast("array<string>"), ",").alias("features"))
 
 
+_HOT = [*[("surface", v) for v in "ANR"], *[("venue", v) for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]]
+
+
+def _gaps(df):
+    """Runners with gaps: odds of runner 5, the surface of runner 6, the venue of some quantities."""
+    return df.withColumns(
+        {
+            "odds": F.when(F.col("runner_no") != 5, F.col("odds")),
+            "surface": F.when(F.col("runner_no") != 6, F.col("surface")),
+            "venue": F.when(F.col("qty") != 11, F.col("venue")),
+        }
+    )
+
+
+@query(
+    "prep_pipeline",
+    with_runners(
+        f""", g AS (SELECT * REPLACE (CASE WHEN runner_no <> 5 THEN odds END AS odds, CASE WHEN runner_no <> 6 THEN surface END AS surface, CASE WHEN qty <> 11 THEN venue END AS venue) FROM runners),
+        t AS (SELECT * FROM g WHERE race_date < DATE '1997-01-01'),
+        s AS (SELECT surface AS v FROM t WHERE surface IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        n AS (SELECT venue AS v FROM t WHERE venue IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        f AS (SELECT * REPLACE (coalesce(odds, (SELECT quantile_cont(odds, 0.5) FROM t)) AS odds, coalesce(surface, (SELECT v FROM s)) AS surface, coalesce(venue, (SELECT v FROM n)) AS venue) FROM g)
+        SELECT {ID_SQL}, round(odds, 6) AS f0, CAST(qty AS DOUBLE) AS f1, CAST(distance AS DOUBLE) AS f2,
+          {", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f{i}" for i, (c, v) in enumerate(_HOT[:3], 3))}, 0.0::DOUBLE AS f6,
+          {", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f{i}" for i, (c, v) in enumerate(_HOT[3:], 7))}, 0.0::DOUBLE AS f12 FROM f"""
+    ),
+)
+def prep_pipeline(spark, sf):
+    from pyspark.ml import Pipeline
+
+    df = _gaps(runners(spark, sf))
+    fitted = Pipeline(stages=M.prep_pipeline(["odds", "qty", "distance"], CATEGORIES)).fit(
+        df.filter(F.col("race_date") < F.lit("1997-01-01").cast("date"))
+    )
+    out = fitted.transform(df).withColumn("_f", M.vector_to_array("features"))
+    return out.select(*ID, *[F.round(F.get("_f", F.lit(i)), 6).alias(f"f{i}") for i in range(13)])
+
+
+@query(
+    "ev_weights_of_scores",
+    with_entries(
+        f""", s AS (SELECT *, 1 / (1 + exp(-((0.05 + discount * 2) * coalesce(o, 1.0) - 1 - 0.1) / 0.5)) + 1 AS w FROM (SELECT *, CASE WHEN runner_no <> 4 THEN odds END AS o FROM entries))
+        SELECT {ID_SQL}, round(w / (SELECT avg(w) FROM s), 6) AS weight FROM s"""
+    ),
+)
+def ev_weights_of_scores(spark, sf):
+    df = entries(spark, sf).withColumns(
+        {"oof": 0.05 + F.col("discount") * 2, "odds": F.when(F.col("runner_no") != 4, F.col("odds"))}
+    )
+    return M.ev_weights(df, center=0.1).select(*ID, r("weight"))
+
+
 def _report(name, scored):
     m = M.eval_metrics(scored, "probability_1", "label")
     return m.select(F.lit(name).alias("model"), "n", *[r(c) for c in ("auc", "log_loss", "brier")])
@@ -240,6 +292,23 @@ def score_races(spark, sf):
     return df.select(*ID, r("p_rank"), "rank_rank", r("p_win"), "rank_win")
 
 
+@query(
+    "score_races_calibrated",
+    with_entries(
+        f""", s AS (SELECT *, CASE WHEN runner_no <> 5 THEN sqrt(discount + 0.0137::DOUBLE) * 4 - 0.45::DOUBLE END AS cls FROM entries),
+        c AS (SELECT *, CASE WHEN cls < 0 THEN 0.0::DOUBLE WHEN cls > 1 THEN 1.0::DOUBLE ELSE cls END AS x FROM s),
+        k AS (SELECT *, CASE WHEN x <= 0.1 THEN 0.0213::DOUBLE WHEN x <= 0.5 THEN 0.0213::DOUBLE + (x - 0.1) * (0.2916::DOUBLE / 0.4) WHEN x <= 0.8 THEN 0.3129::DOUBLE + (x - 0.5) * (0.4348::DOUBLE / 0.3) WHEN x IS NOT NULL THEN 0.7477::DOUBLE END AS p FROM c)
+        SELECT {ID_SQL}, round(CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE p END, 6) AS p_win,
+          CAST(rank() OVER (PARTITION BY race_id ORDER BY round(p, 9) DESC NULLS LAST) AS BIGINT) AS rank_win FROM k WINDOW w AS (PARTITION BY race_id)"""
+    ),
+)
+def score_races_calibrated(spark, sf):
+    df = entries(spark, sf).withColumn("cls", F.when(F.col("runner_no") != 5, F.sqrt(F.col("discount") + 0.0137) * 4 - 0.45))
+    curve = M.piecewise([0.1, 0.5, 0.8], [0.0213, 0.3129, 0.7477])
+    df = M.score_races(df, "race_id", "cls", "win", "p_win", "rank_win", calibrator=lambda p: F.round(curve(p), 9))
+    return df.select(*ID, r("p_win"), "rank_win")
+
+
 @query(
     "ensemble",
     with_entries(

@@ -456,6 +456,34 @@ def range_180d(spark, sf):
     return out.select(*ID, *[r(c) for c in cols], "jockey_rides")
 
 
+@query(
+    "range_180d_trainer",
+    with_runners(
+        f""", named AS (SELECT * REPLACE (CASE WHEN qty <> 9 THEN '#' || trainer_id ELSE 'T ' || trainer_id % 90 END AS trainer_id) FROM runners), d AS (SELECT trainer_id, race_date, sum(CASE WHEN finish = 1 THEN 1 ELSE 0 END) AS a,
+            sum(CASE WHEN finish <= 2 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN finish <= 3 THEN 1 ELSE 0 END) AS c,
+            count(*) AS n, sum(finish) AS f, count(finish) AS m FROM named GROUP BY ALL),
+        p AS (SELECT x.trainer_id, x.race_date, sum(y.a) AS a, sum(y.b) AS b, sum(y.c) AS c, sum(y.n) AS n,
+            sum(y.f) AS f, sum(y.m) AS m FROM d x JOIN d y ON x.trainer_id = y.trainer_id
+            AND y.race_date >= x.race_date - INTERVAL 180 DAY AND y.race_date < x.race_date GROUP BY ALL)
+        SELECT {ID_SQL}, coalesce(round(a / CAST(n AS DOUBLE), 6), 0.0) AS trainer_win_rate,
+          coalesce(round(b / CAST(n AS DOUBLE), 6), 0.0) AS trainer_top2_rate,
+          coalesce(round(c / CAST(n AS DOUBLE), 6), 0.0) AS trainer_top3_rate,
+          CAST(coalesce(n, 0) AS BIGINT) AS trainer_rides,
+          CASE WHEN m > 0 THEN round(f / CAST(m AS DOUBLE), 6) ELSE 0.0 END AS trainer_avg_finish
+        FROM named LEFT JOIN p USING (trainer_id, race_date)"""
+    ),
+)
+def range_180d_trainer(spark, sf):
+    # a trainer without an id is known by name
+    t = F.col("trainer_id")
+    df = runners(spark, sf).withColumn(
+        "trainer_id", F.when(F.col("qty") != 9, F.concat(F.lit("#"), t)).otherwise(F.concat(F.lit("T "), t % 90))
+    )
+    out = H.range_rates(df, "trainer_id", "trainer")
+    cols = ["trainer_win_rate", "trainer_top2_rate", "trainer_top3_rate", "trainer_avg_finish"]
+    return out.select(*ID, *[r(c) for c in cols], "trainer_rides")
+
+
 @query(
     "venue_advantage",
     with_runners(

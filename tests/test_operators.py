@@ -1,5 +1,7 @@
 """Joins, quality, plans, bets, sinks and streams on small fixtures."""
 
+from collections import Counter
+
 import itertools
 import math
 
@@ -133,10 +135,32 @@ def test_split_method_does_not_depend_on_size(spark):
 
 def test_labels_of_many_categories(spark):
     df = spark.createDataFrame([(f"H{i:07d}",) for i in range(500)] + [(None,)], "h string")
-    codes = {r["h"]: r["code"] for r in P.label_table(df, "h", prefix=5).collect()}
+    codes = {r["h"]: r["code"] for r in P.label_table(df, "h", slices=8).collect()}
     assert [codes[k] for k in sorted(codes)] == list(range(501))
 
 
+def test_slices_follow_the_data(spark):
+    from furlong.operators.skew import text_slices, value_slice
+
+    df = spark.range(5000).select((F.col("id") / 5e6).alias("v"), F.concat(F.lit("2024010101"), F.format_string("%06d", "id")).alias("t"))
+    sizes = [r["count"] for r in df.groupBy(value_slice(F.col("v")).alias("s")).count().collect()]
+    assert len(sizes) > 2000 and max(sizes) <= 4
+    rows = text_slices(df.select("t"), "t", "s", 64).collect()
+    sizes = Counter(r["s"] for r in rows)
+    assert len(sizes) >= 60 and max(sizes.values()) < 600
+    assert [r["s"] for r in sorted(rows, key=lambda r: r["t"])] == sorted(r["s"] for r in rows)
+
+
+def test_value_slices_keep_the_order(spark):
+    from furlong.operators.skew import value_slice
+
+    values = [float("-inf"), -1e9, -3.0, -2e-300, 0.0, 1e-310, 0.5, 0.5001, 7.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for down in (False, True):
+        got = [r["s"] for r in df.select("i", value_slice(F.col("v"), down).alias("s")).orderBy("i").collect()]
+        assert got == sorted(got, reverse=down) and len(set(got)) == len(values)
+
+
 def test_shuffle_uses_every_value_once(spark):
     from furlong.operators.analysis import shuffled_column
 
