@@ -297,9 +297,9 @@ def score_races(spark, sf):
     with_entries(
         f""", s AS (SELECT *, CASE WHEN runner_no <> 5 THEN sqrt(discount + 0.0137::DOUBLE) * 4 - 0.45::DOUBLE END AS cls FROM entries),
         c AS (SELECT *, CASE WHEN cls < 0 THEN 0.0::DOUBLE WHEN cls > 1 THEN 1.0::DOUBLE ELSE cls END AS x FROM s),
-        k AS (SELECT *, CASE WHEN x <= 0.1 THEN 0.0213::DOUBLE WHEN x <= 0.5 THEN 0.0213::DOUBLE + (x - 0.1) * (0.2916::DOUBLE / 0.4) WHEN x <= 0.8 THEN 0.3129::DOUBLE + (x - 0.5) * (0.4348::DOUBLE / 0.3) WHEN x IS NOT NULL THEN 0.7477::DOUBLE END AS p FROM c)
+        k AS (SELECT *, round(CASE WHEN x <= 0.1 THEN 0.0213::DOUBLE WHEN x <= 0.5 THEN 0.0213::DOUBLE + (x - 0.1) * (0.2916::DOUBLE / 0.4) WHEN x <= 0.8 THEN 0.3129::DOUBLE + (x - 0.5) * (0.4348::DOUBLE / 0.3) WHEN x IS NOT NULL THEN 0.7477::DOUBLE END, 9) AS p FROM c)
         SELECT {ID_SQL}, round(CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE p END, 6) AS p_win,
-          CAST(rank() OVER (PARTITION BY race_id ORDER BY round(p, 9) DESC NULLS LAST) AS BIGINT) AS rank_win FROM k WINDOW w AS (PARTITION BY race_id)"""
+          CAST(rank() OVER (PARTITION BY race_id ORDER BY p DESC NULLS LAST) AS BIGINT) AS rank_win FROM k WINDOW w AS (PARTITION BY race_id)"""
     ),
 )
 def score_races_calibrated(spark, sf):
