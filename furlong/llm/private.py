@@ -252,21 +252,25 @@ def replace_private(
     """docs with each mention of an entity replaced, and a column n_<kind> bigint for each kind.
 
     All rows and columns stay; a null text stays null with counts of 0. A column of docs that already
-    has the name of a count is replaced by it. Equal ids may repeat: a document looks its entities up
-    by id and kind and form, so each text is right. A row with a null id is like any other.
+    has the name of a count is replaced by it. A row looks its entities up by id and hash of its text,
+    so repeated ids and null ids, however many, each get those of their own text.
     """
-    spans, mine, found_id = free_name(docs, "_spans"), free_name(docs, "_news"), free_name(docs, "_found")
-    rows = docs.select(F.col(id_col).alias("id"), _gaps_and_mentions(F.col(text_col)).alias("s"))
-    mentions = rows.select("id", F.explode("s").alias("m")).select("id", F.col("m.kind").alias("kind"), F.col("m.mention").alias("mention"))
-    forms = mentions.select("id", "kind", canonical(F.col("kind"), F.col("mention")).alias("form")).distinct()
+    spans, mine = free_name(docs, "_spans"), free_name(docs, "_news")
+    found_id, found_hash = free_name(docs, "_found"), free_name(docs, "_hash")
+    hashed = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), _gaps_and_mentions(F.col(text_col)).alias("s"))
+    mentions = rows.select("id", "h", F.explode("s").alias("m")).select(
+        "id", "h", F.col("m.kind").alias("kind"), F.col("m.mention").alias("mention")
+    )
+    forms = mentions.select("id", "h", "kind", canonical(F.col("kind"), F.col("mention")).alias("form")).distinct()
     folder = shared_dir(docs.sparkSession, "mentions")
     forms.write.parquet(folder)
     forms = docs.sparkSession.read.parquet(folder)
     news = surrogates(forms.select("kind", "form").distinct(), key)
-    per_doc = forms.join(news, ["kind", "form"]).groupBy(F.col("id").alias(found_id)).agg(
+    per_doc = forms.join(news, ["kind", "form"]).groupBy(F.col("id").alias(found_id), F.col("h").alias(found_hash)).agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "form"), F.col("new")))).alias(mine)
     )
-    out = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col(found_id)), "left")
+    out = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col(found_id)) & (hashed == F.col(found_hash)), "left")
     out = out.withColumn(
         spans, F.when(F.col(mine).isNotNull(), _gaps_and_mentions(F.col(text_col))).otherwise(F.array().cast("array<struct<gap:string,mention:string,kind:string>>"))
     )
