@@ -296,11 +296,14 @@ def pair_smoothed(
     )
 
 
-def recent_form(df: DataFrame, entity: str, tie: Sequence[str], finish: str = "finish", **kw) -> DataFrame:
+def form_stats(finish: str = "finish") -> dict:
     """Mean finish of the last 3, 5 and 10 starts, win rate of the last 3 and 5."""
     stats = {f"avg_finish_{n}": (lambda last, n=n: F.avg(finish).over(last(n, 1))) for n in (3, 5, 10)}
-    stats |= {f"win_rate_{n}": (lambda last, n=n: F.avg(win(finish)).over(last(n, 1))) for n in (3, 5)}
-    return rolling(df, [entity], stats, 10, [finish], tie, **kw)
+    return stats | {f"win_rate_{n}": (lambda last, n=n: F.avg(win(finish)).over(last(n, 1))) for n in (3, 5)}
+
+
+def recent_form(df: DataFrame, entity: str, tie: Sequence[str], finish: str = "finish", **kw) -> DataFrame:
+    return rolling(df, [entity], form_stats(finish), 10, [finish], tie, **kw)
 
 
 def recent_rate(
@@ -316,23 +319,30 @@ def recent_rate(
     return rolling(df, [entity], {out: stat}, length, [finish], tie, **kw)
 
 
-def recent_closing(df: DataFrame, entity: str, time: str, rank: str, tie: Sequence[str], **kw) -> DataFrame:
+def closing_stats(time: str, rank: str) -> dict:
     """Mean closing time of the last 3 and 5, mean closing rank of the last 3."""
-    stats = {
+    return {
         "closing_avg_3": lambda last: F.avg(time).over(last(3, 1)),
         "closing_avg_5": lambda last: F.avg(time).over(last(5, 1)),
         "closing_rank_avg_3": lambda last: F.avg(rank).over(last(3, 1)),
     }
-    return rolling(df, [entity], stats, 5, [time, rank], tie, **kw)
 
 
-def recent_log_payout(df: DataFrame, entity: str, payout: str, out: str, tie: Sequence[str], **kw) -> DataFrame:
+def recent_closing(df: DataFrame, entity: str, time: str, rank: str, tie: Sequence[str], **kw) -> DataFrame:
+    return rolling(df, [entity], closing_stats(time, rank), 5, [time, rank], tie, **kw)
+
+
+def payout_stats(payout: str, out: str) -> dict:
     """Mean log(1 + payout) of the last 5, a missing payout counts as 0."""
     value = F.log1p(F.coalesce(F.col(payout), F.lit(0.0)))
-    return rolling(df, [entity], {out: lambda last: F.avg(value).over(last(5, 1))}, 5, [payout], tie, **kw)
+    return {out: lambda last: F.avg(value).over(last(5, 1))}
 
 
-def recent_style(df: DataFrame, entity: str, style: str, tie: Sequence[str], **kw) -> DataFrame:
+def recent_log_payout(df: DataFrame, entity: str, payout: str, out: str, tie: Sequence[str], **kw) -> DataFrame:
+    return rolling(df, [entity], payout_stats(payout, out), 5, [payout], tie, **kw)
+
+
+def style_stats(style: str) -> dict:
     """Mean and spread of the running-style code over the last 5; the spread is 0 below two values."""
 
     def spread(last):
@@ -341,8 +351,16 @@ def recent_style(df: DataFrame, entity: str, style: str, tie: Sequence[str], **k
             F.count(F.lit(1)).over(w) > 0, F.coalesce(F.stddev_samp(style).over(w), F.lit(0.0))
         )
 
-    stats = {"style_avg_5": lambda last: F.avg(style).over(last(5, 1)), "style_std_5": spread}
-    return rolling(df, [entity], stats, 5, [style], tie, **kw)
+    return {"style_avg_5": lambda last: F.avg(style).over(last(5, 1)), "style_std_5": spread}
+
+
+def recent_style(df: DataFrame, entity: str, style: str, tie: Sequence[str], **kw) -> DataFrame:
+    return rolling(df, [entity], style_stats(style), 5, [style], tie, **kw)
+
+
+def previous_stats(columns: Sequence[str]) -> dict:
+    """prev_<column>: the value at the previous start."""
+    return {f"prev_{c}": (lambda last, c=c: F.max(c).over(last(1, 1))) for c in columns}
 
 
 def past10_panel(
@@ -445,7 +463,8 @@ def past10_closing(df: DataFrame, entity: str, time: str, rank: str, tie: Sequen
 
 
 def range_rates(
-    df: DataFrame, entity: str, prefix: str, days: int = 180, finish: str = "finish", day: str = "race_date"
+    df: DataFrame, entity: str, prefix: str, days: int = 180, finish: str = "finish", day: str = "race_date",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Win, top-2 and top-3 rate, rides and mean finish over the last ``days`` days."""
     out = day_range(
@@ -461,6 +480,7 @@ def range_rates(
         },
         days,
         day,
+        source,
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
 

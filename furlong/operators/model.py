@@ -162,9 +162,10 @@ def cross_validate(
     folds: int = 3,
     grid: Mapping[str, Sequence] | None = None,
     parallelism: int = 4,
+    max_iter: int = 20,
 ) -> CrossValidatorModel:
     """Grid search by cross validation; all runners of a race fall into the same fold."""
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=10)
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=max_iter)
     builder = ParamGridBuilder()
     for name, values in (grid or {"regParam": [0.0, 0.1]}).items():
         builder = builder.addGrid(lr.getParam(name), list(values))
@@ -182,7 +183,7 @@ def cross_validate(
 
 def out_of_fold(df: DataFrame, stages: Sequence, race: str, label: str = "label", folds: int = 3) -> DataFrame:
     """Probability of each row from a model that has not seen its race."""
-    folded = df.withColumn("_fold", F.floor(stable_unit([race]) * folds).cast("int")).persist()
+    folded = df.withColumn("_fold", F.floor(stable_unit([race]) * folds).cast("int"))
     out = None
     for k in range(folds):
         model = train_logistic(folded.filter(F.col("_fold") != k), stages, label)

@@ -80,15 +80,16 @@ def gate_bias(
     as_of: bool = False,
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Win rate of the group, a neutral value below ``least`` samples.
 
     By default over all rows, later ones included; as_of=True looks at earlier events only.
     """
     if as_of:
-        s = expanding(df, keys, {"_w": win(finish), "_n": runs()}, order, hot_rows)
+        s = expanding(df, keys, {"_w": win(finish), "_n": runs()}, order, hot_rows, source)
     else:
-        s = join_group_stats(df, keys, {"_w": F.sum(win(finish)), "_n": F.count(F.lit(1))})
+        s = join_group_stats(df, keys, {"_w": F.sum(win(finish)), "_n": F.count(F.lit(1))}, source)
     rate = F.when(F.col("_n") >= least, F.coalesce(F.col("_w"), F.lit(0)) / F.col("_n")).otherwise(F.lit(neutral))
     return s.withColumn(out, rate).drop("_w", "_n")
 

@@ -1,14 +1,15 @@
 """The feature build: ordered stages, each a function of the frame so far and the base.
 
 The base has the rows of the frame and the columns that exist before any stage; totals
-and hot keys are counted on it, so the plan grows by one step per operator. Without
-history only what a race itself tells is added. Stages are the extension point:
-``feature_build(df, stages=[*STAGES, mine])``.
+and hot keys are counted on it, so the plan grows by one step per operator. A base that
+joins several tables should be written once (``stored``). A stage adds what the columns at
+hand allow: dam, closing, payout and style are optional. Without history only what a race
+itself tells is added. Stages are the extension point: ``feature_build(df, stages=[*STAGES, mine])``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +18,56 @@ from furlong.functions import racing as R
 from furlong.operators import history as H
 from furlong.operators import within_group as G
 from furlong.operators.joins import history_plus_target
+from furlong.operators.skew import join_group_stats
+from furlong.operators.stats import gate_bias
+from furlong.session import shared_dir
 
 Stage = Callable[[DataFrame, DataFrame], DataFrame]
 
 TIE = ("runner_no",)
 
 
+#: Columns whose gaps are told by a flag, where the frame has them.
+FLAGGED = ("odds", "popularity", "weight", "age")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: what is before the build runs and is planned once."""
+    path = shared_dir(df.sparkSession, "features")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _has(df: DataFrame, *columns: str) -> bool:
+    return set(columns) <= set(df.columns)
+
+
 def with_scalars(df: DataFrame) -> DataFrame:
     """What a row tells by itself."""
     return df.withColumns(R.season_cycle(F.col("race_date"))).withColumns(
         {
             "distance_band": R.distance_band(F.col("distance")),
             "implied_prob": R.implied_prob(F.col("odds")),
-            "odds_is_missing": R.missing_flag(F.col("odds")),
+            **{f"{c}_is_missing": R.missing_flag(F.col(c)) for c in FLAGGED if _has(df, c)},
         }
     )
 
 
+def categories(values: Mapping[str, Sequence[str]]) -> Stage:
+    """A stage with one 0/1 column per declared value."""
+
+    def stage(df: DataFrame, base: DataFrame) -> DataFrame:
+        return df.select("*", *[flag for c, known in values.items() for flag in R.one_hot(F.col(c), known, c)])
+
+    return stage
+
+
+def field(df: DataFrame, base: DataFrame) -> DataFrame:
+    """Number of runners, and the place in the row of gates as a share of it."""
+    df = join_group_stats(df, ["race_id"], {"field_size": F.count(F.lit(1))}, base)
+    return df.withColumn("gate_ratio", R.ratio(F.col("runner_no"), F.col("field_size")))
+
+
 def market(df: DataFrame, base: DataFrame) -> DataFrame:
     df = G.normalise(df, ["race_id"], "implied_prob", "implied_prob_norm", source=base)
     df = G.odds_rank(df, ["race_id"], "odds", "odds_rank_in_race", source=base)
@@ -47,32 +81,63 @@ def rest(df: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def aptitude(df: DataFrame, base: DataFrame) -> DataFrame:
-    """Prior win rates of the horse by surface, venue and both, and by distance."""
+    """Prior win rates of the horse by surface, venue and both, by distance and its band, and by band and surface."""
     df = H.expanding_rate(df, ["horse_id", "surface"], "horse_surface", source=base)
     df = H.expanding_rate(df, ["horse_id", "venue"], "horse_venue", source=base)
     df = H.expanding_rate(df, ["horse_id", "venue", "surface"], "horse_venue_surface", source=base)
+    df = H.expanding_rate(df, ["horse_id", "distance_band"], "horse_band", source=base)
+    df = H.expanding_rate(df, ["horse_id", "distance_band", "surface"], "horse_band_surface", source=base)
     return H.expanding_multi(df, ["horse_id", "distance"], "horse_distance", source=base)
 
 
 def people(df: DataFrame, base: DataFrame) -> DataFrame:
-    """Careers of jockey, trainer and sire, and the pair of jockey and trainer."""
-    for entity, prefix in (("jockey_id", "jockey"), ("trainer_id", "trainer"), ("sire", "sire")):
+    """Careers of jockey, trainer, sire and dam's side, the pair of jockey and trainer, and their last 180 days."""
+    entities = {"jockey_id": "jockey", "trainer_id": "trainer", "sire": "sire", "dam": "damsire"}
+    for entity, prefix in ((e, p) for e, p in entities.items() if _has(base, e)):
         df = H.entity_career(df, entity, prefix, source=base)
         df = df.withColumn(
             f"{prefix}_win_rate_smooth", H.smooth_rate(F.col(f"{prefix}_win_rate"), F.col(f"{prefix}_race_count"))
         )
     df = H.expanding_rate(df, ["jockey_id", "venue"], "jockey_course", source=base)
-    return H.pair_smoothed(df, ["jockey_id", "trainer_id"], "combo", source=base)
+    df = H.pair_smoothed(df, ["jockey_id", "trainer_id"], "combo", source=base)
+    df = H.range_rates(df, "jockey_id", "jockey_180d", source=base)
+    return H.range_rates(df, "trainer_id", "trainer_180d", source=base)
+
+
+def gates(df: DataFrame, base: DataFrame, inner: int = 4) -> DataFrame:
+    """Earlier win rate of the inner or outer gates on the course."""
+    near = lambda d: d.withColumn("inner_gate", (F.col("runner_no") <= inner).cast("int"))
+    keys = ["venue", "distance_band", "surface", "inner_gate"]
+    return gate_bias(near(df), keys, as_of=True, source=near(base))
 
 
 def form(df: DataFrame, base: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    df = H.recent_form(df, "horse_id", tie, source=base)
+    """Last starts of the horse (one shuffle for all of them), of the jockey and of the trainer."""
+    stats = H.form_stats() | H.previous_stats(["distance", "surface"])
+    inputs = ["finish", "distance", "surface"]
+    if _has(base, "closing", "closing_rank"):
+        stats |= H.closing_stats("closing", "closing_rank")
+        inputs += ["closing", "closing_rank"]
+    if _has(base, "payout"):
+        stats |= H.payout_stats("payout", "log_payout_avg_5")
+        inputs.append("payout")
+    if _has(base, "style"):
+        stats |= H.style_stats("style")
+        inputs.append("style")
+    df = H.rolling(df, ["horse_id"], stats, 10, inputs, tie, source=base)
     df = H.recent_rate(df, "jockey_id", "jockey_recent30", tie, source=base)
-    return df.withColumn("jockey_course_advantage", F.col("jockey_course_win_rate") - F.col("jockey_recent30"))
+    df = H.recent_rate(df, "trainer_id", "trainer_recent30", tie, source=base)
+    return df.withColumns(
+        {
+            "distance_change": F.col("distance") - F.col("prev_distance"),
+            "surface_changed": F.coalesce((F.col("surface") != F.col("prev_surface")).cast("int"), F.lit(0)),
+            "jockey_course_advantage": F.col("jockey_course_win_rate") - F.col("jockey_recent30"),
+        }
+    )
 
 
-RACE_STAGES: list[Stage] = [market]
-HISTORY_STAGES: list[Stage] = [rest, aptitude, people, form]
+RACE_STAGES: list[Stage] = [market, field]
+HISTORY_STAGES: list[Stage] = [rest, aptitude, people, gates, form]
 STAGES: list[Stage] = RACE_STAGES + HISTORY_STAGES
 
 

@@ -119,15 +119,19 @@ def vif(spark, sf):
     return A.vif(entries(spark, sf), ["price", "qty"]).select("feature", r("vif", 4))
 
 
-@query("permutation_importance")
+@query(
+    "permutation_importance",
+    "SELECT unnest(['odds', 'qty', 'surface', 'discount', 'tax', 'runner_no', 'distance', 'venue']) AS feature, unnest([TRUE, TRUE, TRUE, FALSE, FALSE, FALSE, FALSE, FALSE]) AS matters",
+)
 def permutation_importance(spark, sf):
     from furlong.operators import model as M
 
     train, test = _split(spark, sf)
-    model = M.train_logistic(train, M.prep_stages(NUMERIC, CATEGORIES), max_iter=10)
+    model = M.train_logistic(train, M.prep_stages(NUMERIC, CATEGORIES))
     predict = lambda d: M.win_probability(model.transform(d)).select("probability_1", "label")
     columns = [*NUMERIC, *CATEGORIES, "label", "race_id", "horse_id", "price"]
     out = A.permutation_importance(
-        test.select(*dict.fromkeys(columns)), predict, ["qty", "surface", "tax"], "label", "probability_1", ["race_id", "horse_id", "price"]
+        test.select(*dict.fromkeys(columns)), predict, [*NUMERIC, *CATEGORIES], "label", "probability_1", ["race_id", "horse_id", "price"]
     )
-    return out.select("feature", r("importance"))
+    # the label is made from odds, quantity and surface
+    return out.select("feature", (F.col("importance") > 0.02).alias("matters"))

@@ -131,14 +131,16 @@ def _split(spark, sf):
     return df.filter("split = 'train'"), df.filter("split = 'test'")
 
 
-@query("prep_stages")
+@query("prep_stages", with_runners(f"SELECT {ID_SQL}, 16::BIGINT AS width, 2.0::DOUBLE AS hot, 0::BIGINT AS gaps FROM runners"))
 def prep_stages(spark, sf):
     from pyspark.ml import Pipeline
 
     df = M.fill_modes(_training(spark, sf), CATEGORIES)
     out = Pipeline(stages=M.prep_stages(NUMERIC, CATEGORIES)).fit(df).transform(df)
-    values = F.transform(M.vector_to_array("features"), lambda x: F.round(x, 4))
-    return out.select(*ID, F.array_join(values.cast("array<string>"), ",").alias("features"))
+    out = out.withColumn("_f", M.vector_to_array("features"))
+    hot = sum((F.get("_f", F.lit(i)) for i in range(7, 16)), F.get("_f", F.lit(6)))
+    gaps = F.size(F.filter("_f", lambda x: x.isNull() | F.isnan(x)))
+    return out.select(*ID, F.size("_f").cast("bigint").alias("width"), hot.alias("hot"), gaps.cast("bigint").alias("gaps"))
 
 
 _HOT = [*[("surface", v) for v in "ANR"], *[("venue", v) for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]]
@@ -193,53 +195,73 @@ def ev_weights_of_scores(spark, sf):
     return M.ev_weights(df, center=0.1).select(*ID, r("weight"))
 
 
-def _report(name, scored):
-    m = M.eval_metrics(scored, "probability_1", "label")
-    return m.select(F.lit(name).alias("model"), "n", *[r(c) for c in ("auc", "log_loss", "brier")])
+_SPLIT_SQL = ", c AS (SELECT floor(quantile_cont(CAST(epoch(race_date) / 86400 AS DOUBLE), 0.7)) AS q FROM runners), test AS (SELECT runners.* FROM runners, c WHERE epoch(race_date) / 86400 > q), train AS (SELECT runners.* FROM runners, c WHERE epoch(race_date) / 86400 <= q)"
 
 
-@query("train_logistic")
+def _report(name, scored, probability="probability_1"):
+    """What must hold for any sound model: a score for every row, within 0..1, that tells winners from others."""
+    m = M.eval_metrics(scored, probability, "label")
+    p = F.col(probability)
+    bounds = scored.agg(F.min((p.between(0, 1)).cast("int")).alias("_in"), F.avg("label").alias("_y"))
+    m = M.with_row(m, bounds)
+    return m.select(
+        F.lit(name).alias("model"), "n", (F.col("_in") == 1).alias("in_range"), (F.col("auc") > 0.55).alias("ranks"),
+        (F.col("brier") < F.col("_y") * (1 - F.col("_y"))).alias("beats_base_rate"),
+    )
+
+
+def _sound_sql(*rows):
+    each = " UNION ALL ".join(f"SELECT '{name}' AS model, count(*) AS n, TRUE AS in_range, TRUE AS ranks, TRUE AS beats_base_rate FROM {t}" for name, t in rows)
+    return with_runners(f"{_SPLIT_SQL} {each}")
+
+
+@query("train_logistic", _sound_sql(("logistic", "test")))
 def train_logistic(spark, sf):
     train, test = _split(spark, sf)
     model = M.train_logistic(train, M.prep_stages(NUMERIC, CATEGORIES))
     return _report("logistic", M.win_probability(model.transform(test)))
 
 
-@query("train_trees")
+@query(
+    "train_trees",
+    with_runners(
+        f"{_SPLIT_SQL} SELECT 'trees' AS model, count(*) AS n, TRUE AS in_range, TRUE AS ranks, TRUE AS beats_base_rate FROM test UNION ALL SELECT 'speed trees', count(*), NULL, NULL, TRUE FROM test"
+    ),
+)
 def train_trees(spark, sf):
     train, test = _split(spark, sf)
     train = train.withColumn("validation", P.stable_unit(["race_id"], 7) < 0.2)
     stages = M.prep_stages(NUMERIC, CATEGORIES)
-    model = M.train_trees(train, stages, validation="validation", max_iter=8, max_depth=3)
+    model = M.train_trees(train, stages, validation="validation")
     classes = _report("trees", M.win_probability(model.transform(test)))
-    speed = M.train_trees(train, stages, label="price", regression=True, max_iter=5, max_depth=3)
+    speed = M.train_trees(train, stages, label="price", regression=True, validation="validation")
     err = F.col("prediction") - F.col("price")
     regression = speed.transform(test).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(err * err)).alias("e"), F.stddev_pop("price").alias("d"))
-    none = F.lit(None).cast("double")
-    return classes.withColumn("relative_rmse", none).unionByName(
+    none = F.lit(None).cast("boolean")
+    return classes.unionByName(
         regression.select(
-            F.lit("speed trees").alias("model"), "n", none.alias("auc"), none.alias("log_loss"), none.alias("brier"),
-            F.round(F.col("e") / F.col("d"), 6).alias("relative_rmse"),
+            F.lit("speed trees").alias("model"), "n", none.alias("in_range"), none.alias("ranks"),
+            (F.col("e") < F.col("d")).alias("beats_base_rate"),
         )
     )
 
 
-@query("ev_weights")
+@query("ev_weights", with_runners(f"{_SPLIT_SQL} SELECT count(*) AS n, 1.0::DOUBLE AS mean_weight, TRUE AS in_range, TRUE AS ranks, TRUE AS beats_base_rate FROM train"))
 def ev_weights(spark, sf):
     train, _ = _split(spark, sf)
-    scored = M.out_of_fold(train, M.prep_stages(NUMERIC, CATEGORIES), "race_id", folds=3)
-    return M.ev_weights(scored).select(*ID, r("oof"), r("weight"))
+    scored = M.out_of_fold(train, M.prep_stages(NUMERIC, CATEGORIES), "race_id", folds=5)
+    weights = M.ev_weights(scored).agg(F.round(F.avg("weight"), 6).alias("mean_weight"))
+    return M.with_row(_report("out of fold", scored, "oof"), weights).drop("model")
 
 
-@query("cross_validate")
+@query("cross_validate", _sound_sql(("best of grid", "test")))
 def cross_validate(spark, sf):
     train, test = _split(spark, sf)
-    cv = M.cross_validate(train, M.prep_stages(NUMERIC, CATEGORIES), folds=3, grid={"regParam": [0.0, 0.3]})
-    best = _report("best of grid", M.win_probability(cv.bestModel.transform(test)))
-    return best.withColumn("cv_auc", F.lit(round(float(max(cv.avgMetrics)), 6)))
+    cv = M.cross_validate(train, M.prep_stages(NUMERIC, CATEGORIES), folds=3, grid={"regParam": [0.0, 0.01, 0.1]})
+    return _report("best of grid", M.win_probability(cv.bestModel.transform(test)))
 
 
-@query("calibrate")
+@query("calibrate", with_runners(f"{_SPLIT_SQL} SELECT count(*) AS n, TRUE AS in_range, TRUE AS improved FROM test"))
 def calibrate(spark, sf):
     train, test = _split(spark, sf)
     fit = train.filter(P.stable_unit(["race_id"], 3) < 0.7)
@@ -250,8 +272,8 @@ def calibrate(spark, sf):
     iso = M.fit_calibrator(bent(held), "bent", "label")
     scored = iso.transform(bent(test).withColumn("_x", F.col("bent")))
     return scored.agg(
-        F.count(F.lit(1)).alias("n"), F.round(M.brier("bent", "label"), 6).alias("brier_before"),
-        F.round(M.brier("calibrated", "label"), 6).alias("brier_after"),
+        F.count(F.lit(1)).alias("n"), (F.min(F.col("calibrated").between(0, 1).cast("int")) == 1).alias("in_range"),
+        (M.brier("calibrated", "label") < M.brier("bent", "label")).alias("improved"),
     )
 
 

@@ -14,11 +14,20 @@ from furlong.verify.base import TIE, query, r, runners, table, with_runners
 from furlong.verify.windows import ID, TIE_SQL, WON, _WIN, _rate, last_sql, prior_sql
 
 
+#: Files are replayed in no order of time, so a row may be as late as the table is long.
+LATE = "3650 days"
+
+
+def _arrivals(spark, df, files=3):
+    """Rows as several files in no order of time, one file per micro-batch."""
+    path = shared_dir(spark, "arrivals")
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return S.read_files(spark, path, df.schema, per_trigger=1)
+
+
 def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    stream = S.read_files(spark, f"{sf}/events*.parquet", schema)
     # the tables carry times without a zone; watermarks need an instant
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _arrivals(spark, table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def _run(query):
@@ -72,7 +81,7 @@ def stream_windowed_counts(spark, sf):
     stream = _events(spark, sf)
     _run(
         S.stream_window_counts(
-            stream, "ts", "event_type", "1 hour", None, "10 minutes", f"{path}/rows", f"{path}/checkpoint", once=True
+            stream, "ts", "event_type", "1 hour", None, LATE, f"{path}/rows", f"{path}/checkpoint", once=True
         )
     )
     schema = S.window_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").schema
@@ -87,9 +96,11 @@ def stream_windowed_counts(spark, sf):
 def stream_dedupe(spark, sf):
     path = shared_dir(spark, "dedupe")
     copies = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    stream = _events(spark, sf).select("event_id", "ts", F.explode(copies).alias("delivery"))
+    # the copies of an event arrive in different micro-batches
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _arrivals(spark, events.select("event_id", "ts", F.explode(copies).alias("delivery")))
     keyed = stream.withColumn("key", S.idempotency_key("event_id"))
-    _run(S.dedupe(keyed, ["key"], "ts", "1 hour", f"{path}/rows", f"{path}/checkpoint", once=True))
+    _run(S.dedupe(keyed, ["key"], "ts", LATE, f"{path}/rows", f"{path}/checkpoint", once=True))
     kept = S.read_batches(spark, f"{path}/rows", keyed.schema)
     sent = table(spark, sf, "events").agg(F.sum(F.size(copies)).alias("deliveries"))
     return sent.select("deliveries", kept.agg(F.count(F.lit(1))).scalar().alias("kept"))

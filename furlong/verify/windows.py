@@ -487,7 +487,7 @@ def range_180d_trainer(spark, sf):
 @query(
     "venue_advantage",
     with_runners(
-        ", a AS "
+        ", a AS MATERIALIZED "
         + prior_sql("jockey_id, venue", f"{WON} AS w; count(*) AS n")
         + f""", per_row AS (SELECT *,
           {last_sql(f"avg({_WIN})", 30).replace("{e}", "jockey_id")} AS r30,
