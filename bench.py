@@ -16,7 +16,7 @@ HEADLINE = [
     "json_blob_scan", "upsert_latest", "class_grade", "star_view", "course_lookup", "bet_stats", "column_missingness",
     "norm_prob", "odds_rank", "market_entropy", "expanding_rate", "entity_career", "rolling_form", "past10_panel",
     "range_180d", "race_gate", "psi_drift", "row_quality", "score_races", "bet_candidates", "column_profile",
-    "page_fields",
+    "page_fields", "feature_pipeline",
 ]
 
 
