@@ -38,11 +38,10 @@ def dimension(df: DataFrame, key: str, order: Column, first: Sequence[str] = (),
 
 
 def relational_scan(
-    spark: SparkSession, path: str, columns: Mapping[str, str], limit: int | None = None
+    spark: SparkSession, path: str, columns: Mapping[str, str]
 ) -> DataFrame:
-    """A stored table under the names of the engine, optionally its first rows only."""
-    df = spark.read.parquet(path).select(*[F.col(src).alias(out) for out, src in columns.items()])
-    return df if limit is None else df.limit(limit)
+    """A stored table under the names of the engine."""
+    return spark.read.parquet(path).select(*[F.col(src).alias(out) for out, src in columns.items()])
 
 
 def cached_pages(

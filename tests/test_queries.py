@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SLICE = [
     "json_blob_scan", "payout_fanout", "class_grade", "course_lookup", "top_pairs", "gate_bias", "group_missingness",
     "expanding_rate", "rolling_rate_30", "past5_weight_trend", "psi_drift", "refresh_plan", "label_encode", "bet_list",
-    "feature_pipeline", "stream_dedupe",
+    "stream_dedupe",
 ]
 
 
