@@ -190,9 +190,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for texts in texts_of(batch.column(1)):
                 words = texts.words()
                 starts, anchor = _anchors(words)
+                text = words.text_of[starts]
                 new = np.ones(len(starts), dtype=bool)
-                new[1:] = anchor[1:] != anchor[:-1]
-                row = texts.rows.start + words.text_of[starts[new]]
+                # also where a text begins: it may begin with the anchor on which the one before it ends
+                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                row = texts.rows.start + text[new]
                 parts.append((ids[row][known[row]], anchor[new][known[row]]))
             if parts:
                 yield from sender.send(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))

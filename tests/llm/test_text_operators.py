@@ -150,6 +150,17 @@ def test_repeated_passages(docs):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeated_passages_of_neighbouring_rows(spark):
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    copy, last = say("c", 13), say("p", 13)
+    texts = [copy, copy, copy, "the " * 30, "the " * 40, say("x", 20) + " " + last, last + " " + say("y", 20), copy, None, copy]
+    gone = [0, 13, 13, 0, 40, 0, 13, 13, 0, 13]
+    ids = [0, 1, 2, 3, 4, 5, 6, None, 8, 9]
+    rows = [(i, t, None, "s", None, 1, "r", 2) for i, t in zip(ids, texts, strict=True)]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {i: 0 if i is None else n for i, n in zip(ids, gone, strict=True)}
+
+
 def test_repetition_rules(docs):
     texts = corpus()
     for r in repetition.repetition_rules(docs, min_words=6).collect():
