@@ -285,6 +285,37 @@ def test_leaks(spark):
     assert left.columns == docs.columns and left.count() == len(texts) - len(want)
 
 
+def test_leaks_of_a_hot_group(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices([f"v{k}" for k in range(5_000)], k=n))
+    item, shared = say(40) + ". the answer is 7", say(30) + ". so it is 9"
+    copy = say(70) + " " + item + " " + say(70)
+    texts = [copy if k % 3 == 0 else say(100) + (" " + shared + " " + say(60) if k % 3 == 1 else "") for k in range(90)]
+    bench = spark.createDataFrame([(1, item), (2, shared), (3, say(30))], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, texts), bench).collect()}
+    assert got == {(k, 1 + k % 3) for k in range(90) if k % 3 < 2}
+
+
+def test_no_pair_that_the_check_accepts_is_left_out():
+    rng = random.Random(6)
+    bag = [f"v{k}" for k in range(60)] + ["the"] * 30
+    say = lambda n: " ".join(rng.choices(bag, k=n))
+    items = [say(n) for n in (1, 2, 3, 5, 14, 23, 40, 64, 90, 150) for _ in range(4)]
+    texts = [say(n) for n in (0, 1, 31, 32, 33, 64, 65, 200, 900)] + [" ".join([say(20), " ".join(w for w in i.split() if rng.random() > 0.3), say(40)]) for i in items]
+    parts = decontamination.item_parts(list(enumerate(items)))
+    check, freq = decontamination.Checker(parts), np.array([rng.randrange(9) for _ in range(decontamination.TERMS)])
+    (group,) = texts_of(pa.array(texts))
+    words = decontamination.lowered_words(group)
+    _, first, text = decontamination.passage_vectors(words, np.ones((decontamination.TERMS, 2), dtype=np.float32))
+    p, q = (x.ravel() for x in np.indices((len(first), len(parts.words))))
+    for share in (0.3, 0.6, 1.0):
+        found = decontamination.Holders(parts, share, freq).candidates(words)
+        have = {pair for i, j in found for pair in zip(i.tolist(), j.tolist(), strict=True)}
+        whole, _ = check.shares(q, decontamination._regions(words, first[p], text[p]))
+        want = set(zip(p[whole >= share].tolist(), q[whole >= share].tolist(), strict=True))
+        assert want and want <= have
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     parts = decontamination.item_parts([(1, "a b c d e f. g h"), (2, " ".join(rng.choices("abcdefg", k=64)))])
