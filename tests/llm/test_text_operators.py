@@ -316,6 +316,17 @@ def test_no_pair_that_the_check_accepts_is_left_out():
         assert want and want <= have
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices([f"v{k}" for k in range(9_000)], k=n))
+    items = [say(64 if k % 2 else 24) for k in range(4_000)]
+    texts = [say(41 + k % 32) + " " + items[13 * k] + " " + say(60) for k in range(300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    # a high bound stands for a space that keeps too little of the passages
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(table(spark, texts), bench, cosine=0.9).collect()}
+    assert got == {(k, 13 * k) for k in range(300)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     parts = decontamination.item_parts([(1, "a b c d e f. g h"), (2, " ".join(rng.choices("abcdefg", k=64)))])
