@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.secrets import free_name
@@ -154,8 +154,8 @@ def _luhn_digit(digits: Column) -> Column:
     return ((10 - F.aggregate(doubled, F.lit(0), add) % 10) % 10).cast("string")
 
 
-def _person(form: Column, seed: Column) -> Column:
-    """gender:script:name, with as many words as before."""
+def _person(form: Column, seed: Column, attempt: int = 0) -> Column:
+    """gender:script:name, with as many words as before. Each attempt adds a syllable, so the space grows."""
     parts = F.split(form, ":")
     gender, script, words = parts[0], parts[1], F.size(F.split(parts[2], " "))
     out = None
@@ -163,7 +163,7 @@ def _person(form: Column, seed: Column) -> Column:
         syllables, ends = F.array(*map(F.lit, _SYLLABLES[s])), F.array(*map(F.lit, _ENDS[g, s]))
         pick = lambda a, n, k: F.element_at(a, (_draw(seed, k, n) + 1).cast("int"))
         last = F.initcap(
-            F.concat(*[pick(syllables, len(_SYLLABLES[s]), k) for k in range(3)], pick(ends, len(_ENDS[g, s]), 3))
+            F.concat(*[pick(syllables, len(_SYLLABLES[s]), k) for k in range(3)], *[pick(syllables, len(_SYLLABLES[s]), 100 + k) for k in range(attempt)], pick(ends, len(_ENDS[g, s]), 3))
         )
         first = pick(F.array(*map(F.lit, firsts)), len(firsts), 4)
         name = F.when(words > 1, F.concat_ws(" ", first, last)).otherwise(last)
@@ -172,11 +172,13 @@ def _person(form: Column, seed: Column) -> Column:
     return F.concat_ws(":", gender, script, out)
 
 
-def surrogate_form(kind: Column, form: Column, seed: Column) -> Column:
+def surrogate_form(kind: Column, form: Column, seed: Column, attempt: int = 0) -> Column:
     """A canonical form of the same type: addresses keep their last domain part, numbers their length
-    and whether they begin with 0, cards their first digit and a valid check digit, IBANs their country."""
+    and whether they begin with 0, cards their first digit and a valid check digit, IBANs their country.
+    From the fifth attempt on, addresses grow by a letter each."""
     at = F.regexp_extract(form, r"^(.*)\.([^.]*)$", 1)
-    email = F.concat(_letter_by_letter(at, seed), F.lit("."), F.regexp_extract(form, r"\.([^.]*)$", 1))
+    more = [F.substring(F.lit(_LETTERS), (_draw(seed, 100 + k, 26) + 1).cast("int"), F.lit(1)) for k in range(attempt - 3)]
+    email = F.concat(*more, _letter_by_letter(at, seed), F.lit("."), F.regexp_extract(form, r"\.([^.]*)$", 1))
     ip = F.concat_ws(".", *[(_draw(seed, k, 254) + 1).cast("string") for k in range(4)])
     digits = _letter_by_letter(form, seed)
     lead = F.when(form.startswith("0"), "0").otherwise((_draw(seed, 99, 9) + 1).cast("string"))
@@ -188,7 +190,7 @@ def surrogate_form(kind: Column, form: Column, seed: Column) -> Column:
         .when(kind == "ip", ip)
         .when(kind == "iban", iban)
         .when(kind == "card", F.concat(body, _luhn_digit(body)))
-        .when(kind == "person", _person(form, seed))
+        .when(kind == "person", _person(form, seed, attempt))
         .otherwise(number)
     )
 
@@ -217,23 +219,51 @@ def written_like(kind: Column, mention: Column, form: Column) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
+def _shape(kind: Column, form: Column) -> Column:
+    """What a surrogate keeps of a form whose space cannot grow."""
+    spelled = F.regexp_replace(F.regexp_replace(form, "[0-9]", "0"), "[A-Z]", "A")
+    lead = F.when(kind == "card", F.substring(form, 1, 1)).otherwise(form.startswith("0").cast("string"))
+    return (
+        F.when(kind == "iban", F.concat(F.substring(form, 1, 2), spelled))
+        .when(kind.isin(*_NUMBERS), F.concat_ws(":", lead, F.length(form).cast("string")))
+        .otherwise(kind)
+    )
+
+
+def _permuted(entities: DataFrame, done: DataFrame, left: DataFrame, key: str) -> DataFrame:
+    """done, with all forms of the shapes of left anew: each gets the one after it in a keyed order."""
+    shape = _shape(F.col("kind"), F.col("form"))
+    full = left.select("kind", shape.alias("shape")).distinct()
+    shaped = entities.select("kind", "form", shape.alias("shape"))
+    turn = _seed(key, F.col("kind"), F.col("form"), F.lit("turn"))
+    order = Window.partitionBy("kind", "shape").orderBy("turn", "form")
+    own = shaped.join(full, ["kind", "shape"], "left_semi").withColumn("turn", turn)
+    after = F.coalesce(F.lead("form").over(order), F.first("form").over(order))
+    moved = own.select("kind", "form", after.alias("new"))
+    if not moved.filter("new = form").isEmpty():
+        raise ValueError("no free surrogates are left for some kind of entity")
+    kept = done.withColumn("shape", shape).join(full, ["kind", "shape"], "left_anti")
+    return kept.select("kind", "form", "new").unionByName(moved)
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """(kind, form, new): entities are distinct (kind, form). One new form for each, all distinct and
-    none of them a form of entities.
+    none of them a form of entities, but for numbers whose space is full.
 
     Every round draws for those without one, keeps a draw that is free (of equal draws, that of the
     least form) and writes the round to the shared folder. It ends when nobody is left: each draw is
-    a fresh hash, so rounds shrink fast; names, the smallest space, have millions of forms. A kind
-    whose forms are nearly all taken would not end; after 64 rounds an error says so.
+    a fresh hash, and the spaces of names and addresses grow with the rounds, so they end at any size.
+    Numbers keep their length, so real forms may fill their space (four-digit ones have 9,000). If some
+    are left after the last round, all numbers of their shape are permuted among themselves by the key.
     """
     spark = entities.sparkSession
     folder = shared_dir(spark, "surrogates")
     entities.write.parquet(f"{folder}/entities")
     entities = spark.read.parquet(f"{folder}/entities")
     left, done = entities, None
-    for attempt in range(64):
+    for attempt in range(rounds):
         seed = _seed(key, F.col("kind"), F.col("form"), F.lit(attempt))
-        drawn = left.select("kind", "form", surrogate_form(F.col("kind"), F.col("form"), seed).alias("new"))
+        drawn = left.select("kind", "form", surrogate_form(F.col("kind"), F.col("form"), seed, attempt).alias("new"))
         free = drawn.join(entities.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
@@ -243,7 +273,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         left = entities.join(done.select("kind", "form"), ["kind", "form"], "left_anti")
         if left.isEmpty():
             return done.select("kind", "form", "new")
-    raise ValueError("no free surrogates are left for some kind of entity")
+    return _permuted(entities, done, left, key)
 
 
 def replace_private(

@@ -408,6 +408,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(news) == len(forms) == len(set(news)) and not set(news) & set(forms)
 
 
+def test_surrogates_end_when_their_space_is_small(spark, monkeypatch):
+    monkeypatch.setitem(private._SYLLABLES, "latin", ["ba", "den"])  # 32 surnames of three syllables
+    forms = [("person", f"m:latin:A{k}") for k in range(40)] + [("email", "_@-.de"), ("email", "a@_.de")]
+    rows = private.surrogates(spark.createDataFrame(forms, "kind string, form string"), "k").collect()
+    news = [(r["kind"], r["new"]) for r in rows]
+    assert len(news) == len(forms) == len(set(news)) and not set(news) & set(forms)
+    full = [("phone", str(k)) for k in range(1_000, 10_000)] + [("phone", "01234"), ("ssn", "123456789")]
+    rows = private.surrogates(spark.createDataFrame(full, "kind string, form string"), "k", rounds=2).collect()
+    assert len(rows) == len(full) == len({(r["kind"], r["new"]) for r in rows})
+    assert all(r["new"] != r["form"] and len(r["new"]) == len(r["form"]) for r in rows)
+
+
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "secrets", "pieces"]
     rng = random.Random(8)
