@@ -6,6 +6,7 @@ import os
 
 from furlong.llm import (
     decontamination,
+    divergence,
     html_text,
     jaccard_join,
     language,
@@ -19,6 +20,7 @@ from furlong.llm import (
 
 _MODULES = (
     secrets, jaccard_join, substrings, html_text, private, language, repetition, lattice_lm, decontamination, pieces,
+    divergence,
 )
 
 
