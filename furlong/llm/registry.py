@@ -13,6 +13,7 @@ from furlong.llm import (
     lattice_lm,
     pieces,
     private,
+    ranked_search,
     repetition,
     secrets,
     substrings,
@@ -20,7 +21,7 @@ from furlong.llm import (
 
 _MODULES = (
     secrets, jaccard_join, substrings, html_text, private, language, repetition, lattice_lm, decontamination, pieces,
-    divergence,
+    ranked_search, divergence,
 )
 
 
