@@ -17,11 +17,12 @@ from furlong.llm import (
     repetition,
     secrets,
     substrings,
+    token_files,
 )
 
 _MODULES = (
     secrets, jaccard_join, substrings, html_text, private, language, repetition, lattice_lm, decontamination, pieces,
-    ranked_search, divergence,
+    ranked_search, token_files, divergence,
 )
 
 
