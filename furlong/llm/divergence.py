@@ -1,19 +1,18 @@
 """Source divergence audit: how the words of each source of a language differ from the other sources.
 
 Strings are materialised late. A task counts the terms of its documents in dictionaries, which
-compare whole strings, and writes one row per (lang, source, term): a 64-bit digest, the term and
-its counts. Everything that is summed over tasks is then shuffled by digest alone:
-
-1. Per (lang, digest): documents and occurrences, and the least and greatest string. Where these
-   two differ, several terms share the digest; only such digests are counted again by string and
-   split into numbered parts (``part`` 1, 2, ...; 0 for a digest with one term).
-2. Terms in enough documents are kept and written with their strings, which nothing reads until 5.
-3. Occurrences per (lang, source, digest, part) of the kept terms.
-4. Per pair of sources, the sum over all kept terms, from terms that occur in either: what a term
-   adds against a source without it depends on its count only, so it is taken from the histogram
-   of counts; terms that both have are summed in square tiles of sources, one running sum per tile
-   and task.
-5. Per source, its most divergent terms; only for these the strings are joined back.
+compare whole strings, and writes one row per (lang, term): the string, its documents and its
+occurrences in each source. What is summed over tasks is shuffled by a 64-bit digest of the term:
+
+1. Per (lang, digest), the least and the greatest string. Where these two differ, several terms
+   share the digest; such terms are numbered (``part`` 1, 2, ...; 0 for a digest with one term).
+2. Per (lang, digest, part), documents and occurrences per source, merged in sorted order. Strings
+   take part in this only for shared digests. Terms in too few documents go.
+3. One pass over the kept terms, each with its whole vector of sources, adds up the pairs of sources
+   and collects the most divergent terms of each source; a task holds sums and lists, no terms.
+   What a term adds against a source without it depends on its count only, so that comes from the
+   histogram of counts, and the pass forms pairs only of sources that both have the term.
+4. For the terms of the lists the strings are joined back.
 
 All arithmetic is on integers. Null text, lang and source are read as ''. Repeated rows and ids
 count as documents of their own; the id is not read. A text without a letter has no term; a
@@ -38,10 +37,12 @@ from furlong.session import shared_dir
 NAME = "op13_source_divergence"
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE = 1_000_000_000
-HELD = 400_000  # distinct terms that a task holds before it writes them
+HELD = 600_000  # (source, term) counts that a task holds before it writes them
 SLICE = 1 << 22  # bytes of a text that are cut into terms at once
-TILE = 256  # sources to a side of a tile of pairs
-PARTS = "lang string, source string, digest bigint, term binary, docs bigint, n bigint"
+GROUPS_SENT = 100_000  # most groups whose totals go to the tasks as an array; beyond, they are joined
+SUMS_HELD = 1 << 20  # sums of pairs that a task holds before it hands them on
+PARTS = "lang string, term binary, docs bigint, sources array<bigint>, ns array<bigint>"
+MERGED = "lang string, digest bigint, part int, docs bigint, sources array<bigint>, ns array<bigint>"
 
 
 def slices(text: bytes) -> Iterator[bytes]:
@@ -55,45 +56,101 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def count_terms(bits: int):
-    """For mapInArrow: (text, lang, source) to rows of PARTS, summed over about HELD distinct terms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for batch in batches:
-            texts = batch.column(0).cast(pa.large_binary()).to_pylist()
-            groups = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for text, group in zip(texts, groups, strict=True):
-                times, docs = held.setdefault(group, (Counter(), Counter()))
-                seen: set[bytes] = set()
-                for piece in slices(text.lower()):
-                    terms = TERM.findall(piece)
-                    times.update(terms)
-                    seen.update(terms)
-                docs.update(seen)
-                if len(seen) and sum(len(t) for t, _ in held.values()) > HELD:
-                    yield from rows(held)
-                    held = {}
-        yield from rows(held)
-
-    def rows(held) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in held.items():
-            terms = list(times)
-            for k in range(0, len(terms), 50_000):
-                some = terms[k : k + 50_000]
-                digest = hash_bytes(some) >> np.uint64(64 - bits)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": [lang] * len(some),
-                        "source": [source] * len(some),
-                        "digest": digest.view(np.int64),
-                        "term": pa.array(some, pa.binary()),
-                        "docs": pa.array([docs[t] for t in some], pa.int64()),
-                        "n": pa.array([times[t] for t in some], pa.int64()),
-                    }
-                )
-
-    return run
+def source_number(source: str) -> int:
+    """A 63-bit number of the source's name; source_divergence() makes sure that no two names share one."""
+    return int(hash_bytes([source.encode()])[0] >> np.uint64(1))
+
+
+def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
+
+
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (text, lang, source) to rows of PARTS, summed over about HELD counts."""
+    held: dict[str, tuple[dict[int, Counter], Counter]] = {}
+    numbers: dict[str, int] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, (by_source, docs) in held.items():
+            place = {t: k for k, t in enumerate(docs)}
+            row = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()]
+            n = [np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()]
+            source = np.repeat(np.fromiter(by_source, np.int64, len(by_source)), [len(x) for x in row])
+            if not place:
+                continue
+            row, n = np.concatenate(row), np.concatenate(n)
+            order = np.argsort(row, kind="stable")
+            sizes = np.bincount(row, minlength=len(place))
+            table = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(place), pa.string()),
+                    pa.array(list(place), pa.binary()),
+                    pa.array(np.fromiter(docs.values(), np.int64, len(docs))),
+                    lists(source[order], sizes),
+                    lists(n[order], sizes),
+                ],
+                names=["lang", "term", "docs", "sources", "ns"],
+            )
+            for k in range(0, len(place), 50_000):
+                yield table.slice(k, 50_000)
+
+    size = 0
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_binary())
+        langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for k, (lang, source) in enumerate(zip(langs, sources, strict=True)):
+            if source not in numbers:
+                numbers[source] = source_number(source)
+            by_source, docs = held.setdefault(lang, ({}, Counter()))
+            times = by_source.setdefault(numbers[source], Counter())
+            seen: set[bytes] = set()
+            size -= len(times)
+            for piece in slices(texts[k].as_py().lower()):
+                terms = TERM.findall(piece)
+                times.update(terms)
+                seen.update(terms)
+            docs.update(seen)
+            size += len(times)
+            if size > HELD:
+                yield from rows()
+                held, size = {}, 0
+    yield from rows()
+
+
+def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: rows of MERGED in order of (lang, digest, part) to one row for each of these keys."""
+
+    def summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lang, digest, part, docs, sources, ns = rows.columns
+        code = lang.dictionary_encode()
+        keys = [x.to_numpy(zero_copy_only=False) for x in (code.indices, digest, part)]
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        first = np.flatnonzero(new)
+        size = np.diff(sources.offsets.to_numpy())
+        owner = np.repeat(np.cumsum(new) - 1, size)
+        source, n = sources.flatten().to_numpy(), ns.flatten().to_numpy()
+        order = np.lexsort((source, owner))
+        owner, source, n = owner[order], source[order], n[order]
+        edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (source[1:] != source[:-1])]))
+        sizes = np.bincount(owner[edge], minlength=len(first))
+        out = [lang.take(first), digest.take(first), part.take(first)]
+        out += [pa.array(np.add.reduceat(docs.to_numpy(), first))]
+        out += [lists(source[edge], sizes), lists(np.add.reduceat(n, edge), sizes)]
+        return pa.RecordBatch.from_arrays(out, names=rows.schema.names)
+
+    rest: pa.RecordBatch | None = None  # the last key, which may go on; always one row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch.cast(rest.schema)]).combine_chunks().to_batches()[0]
+        got = summed(batch)
+        if got.num_rows > 1:
+            yield got.slice(0, got.num_rows - 1)
+        rest = got.slice(got.num_rows - 1).take(pa.array([0]))
+    if rest is not None:
+        yield rest
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -105,137 +162,157 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     return 1 + F.when(over, large).otherwise(F.call_function("div", (small + 1) * F.lit(SCALE), total + terms))
 
 
-def distance(p: Column, q: Column) -> Column:
+def shares(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """share() of arrays; whole is total + terms."""
+    out = 1 + (np.minimum(count, 9_000_000_000) + 1) * SCALE // whole
+    for k in np.flatnonzero(count >= 9_000_000_000):
+        out[k] = 1 + (int(count[k]) + 1) * SCALE // int(whole[k])
+    return out
+
+
+def distance(p, q):
     """f = floor((p - q) ** 2 / q); both are below 2 ** 31, so the square is a long."""
-    return F.call_function("div", (p - q) * (p - q), q)
+    if isinstance(p, Column):
+        return F.call_function("div", (p - q) * (p - q), q)
+    return (p - q) * (p - q) // q
 
 
-def kept_terms(parts: DataFrame, min_docs: int, folder: str) -> DataFrame:
-    """(lang, digest, part, term, n) of the terms in at least min_docs documents of the language."""
+def merged_terms(parts: DataFrame, min_docs: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(kept terms as rows of MERGED, (lang, digest, part, term) of the shared digests); both written."""
     spark = parts.sparkSession
-    parts.groupBy("lang", "digest").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.min("term").alias("least"), F.max("term").alias("most")
-    ).filter((F.col("docs") >= min_docs) | (F.col("least") != F.col("most"))).write.parquet(f"{folder}/digests")
-    digests = spark.read.parquet(f"{folder}/digests")
-    alone = digests.filter(F.col("least") == F.col("most")).select(
-        "lang", "digest", F.lit(0).alias("part"), F.col("least").alias("term"), "n"
-    )
-    shared = digests.filter(F.col("least") != F.col("most")).select("lang", "digest")
+    # one sort serves both halves of the aggregate: a task has each term about once, so nothing combines before
+    strings = parts.select("lang", "digest", "term").repartition("lang", "digest")
+    shared = strings.groupBy("lang", "digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
+    shared = shared.filter(F.col("least") != F.col("most")).select("lang", "digest")
     number = Window.partitionBy("lang", "digest").orderBy("term")
-    split = (
-        parts.join(shared, ["lang", "digest"])
-        .groupBy("lang", "digest", "term")
-        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-        .withColumn("part", F.row_number().over(number))
+    shared.write.parquet(f"{folder}/shared")
+    shared = spark.read.parquet(f"{folder}/shared")
+    named = parts.join(shared, ["lang", "digest"]).select("lang", "digest", "term").distinct()
+    named.withColumn("part", F.row_number().over(number)).write.parquet(f"{folder}/named")
+    named = spark.read.parquet(f"{folder}/named")
+    columns = ["lang", "digest", "part", "docs", "sources", "ns"]
+    alone = parts.join(shared, ["lang", "digest"], "left_anti").withColumn("part", F.lit(0)).select(*columns)
+    split = parts.join(named, ["lang", "digest", "term"]).select(*columns)
+    (
+        alone.unionByName(split)
+        .repartition("lang", "digest", "part")
+        .sortWithinPartitions("lang", "digest", "part")
+        .mapInArrow(merge_sorted, MERGED)
         .filter(F.col("docs") >= min_docs)
-        .select("lang", "digest", "part", "term", "n")
-    )
-    alone.unionByName(split).write.parquet(f"{folder}/kept")
-    return spark.read.parquet(f"{folder}/kept")
-
-
-def source_counts(parts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, digest, part, n): occurrences of the kept terms in each source."""
-    whole = parts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
-    plain = whole.join(kept.filter("part = 0").select("lang", "digest", "part"), ["lang", "digest"])
-    split = (
-        parts.join(kept.filter("part > 0").select("lang", "digest", "part", "term"), ["lang", "digest", "term"])
-        .groupBy("lang", "source", "digest", "part")
-        .agg(F.sum("n").alias("n"))
+        .write.parquet(f"{folder}/kept")
     )
-    columns = ["lang", "source", "digest", "part", "n"]
-    return plain.select(*columns).unionByName(split.select(*columns))
+    return spark.read.schema(MERGED).parquet(f"{folder}/kept"), named
 
 
-def common_sums(tile: int):
-    """For mapInArrow: sums over the terms that both sources of a pair have.
+def audit(totals: dict[str, tuple[np.ndarray, np.ndarray]] | None, top: int):
+    """For mapInArrow: kept terms to sums of pairs and lists of terms.
 
-    Rows (lang, row, column, digest, part, id, p, p of an absent term) come in order of tile and term; a
-    tile is a block of sources against a block of sources. Each pair (s, t) and term adds
-    f(s, t) - f(s, absent in t) - f(absent in s, t) + f(absent in both). A task holds one square of sums.
+    Rows are (lang, digest, part, occurrences, kept terms and occurrences of the language, sources, ns
+    and, if totals is None, the total of each source); totals has numbers and totals of a language's
+    sources. A row without digest is the sum of a pair over terms that both sources have: f(s, t) -
+    f(s, absent in t) - f(absent in s, t) + f(absent in both). A row with one is a term of the first
+    source's list: the task's top values, with all that equal the last one.
     """
 
-    def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (p - q) * (p - q) // q
-
-    def add(sums: np.ndarray, tile_of: tuple, rows: list[list[np.ndarray]]) -> None:
-        """rows: whole terms of one tile, as runs of (term key, place in the tile, p, absent p)."""
-        key, at, p, none = (np.concatenate(x) for x in zip(*rows, strict=True))
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        size = np.diff(np.append(first, len(key)))
-        pairs = np.cumsum(size * size)
-        done = 0
-        while done < len(first):  # a few terms at a time; a term has at most two blocks of sources
-            past = pairs[done - 1] if done else 0
-            upto = max(done + 1, int(np.searchsorted(pairs, past + (1 << 18), side="right")))
-            n = size[done:upto]
-            a = np.repeat(np.arange(first[done], first[done] + n.sum()), np.repeat(n, n))
-            within = np.arange(len(a)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
-            b = np.repeat(first[done:upto], n * n) + within % np.repeat(n, n * n)
-            # off the diagonal a pair has one source of each block
-            use = (at[a] != at[b]) if tile_of[1] == tile_of[2] else (at[a] < tile) != (at[b] < tile)
-            a, b = a[use], b[use]
-            value = f(p[a], p[b]) - f(p[a], none[b]) - f(none[a], p[b]) + f(none[a], none[b])
-            np.add.at(sums, (at[a], at[b]), value)
+    def compact(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        s, t, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((t, s))
+        s, t, v = s[order], t[order], v[order]
+        edge = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
+        return [s[edge], t[edge], np.add.reduceat(v, edge)]
+
+    def best(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        source, value, digest, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((-value, source))
+        source, value, digest, part = source[order], value[order], digest[order], part[order]
+        lead = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
+        size = np.diff(np.append(lead, len(source)))
+        last = value[lead + np.minimum(size, top) - 1]
+        keep = value >= np.repeat(last, size)
+        return [source[keep], value[keep], digest[keep], part[keep]]
+
+    def common(first: np.ndarray, size: np.ndarray, who, p, none) -> Iterator[list[np.ndarray]]:
+        """Pairs of the sources of each term; a slice of a term's left sides at a time."""
+        left_of = np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        many = np.repeat(size, size)  # partners of each left side
+        lead = np.repeat(first, size)
+        done, cost = 0, np.cumsum(many)
+        while done < len(left_of):
+            past = cost[done - 1] if done else 0
+            upto = max(done + 1, int(np.searchsorted(cost, past + (1 << 18), side="right")))
+            n = many[done:upto]
+            a = np.repeat(left_of[done:upto], n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lead[done:upto], n)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            value = distance(p[a], p[b]) - distance(p[a], none[b]) - distance(none[a], p[b]) + distance(none[a], none[b])
+            if len(a):
+                yield compact([[who[a], who[b], value]])
             done = upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile_of: tuple = ()
-        sums = np.zeros((2 * tile, 2 * tile), dtype=np.int64)
-        rest: list[list[np.ndarray]] = []  # rows of the last term, which may go on
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if rest:
-                add(sums, tile_of, rest)
-                rest.clear()
-            s, t = np.nonzero(sums)
-            if len(s):
-                lang, row, column = tile_of
-                block = np.repeat([row * tile, (column - 1) * tile], tile)
-                places = np.arange(2 * tile) + block
-                cols = [pa.array([lang] * len(s), pa.string()), pa.array(places[s].astype(np.int32))]
-                cols += [pa.array(places[t].astype(np.int32)), pa.array(sums[s, t])]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "s", "t", "both"])
-                sums[:] = 0
+        sums: dict[str, list] = {}
+        tops: dict[str, list] = {}
+
+        def pairs_out(lang: str, rows: list[np.ndarray]) -> pa.RecordBatch:
+            n = len(rows[0])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lang] * n, pa.string()), *(pa.array(x) for x in rows), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+                names=["lang", "s", "t", "value", "digest", "part"],
+            )
 
         for batch in batches:
-            lang, row, column, digest, part, who, p, none = (
-                batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)
+            langs = batch.column(0).dictionary_encode()
+            code = langs.indices.to_numpy()
+            digest, part, n, terms, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+            for c, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = np.flatnonzero(code == c)
+                flat = batch.column(6).take(pa.array(rows))
+                size = np.diff(flat.offsets.to_numpy())
+                who = flat.flatten().to_numpy()
+                count = batch.column(7).take(pa.array(rows)).flatten().to_numpy()
+                if totals is None:
+                    mine = batch.column(8).take(pa.array(rows)).flatten().to_numpy()
+                else:
+                    known, of = totals[lang]
+                    mine = of[np.searchsorted(known, who)]
+                whole = mine + np.repeat(terms[rows], size)
+                p, none = shares(count, whole), 1 + SCALE // whole
+                q = np.repeat(shares(n[rows], total[rows] + terms[rows]), size)
+                up = np.flatnonzero(p > q)
+                if len(up):
+                    row = np.repeat(rows, size)[up]
+                    held = tops.setdefault(lang, [])
+                    held.append([who[up], distance(p[up], q[up]), digest[row], part[row]])
+                    if sum(len(x[0]) for x in held) > SUMS_HELD:
+                        tops[lang] = [best(held)]
+                held = sums.setdefault(lang, [])
+                held.extend(common(np.cumsum(size) - size, size, who, p, none))
+                if sum(len(x[0]) for x in held) > SUMS_HELD:
+                    held[:] = [compact(held)]
+                    if len(held[0][0]) > SUMS_HELD // 2:
+                        yield pairs_out(lang, held.pop())
+        for lang, held in sums.items():
+            if held:
+                yield pairs_out(lang, compact(held))
+        for lang, held in tops.items():
+            source, value, digest, part = best(held)
+            names = [pa.array([lang] * len(source), pa.string()), pa.array(source), pa.nulls(len(source), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*names, pa.array(value), pa.array(digest), pa.array(part)], names=["lang", "s", "t", "value", "digest", "part"]
             )
-            key = np.stack([digest, part], axis=1)
-            new = (lang[1:] != lang[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(lang)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                here = (lang[lo], int(row[lo]), int(column[lo]))
-                if here != tile_of:
-                    yield from flush()
-                    tile_of = here
-                at = who[lo:hi] % tile + np.where(who[lo:hi] // tile == here[1], 0, tile)
-                cells = [key[lo:hi], at, p[lo:hi], none[lo:hi]]
-                if rest and (rest[-1][0][-1] != cells[0][0]).any():
-                    add(sums, tile_of, rest)
-                    rest.clear()
-                change = np.flatnonzero((cells[0][1:] != cells[0][:-1]).any(axis=1))
-                cut = int(change[-1]) + 1 if len(change) else 0
-                if cut:
-                    add(sums, tile_of, [*rest, [c[:cut] for c in cells]])
-                    rest.clear()
-                rest.append([c[cut:] for c in cells])
-        yield from flush()
 
     return run
 
 
-def pair_values(counts: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
+def pair_values(often: DataFrame, common: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of each source with each other source of its language."""
     me = groups.select("lang", "source", "id", "total", "terms", "own", "none")
     s = me.select("lang", *[F.col(c).alias(f"s_{c}") for c in me.columns[1:]])
     t = me.select("lang", *[F.col(c).alias(f"t_{c}") for c in me.columns[1:]])
-    mine = counts.join(me, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
     # a term of one source against its absence in another: by the term's p
-    often = mine.groupBy("lang", "id", "p").agg(F.count(F.lit(1)).alias("times"))
+    often = often.join(me, ["lang", "id"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+    often = often.groupBy("lang", "id", "p").agg(F.sum("times").alias("times"))
     other = me.select("lang", F.col("id").alias("other"), F.col("none").alias("absent"))
     alone = (
         often.join(other, "lang")
@@ -246,22 +323,7 @@ def pair_values(counts: DataFrame, groups: DataFrame, tile: int = TILE) -> DataF
             F.sum(F.col("times") * distance(F.col("absent"), F.col("p"))).alias("as_t"),
         )
     )
-    block, blocks = F.floor(F.col("id") / tile).cast("int"), F.floor(F.col("last") / tile).cast("int")
-    both = (
-        mine.join(groups.groupBy("lang").agg(F.max("id").alias("last")), "lang")
-        .withColumn("against", F.explode(F.sequence(F.lit(0), blocks)))
-        .select(
-            "lang",
-            F.least(block, F.col("against")).alias("row"),
-            F.greatest(block, F.col("against")).alias("column"),
-            *["digest", "part", "id", "p", "none"],
-        )
-        .repartition("lang", "row", "column", "digest", "part")
-        .sortWithinPartitions("lang", "row", "column", "digest", "part")
-        .mapInArrow(common_sums(tile), "lang string, s int, t int, both bigint")
-        .groupBy("lang", F.col("s").alias("s_id"), F.col("t").alias("t_id"))
-        .agg(F.sum("both").alias("both"))
-    )
+    both = common.groupBy("lang", F.col("s").alias("s_id"), F.col("t").alias("t_id")).agg(F.sum("value").alias("both"))
     first = alone.select("lang", F.col("id").alias("s_id"), F.col("other").alias("t_id"), "as_s")
     second = alone.select("lang", F.col("other").alias("s_id"), F.col("id").alias("t_id"), "as_t")
     key = ["lang", "s_id", "t_id"]
@@ -277,31 +339,42 @@ def pair_values(counts: DataFrame, groups: DataFrame, tile: int = TILE) -> DataF
     )
 
 
-def term_values(counts: DataFrame, kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
-    """(lang, source, item, value, rank): the top terms of each source that are more frequent in it than in its language."""
-    totals = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    p = share(F.col("n"), F.col("total"), F.col("terms"))
-    q = share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    term = ["lang", "digest", "part"]
-    group = ["lang", "source"]
-    # digests only; equal values at the end of the list stay until their strings are known
-    some = (
-        counts.join(kept.select(*term, F.col("n").alias("lang_n")), term)
-        .join(groups.select(*group, "total", "terms"), group)
-        .join(totals, "lang")
-        .select(*term, "source", p.alias("p"), q.alias("q"))
-        .filter("p > q")
-        .select(*term, "source", distance(F.col("p"), F.col("q")).alias("value"))
-        .withColumn("_least", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("value"))))
-        .filter(F.col("_least") <= top)
-    )
-    named = some.join(kept.select(*term, F.col("term").cast("string").alias("item")), term)
-    order = Window.partitionBy(*group).orderBy(F.desc("value"), "item")
-    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
-        *group, "item", "value", "rank"
+def occurrences(kept: DataFrame) -> DataFrame:
+    """(lang, digest, part, id, n): a row for each kept term and source with it."""
+    both = F.explode(F.arrays_zip("sources", "ns")).alias("_x")
+    return kept.select("lang", "digest", "part", both).select(
+        "lang", "digest", "part", F.col("_x.sources").alias("id"), F.col("_x.ns").alias("n")
     )
 
 
+def count_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (lang, sources, ns) to (lang, id, n, times): how many terms a source has n times."""
+    held: dict[str, Counter] = {}
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.to_numpy()
+        for c, lang in enumerate(langs.dictionary.to_pylist()):
+            rows = pa.array(np.flatnonzero(code == c))
+            cells = np.stack([batch.column(k).take(rows).flatten().to_numpy() for k in (1, 2)], axis=1)
+            cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
+            edge = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(axis=1)]))
+            times = np.diff(np.append(edge, len(cells))).tolist()
+            held.setdefault(lang, Counter()).update(dict(zip(map(tuple, cells[edge].tolist()), times, strict=True)))
+        if sum(map(len, held.values())) > SUMS_HELD:
+            yield from _histogram_rows(held)
+            held = {}
+    yield from _histogram_rows(held)
+
+
+def _histogram_rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, cells in held.items():
+        cols = [[lang] * len(cells), [k[0] for k in cells], [k[1] for k in cells], list(cells.values())]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["lang", "id", "n", "times"]
+        )
+
+
 def source_divergence(
     docs: DataFrame,
     text_col: str = "text",
@@ -310,42 +383,92 @@ def source_divergence(
     min_docs: int = 3,
     top: int = 200,
     digest_bits: int = 64,
-    tile: int = TILE,
+    groups_sent: int = GROUPS_SENT,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank) as described above; part is "pair" or "term".
 
-    digest_bits and tile never change the result; tests make them small to force shared digests and
-    several tiles.
+    digest_bits and groups_sent never change the result; tests make them small to force shared digests
+    and the way without sent totals.
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "divergence")
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in
                          ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    read.mapInArrow(count_terms(digest_bits), PARTS).write.parquet(f"{folder}/parts")
-    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts")
-    kept = kept_terms(parts, min_docs, folder)
-    source_counts(parts, kept).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-
-    own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
+    read.mapInArrow(count_terms, PARTS).write.parquet(f"{folder}/parts")
+    digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits) if digest_bits < 64 else F.xxhash64("term")
+    parts = spark.read.schema(PARTS).parquet(f"{folder}/parts").withColumn("digest", digest)
+    kept, named = merged_terms(parts, min_docs, folder)
+
+    often = kept.select("lang", "sources", "ns").mapInArrow(count_histogram, "lang string, id bigint, n bigint, times bigint")
+    often.groupBy("lang", "id", "n").agg(F.sum("times").alias("times")).write.parquet(f"{folder}/often")
+    often = spark.read.parquet(f"{folder}/often")
+    own = often.groupBy("lang", "id").agg(F.sum(F.col("n") * F.col("times")).alias("total"), F.sum("times").alias("own"))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    found = read.select("lang", "source").distinct()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = pa.array([source_number(x) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, number], names=["lang", "source", "id"])
+
     groups = (
-        read.select("lang", "source").distinct()
-        .join(own, ["lang", "source"], "left")
+        found.mapInArrow(numbered, "lang string, source string, id bigint")
+        .join(own, ["lang", "id"], "left")
         .join(size, "lang", "left")
         .na.fill(0, ["total", "own", "terms"])
-        .withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
         .withColumn("none", F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(1))
-    )
+    )
     groups.write.parquet(f"{folder}/groups")
     groups = spark.read.parquet(f"{folder}/groups")
+    n_groups = groups.count()
+    if groups.select("lang", "id").distinct().count() < n_groups:
+        raise ValueError("two sources of a language share a 63-bit number")
+
+    langs = groups.groupBy("lang").agg(F.max("terms").alias("terms"), F.sum("total").alias("lang_total"))
+    whole = F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    terms = kept.join(langs, "lang").select(
+        "lang", "digest", "part", whole.alias("n"), "terms", "lang_total", "sources", "ns"
+    )
+    totals = None
+    if n_groups <= groups_sent:
+        totals = {}
+        for r in groups.orderBy("lang", "id").select("lang", "id", "total").collect():  # at most groups_sent rows
+            totals.setdefault(r.lang, []).append((r.id, r.total))
+        totals = {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in totals.items()}
+    else:
+        key = ["lang", "digest", "part"]
+        cell = F.sort_array(F.collect_list(F.struct("id", "n", "total")))
+        again = occurrences(kept).join(groups.select("lang", "id", "total"), ["lang", "id"]).groupBy(*key).agg(cell.alias("c"))
+        terms = terms.drop("sources", "ns").join(again, key).select(
+            *terms.columns[:6], F.col("c.id").alias("sources"), F.col("c.n").alias("ns"), F.col("c.total").alias("totals")
+        )
+    terms.mapInArrow(audit(totals, top), "lang string, s bigint, t bigint, value bigint, digest bigint, part int").write.parquet(
+        f"{folder}/audit"
+    )
+    result = spark.read.parquet(f"{folder}/audit")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pair_values(counts, groups, tile).withColumn("rank", F.row_number().over(order))
-    terms = term_values(counts, kept, groups, top)
+    pairs = pair_values(often, result.filter("digest IS NULL"), groups).withColumn("rank", F.row_number().over(order))
+    lists_of = result.filter("digest IS NOT NULL").withColumn(
+        "_least", F.rank().over(Window.partitionBy("lang", "s").orderBy(F.desc("value")))
+    )
+    lists_of = lists_of.filter(F.col("_least") <= top).select("lang", F.col("s").alias("id"), "value", "digest", "part")
+    lists_of.write.parquet(f"{folder}/lists")
+    lists_of = spark.read.parquet(f"{folder}/lists")
+    wanted = lists_of.select("lang", "digest").distinct()
+    strings = parts.select("lang", "digest", "term").join(wanted, ["lang", "digest"]).distinct()
+    strings = strings.join(named, ["lang", "digest", "term"], "left").select(
+        "lang", "digest", F.coalesce("part", F.lit(0)).alias("part"), F.col("term").cast("string").alias("item")
+    )
+    listed = (
+        lists_of.join(strings, ["lang", "digest", "part"])
+        .join(groups.select("lang", "id", "source"), ["lang", "id"])
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= top)
+    )
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return (
         pairs.withColumn("part", F.lit("pair")).select(*columns)
-        .unionByName(terms.withColumn("part", F.lit("term")).select(*columns))
+        .unionByName(listed.withColumn("part", F.lit("term")).select(*columns))
         .withColumn("rank", F.col("rank").cast("int"))
     )
 

@@ -37,12 +37,11 @@ from furlong.session import shared_dir
 
 NAME = "op11_ranked_search"
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 SHARD_POINTS = 1 << 20  # a shard ends with the text that reaches so many points
 SHARD_DOCS = 1 << 13
 GROUP_BYTES = 4 << 20  # text of the items that are searched together
-TOGETHER = 64  # items of one search; bounds a task's memory
+TOGETHER = 32  # items of one search; bounds a task's memory
 INDEX = (
     "docs binary, nulls binary, place binary, terms binary, ends binary, df binary, "
     "height int, bits binary, drops binary, greatest bigint"
@@ -54,6 +53,17 @@ def terms_of(text: str | bytes | None) -> list[bytes]:
     return TERM.findall(text.lower())
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: texts to (documents with a term, terms) of the task."""
+    docs = total = 0
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_binary())
+        for k in range(len(texts)):
+            n = len(terms_of(texts[k].as_py()))
+            docs, total = docs + (n > 0), total + n
+    yield pa.RecordBatch.from_pydict({"docs": [docs], "terms": [total]})
+
+
 def index_rows(n_docs: int, n_terms: int, shard_docs: int, shard_points: int):
     """For mapInArrow: (id, text, place) to rows of INDEX. n_docs and n_terms are N and L."""
 
@@ -131,9 +141,8 @@ def build_index(
 ) -> tuple[DataFrame, int]:
     """(index, N): the written index of all documents, and how many of them have a term."""
     spark = docs.sparkSession
-    count = F.regexp_count(F.col(text_col), F.lit(TERM_PATTERN))
-    totals = docs.select(count.cast("bigint").alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
-    n_docs, n_terms = totals[0], totals[1] or 0
+    counted = docs.select(text_col).mapInArrow(count_terms, "docs bigint, terms bigint")
+    n_docs, n_terms = (x or 0 for x in counted.agg(F.sum("docs"), F.sum("terms")).first())
     path = shared_dir(spark, "search-index")
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col), F.monotonically_increasing_id().alias("place"))
     index = rows.mapInArrow(index_rows(n_docs, n_terms, shard_docs, shard_points), INDEX)

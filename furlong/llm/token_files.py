@@ -90,11 +90,28 @@ class TextEncoder:
         byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.by_word = bool(plain and byte_level)
         self.after_space: dict[str, bytes] = {}
+        # a byte-level piece has a letter for each byte, an added token stands for itself
+        added = {t["id"]: len(t["content"].encode()) for t in json.loads(model).get("added_tokens", [])}
+        sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=True).items()} | added
+        self.width = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+        self.width[list(sizes)] = list(sizes.values())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word after a space. Many words go to the library as one text; as none of its
+        tokens crosses a border of words, the tokens' bytes tell where each word ends."""
+        for lo in range(0, len(words), 20_000):
+            some = words[lo : lo + 20_000]
+            groups = [some[k : k + 500] for k in range(0, len(some), 500)]
+            for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
+                ends = np.cumsum(self.width[np.frombuffer(ids, dtype="<u4")])
+                sizes = np.cumsum([len(w.encode()) + 1 for w in group])
+                cuts = (4 * np.searchsorted(ends, sizes, side="left") + 4).tolist()
+                yield from (ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
+
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
@@ -104,7 +121,7 @@ class TextEncoder:
         if len(known) > PIECES_HELD:
             known.clear()
         new = list({w for words in split for w in words[1:]} - known.keys())
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
+        known.update(zip(new, self._words(new), strict=True))
         first = self._encode([words[0] for words in split])
         return [
             start + b"".join(map(known.__getitem__, words[1:])) if len(words) > 1 else start
@@ -126,11 +143,19 @@ def _encoder(model: str) -> TextEncoder:
 
 def pack_file(docs: list, counts: list[int], ids: np.ndarray, block: int) -> bytes:
     """The bytes of a file of documents with so many ids each."""
-    values, place, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
-    number = np.empty(len(values), dtype=np.int64)
-    number[order] = np.arange(len(values))
-    numbers = number[place.reshape(-1)]
+    if len(ids) and ids.max() < 1 << 20:
+        times = np.bincount(ids)
+        values = np.flatnonzero(times)
+        order = np.argsort(-times[values], kind="stable")
+        number = np.zeros(len(times), dtype=np.int32)
+        number[values[order]] = np.arange(len(values))
+        numbers = number[ids]
+    else:
+        values, place, times = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(values), dtype=np.int32)
+        number[order] = np.arange(len(values))
+        numbers = number[place.reshape(-1)]
     digits, sizes, sums = [], [], []
     for lo in range(0, len(numbers), block * LANES):
         got, count = context_mixing.encode(numbers[lo : lo + block * LANES], block, len(values))

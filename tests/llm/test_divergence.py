@@ -4,9 +4,12 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from furlong.llm.divergence import SCALE, source_divergence
+from furlong.llm import divergence
+from furlong.llm.divergence import SCALE, share, shares, source_divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, digest int, term string, p int, id string"
@@ -55,11 +58,11 @@ def corpus(n=300, sources=9, seed=5):
     return rows
 
 
-@pytest.mark.parametrize(("bits", "tile", "top"), [(64, 256, 200), (3, 2, 4), (1, 4, 1)])
-def test_equals_a_dense_count(spark, bits, tile, top):
+@pytest.mark.parametrize(("bits", "sent", "top"), [(64, 1000, 200), (3, 0, 4), (1, 5, 1)])
+def test_equals_a_dense_count(spark, bits, sent, top):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = source_divergence(docs, top=top, digest_bits=bits, tile=tile).collect()
+    got = source_divergence(docs, top=top, digest_bits=bits, groups_sent=sent).collect()
     assert len(got) == len({tuple(r) for r in got})
     assert {tuple(r) for r in got} == brute(rows, 3, top)
 
@@ -72,8 +75,6 @@ def test_a_source_with_a_third_of_all_rows_and_an_empty_table(spark):
 
 
 def test_a_text_longer_than_a_slice_is_cut_between_terms(monkeypatch):
-    from furlong.llm import divergence
-
     monkeypatch.setattr(divergence, "SLICE", 5)
     text = "ab cdefghijkl é日本 x y".encode()
     pieces = list(divergence.slices(text))
@@ -82,11 +83,9 @@ def test_a_text_longer_than_a_slice_is_cut_between_terms(monkeypatch):
 
 
 def test_counts_beyond_a_long_stay_exact(spark):
-    from pyspark.sql import functions as F
-
-    from furlong.llm.divergence import share
-
     big = [(9_000_000_001, 20_000_000_000, 7), (10**12, 3 * 10**12, 10**6), (0, 0, 1), (8_999_999_999, 9 * 10**9, 3)]
     rows = spark.createDataFrame(big, "n bigint, total bigint, v bigint")
     got = [r.p for r in rows.select(share(F.col("n"), F.col("total"), F.col("v")).alias("p")).collect()]
-    assert got == [1 + SCALE * (n + 1) // (t + v) for n, t, v in big]
+    want = [1 + SCALE * (n + 1) // (t + v) for n, t, v in big]
+    n, total, v = (np.array(x) for x in zip(*big))
+    assert got == want == shares(n, total + v).tolist()

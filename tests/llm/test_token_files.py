@@ -13,6 +13,7 @@ from furlong.llm import context_mixing, token_files
 from furlong.llm.token_files import TextEncoder, TokenFile, decode_files, encode_files, pack_file, read_ids
 
 MODEL = token_files.read_tokenizer(token_files.tokenizer_path())
+ENCODER = TextEncoder(MODEL)
 DOCS = "doc_id bigint, text string, lang string, source string, start int, file string, row int, n int"
 
 
@@ -86,14 +87,10 @@ texts = st.text(st.sampled_from(list("ab1.,'s \n\t \u0085\x1c é日<|>")) | s
 @settings(max_examples=300, deadline=None)
 @given(st.lists(texts, min_size=1, max_size=5))
 def test_ids_are_those_of_the_library(some):
-    from tokenizers import Tokenizer
-
     some = [*some, "it's <|endoftext|> x", "a  b", " a b ", "a \n b"]
-    encoder = test_ids_are_those_of_the_library.__dict__.setdefault("encoder", TextEncoder(MODEL))
-    library = test_ids_are_those_of_the_library.__dict__.setdefault("library", Tokenizer.from_str(MODEL))
-    assert encoder.by_word
-    want = [library.encode(t, add_special_tokens=False).ids for t in some]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.many(some)] == want
+    assert ENCODER.by_word
+    want = [ENCODER.library.encode(t, add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.many(some)] == want
 
 
 def corpus():
