@@ -38,10 +38,10 @@ from furlong.session import shared_dir
 NAME = "op11_ranked_search"
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCALE = 1_000_000_000
-SHARD_POINTS = 1 << 20  # a shard ends with the text that reaches so many points
+SHARD_POINTS = 1 << 19  # a shard ends with the text that reaches so many points
 SHARD_DOCS = 1 << 13
 GROUP_BYTES = 4 << 20  # text of the items that are searched together
-TOGETHER = 32  # items of one search; bounds a task's memory
+TOGETHER = 8  # items of one search; bounds a task's memory
 INDEX = (
     "docs binary, nulls binary, place binary, terms binary, ends binary, df binary, "
     "height int, bits binary, drops binary, greatest bigint"

@@ -94,7 +94,7 @@ def search(
     k: int,
     least: np.ndarray,
     keys: np.ndarray,
-    opened: int = 32,
+    opened: int = 128,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, column, score): each query's k best columns with a score of at least max(1, least).
 
