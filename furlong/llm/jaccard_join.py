@@ -35,6 +35,7 @@ SQL = None
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BAND, STEP = 128, 4, 16
 BUCKET_BLOCK, VERIFY_BLOCK = 256, 128
+EDGES_A_TASK = 100_000
 
 
 # ---- signatures
@@ -77,7 +78,8 @@ def set_key(shingle_set: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k1, k2, n, sig): set key, size and signature of each row; k1 is null for a text without a word."""
+    """(_id, _text, k1, k2, n, sig): hash of the text, set key, size and signature of each row; k1 is null
+    for a text without a word."""
     ids = docs.select(id_col).schema[0].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +89,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = [set_key(s) if len(s) else (None, None) for s in sets]
                 cols = [
                     batch.column(0).slice(texts.rows.start, len(texts)),
+                    batch.column(2).slice(texts.rows.start, len(texts)),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_text", "k1", "k2", "n", "sig"])
 
-    return docs.select(id_col, text_col).mapInArrow(sign, f"_id {ids}, k1 bigint, k2 bigint, n bigint, sig binary")
+    rows = docs.select(id_col, text_col, F.xxhash64(text_col))
+    return rows.mapInArrow(sign, f"_id {ids}, _text bigint, k1 bigint, k2 bigint, n bigint, sig binary")
 
 
 # ---- pruning
@@ -250,8 +254,10 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     spark = edges.sparkSession
     folder = shared_dir(spark, purpose)
 
+    tasks = None  # of a round
+
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        (df.coalesce(tasks) if tasks else df).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     def state(df: DataFrame) -> tuple:
@@ -260,7 +266,7 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     edges = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
     seen, step = None, 0
     while seen != (now := state(edges)):
-        seen, step = now, step + 1
+        seen, step, tasks = now, step + 1, 1 + now[0] // EDGES_A_TASK
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), f"{step}c")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -332,67 +338,94 @@ def _overlaps(own: list[np.ndarray], k: int) -> np.ndarray:
     return total
 
 
-def near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE,
-) -> DataFrame:
-    """(id, class_id, n_links, n_copies): one row per row of docs. The id must be a bigint.
-
-    Two rows are linked if the Jaccard similarity of their shingle sets is threshold or more; equal
-    sets are always linked. class_id is the least id that links lead to, n_links the number of other
-    rows linked to this one, n_copies the number of rows with the same set, itself included.
-
-    A null or empty text, or one of spaces only, has no shingles, no link, no copies and its own id
-    as class. Repeated rows are copies of each other. Different texts under one id are one member of
-    the join (the greatest text stands for them). A row with a null id is linked to its copies; its
-    class is theirs, or null if they have no id either. Other columns are not read.
-    """
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+    """(_id, _text, head, links, copies), one row per row of docs: id and hash of the text, and of its class the
+    id and hash of the first row (no_id, _id, _text; null without a word), links and copies as in near_copies."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "copies")
     signatures(docs, id_col, text_col).write.parquet(f"{folder}/signed")
     signed = spark.read.parquet(f"{folder}/signed")
+    row = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text")
+    # the members of the join are the distinct sets, numbered; an id may have several of them
     copies = (
         signed.filter("k1 IS NOT NULL")
         .groupBy("k1", "k2")
-        .agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig"))
+        .agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     copies.write.parquet(f"{folder}/copies")
     copies = spark.read.parquet(f"{folder}/copies")
-    reps = copies.filter("rep IS NOT NULL").select("rep", "sig")
-    near = components(candidate_edges(reps, threshold, tolerance), "candidates")
+    near = components(candidate_edges(copies.select("rep", "sig"), threshold, tolerance), "candidates")
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    counts = copies.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    near = near.join(sizes, "root").select(F.col("member").alias("rep"), "root", "size").join(counts, "rep")
-    text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    near = near.join(text, "rep").groupBy("rep", "root", "size", "copies").agg(F.max("text").alias("text"))
+    near = near.join(sizes, "root").select(F.col("member").alias("rep"), "root", "size")
+    near = near.join(copies.select("rep", "copies", "first._id", "first._text"), "rep")
+    text = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    near = near.join(text, near["_id"].eqNullSafe(text["_own"]) & (near["_text"] == text["_hash"]))
+    near = near.groupBy("rep", "root", "size", "copies").agg(F.max("text").alias("text"))
     verified(near, threshold).write.parquet(f"{folder}/links")
     links = spark.read.parquet(f"{folder}/links")
     classes = components(links.select("a", "b"), "classes").select(F.col("member").alias("rep"), "root")
+    heads = classes.join(copies.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("head"))
     per_rep = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = copies.select("k1", "k2", "rep", "copies").join(per_rep, "rep", "left").join(classes, "rep", "left")
-    return signed.select("_id", "k1", "k2").join(known, ["k1", "k2"], "left").select(
+    linked = per_rep.join(classes, "rep").join(heads, "root").select("rep", "links", "head")
+    known = copies.join(linked, "rep", "left").select(
+        "k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("head", "first").alias("head")
+    )
+    columns = ["_id", "_text", "head", "links", "copies"]
+    placed = signed.filter("k1 IS NOT NULL").join(known, ["k1", "k2"]).select(*columns)
+    wordless = signed.filter("k1 IS NULL").select(
+        "_id", "_text", F.lit(None).cast(known.schema["head"].dataType).alias("head"),
+        F.lit(0).cast("bigint").alias("links"), F.lit(1).cast("bigint").alias("copies"),
+    )
+    return placed.unionByName(wordless)
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """(id, class_id, n_links, n_copies): one row per row of docs. The id must be a bigint.
+
+    Two rows are linked if the Jaccard similarity of their shingle sets is threshold or more; equal
+    sets are always linked. class_id is the least id that links lead to, n_links the number of other
+    rows linked to this one, n_copies the number of rows with the same set, itself included.
+
+    A null or empty text, or one of spaces only, has no shingles, no link, no copies and its own id
+    as class. Repeated rows are copies of each other; different texts under one id are rows of their own,
+    each in the class of its text. So are rows with a null id; a class in which no row has an id is null.
+    Other columns are not read.
+    """
+    found = classified(docs, id_col, text_col, threshold, tolerance)
+    return found.select(
         F.col("_id").alias(id_col),
-        F.when(F.col("k1").isNull(), F.col("_id")).otherwise(F.coalesce("root", "rep")).alias("class_id"),
-        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        F.when(F.col("head").isNull(), F.col("_id")).otherwise(F.col("head._id")).alias("class_id"),
+        (F.col("copies") - 1 + F.col("links")).alias("n_links"),
+        F.col("copies").alias("n_copies"),
     )
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose id names their class, all columns as they are; of rows that repeat an id, one.
-
-    Rows with a null id, or without a word, are not near copies of anything and all stay.
+    """One row of docs for each class, all columns as they are: the one with the least id (null last), of several
+    texts under that id the one with the least hash, of equal rows any. Rows without a word all stay.
     """
-    found = near_copies(docs, id_col, text_col, threshold)
-    gone = found.filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n > 1 AND `{id_col}` IS NOT NULL")
-    repeated = repeated.select(id_col)
-    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").unionByName(once)
+    found = classified(docs, id_col, text_col, threshold, TOLERANCE)
+    mine = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_text")
+    gone = found.filter(F.col("head").isNotNull() & ~mine.eqNullSafe(F.col("head")))
+    gone = gone.select(F.col("_id").alias("_own"), F.col("_text").alias("_hash")).distinct()
+    rows = docs.withColumn("_of_text", F.xxhash64(text_col))
+
+    def same(other: DataFrame):
+        return rows[id_col].eqNullSafe(other["_own"]) & (rows["_of_text"] == other["_hash"])
+
+    rows = rows.join(gone, same(gone), "left_anti")
+    worded = rows.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    often = worded.groupBy(F.col(id_col).alias("_own"), F.col("_of_text").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    often = often.filter("_n > 1").select("_own", "_hash")
+    once = rows.join(often, same(often), "left_semi").dropDuplicates([id_col, "_of_text"])
+    return rows.join(often, same(often), "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from furlong.llm.words import Texts, texts_of
 
@@ -127,6 +128,8 @@ class Profiles:
 
     def predict(self, texts: Texts) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ties go to the first language by name."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         doc, code, _, count = gram_counts(texts, np.arange(len(texts)))
         order = np.lexsort((code, -count, doc))
         doc, code = doc[order], code[order]
@@ -175,6 +178,22 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return docs.select(id_col, text_col).mapInArrow(tag, f"`{id_col}` {ids}, lang_pred string, score double")
 
 
+def tagged(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """All columns of docs, with _lang_pred and _score as in identify; row by row, so ids play no part."""
+    names = [*docs.columns, "_lang_pred", "_score"]
+    schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    at = docs.columns.index(text_col)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in texts_of(batch.column(at)):
+                label, score = profiles.predict(texts)
+                rows = batch.slice(texts.rows.start, len(texts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
+
+    return docs.mapInArrow(tag, schema)
+
+
 def fold(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
