@@ -15,22 +15,27 @@ from furlong.llm.vocabulary import model_path, read_model
 from furlong.session import shared_dir
 
 
+#: A document stays if it is this near to a learned language: 1 is its profile, 0 shares no n-gram with it.
+LEAST_SCORE = 0.05
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those that are "und" (null, or without a letter) go.
+    """Documents in a learned language: those whose nearest profile is at LEAST_SCORE or more.
 
     Profiles are learned from the stage's own rows with a language, those kept from learning in
-    op6 aside. Rows are matched to their verdict by id; with repeated ids, a row stays if any of them
-    is identified. A null id stays.
+    op6 aside. Null texts, texts without a letter, and texts in a script or language that no profile
+    knows go. Where no row has a language nothing can be learned, and every text with a letter stays.
+    Each row is judged by its own text, whatever its id.
     """
     profiles = language.fit(language.training_rows(docs))
-    tagged = language.identify(docs, profiles)
-    rejected = tagged.groupBy("doc_id").agg(F.min((F.col("lang_pred") == "und").cast("int")).alias("_und"))
-    rejected = rejected.filter("_und = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not profiles.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.tagged(docs, profiles)
+    return found.filter(F.col("_score") >= LEAST_SCORE).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least id."""
+    """One document of each class of near copies: the one with the least id; texts without a word stay."""
     return jaccard_join.one_per_class(docs)
 
 
