@@ -1,4 +1,9 @@
-"""Statistics of an entity's earlier events. Nothing here sees the event it describes."""
+"""Statistics of an entity's earlier events. Nothing here sees the event it describes.
+
+With ``hot_rows=None`` an operator works in plain windows over the entity: the caller knows that no
+entity is hot or missing. A frame that is partitioned by a part of the entity is then not shuffled
+again, so many statistics share one shuffle (see ``plans.partitioned``).
+"""
 
 from __future__ import annotations
 
@@ -17,12 +22,28 @@ def _zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+def _known(entity: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for e in entity:
+        known = known & F.col(e).isNotNull()
+    return known
+
+
+def _totals_before(part: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> dict[str, Column]:
+    """Running totals including the event, less the event's own."""
+    upto = Window.partitionBy(*part).orderBy(*order)
+    own = Window.partitionBy(*part, *order)
+    return {
+        n: F.sum(_zero_if_null(c)).over(upto) - F.sum(_zero_if_null(c)).over(own) for n, c in sums.items()
+    }
+
+
 def expanding(
     df: DataFrame,
     entity: Sequence[str],
     sums: Mapping[str, Column],
     order: Sequence[str] = ORDER,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Totals over all strictly earlier events of the entity, one column per entry of sums.
@@ -32,23 +53,16 @@ def expanding(
     That needs one shuffle and one sort, and no join back. Totals must be integers or
     decimals, for which the difference is exact. Rows without an entity get null.
     """
+    known = _known(entity)
+    if hot_rows is None:
+        before = _totals_before(entity, order, sums)
+        return df.select("*", *[F.when(known, c).alias(n) for n, c in before.items()])
     how = (entity, F.unix_date(F.col(order[0])), order, hot_rows, source)
     sliced = slice_hot(df, *how)
     base = sliced if source is None else slice_hot(source, *how)
     part = [*entity, "_slice"]
-    upto = Window.partitionBy(*part).orderBy(*order)
-    own = Window.partitionBy(*part, *order)
-    local = sliced.select(
-        "*",
-        *[
-            (F.sum(_zero_if_null(c)).over(upto) - F.sum(_zero_if_null(c)).over(own)).alias(f"_l_{n}")
-            for n, c in sums.items()
-        ],
-    )
+    local = sliced.select("*", *[c.alias(f"_l_{n}") for n, c in _totals_before(part, order, sums).items()])
     carry = slice_carry(base, entity, {f"_c_{n}": F.sum(_zero_if_null(c)) for n, c in sums.items()})
-    known = F.lit(True)
-    for e in entity:
-        known = known & F.col(e).isNotNull()
     joined = local.join(carry, part, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -67,7 +81,7 @@ def rolling(
     inputs: Sequence[str],
     tie: Sequence[str] = (),
     order: Sequence[str] = ORDER,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics over the last rows of the entity before the event.
@@ -80,11 +94,14 @@ def rolling(
 
     A slice of a hot entity is preceded by copies of the last ``length`` rows before it.
     """
+    seq = [*order, *[t for t in tie if t not in order and t not in entity]]
+    if hot_rows is None:
+        plain = df.withColumn("_halo", F.lit(False))
+        return _last_rows(plain, df.columns, entity, entity, stats, order, seq).drop("_halo")
     how = (entity, F.unix_date(F.col(order[0])), order, hot_rows, source)
     sliced = slice_hot(df, *how)
     base = sliced if source is None else slice_hot(source, *how)
     part = [*entity, "_slice"]
-    seq = [*order, *[t for t in tie if t not in order and t not in entity]]
     kept = list(dict.fromkeys([*seq, *[c for c in inputs if c not in entity]]))
 
     newest = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in seq])
@@ -103,6 +120,13 @@ def rolling(
     )
     rows = sliced.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
 
+    return _last_rows(rows, df.columns, entity, part, stats, order, seq).filter(~F.col("_halo")).drop("_halo")
+
+
+def _last_rows(
+    rows: DataFrame, columns: Sequence[str], entity: Sequence[str], part: Sequence[str], stats: Mapping, order: Sequence[str], seq: Sequence[str]
+) -> DataFrame:
+    """The columns, _halo, and the statistics as the first row of each event sees them."""
     in_order = Window.partitionBy(*part).orderBy(*seq)
 
     def last(frm: int, to: int) -> WindowSpec:
@@ -110,17 +134,11 @@ def rolling(
 
     seen = rows.select("*", *[fn(last).alias(f"_s_{n}") for n, fn in stats.items()])
     first_row = Window.partitionBy(*part, *order).orderBy(*seq[len(order):] or [F.lit(0)])
-    known = F.lit(True)
-    for e in entity:
-        known = known & F.col(e).isNotNull()
-    return (
-        seen.select(
-            *[F.col(c) for c in df.columns],
-            "_halo",
-            *[F.when(known, F.first(f"_s_{n}").over(first_row)).alias(n) for n in stats],
-        )
-        .filter(~F.col("_halo"))
-        .drop("_halo")
+    known = _known(entity)
+    return seen.select(
+        *[F.col(c) for c in columns],
+        "_halo",
+        *[F.when(known, F.first(f"_s_{n}").over(first_row)).alias(n) for n in stats],
     )
 
 
@@ -131,15 +149,20 @@ def day_range(
     days: int,
     day: str = "race_date",
     source: DataFrame | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Totals over the events of the entity in the ``days`` days before the row's day.
 
     Totals per entity and day come first: an entity then has at most one row per
-    calendar day, however many events it has.
+    calendar day, however many events it has. In plain windows the totals are differences of two
+    running ones, as a moving range would go over all rows of the range for each row.
     """
-    known = F.lit(True)
-    for e in entity:
-        known = known & F.col(e).isNotNull()
+    known = _known(entity)
+    if hot_rows is None:
+        by_day = Window.partitionBy(*entity).orderBy(F.unix_date(F.col(day)))
+        upto, out = (by_day.rangeBetween(Window.unboundedPreceding, -k) for k in (1, days + 1))
+        moved = {n: _zero_if_null(F.sum(c).over(upto)) - _zero_if_null(F.sum(c).over(out)) for n, c in sums.items()}
+        return df.select("*", *[F.when(known & F.col(day).isNotNull(), c).alias(n) for n, c in moved.items()])
     daily = (df if source is None else source).filter(known).groupBy(*entity, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     window = Window.partitionBy(*entity).orderBy(F.unix_date(F.col(day))).rangeBetween(-days, -1)
     prior = daily.select(*entity, day, *[F.sum(n).over(window).alias(n) for n in sums])
@@ -153,11 +176,17 @@ def days_since_last(
     day: str = "race_date",
     out: str = "days_since_last",
     source: DataFrame | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Days since the entity's previous event, positive values only.
 
     Of several events of one day the first one counts the days, the others have none.
     """
+    if hot_rows is None:
+        earlier = Window.partitionBy(entity).orderBy(F.unix_date(F.col(day))).rangeBetween(Window.unboundedPreceding, -1)
+        gap = F.datediff(F.col(day), F.max(day).over(earlier))
+        first = F.min(event).over(Window.partitionBy(entity, day))
+        return df.withColumn(out, F.when(F.col(day).isNotNull() & (F.col(event) == first), gap).cast("bigint"))
     daily = (
         (df if source is None else source).filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
         .groupBy(entity, day)
@@ -199,7 +228,7 @@ def expanding_rate(
     prefix: str,
     finish: str = "finish",
     order: Sequence[str] = ORDER,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win rate and prior count; 0 with no history."""
@@ -219,7 +248,7 @@ def expanding_multi(
     order: Sequence[str] = ORDER,
     null_as_zero: bool = False,
     defaults: tuple[float, int, float | None] = (0.0, 0, None),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win rate, count and mean finish, with a default for each where there is no history.
@@ -250,7 +279,7 @@ def entity_career(
     finish: str = "finish",
     compat: bool = False,
     order: Sequence[str] = ORDER,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Prior win, top-2 and top-3 rates. compat=True lets a missing finish count as placed."""
@@ -287,7 +316,7 @@ def has_history(count: Column, least: int = 3) -> Column:
 
 
 def pair_smoothed(
-    df: DataFrame, pair: Sequence[str], prefix: str, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS,
+    df: DataFrame, pair: Sequence[str], prefix: str, order: Sequence[str] = ORDER, hot_rows: int | None = HOT_ROWS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     out = expanding_rate(df, pair, prefix, order=order, hot_rows=hot_rows, source=source)
@@ -464,7 +493,7 @@ def past10_closing(df: DataFrame, entity: str, time: str, rank: str, tie: Sequen
 
 def range_rates(
     df: DataFrame, entity: str, prefix: str, days: int = 180, finish: str = "finish", day: str = "race_date",
-    source: DataFrame | None = None,
+    source: DataFrame | None = None, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Win, top-2 and top-3 rate, rides and mean finish over the last ``days`` days."""
     out = day_range(
@@ -481,6 +510,7 @@ def range_rates(
         days,
         day,
         source,
+        hot_rows,
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
 

@@ -48,13 +48,15 @@ def course_lookup(
     keys: Sequence[str],
     distance: str,
     values: Mapping[str, object],
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Course attributes by exact distance, else the default of (venue, surface), which has
     no distance, else the nearest distance, else constants.
 
-    The choice is made once per distinct (venue, surface, distance).
+    The choice is made once per distinct (venue, surface, distance); source has the same
+    rows with a shorter plan.
     """
-    wanted = runners.select(*keys, distance).distinct()
+    wanted = (runners if source is None else source).select(*keys, distance).distinct()
     row = F.struct(*values)
     options = course.select(*keys, F.col(distance).alias("_d"), row.alias("_row"))
     gap = F.abs(F.col("_d") - F.col(distance))

@@ -14,10 +14,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.functions import arrays as A
 from furlong.functions import racing as R
 from furlong.operators import history as H
 from furlong.operators import within_group as G
-from furlong.operators.joins import history_plus_target
+from furlong.operators.joins import course_lookup, history_plus_target
 from furlong.operators.skew import join_group_stats
 from furlong.operators.stats import gate_bias
 from furlong.session import shared_dir
@@ -62,6 +63,37 @@ def categories(values: Mapping[str, Sequence[str]]) -> Stage:
     return stage
 
 
+def laps(column: str, distances: Sequence[int] = A.LAP_DISTANCES, timed: Sequence[int] | None = None) -> Stage:
+    """A stage from cumulative lap times (a map by distance): laps, section times, and the pace of the halves.
+
+    timed are the distances that have a section column, all by default.
+    """
+    timed = distances if timed is None else timed
+
+    def stage(df: DataFrame, base: DataFrame) -> DataFrame:
+        out = A.with_sectionals(df, column, "_sections").withColumn("_sections", F.map_from_entries("_sections"))
+        out = out.select("*", *A.lap_columns(F.col(column), "lap", distances), *A.lap_columns(F.col("_sections"), "lap_sect", timed))
+        return A.with_pace(out, {d: f"lap_sect_{d}m" for d in timed}, "distance").drop("_sections", column)
+
+    return stage
+
+
+def course(table: DataFrame, values: Mapping[str, object], bias: str | None = None, inner: int = 3) -> Stage:
+    """A stage with the attributes of the course: exact distance, default, nearest distance, or constant.
+
+    With the name of a bias among the values it adds ``inner_advantage``: the bias, for the inner gates only.
+    """
+
+    def stage(df: DataFrame, base: DataFrame) -> DataFrame:
+        out = course_lookup(df, table, ["venue", "surface"], "distance", values, source=base)
+        if bias:
+            near = F.coalesce(F.col("runner_no") <= inner, F.lit(False))
+            out = out.withColumn("inner_advantage", F.col(bias) * near.cast("int"))
+        return out
+
+    return stage
+
+
 def field(df: DataFrame, base: DataFrame) -> DataFrame:
     """Number of runners, and the place in the row of gates as a share of it."""
     df = join_group_stats(df, ["race_id"], {"field_size": F.count(F.lit(1))}, base)
@@ -111,8 +143,8 @@ def gates(df: DataFrame, base: DataFrame, inner: int = 4) -> DataFrame:
     return gate_bias(near(df), keys, as_of=True, source=near(base))
 
 
-def form(df: DataFrame, base: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
-    """Last starts of the horse (one shuffle for all of them), of the jockey and of the trainer."""
+def start_stats(base: DataFrame) -> tuple[dict, list[str]]:
+    """Statistics of a horse's last starts and the columns they read: what the base allows."""
     stats = H.form_stats() | H.previous_stats(["distance", "surface"])
     inputs = ["finish", "distance", "surface"]
     if _has(base, "closing", "closing_rank"):
@@ -124,9 +156,20 @@ def form(df: DataFrame, base: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
     if _has(base, "style"):
         stats |= H.style_stats("style")
         inputs.append("style")
+    return stats, inputs
+
+
+def form(df: DataFrame, base: DataFrame, tie: Sequence[str] = TIE) -> DataFrame:
+    """Last starts of the horse (one shuffle for all of them), of the jockey and of the trainer."""
+    stats, inputs = start_stats(base)
     df = H.rolling(df, ["horse_id"], stats, 10, inputs, tie, source=base)
     df = H.recent_rate(df, "jockey_id", "jockey_recent30", tie, source=base)
     df = H.recent_rate(df, "trainer_id", "trainer_recent30", tie, source=base)
+    return with_changes(df)
+
+
+def with_changes(df: DataFrame) -> DataFrame:
+    """What differs from the previous start, and the jockey's course against the last rides."""
     return df.withColumns(
         {
             "distance_change": F.col("distance") - F.col("prev_distance"),

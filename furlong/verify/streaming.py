@@ -7,10 +7,14 @@ from functools import partial
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furlong.functions import arrays as A
 from furlong.plans import features as P
+from furlong.plans.partitioned import partitioned_build
 from furlong.session import shared_dir
 from furlong.streaming import streams as S
 from furlong.verify.base import TIE, query, r, runners, table, with_runners
+from furlong.verify.joins import _COURSE_VALUES, COURSES
+from furlong.verify.scalars import _LAPS_SQL, _SECTIONS_SQL, _lap_json
 from furlong.verify.windows import CLOSING_SQL, ID, TIE_SQL, WON, _TOP, _WIN, _rate, last_sql, prior_sql, with_closing
 
 
@@ -150,6 +154,26 @@ _RATES = {
     "jockey_id, venue": ("jockey_course", "jv"),
     "jockey_id, trainer_id": ("combo", "jt"),
 }
+_TIMED = (200, 400, 600, 800, 1000)
+
+
+def _pace_sql():
+    """Laps, sections and the mean section time of both halves; runner 7 has no readable laps."""
+    timed = f"runner_no <> 7 AND least(distance // 200, {len(_TIMED)}) >= 2"
+    half = f"least(distance // 200, {len(_TIMED)}) // 2"
+    sums = {}
+    for name, sign in (("front", "<"), ("back", ">=")):
+        used = [f"CASE WHEN {i} {sign} {half} AND distance >= {d} AND s{d} > 0 THEN" for i, d in enumerate(_TIMED)]
+        total = " + ".join(f"{u} s{d} ELSE 0.0 END" for u, d in zip(used, _TIMED))
+        count = " + ".join(f"{u} 1 ELSE 0 END" for u in used)
+        sums[name] = f"(({total}) / nullif(CAST({count} AS DOUBLE), 0))"
+    front, back = (f"CASE WHEN {timed} AND {sums['front']} IS NOT NULL AND {sums['back']} IS NOT NULL THEN {v} END" for v in sums.values())
+    laps = [f"CASE WHEN runner_no <> 7 THEN round(l{d}, 6) END AS lap_{d}m" for d in _TIMED]
+    laps += [f"CASE WHEN runner_no <> 7 THEN round(s{d}, 6) + 0.0 END AS lap_sect_{d}m" for d in _TIMED]
+    return [*laps, f"round({front}, 6) AS race_pace_front", f"round({back}, 6) AS race_pace_back",
+            f"round({front} - {back}, 6) + 0.0 AS race_pace_diff", f"round({front} / {back}, 6) AS race_pace_ratio"]
+
+
 _CAREERS = {"jockey_id": ("jockey", "cj"), "trainer_id": ("trainer", "ct"), "sire": ("sire", "cs"), "dam": ("damsire", "cd")}
 
 
@@ -217,11 +241,19 @@ def _whole_sql():
         "round(ent, 6) AS market_entropy", "round(top3, 6) AS top3_probability", "CAST(fs AS BIGINT) AS field_size", "round(x.runner_no / CAST(fs AS DOUBLE), 6) AS gate_ratio",
         f"round(cos({_DAY}), 6) + 0.0 AS cos_date", f"round(sin({_DAY}), 6) + 0.0 AS sin_date", "CAST(month(x.race_date) % 12 // 3 AS INTEGER) AS season",
         "distance_band", "round(1 / odds, 6) AS implied_prob", "0 AS odds_is_missing", "CASE WHEN weight IS NULL THEN 1 ELSE 0 END AS weight_is_missing",
-        *[f"CASE WHEN surface = '{v}' THEN 1 ELSE 0 END AS surface_{v}" for v in "ANR"],
+        *[f"CASE WHEN x.surface = '{v}' THEN 1 ELSE 0 END AS surface_{v}" for v in "ANR"],
+        *_pace_sql(),
+        "CAST(coalesce(straight, 300.0) AS DOUBLE) AS straight", "coalesce(bias, 0) AS bias",
+        "CASE WHEN coalesce(bias, 0) = 1 AND x.runner_no <= 3 THEN 1 ELSE 0 END AS inner_advantage",
     ]
     return with_runners(
-        f""", src AS MATERIALIZED (SELECT *{CLOSING_SQL}, CASE WHEN finish = 1 THEN price END AS payout, CASE WHEN runner_no < 7 THEN runner_no % 4 END AS style,
-          CASE WHEN runner_no <> 3 THEN 430 + qty END AS weight, {_BAND} AS distance_band, runner_no <= 4 AS inner_gate FROM runners){chain}{firsts},
+        f""", {_LAPS_SQL.format(src="runners")}, {_SECTIONS_SQL}, c(venue, surface, d, straight, bias) AS (VALUES {_COURSE_VALUES}),
+        tracks AS (SELECT DISTINCT venue, surface, distance FROM runners),
+        course AS (SELECT t.venue AS k_venue, t.surface AS k_surface, t.distance AS k_distance, c.straight, c.bias, row_number() OVER (PARTITION BY t.venue, t.surface, t.distance ORDER BY
+          CASE WHEN c.d = t.distance THEN 0 WHEN c.straight IS NOT NULL AND c.d IS NULL THEN 1 ELSE 2 END, abs(c.d - t.distance), c.d) AS choice
+          FROM tracks t LEFT JOIN c ON c.venue = t.venue AND c.surface = t.surface),
+        src AS MATERIALIZED (SELECT *{CLOSING_SQL}, CASE WHEN finish = 1 THEN price END AS payout, CASE WHEN runner_no < 7 THEN runner_no % 4 END AS style,
+          CASE WHEN runner_no <> 3 THEN 430 + qty END AS weight, {_BAND} AS distance_band, runner_no <= 4 AS inner_gate FROM sect){chain}{firsts},
         starts AS (SELECT DISTINCT horse_id, race_id, race_date FROM src),
         gaps AS (SELECT horse_id, race_id, date_diff('day', lag(race_date) OVER (PARTITION BY horse_id ORDER BY race_date, race_id), race_date) AS g FROM starts),
         mk AS (SELECT *, 1 / odds / sum(1 / odds) OVER w AS pn, rank() OVER (PARTITION BY race_id ORDER BY odds) AS rk, (odds - avg(odds) OVER w) / (stddev_samp(odds) OVER w + 1e-8) AS oz, count(*) OVER w AS fs,
@@ -230,6 +262,7 @@ def _whole_sql():
         SELECT x.race_id, x.runner_no, x.horse_id, x.jockey_id, {", ".join(cols)}
         FROM mk x JOIN en ON x.race_id = en.race_id JOIN gaps ON x.horse_id = gaps.horse_id AND x.race_id = gaps.race_id
           JOIN fh ON x.horse_id = fh.horse_id AND x.race_id = fh.race_id JOIN fj ON x.jockey_id = fj.jockey_id AND x.race_id = fj.race_id JOIN ft ON x.trainer_id = ft.trainer_id AND x.race_id = ft.race_id
+          JOIN course ON x.venue = k_venue AND x.surface = k_surface AND x.distance = k_distance AND choice = 1
           LEFT JOIN p_jockey ON x.jockey_id = p_jockey.jockey_id AND x.race_date = p_jockey.race_date LEFT JOIN p_trainer ON x.trainer_id = p_trainer.trainer_id AND x.race_date = p_trainer.race_date"""
     )
 
@@ -241,13 +274,20 @@ def feature_pipeline(spark, sf):
             "payout": F.when(F.col("finish") == 1, F.col("price")),
             "style": F.when(F.col("runner_no") < 7, F.col("runner_no") % 4),
             "weight": F.when(F.col("runner_no") != 3, 430 + F.col("qty")),
+            "laps": A.lap_map(_lap_json()),
         }
     )
-    base = P.stored(df)
-    flags, form = P.categories({"surface": ["A", "N", "R"]}), partial(P.form, tie=TIE)
-    stages = [flags, *P.RACE_STAGES, P.rest, P.aptitude, P.people, P.gates, form]
-    out = P.feature_build(base, stages)
-    made = [c for c in out.columns if c not in base.columns and c != "inner_gate"]
+    course = spark.createDataFrame(COURSES, "venue string, surface string, distance int, straight double, bias int")
+    out = partitioned_build(
+        df,
+        TIE,
+        [
+            P.categories({"surface": ["A", "N", "R"]}),
+            P.laps("laps", _TIMED),
+            P.course(course, {"straight": 300.0, "bias": 0}, "bias"),
+        ],
+    )
+    made = [c for c in out.columns if c not in df.columns]
     kinds = dict(out.dtypes)
     # smoothed rates end in a 5 at the seventh digit too often to be rounded there
     digits = {"odds_z_in_race": 4} | {c: 12 for c in made if c.endswith("_smooth")}
