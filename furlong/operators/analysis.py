@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from furlong.operators.joins import top_per_group
 from furlong.operators.prep import number_rows
-from furlong.operators.skew import column_quantiles, column_value_counts, quantiles, value_ranks, with_row
+from furlong.operators.skew import column_quantiles, column_value_counts, mean_ranks, quantiles, stored_ranges, with_row
+from furlong.session import shared_dir
 
 
 def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
@@ -26,7 +27,7 @@ def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], t
     Everything derives from the counts per distinct value, which one pass produces.
     """
     n_rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    counts = column_value_counts(df, numeric)
+    counts = stored_ranges(column_value_counts(df, numeric), ["column"])
     q = quantiles(counts, [0.0, 0.25, 0.5, 0.75, 1.0])
     num = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("known"))
     names = ["min", "q1", "median", "q3", "max"]
@@ -67,8 +68,11 @@ def column_profile(df: DataFrame, numeric: Sequence[str], text: Sequence[str], t
 
 
 def outlier_rate(df: DataFrame, columns: Sequence[str], factor: float = 3.0, least: int = 10) -> DataFrame:
-    """Share of values outside the quartiles by more than factor times their distance."""
-    counts = column_value_counts(df, columns)
+    """Share of values outside the quartiles by more than factor times their distance.
+
+    Null below ``least`` known values, which tell nothing; 0 where the quartiles are equal.
+    """
+    counts = stored_ranges(column_value_counts(df, columns), ["column"])
     q = quantiles(counts, [0.25, 0.75]).select(
         "column", "total", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3")
     )
@@ -84,19 +88,31 @@ def outlier_rate(df: DataFrame, columns: Sequence[str], factor: float = 3.0, lea
         )
         .select(
             "column",
-            F.when((F.col("_n") < least) | (F.col("_iqr") == 0), F.lit(0.0))
+            F.when(F.col("_n") < least, F.lit(None).cast("double"))
+            .when(F.col("_iqr") == 0, F.lit(0.0))
             .otherwise(F.col("_o") / F.col("_n"))
             .alias("outlier_rate"),
         )
     )
 
 
-def _rank_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: Spearman correlation of two columns without nulls."""
-    joint = pairs.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
-    placed = joint.join(value_ranks(pairs, x, "_rx"), x).join(value_ranks(pairs, y, "_ry"), y)
-    n = F.col("_n")
-    s = placed.agg(
+def rank_correlations(long: DataFrame) -> DataFrame:
+    """(feature, spearman) from rows (feature, x, y) without nulls; 0 where one side is constant.
+
+    One pass for all features: counts per distinct pair, average ranks of both sides in stored ranges of
+    (feature, value), and the sums of the correlation. The plan is the same for any number of features.
+    """
+    path = shared_dir(long.sparkSession, "pairs")
+    long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    joint = long.sparkSession.read.parquet(path)
+    sides = joint.select("feature", "n", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("_p"))
+    sides = sides.groupBy("feature", "_p.side", "_p.value").agg(F.sum("n").alias("n"))
+    ranks = mean_ranks(stored_ranges(sides, ["feature", "side"]), ["feature", "side"], "rank")
+    x = ranks.filter("side = 'x'").select("feature", F.col("value").alias("x"), F.col("rank").alias("_rx"))
+    y = ranks.filter("side = 'y'").select("feature", F.col("value").alias("y"), F.col("rank").alias("_ry"))
+    placed = joint.join(x, ["feature", "x"]).join(y, ["feature", "y"])
+    n = F.col("n")
+    s = placed.groupBy("feature").agg(
         F.sum(n).alias("n"),
         F.sum(n * F.col("_rx")).alias("a"),
         F.sum(n * F.col("_ry")).alias("b"),
@@ -107,25 +123,19 @@ def _rank_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
     cov = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
     va = F.col("aa") - F.col("a") * F.col("a") / F.col("n")
     vb = F.col("bb") - F.col("b") * F.col("b") / F.col("n")
-    return s.select(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(F.lit(0.0)).alias("spearman"))
+    return s.select("feature", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(F.lit(0.0)).alias("spearman"))
 
 
 def spearman_target(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, spearman): rank correlation with the label, missing values as the median."""
-    medians = column_quantiles(df, features, [0.5]).agg(
-        *[F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"_m_{c}") for c in features]
+    medians = column_quantiles(df, features, [0.5]).select("column", F.get("q", F.lit(0)).alias("_m"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in features])
+    long = df.select(F.col(target).cast("double").alias("y"), F.explode(pairs).alias("_p")).select("_p.column", "_p.x", "y")
+    # one row for each feature
+    filled = long.join(F.broadcast(medians), "column", "left").select(
+        F.col("column").alias("feature"), F.coalesce("x", "_m").alias("x"), "y"
     )
-    filled = with_row(df, medians).select(
-        *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in features],
-        F.col(target).cast("double").alias("_y"),
-    )
-    out = None
-    for c in features:
-        one = _rank_correlation(filled.select(F.col(c).alias("_x"), "_y"), "_x", "_y").select(
-            F.lit(c).alias("feature"), "spearman"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rank_correlations(filled.filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
 def mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
@@ -212,15 +222,15 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): how much the rank correlation of the prediction falls when a column is shuffled."""
 
-    def quality(scored: DataFrame) -> DataFrame:
-        pairs = scored.select(
-            F.col(prediction).cast("double").alias("_p"), F.col(target).cast("double").alias("_y")
-        ).filter(F.col("_p").isNotNull() & F.col("_y").isNotNull())
-        return _rank_correlation(pairs, "_p", "_y")
-
-    base = quality(predict(df)).withColumnRenamed("spearman", "_base")
-    out = None
-    for c in features:
-        one = quality(predict(shuffled_column(df, c, keys, seed))).select(F.lit(c).alias("feature"), "spearman")
-        out = one if out is None else out.unionByName(one)
-    return with_row(out, base).select("feature", (F.col("_base") - F.col("spearman")).alias("importance"))
+    # the scorings go side by side as rows of one frame, the untouched one under no name; ranks are taken once
+    scored = None
+    for c in [None, *features]:
+        rows = predict(df if c is None else shuffled_column(df, c, keys, seed)).select(
+            F.lit(c or "").alias("feature"), F.col(prediction).cast("double").alias("x"), F.col(target).cast("double").alias("y")
+        )
+        scored = rows if scored is None else scored.unionByName(rows)
+    path = shared_dir(df.sparkSession, "importance")
+    rank_correlations(scored.filter(F.col("x").isNotNull() & F.col("y").isNotNull())).write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
+    base = found.filter("feature = ''").select(F.col("spearman").alias("_base"))
+    return with_row(found.filter("feature <> ''"), base).select("feature", (F.col("_base") - F.col("spearman")).alias("importance"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.text import int_or_null, number_or_null, version_key
-from furlong.operators.skew import column_value_counts, quantiles, with_row
+from furlong.operators.skew import column_value_counts, quantiles, stored_ranges, with_row
 from furlong.operators.stats import (
     CORE_FIELDS,
     IMPORTANT_FIELDS,
@@ -80,22 +80,24 @@ def filter_valid(df: DataFrame, race: str = "race_id", before_race: bool = False
 
 
 def psi_drift(
-    train: DataFrame, infer: DataFrame, columns: Sequence[str], threshold: float = 0.2, bins: int = 10
+    train: DataFrame, infer: DataFrame, columns: Sequence[str], threshold: float = 0.2, bins: int = 10, least: int = 11
 ) -> DataFrame:
     """Drift of each column between two sets: missing shares, medians, population stability index.
 
     The bins are the quantiles of the training set. Both sets are reduced to counts per
-    distinct value before anything is compared.
+    distinct value, stored in ranges, before anything is compared. A column with fewer than
+    ``least`` known values in training, or none to compare, has no index (null) and no flag for it.
     """
     eps = F.lit(1e-8)
     both = train.select(F.lit("t").alias("_set"), *columns).unionByName(infer.select(F.lit("i").alias("_set"), *columns))
-    counts = column_value_counts(both, columns, also=["_set"])
+    counts = stored_ranges(column_value_counts(both, columns, also=["_set"]), ["_set", "column"])
     rows = both.agg(
         F.sum((F.col("_set") == "t").cast("bigint")).alias("_rows_t"),
         F.sum((F.col("_set") == "i").cast("bigint")).alias("_rows_i"),
     )
     probs = [i / bins for i in range(bins + 1)]
-    t_q = quantiles(counts.filter("_set = 't'"), [*probs, 0.5])
+    both_q = quantiles(counts, [*probs, 0.5], ["_set", "column"])
+    t_q = both_q.filter("_set = 't'")
     raw = F.slice("q", 1, bins + 1)
     edges = F.array_distinct(
         F.concat(F.array(raw[0] - eps), F.slice(raw, 2, bins - 1), F.array(F.element_at(raw, -1) + eps))
@@ -103,8 +105,8 @@ def psi_drift(
     t_stats = t_q.select(
         "column", edges.alias("_edges"), F.element_at("q", -1).alias("train_median"), F.col("total").alias("_n_t")
     )
-    i_stats = quantiles(counts.filter("_set = 'i'"), [0.5]).select(
-        "column", F.element_at("q", 1).alias("infer_median"), F.col("total").alias("_n_i")
+    i_stats = both_q.filter("_set = 'i'").select(
+        "column", F.element_at("q", -1).alias("infer_median"), F.col("total").alias("_n_i")
     )
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     binned = (
@@ -134,7 +136,7 @@ def psi_drift(
     base = rows.select("*", F.explode(names).alias("column"))
     t_miss = 1 - F.coalesce("_n_t", F.lit(0)) / F.col("_rows_t")
     i_miss = 1 - F.coalesce("_n_i", F.lit(0)) / F.col("_rows_i")
-    usable = (F.coalesce("_n_t", F.lit(0)) > 10) & (F.coalesce("_n_i", F.lit(0)) > 0)
+    usable = (F.coalesce("_n_t", F.lit(0)) >= least) & (F.coalesce("_n_i", F.lit(0)) > 0)
     value = F.when(usable, F.col("_psi"))
     return (
         base.join(t_stats, "column", "left")

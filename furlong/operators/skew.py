@@ -13,16 +13,17 @@ rows each.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furlong.session import shared_dir
+
 HOT_ROWS = 2_000_000
 MAX_HOT = 10_000
 NULL_SLICES = 1024
-SLICES = 16_384
+EDGES = 255
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -77,16 +78,76 @@ def slice_carry(sliced: DataFrame, keys: Sequence[str], totals: Mapping[str, Col
     return per_slice.select(*keys, "_slice", *[F.sum(n).over(before).alias(n) for n in totals])
 
 
-def value_slice(value: Column, descending: bool = False) -> Column:
-    """Slice number of a numeric order key: equal values share a slice, larger values
-    never get a smaller one. Slices are of equal relative width, SLICES per factor e around any
-    magnitude, so small values spread as widely as large ones."""
-    v = value.cast("double")
-    size = F.least(F.abs(v), F.lit(sys.float_info.max))
-    s = F.signum(v) * (F.floor(F.ln(F.nullif(size, F.lit(0.0))) * SLICES) + 1000 * SLICES)
-    s = F.when(F.isnan(v), F.lit(2.0**61)).when(v == 0, F.lit(0.0)).otherwise(s)
-    s = -s if descending else s
-    return F.coalesce(s.cast("bigint"), F.lit(2**62))
+def _search(edges: str, value: Column, equal: bool) -> Column:
+    """How many of the at most EDGES sorted edges are below the value (or equal to it)."""
+    steps = F.array(*[F.lit((EDGES + 1) >> k) for k in range(1, (EDGES + 1).bit_length())])
+
+    def narrowed(at: Column, step: Column) -> Column:
+        edge = F.get(edges, at + step - 1)
+        return F.when(edge <= value if equal else edge < value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), narrowed)
+
+
+def slice_by_value(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    descending: bool = False,
+    split_equal: bool = False,
+    hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``_hot``, ``_slice`` and ``_first``: the ranges of a numeric value in hot groups, missing values last.
+
+    The edges are values of the group's own rows, drawn by the hash of the row, so ranges hold about as
+    many rows each, wherever the values lie and however they are spread. A value that was drawn m times
+    over holds about m ranges' worth of rows; with split_equal these are dealt out to m slices of the
+    same order, and ``_first`` names the first of them. Without it equal values share a slice.
+    """
+    base = df if source is None else source
+    hot = hot_keys(base, keys, hot_rows)
+    row = F.xxhash64(*[f.name for f in base.schema.fields if "map<" not in f.dataType.simpleString()])
+    drawn = Window.partitionBy(*keys).orderBy("_h", "_v")
+    edges = (
+        base.join(F.broadcast(hot), list(keys), "left_semi")
+        .filter(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"), row.alias("_h"))
+        .withColumn("_no", F.row_number().over(drawn))
+        .filter(F.col("_no") <= EDGES)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("_v")).alias("_edges"))
+    )
+    # at most MAX_HOT rows of EDGES numbers: 20 MB
+    listed = hot.join(edges, list(keys), "left")
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    v = F.col(value).cast("double")
+    below, upto, last = F.col("_below"), F.col("_upto"), F.lit(2 * EDGES + 2)
+    heavy = F.lit(split_equal) & (upto - below >= 2)
+    deal = F.monotonically_increasing_id()  # which of equal rows goes where changes no result
+    ordinary = -2 * upto if descending else 2 * upto
+    first = F.when(v.isNull(), last).when(heavy, 1 - 2 * upto if descending else 2 * below + 1).otherwise(ordinary)
+    spread = F.when(v.isNull(), F.pmod(deal, F.lit(EDGES)) if split_equal else F.lit(0)).when(heavy, 2 * F.pmod(deal, upto - below))
+    alone = -1 - F.pmod(F.xxhash64(*keys, value), F.lit(NULL_SLICES))
+    return (
+        df.join(F.broadcast(listed), list(keys), "left")
+        .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+        .withColumn("_below", F.when(F.col("_hot") & F.lit(split_equal), _search("_edges", v, False)))
+        .withColumn("_upto", F.when(F.col("_hot"), _search("_edges", v, True)))
+        .drop("_edges")
+        .withColumn("_first", F.when(keyless, alone).when(F.col("_hot"), first).otherwise(F.lit(0)).cast("bigint"))
+        .withColumn("_slice", F.col("_first") + F.when(F.col("_hot") & ~keyless, F.coalesce(spread, F.lit(0))).otherwise(F.lit(0)))
+        .drop("_below", "_upto")
+    )
+
+
+def value_carry(sliced: DataFrame, keys: Sequence[str], total: Column, out: str) -> DataFrame:
+    """Per range of a hot group (keys..., _first), the total of its earlier ranges."""
+    before = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = sliced.filter("_hot").groupBy(*keys, "_first").agg(total.alias("_t"))
+    return per_range.select(*keys, "_first", F.sum("_t").over(before).alias(out))
 
 
 def join_group_stats(
@@ -124,46 +185,66 @@ def ranked(
     method "min" gives the SQL rank, "first" numbers rows by value and then ties.
     """
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    how = (keys, value_slice(F.col(value), descending), [*keys, value], hot_rows, source)
-    sliced = slice_hot(df, *how)
-    base = sliced if source is None else slice_hot(source, *how)
+    how = (keys, value, descending, method == "min", hot_rows, source)
+    sliced = slice_by_value(df, *how)
+    base = sliced if source is None else slice_by_value(source, *how)
     w = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
     fn = F.rank() if method == "min" else F.row_number()
     local = sliced.withColumn("_local", fn.over(w))
-    carry = slice_carry(base, keys, {"_before": F.count(F.lit(1))})
+    carry = value_carry(base, keys, F.count(F.lit(1)), "_before")
     return (
-        local.join(carry, [*keys, "_slice"], "left")
+        local.join(carry, [*keys, "_first"], "left")
         .withColumn(out, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint"))
-        .drop("_local", "_before", "_slice", "_hot")
+        .drop("_local", "_before", "_slice", "_first", "_hot")
     )
 
 
-def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of each distinct value over the whole table: (value, out).
+def stored_ranges(counts: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Counts per distinct value, written once in ranges of (keys, value): column ``_slice`` is the range.
 
-    Works on the counts per distinct value. The running count is taken slice by
-    slice; only one row per slice goes through the single ordered pass.
+    Spark draws the edges from the counts themselves, so ranges are even wherever the values lie. The
+    numbers must be the same for all that reads them, hence the written table.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", value_slice(F.col(value)))
+    path = shared_dir(counts.sparkSession, "ranges")
+    ranged = counts.repartitionByRange(*keys, value).withColumn("_slice", F.spark_partition_id().cast("bigint"))
+    ranged.write.parquet(path)
+    return counts.sparkSession.read.parquet(path)
+
+
+def running_counts(ranges: DataFrame, keys: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
+    """ranges with ``_below``, the rows of the group with a smaller value, and ``_total``, all its rows.
+
+    Each range adds up for itself; one row per group and range goes through the ordered pass.
+    """
+    per_range = ranges.groupBy(*keys, "_slice").agg(F.sum(n).alias("_s"))
+    ordered = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_range.select(
+        *keys,
+        "_slice",
+        F.coalesce(F.sum("_s").over(ordered), F.lit(0)).alias("_before"),
+        F.sum("_s").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    per_slice = counts.groupBy("_slice").agg(F.sum("_n").alias("_s"))
-    over_slices = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_slice.select("_slice", F.coalesce(F.sum("_s").over(over_slices), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.withColumn("_lower", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(carry, "_slice")
-        .select(
-            F.col(value),
-            (F.col("_before") + F.col("_lower") + (F.col("_n") + 1) / 2.0).alias(out),
-        )
+        ranges.withColumn("_lower", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+        .join(carry, [*keys, "_slice"])
+        .withColumn("_below", F.col("_before") + F.col("_lower"))
+        .drop("_lower", "_before")
     )
 
 
+def mean_ranks(ranges: DataFrame, keys: Sequence[str], out: str, value: str = "value", n: str = "n") -> DataFrame:
+    """(keys..., value, out): the average rank of each value in its group."""
+    placed = running_counts(ranges, keys, value, n)
+    return placed.select(*keys, value, (F.col("_below") + (F.col(n) + 1) / 2.0).alias(out))
+
+
+def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Average rank of each distinct value over the whole table: (value, out)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    return mean_ranks(stored_ranges(counts, [], value), [], out, value, "_n")
+
+
 def text_slices(df: DataFrame, column: str, out: str, slices: int = 1024) -> DataFrame:
     """Add the number of the range a text falls into; the ranges hold about as many rows each.
 
@@ -204,26 +285,11 @@ def quantiles(counts: DataFrame, probabilities: Sequence[float], keys: Sequence[
 
     counts has (keys..., value, n); the result is one row per group with ``total`` and
     ``q``, an array in the order of the probabilities. Every value learns how many rows
-    lie below it, slice by slice, and a quantile is then a conditional maximum, so no
-    task sees a whole column.
+    lie below it, range by range, and a quantile is then a conditional maximum, so no
+    task sees a whole column. Counts that are used again should come from stored_ranges().
     """
     keys = list(keys)
-    sliced = counts.withColumn("_slice", value_slice(F.col("value")))
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_s"))
-    ordered = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    carry = per_slice.select(
-        *keys,
-        "_slice",
-        F.coalesce(F.sum("_s").over(ordered), F.lit(0)).alias("_before"),
-        F.sum("_s").over(whole).alias("_total"),
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sliced.withColumn("_lower", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(carry, [*keys, "_slice"])
-        .withColumn("_below", F.col("_before") + F.col("_lower"))
-    )
+    placed = running_counts(counts if "_slice" in counts.columns else stored_ranges(counts, keys), keys)
     low, high = [], []
     for i, p in enumerate(probabilities):
         pos = F.lit(p) * (F.col("_total") - 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, slice_carry, slice_hot, value_slice
+from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, slice_by_value, value_carry
 
 EPS = 1e-8
 LOG_EPS = 1e-10
@@ -107,12 +107,12 @@ def softmax(df: DataFrame, keys: Sequence[str], score: str, out: str) -> DataFra
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean of the places that equal values share, inside each group."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    sliced = slice_hot(counts, keys, value_slice(F.col(value)), [*keys, value], hot_rows)
+    sliced = slice_by_value(counts, keys, value, hot_rows=hot_rows)
     w = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    carry = slice_carry(sliced, keys, {"_before": F.sum("_n")})
+    carry = value_carry(sliced, keys, F.sum("_n"), "_before")
     ranks = (
         sliced.withColumn("_lower", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        .join(carry, [*keys, "_slice"], "left")
+        .join(carry, [*keys, "_first"], "left")
         .select(
             *keys,
             value,

@@ -140,11 +140,18 @@ def test_labels_of_many_categories(spark):
 
 
 def test_slices_follow_the_data(spark):
-    from furlong.operators.skew import text_slices, value_slice
+    from furlong.operators.skew import slice_by_value, stored_ranges, text_slices
 
     df = spark.range(5000).select((F.col("id") / 5e6).alias("v"), F.concat(F.lit("2024010101"), F.format_string("%06d", "id")).alias("t"))
-    sizes = [r["count"] for r in df.groupBy(value_slice(F.col("v")).alias("s")).count().collect()]
-    assert len(sizes) > 2000 and max(sizes) <= 4
+    # small numbers, milliseconds of one hour, ids far from zero
+    for shift, scale in ((0, 1.0), (1_700_000_000_000, 720 * 1e6), (10**12, 1e6)):
+        moved = df.select(F.lit(1).alias("g"), (F.col("v") * scale + shift).alias("v"))
+        sizes = [r["count"] for r in slice_by_value(moved, ["g"], "v", hot_rows=10).groupBy("_slice").count().collect()]
+        assert len(sizes) >= 250 and max(sizes) < 200
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+        ranges = stored_ranges(moved.groupBy("g", "v").count(), ["g"], "v").groupBy("_slice").count().collect()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(ranges) >= 4 and max(r["count"] for r in ranges) < 2000
     rows = text_slices(df.select("t"), "t", "s", 64).collect()
     sizes = Counter(r["s"] for r in rows)
     assert len(sizes) >= 60 and max(sizes.values()) < 600
@@ -152,15 +159,55 @@ def test_slices_follow_the_data(spark):
 
 
 def test_value_slices_keep_the_order(spark):
-    from furlong.operators.skew import value_slice
+    from furlong.operators.skew import slice_by_value
 
     values = [float("-inf"), -1e9, -3.0, -2e-300, 0.0, 1e-310, 0.5, 0.5001, 7.0, 1e300, float("inf"), float("nan")]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "i int, g int, v double")
     for down in (False, True):
-        got = [r["s"] for r in df.select("i", value_slice(F.col("v"), down).alias("s")).orderBy("i").collect()]
+        got = [r["_slice"] for r in slice_by_value(df, ["g"], "v", down, hot_rows=1).orderBy("i").collect()]
         assert got == sorted(got, reverse=down) and len(set(got)) == len(values)
 
 
+def test_one_value_of_ninety_percent_goes_to_many_slices(spark):
+    from furlong.operators.skew import ranked, slice_by_value
+
+    data = [(i, 1, None if i % 50 == 0 else 5.0 if i % 10 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(data, "i int, g int, v double").repartition(6)
+    sizes = [r["count"] for r in slice_by_value(df, ["g"], "v", False, True, 100).groupBy("_slice").count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 100
+    for down in (False, True):
+        got = {r["i"]: r["rk"] for r in ranked(df, ["g"], "v", "rk", down, hot_rows=100).collect()}
+        known = [v for _, _, v in data if v is not None]
+        for i, _, v in data[::37]:
+            better = len(known) if v is None else sum(x > v if down else x < v for x in known)
+            assert got[i] == 1 + better
+
+
+def test_rank_correlations_take_one_plan_for_all_features(spark):
+    import numpy as np
+
+    from furlong.operators.analysis import outlier_rate, spearman_target
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = x[:, 0] - x[:, 1] + rng.normal(size=300)
+    rows = [(*map(float, r), float(t)) for r, t in zip(x, y)]
+    df = spark.createDataFrame([(None, *r[1:]) if k % 9 == 0 else r for k, r in enumerate(rows)], "a double, b double, c double, d double, y double")
+    got = {r["feature"]: r["spearman"] for r in spearman_target(df, ["a", "b", "c", "d"], "y").collect()}
+
+    def ranks(v):
+        return np.array([(v < t).sum() + ((v == t).sum() + 1) / 2 for t in v])
+
+    filled = x.copy()
+    filled[::9, 0] = np.median(np.delete(x[:, 0], np.arange(0, 300, 9)))
+    for k, name in enumerate("abcd"):
+        assert got[name] == pytest.approx(np.corrcoef(ranks(filled[:, k]), ranks(y))[0, 1])
+    size = lambda cols: len(spearman_target(df, cols, "y")._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(["a"]) == size(["a", "b", "c", "d"])
+    few = df.limit(5).select("a", "b")
+    assert {r["outlier_rate"] for r in outlier_rate(few, ["a", "b"]).collect()} == {None}
+
+
 def test_shuffle_uses_every_value_once(spark):
     from furlong.operators.analysis import shuffled_column
 
