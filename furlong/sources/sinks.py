@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Callable, Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,14 +74,30 @@ def downcast(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def fingerprint(df: DataFrame, stages: Sequence[Callable | str] = ()) -> str:
+    """A name for what df is made of: its schema, the stages (by source, or as given), and its input files
+    by path, length and time of change. Frames without files are told apart by schema and stages only."""
+    told = [s if isinstance(s, str) else inspect.getsource(s) for s in stages]
+    files = df.inputFiles()
+    if files:
+        # file attributes only, contents are not read; the sum does not depend on the order
+        found = df.sparkSession.read.format("binaryFile").load(files)
+        row = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        told.append(str(tuple(found.agg(F.count(F.lit(1)), F.sum(row)).first())))
+    return hashlib.sha256("\n".join([df.schema.json(), *told]).encode()).hexdigest()[:20]
+
+
 def feature_cache(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], narrow: bool = True
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], narrow: bool = True, stages: Sequence[Callable | str] = ()
 ) -> DataFrame:
-    """The snapshot at path; built and written first if there is none."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not fs.exists(done):
-        df = build()
-        (downcast(df) if narrow else df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The snapshot of build() below path; written first if there is none for its present fingerprint.
+
+    build only declares the frame. A change of the inputs, the columns or the stages makes another
+    snapshot; one that was not written to its end counts as none.
+    """
+    df = build()
+    place = f"{path.rstrip('/')}/snapshot-{fingerprint(df, stages)}"
+    files, root = pafs.FileSystem.from_uri(place)
+    if files.get_file_info(f"{root}/_SUCCESS").type == pafs.FileType.NotFound:
+        (downcast(df) if narrow else df).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)

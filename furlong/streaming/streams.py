@@ -2,12 +2,13 @@
 
 Sinks write one folder per micro-batch below the given path. A batch that is repeated
 after a failure overwrites its own folder, so every row is counted once; readers take
-the newest row per key. Nothing is gathered on the driver.
+the newest row per key. Given a KeyedTable, a sink adds its batches to that table instead, whose
+runs are compacted as they pile up. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from furlong.operators.joins import latest
 from furlong.sources.documents import CORRUPT, parse_documents
+from furlong.sources.keyed import KeyedTable
 
 BATCH = "batch_id"
 
@@ -27,8 +29,14 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, per_trigger
     return reader.parquet(path)
 
 
-def _append_batches(stream: DataFrame, path: str, checkpoint: str, mode: str, once: bool) -> StreamingQuery:
+def _append_batches(
+    stream: DataFrame, path: str, checkpoint: str, mode: str, once: bool, table: KeyedTable | None = None,
+    version: Sequence[str] = (), expire: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
+        if table:
+            table.append(batch, number, version, expire)
+            return
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -47,11 +55,13 @@ def ingest(
     checkpoint: str,
     data: str = "data",
     once: bool = False,
+    table: KeyedTable | None = None,
+    version: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Parse arriving documents; good rows go to path/rows, unreadable ones to path/corrupt.
+    """Parse arriving documents; good rows go to the table or path/rows, unreadable ones to path/corrupt.
 
-    Rows are appended and merged on read (``ingested``), so a batch costs its own size,
-    not that of the table.
+    Rows are appended and merged on read (``ingested``, or the table's ``current``), so a batch costs its
+    own size, not that of the table.
     """
     parsed = parse_documents(stream, schema, data)
 
@@ -59,7 +69,10 @@ def ingest(
         batch.persist()
         try:
             good = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-            good.write.mode("overwrite").parquet(f"{path}/rows/{BATCH}={number}")
+            if table:
+                table.append(good, number, version)
+            else:
+                good.write.mode("overwrite").parquet(f"{path}/rows/{BATCH}={number}")
             batch.filter(F.col(CORRUPT).isNotNull()).write.mode("overwrite").parquet(
                 f"{path}/corrupt/{BATCH}={number}"
             )
@@ -79,16 +92,30 @@ def ingested(
 
 
 def latest_odds(
-    stream: DataFrame, keys: Sequence[str], time: str, value: str, path: str, checkpoint: str, ttl: int = 300, once: bool = False
+    stream: DataFrame, keys: Sequence[str], time: str, value: str, path: str, checkpoint: str, ttl: int = 300, once: bool = False,
+    table: KeyedTable | None = None,
 ) -> StreamingQuery:
-    """Newest value per key and ttl window; the state of a window goes when the watermark passes it."""
+    """Newest value per key and ttl window; the state of a window goes when the watermark passes it.
+
+    A table holds the newest value of each key, and forgets at its merges keys older than ttl before the
+    newest of the merged rows; reading it costs the live keys, not the batches that there were.
+    """
     per_window = (
         stream.withWatermark(time, f"{ttl} seconds")
         .groupBy(*keys, F.window(time, f"{ttl} seconds"))
         .agg(F.max(F.struct(time, value)).alias("_l"))
         .select(*keys, F.col(f"_l.{time}").alias(time), F.col(f"_l.{value}").alias(value))
     )
-    return _append_batches(per_window, path, checkpoint, "update", once)
+    return _append_batches(per_window, path, checkpoint, "update", once, table, [time], lambda rows: _alive(rows, time, ttl))
+
+
+def _alive(rows: DataFrame, time: str, ttl: int) -> DataFrame:
+    return rows.filter(F.col(time) > rows.agg(F.max(time)).scalar() - F.expr(f"INTERVAL {ttl} SECONDS"))
+
+
+def odds_now(table: KeyedTable, time: str, ttl: int = 300) -> DataFrame:
+    """The newest value of each key, without those older than ttl before the newest of all."""
+    return _alive(table.current([time]), time, ttl)
 
 
 def current_odds(rows: DataFrame, keys: Sequence[str], time: str, ttl: int = 300) -> DataFrame:
@@ -108,12 +135,12 @@ def window_counts(df: DataFrame, time: str, kind: str, size: str, slide: str | N
 
 
 def stream_window_counts(
-    stream: DataFrame, time: str, kind: str, size: str, slide: str | None, late: str, path: str, checkpoint: str, once: bool = False
+    stream: DataFrame, time: str, kind: str, size: str, slide: str | None, late: str, path: str, checkpoint: str, once: bool = False,
+    table: KeyedTable | None = None,
 ) -> StreamingQuery:
-    """Window counts of a stream; rows later than ``late`` are dropped."""
-    return _append_batches(
-        window_counts(stream.withWatermark(time, late), time, kind, size, slide), path, checkpoint, "update", once
-    )
+    """Window counts of a stream; rows later than ``late`` are dropped. A table by window and kind holds the last counts."""
+    counts = window_counts(stream.withWatermark(time, late), time, kind, size, slide)
+    return _append_batches(counts, path, checkpoint, "update", once, table)
 
 
 def final_counts(rows: DataFrame, kind: str) -> DataFrame:

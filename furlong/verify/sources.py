@@ -9,6 +9,7 @@ from furlong.session import shared_dir
 from furlong.sources import documents as D
 from furlong.sources import sinks as K
 from furlong.sources import tables as S
+from furlong.sources.keyed import KeyedTable, replace_children_in, upsert_into
 from furlong.verify.base import entries, query, races, runners, table, with_entries, with_runners
 
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"
@@ -166,7 +167,10 @@ def _loads(spark, sf):
 )
 def upsert_latest(spark, sf):
     old, new = _loads(spark, sf)
-    out = K.upsert_latest(old, new, ["race_id", "runner_no"], ["loaded"])
+    stored = KeyedTable(spark, shared_dir(spark, "upsert"), old.schema, ["race_id", "runner_no"], 8)
+    upsert_into(stored, old, ["loaded"])
+    upsert_into(stored, new, ["loaded"])
+    out = stored.rows()
     return out.select("race_id", "runner_no", F.date_format("loaded", "yyyyMMdd").alias("loaded"), "horse_id", "qty", "price")
 
 
@@ -178,7 +182,10 @@ def upsert_latest(spark, sf):
 )
 def replace_children(spark, sf):
     old, new = _loads(spark, sf)
-    return K.replace_children(old, new, ["race_id"]).select("race_id", "runner_no", "horse_id", "qty", "price")
+    stored = KeyedTable(spark, shared_dir(spark, "children"), old.schema, ["race_id", "runner_no"], 8, bucket_by=["race_id"])
+    replace_children_in(stored, old)
+    replace_children_in(stored, new)
+    return stored.rows().select("race_id", "runner_no", "horse_id", "qty", "price")
 
 
 @query(
@@ -249,8 +256,8 @@ def feature_cache(spark, sf):
     def build():
         return runners(spark, sf).select("race_id", "runner_no", "horse_id", "jockey_id", "finish", "odds", "distance")
 
-    K.feature_cache(spark, path, build)
-    again = K.feature_cache(spark, path, build)
+    K.feature_cache(spark, path, build, stages=[build])
+    again = K.feature_cache(spark, path, build, stages=[build])
     return again.select(
         F.col("race_id").cast("bigint"), "runner_no", F.col("horse_id").cast("bigint"), F.col("jockey_id").cast("bigint"),
         "finish", F.round(F.col("odds").cast("double"), 3).alias("odds"), "distance",

@@ -11,6 +11,7 @@ from furlong.functions import arrays as A
 from furlong.plans import features as P
 from furlong.plans.partitioned import partitioned_build
 from furlong.session import shared_dir
+from furlong.sources.keyed import KeyedTable
 from furlong.streaming import streams as S
 from furlong.verify.base import TIE, query, r, runners, table, with_runners
 from furlong.verify.joins import _COURSE_VALUES, COURSES
@@ -55,8 +56,10 @@ def stream_ingest(spark, sf):
     )
     doc = F.to_json(F.struct("event_id", "user_id", "event_type"))
     broken = F.when(F.col("event_id") % 50 == 0, F.substring(doc, 1, 9)).otherwise(doc)
-    _run(S.ingest(_events(spark, sf).select(broken.alias("data")), schema, path, f"{path}/checkpoint", once=True))
-    return S.ingested(spark, path, schema, ["user_id", "event_type"], ["event_id"])
+    stored = KeyedTable(spark, f"{path}/table", schema, ["user_id", "event_type"], 8, max_runs=2)
+    arriving = _events(spark, sf).select(broken.alias("data"))
+    _run(S.ingest(arriving, schema, path, f"{path}/checkpoint", once=True, table=stored, version=["event_id"]))
+    return stored.current(["event_id"])
 
 
 @query(
@@ -69,9 +72,9 @@ def stream_latest_odds(spark, sf):
     path = shared_dir(spark, "odds")
     keys, ttl = ["user_id", "event_type"], 86400
     stream = _events(spark, sf).select(*keys, "ts", "value")
-    _run(S.latest_odds(stream, keys, "ts", "value", f"{path}/rows", f"{path}/checkpoint", ttl, once=True))
-    rows = S.read_batches(spark, f"{path}/rows", stream.schema)
-    out = S.current_odds(rows, keys, "ts", ttl)
+    stored = KeyedTable(spark, f"{path}/table", stream.schema, keys, 8, max_runs=2)
+    _run(S.latest_odds(stream, keys, "ts", "value", f"{path}/rows", f"{path}/checkpoint", ttl, once=True, table=stored))
+    out = S.odds_now(stored, "ts", ttl)
     return out.select(*keys, "value", F.floor(F.col("ts").cast("double")).alias("at"))
 
 
@@ -83,13 +86,14 @@ def stream_latest_odds(spark, sf):
 def stream_windowed_counts(spark, sf):
     path = shared_dir(spark, "counts")
     stream = _events(spark, sf)
+    schema = S.window_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").schema
+    stored = KeyedTable(spark, f"{path}/table", schema, ["window_start", "window_end", "event_type"], 8, max_runs=2)
     _run(
         S.stream_window_counts(
-            stream, "ts", "event_type", "1 hour", None, LATE, f"{path}/rows", f"{path}/checkpoint", once=True
+            stream, "ts", "event_type", "1 hour", None, LATE, f"{path}/rows", f"{path}/checkpoint", once=True, table=stored
         )
     )
-    schema = S.window_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").schema
-    out = S.final_counts(S.read_batches(spark, f"{path}/rows", schema), "event_type")
+    out = stored.current()
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events", "errors")
 
 
