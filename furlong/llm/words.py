@@ -7,7 +7,9 @@ the same on every machine and in every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +143,21 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers live on between tasks and share a machine's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def texts_of(column: pa.Array, limit: int = CHUNK) -> Iterator[Texts]:
     """The texts of a column (null: empty) in groups of about limit bytes; a longer text is alone."""
     if isinstance(column, pa.ChunkedArray):
@@ -157,6 +174,7 @@ def texts_of(column: pa.Array, limit: int = CHUNK) -> Iterator[Texts]:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
         yield Texts(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], slice(lo, hi))
         lo = hi
+    give_back()
 
 
 def spans_covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
