@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from furlong.llm.treap import pack, search, unpack
+from furlong.llm.words import give_back
 from furlong.session import shared_dir
 
 NAME = "op11_ranked_search"
@@ -126,6 +127,8 @@ def index_rows(n_docs: int, n_terms: int, shard_docs: int, shard_points: int):
                 if points >= shard_points or len(ids) >= shard_docs:
                     yield shard(*held)
                     held, points = fresh(), 0
+            del texts
+            give_back()
         if held[0]:
             yield shard(*held)
 
