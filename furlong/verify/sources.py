@@ -70,6 +70,54 @@ def json_blob_scan(spark, sf):
     return D.scan_documents(race, runner, RACE_DOC, RUNNER_DOC)
 
 
+def _open_documents(spark, sf):
+    """Runner documents with keys that RUNNER_DOC does not declare; runner 7 is cut off."""
+    no = F.col("runner_no")
+    doc = F.to_json(
+        F.struct(
+            "race_id", "horse_id", "runner_no", "finish", "jockey_id",
+            F.when(no == 1, F.col("surface")).alias("going"),
+            F.when(no == 2, F.struct("qty")).alias("body"),
+            F.when(no != 3, F.when(no < 3, F.lit("x")).otherwise(no.cast("string"))).alias("mark"),
+            (F.col("qty") > 25).alias("heavy"),
+        )
+    )
+    return entries(spark, sf).select(F.when(no == 7, F.substring(doc, 1, 20)).otherwise(doc).alias("data"))
+
+
+@query(
+    "json_undeclared_keys",
+    with_entries(
+        """, r AS (SELECT * FROM entries WHERE runner_no <> 7)
+        SELECT 'jockey_id' AS key, 'number' AS kind, count(*) AS documents FROM r
+        UNION ALL SELECT 'going', 'text', count(*) FROM r WHERE runner_no = 1
+        UNION ALL SELECT 'body', 'object', count(*) FROM r WHERE runner_no = 2
+        UNION ALL SELECT 'mark', 'text', count(*) FROM r WHERE runner_no <> 3
+        UNION ALL SELECT 'heavy', 'boolean', count(*) FROM r"""
+    ),
+)
+def json_undeclared_keys(spark, sf):
+    return D.key_profile(_open_documents(spark, sf), declared=RUNNER_DOC)
+
+
+@query(
+    "json_open_scan",
+    with_entries(
+        """SELECT race_id, horse_id, runner_no, finish, CAST(jockey_id AS DOUBLE) AS jockey_id, CASE WHEN runner_no = 1 THEN surface END AS going,
+          CASE WHEN runner_no = 3 THEN NULL WHEN runner_no < 3 THEN 'x' ELSE CAST(runner_no AS VARCHAR) END AS mark, qty > 25 AS heavy,
+          CASE WHEN runner_no = 2 THEN CAST(qty AS DOUBLE) END AS body_qty
+        FROM entries WHERE runner_no <> 7"""
+    ),
+)
+def json_open_scan(spark, sf):
+    out = D.parse_open(_open_documents(spark, sf), RUNNER_DOC)
+    out = out.filter(F.col(D.CORRUPT).isNull())
+    return out.select(
+        "race_id", "horse_id", "runner_no", "finish", "jockey_id", "going", "mark", "heavy",
+        F.try_variant_get("body", "$.qty", "double").alias("body_qty"),
+    )
+
+
 @query(
     "csv_scan",
     with_entries(
