@@ -111,12 +111,17 @@ def high_corr_pairs(spark, sf):
 
 @query(
     "vif",
+    # one over one less the share of a column's variance that a regression on the two others explains
     with_entries(
-        """, c AS (SELECT corr(price, qty) AS r FROM entries) SELECT unnest(['price', 'qty']) AS feature, round(1 / (1 - r * r), 4) AS vif FROM c"""
+        """, c AS (SELECT corr(price, qty) AS pq, corr(price, mixed) AS pm, corr(qty, mixed) AS qm FROM (SELECT *, price + qty * 500 + discount * 100000 AS mixed FROM entries)),
+        d AS (SELECT *, 1 + 2 * pq * pm * qm - pq * pq - pm * pm - qm * qm AS det FROM c)
+        SELECT 'price' AS feature, round((1 - qm * qm) / det, 4) AS vif FROM d UNION ALL SELECT 'qty', round((1 - pm * pm) / det, 4) FROM d
+        UNION ALL SELECT 'mixed', round((1 - pq * pq) / det, 4) FROM d"""
     ),
 )
 def vif(spark, sf):
-    return A.vif(entries(spark, sf), ["price", "qty"]).select("feature", r("vif", 4))
+    mixed = F.col("price") + F.col("qty") * 500 + F.col("discount") * 100000
+    return A.vif(entries(spark, sf).withColumn("mixed", mixed), ["price", "qty", "mixed"]).select("feature", r("vif", 4))
 
 
 @query(

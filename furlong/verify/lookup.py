@@ -25,6 +25,14 @@ def race_card(spark, sf):
     return L.race_card(entries(spark, sf), ["horse_id", "jockey_id", "odds", "finish"])
 
 
+@query("race_card_lookup", with_entries(f"SELECT {ID_SQL}, odds, finish FROM entries WHERE race_id = (SELECT max(l_orderkey) FROM lineitem)"))
+def race_card_lookup(spark, sf):
+    """The card of the last race: a lookup by key, which the scan gets as a pushed filter."""
+    rows = entries(spark, sf)
+    last = rows.agg(F.max("race_id")).first()[0]
+    return L.race_card(rows, ["horse_id", "jockey_id", "odds", "finish"], only=last)
+
+
 @query(
     "race_bundle",
     """WITH e AS (SELECT l_orderkey AS k, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS e FROM lineitem GROUP BY 1),

@@ -489,14 +489,11 @@ def range_180d_trainer(spark, sf):
     with_runners(
         ", a AS MATERIALIZED "
         + prior_sql("jockey_id, venue", f"{WON} AS w; count(*) AS n")
-        + f""", per_row AS (SELECT *,
-          {last_sql(f"avg({_WIN})", 30).replace("{e}", "jockey_id")} AS r30,
-          {last_sql("count(finish)", 30).replace("{e}", "jockey_id")} AS c30,
-          row_number() OVER (PARTITION BY jockey_id, race_date, race_id ORDER BY {TIE_SQL}) AS first_no FROM a),
-        f AS (SELECT jockey_id, race_id, CASE WHEN c30 >= 5 THEN r30 END AS r30 FROM per_row WHERE first_no = 1)
-        SELECT a.race_id, a.runner_no, a.horse_id, a.jockey_id,
-          round(CASE WHEN n > 0 THEN w / CAST(n AS DOUBLE) ELSE 0.0 END - r30, 6) + 0.0 AS venue_advantage
-        FROM a JOIN f ON a.jockey_id = f.jockey_id AND a.race_id = f.race_id"""
+        + f""", rides AS (SELECT *, CASE WHEN count(finish) OVER last_rides >= 5 THEN avg({_WIN}) OVER last_rides END AS r30 FROM a
+          WINDOW last_rides AS (PARTITION BY jockey_id ORDER BY race_date, race_id, {TIE_SQL} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+        SELECT race_id, runner_no, horse_id, jockey_id, round(CASE WHEN n > 0 THEN w / CAST(n AS DOUBLE) ELSE 0.0 END
+          - first_value(r30) OVER (PARTITION BY jockey_id, race_date, race_id ORDER BY {TIE_SQL}), 6) + 0.0 AS venue_advantage
+        FROM rides"""
     ),
 )
 def venue_advantage(spark, sf):

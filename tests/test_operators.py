@@ -253,3 +253,12 @@ def test_stream_keeps_late_rows_out(spark):
     counts_schema = S.window_counts(spark.createDataFrame([], schema), "ts", "event_type", "10 minutes").schema
     out = S.final_counts(S.read_batches(spark, f"{path}/rows", counts_schema), "event_type").collect()
     assert {(r["window_start"].strftime("%H:%M"), r["events"]) for r in out} == {("00:00", 2), ("03:00", 2)}
+
+
+def test_a_card_of_one_race_is_read_by_a_pushed_filter(spark, small):
+    from furlong.operators.lookup import race_card
+    from furlong.verify.base import entries
+
+    card = race_card(entries(spark, small), ["horse_id"], only=7)
+    plan = card._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_orderkey,7)" in plan and {r["race_id"] for r in card.collect()} == {7}
