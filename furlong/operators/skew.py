@@ -108,18 +108,16 @@ def slice_by_value(
     base = df if source is None else source
     hot = hot_keys(base, keys, hot_rows)
     row = F.xxhash64(*[f.name for f in base.schema.fields if "map<" not in f.dataType.simpleString()])
-    drawn = Window.partitionBy(*keys).orderBy("_h", "_v")
-    edges = (
-        base.join(F.broadcast(hot), list(keys), "left_semi")
-        .filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"), row.alias("_h"))
+    drawn = Window.partitionBy(*keys).orderBy(F.col("_v").isNull(), "_h", "_v")
+    # at most MAX_HOT rows of EDGES numbers: 20 MB
+    listed = (
+        base.join(F.broadcast(hot), list(keys))
+        .select(*keys, "_hot", F.col(value).cast("double").alias("_v"), row.alias("_h"))
         .withColumn("_no", F.row_number().over(drawn))
         .filter(F.col("_no") <= EDGES)
-        .groupBy(*keys)
+        .groupBy(*keys, "_hot")
         .agg(F.array_sort(F.collect_list("_v")).alias("_edges"))
     )
-    # at most MAX_HOT rows of EDGES numbers: 20 MB
-    listed = hot.join(edges, list(keys), "left")
     keyless = F.lit(False)
     for k in keys:
         keyless = keyless | F.col(k).isNull()
