@@ -155,108 +155,6 @@ def psi_drift(
     )
 
 
-# Checks in report order and how bad a failure is.
-CHECKS = {
-    "race_id_duplicate": "fail",
-    "horse_id_missing": "fail",
-    "horse_id_duplicate_in_race": "fail",
-    "horse_number_duplicate_in_race": "fail",
-    "finish_position_range": "fail",
-    "starters_per_race_range": "fail",
-    "race_date_out_of_target_period": "fail",
-    "venue_empty": "fail",
-    "odds_non_numeric": "warn",
-    "popularity_non_numeric": "warn",
-    "race_without_horse_data": "fail",
-    "horse_without_pedigree": "warn",
-    "required_column_missing_rate_over_0pct": "fail",
-    "important_column_missing_over_10pct": "warn",
-}
-
-
-def consistency_checks(
-    races: DataFrame, rows: DataFrame, missingness: DataFrame, first_day: str, last_day: str
-) -> DataFrame:
-    """Fourteen checks: (name, level, failed_count, status, verdict).
-
-    races has race_id, rows are audit text rows, missingness is column_missingness of the
-    same rows. Each check is one count; what repeats is found by grouping on its key.
-    """
-
-    def flag(c: Column) -> Column:
-        return F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
-
-    finish = int_or_null(F.col("finish_position"))
-    per_row = rows.agg(
-        flag(is_missing("horse_id")).alias("horse_id_missing"),
-        flag(F.coalesce(~finish.between(1, 30), F.lit(False))).alias("finish_position_range"),
-        flag(
-            F.coalesce(~F.col("race_date").between(first_day, last_day), F.lit(False))
-        ).alias("race_date_out_of_target_period"),
-        flag(is_missing("venue")).alias("venue_empty"),
-        flag(~is_missing("odds") & number_or_null(F.col("odds")).isNull()).alias("odds_non_numeric"),
-        flag(~is_missing("popularity") & number_or_null(F.col("popularity")).isNull()).alias(
-            "popularity_non_numeric"
-        ),
-    )
-    dup_races = races.groupBy("race_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("race_id_duplicate")
-    )
-    horses = rows.filter(~is_missing("horse_id")).groupBy("race_id", F.trim("horse_id").alias("h")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    dup_horses = horses.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("horse_id_duplicate_in_race"))
-    dup_numbers = (
-        rows.filter(~is_missing("horse_number"))
-        .groupBy("race_id", "horse_number")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("race_id")
-        .agg(F.max("n").alias("n"))
-        .agg(flag(F.col("n") > 1).alias("horse_number_duplicate_in_race"))
-    )
-    starters = horses.groupBy("race_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        flag(~F.col("n").between(1, 30)).alias("starters_per_race_range")
-    )
-    empty = races.join(rows.select("race_id"), "race_id", "left_anti").agg(
-        F.count(F.lit(1)).alias("race_without_horse_data")
-    )
-    pedigree = (
-        rows.filter(~is_missing("horse_id"))
-        .groupBy(F.trim("horse_id").alias("h"))
-        .agg(F.max(~is_missing("sire")).alias("known"))
-        .agg(flag(~F.col("known")).alias("x"), F.count(F.lit(1)).alias("n"))
-        .select(F.when(F.col("x") > 0.2 * F.col("n"), F.col("x")).otherwise(0).alias("horse_without_pedigree"))
-    )
-    columns = missingness.agg(
-        flag(F.col("required_level").startswith("required") & (F.col("true_missing_count") > 0)).alias(
-            "required_column_missing_rate_over_0pct"
-        ),
-        flag((F.col("required_level") == "important_warn") & (F.col("true_missing_rate") > 0.1)).alias(
-            "important_column_missing_over_10pct"
-        ),
-    )
-    wide = per_row
-    for part in (dup_races, dup_horses, dup_numbers, starters, empty, pedigree, columns):
-        wide = with_row(wide, part)
-    listed = F.array(
-        *[
-            F.struct(F.lit(n).alias("name"), F.lit(lev).alias("level"), F.col(n).cast("bigint").alias("failed_count"))
-            for n, lev in CHECKS.items()
-        ]
-    )
-    status = lambda x: F.when(x["failed_count"] == 0, F.lit("pass")).otherwise(x["level"])
-    worst = F.transform("checks", status)
-    verdict = (
-        F.when(F.array_contains(worst, "fail"), "fail").when(F.array_contains(worst, "warn"), "warn").otherwise("pass")
-    )
-    return (
-        wide.select(listed.alias("checks"))
-        .withColumn("verdict", verdict)
-        .select("verdict", F.explode("checks").alias("c"))
-        .select("c.*", status(F.col("c")).alias("status"), "verdict")
-    )
-
-
 # ---- quality of one row -----------------------------------------------------
 
 CURRENT_PARSER = "2.0.0"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions.pages import page_valid
 from furlong.operators import quality as Q
+from furlong.operators.audit import alias_of
 from furlong.operators.joins import top_per_group
 from furlong.operators.lookup import dedupe_priority
 from furlong.operators.skew import with_row
@@ -180,18 +181,26 @@ def refresh_totals(
     )
 
 
-def gap_records(rows: DataFrame) -> DataFrame:
-    """Every gap of every audit row: (race_id, horse_id, column, reason, priority)."""
+def gap_records(rows: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """Every gap of every audit row: (race_id, horse_id, column, reason, priority).
+
+    aliases names, for each field, the column with the key that supplied it; a value that came from
+    another key is a record too (see audit.ALIAS_SOURCES).
+    """
     fields = CORE_FIELDS + RESULT_FIELDS + IMPORTANT_FIELDS
-    kinds = F.array(*[F.struct(F.lit(f).alias("column"), gap_kind(f).alias("kind")) for f in fields])
+    found = [F.struct(F.lit(f).alias("column"), gap_kind(f).alias("kind")) for f in fields]
+    for f, source in (aliases or {}).items():
+        found.append(F.struct(F.lit(f).alias("column"), F.when(alias_of(f, source).isNotNull(), "alias").alias("kind")))
+    kinds = F.array(*found)
     reason = (
         F.when(F.col("g.kind") == "domain", "domain-allowed-missing")
         .when(F.col("g.kind") == "derivable", "derived-field-candidate")
+        .when(F.col("g.kind") == "alias", "alias-candidate")
         .otherwise("true-missing")
     )
     rank = (
         F.when(F.col("g.kind") == "domain", F.lit("Domain allowed"))
-        .when(F.col("g.kind") == "derivable", F.lit("Schema review"))
+        .when(F.col("g.kind").isin("derivable", "alias"), F.lit("Schema review"))
         .otherwise(priority(F.col("g.column")))
     )
     return rows.select(

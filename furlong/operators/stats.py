@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.operators.history import ORDER, expanding, runs, win
-from furlong.operators.joins import top_per_group
 from furlong.operators.skew import HOT_ROWS, join_group_stats, ranked, with_row
 
 
@@ -254,80 +253,6 @@ def example_key() -> Column:
     return F.concat_ws(":", F.coalesce("race_id", F.lit("")), F.trim(F.coalesce("horse_id", F.lit(""))))
 
 
-def column_missingness(df: DataFrame, examples: int = 5) -> DataFrame:
-    """Per field: missing, allowed, derivable and truly missing rows, severity, example keys.
-
-    One pass counts every field. Examples are the smallest keys of each field; the limit
-    applies before rows are gathered, and only rows with a gap take part.
-    """
-    fields = CORE_FIELDS + RESULT_FIELDS + IMPORTANT_FIELDS
-    counts = []
-    for f in fields:
-        kind = gap_kind(f)
-        counts += [
-            F.sum(F.when(kind == k, 1).otherwise(0)).alias(f"{f}__{k}") for k in ("domain", "derivable", "true")
-        ]
-    any_result = F.max(F.when(~(is_missing("finish_position") & is_missing("result_time") & is_missing("margin")), 1).otherwise(0))
-    wide = df.agg(F.count(F.lit(1)).alias("total_count"), any_result.alias("has_results"), *counts)
-    per_field = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("column"),
-                F.lit(required_level(f)).alias("required_level"),
-                F.col(f"{f}__domain").alias("domain"),
-                F.col(f"{f}__derivable").alias("derivable"),
-                F.col(f"{f}__true").alias("true"),
-            )
-            for f in fields
-        ]
-    )
-    long = wide.select("total_count", "has_results", F.explode(per_field).alias("x")).select(
-        "total_count", "has_results", "x.*"
-    )
-    missing = F.col("domain") + F.col("derivable") + F.col("true")
-    result = F.col("has_results") == 1
-    severity = (
-        F.when(
-            F.col("required_level") == "required",
-            F.when(F.col("true") > 0, "fail").when(missing > 0, "warn").otherwise("pass"),
-        )
-        .when(
-            F.col("required_level") == "required_if_result",
-            F.when(result & (F.col("true") > 0), "fail").when(result & (missing > 0), "warn").otherwise("pass"),
-        )
-        .otherwise(F.when(F.col("true") > 0.1 * F.col("total_count"), "warn").otherwise("pass"))
-    )
-    gaps = (
-        df.select(
-            example_key().alias("key"),
-            F.explode(
-                F.filter(
-                    F.array(*[F.when(gap_kind(f) == "true", F.lit(f)) for f in fields]), lambda x: x.isNotNull()
-                )
-            ).alias("column"),
-        )
-        .distinct()
-    )
-    shown = (
-        top_per_group(gaps, ["column"], [F.col("key")], examples)
-        .groupBy("column")
-        .agg(F.array_sort(F.collect_list("key")).alias("examples"))
-    )
-    return long.join(F.broadcast(shown), "column", "left").select(
-        "column",
-        "required_level",
-        "total_count",
-        missing.alias("missing_count"),
-        F.col("domain").alias("domain_allowed_count"),
-        F.col("derivable").alias("derivable_count"),
-        F.col("true").alias("true_missing_count"),
-        F.round(missing / F.col("total_count"), 6).alias("missing_rate"),
-        F.round(F.col("true") / F.col("total_count"), 6).alias("true_missing_rate"),
-        severity.alias("severity"),
-        F.coalesce(F.array_join("examples", ","), F.lit("")).alias("example_keys"),
-    )
-
-
 def group_missingness(
     df: DataFrame, required: Sequence[str] = CORE_FIELDS + RESULT_FIELDS, keys: Sequence[str] = GROUP_KEYS
 ) -> DataFrame:

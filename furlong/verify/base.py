@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.operators.audit import audit_grains as grains_of
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,7 +144,8 @@ AUDIT_SQL = (
     CASE WHEN runner_no = 1 THEN '1.9.0' WHEN runner_no = 2 THEN '2.0.0' WHEN runner_no <> 4 THEN '2.1' END AS parser_version,
     strftime(race_date, '%Y-%m-%d') || ' 00:00:00' AS fetched_at, CASE WHEN tax > 0.01 THEN 1 ELSE 0 END AS source_html_present,
     CASE WHEN qty = 40 THEN '404' ELSE '200' END AS http_status, 0 AS is_error_page,
-    price, qty, discount, tax, runner_no
+    price, qty, discount, tax, runner_no,
+    CASE WHEN runner_no = 1 THEN 'race_number' WHEN runner_no = 2 THEN 'race_no' WHEN runner_no <= 4 THEN 'round' WHEN runner_no = 5 THEN '' END AS race_number_source
   FROM runners)"""
 )
 
@@ -197,8 +200,17 @@ def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
         "discount",
         "tax",
         "runner_no",
+        F.when(no == 1, F.lit("race_number"))
+        .when(no == 2, F.lit("race_no"))
+        .when(no <= 4, F.lit("round"))
+        .when(no == 5, F.lit(""))
+        .alias("race_number_source"),
     )
 
 
+def audit_grains(spark: SparkSession, sf: str) -> DataFrame:
+    return grains_of(audit_rows(spark, sf), "19950101", "19991231")
+
+
 def with_audit(select: str) -> str:
     return f"WITH {AUDIT_SQL} {select}"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furlong.functions.text import normalise_url
+from furlong.operators import audit as A
 from furlong.operators import quality as Q
 from furlong.operators import repair as P
 from furlong.operators import stats as S
-from furlong.verify.base import audit_rows, entries, query, r, races, runners, table, with_audit, with_runners
+from furlong.verify.base import audit_grains, audit_rows, entries, query, r, races, runners, table, with_audit, with_runners
 from furlong.verify.sources import _NORM
-from furlong.verify.stats import _FIELD_SQL, GAPS_SQL, allowed_sql
+from furlong.verify.stats import _FIELD_SQL, GAPS_SQL, MISSINGNESS_SQL, allowed_sql
 
 ID = ["race_id", "runner_no", "horse_id", "jockey_id"]
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"
@@ -93,33 +94,63 @@ def psi_drift(spark, sf):
     return Q.psi_drift(train, infer, list(_PSI_COLS))
 
 
+CHECKS_SQL = f"""h AS (SELECT race_id, trim(horse_id) AS h, count(*) AS n FROM audit WHERE trim(horse_id) <> '' GROUP BY 1, 2),
+  x(name, level, failed_count) AS (
+    SELECT 'race_id_duplicate', 'fail', (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders)
+    UNION ALL SELECT 'horse_id_missing', 'fail', (SELECT count(*) FROM audit WHERE trim(horse_id) = '')
+    UNION ALL SELECT 'horse_id_duplicate_in_race', 'fail', (SELECT CAST(sum(n - 1) AS BIGINT) FROM h)
+    UNION ALL SELECT 'horse_number_duplicate_in_race', 'fail', (SELECT count(DISTINCT race_id) FROM (SELECT race_id, horse_number FROM audit GROUP BY 1, 2 HAVING count(*) > 1))
+    UNION ALL SELECT 'finish_position_range', 'fail', (SELECT count(*) FROM audit WHERE TRY_CAST(finish_position AS INTEGER) NOT BETWEEN 1 AND 30)
+    UNION ALL SELECT 'starters_per_race_range', 'fail', (SELECT count(*) FROM (SELECT race_id, count(*) AS n FROM h GROUP BY 1) WHERE n > 30)
+    UNION ALL SELECT 'race_date_out_of_target_period', 'fail', (SELECT count(*) FROM audit WHERE race_date NOT BETWEEN '19950101' AND '19991231')
+    UNION ALL SELECT 'venue_empty', 'fail', (SELECT count(*) FROM audit WHERE trim(venue) = '')
+    UNION ALL SELECT 'odds_non_numeric', 'warn', (SELECT count(*) FROM audit WHERE odds = 'x')
+    UNION ALL SELECT 'popularity_non_numeric', 'warn', (SELECT count(*) FROM audit WHERE popularity = '?')
+    UNION ALL SELECT 'race_without_horse_data', 'fail', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
+    UNION ALL SELECT 'horse_without_pedigree', 'warn', (SELECT CASE WHEN count(*) FILTER (NOT k) > 0.2 * count(*) THEN count(*) FILTER (NOT k) ELSE 0 END FROM (SELECT trim(horse_id) AS h, bool_or(sire IS NOT NULL) AS k FROM audit WHERE trim(horse_id) <> '' GROUP BY 1))
+    UNION ALL SELECT 'required_column_missing_rate_over_0pct', 'fail', (SELECT count(DISTINCT col) FROM gaps WHERE kind = 'true' AND lev LIKE 'required%')
+    UNION ALL SELECT 'important_column_missing_over_10pct', 'warn', (SELECT count(*) FROM (SELECT col FROM gaps WHERE lev = 'important_warn' GROUP BY 1 HAVING count(*) FILTER (kind = 'true') > 0.1 * count(*)))),
+  chk AS (SELECT *, CASE WHEN failed_count = 0 THEN 'pass' ELSE level END AS status,
+    (SELECT CASE WHEN bool_or(failed_count > 0 AND level = 'fail') THEN 'fail' WHEN bool_or(failed_count > 0) THEN 'warn' ELSE 'pass' END FROM x) AS verdict FROM x)"""
+
+
+def _audited(spark, sf):
+    grains = audit_grains(spark, sf)
+    missing = A.column_missingness(grains)
+    master = races(spark, sf).select(F.col("race_id").cast("string").alias("race_id"))
+    return missing, A.consistency_checks(master, grains, missing)
+
+
+@query("consistency_checks", with_audit(f", {GAPS_SQL}, {CHECKS_SQL} SELECT * FROM chk"))
+def consistency_checks(spark, sf):
+    return _audited(spark, sf)[1]
+
+
 @query(
-    "consistency_checks",
+    "audit_reasons",
     with_audit(
-        f""", {GAPS_SQL}, h AS (SELECT race_id, trim(horse_id) AS h, count(*) AS n FROM audit WHERE trim(horse_id) <> '' GROUP BY 1, 2),
-        x(name, level, failed_count) AS (
-          SELECT 'race_id_duplicate', 'fail', (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders)
-          UNION ALL SELECT 'horse_id_missing', 'fail', (SELECT count(*) FROM audit WHERE trim(horse_id) = '')
-          UNION ALL SELECT 'horse_id_duplicate_in_race', 'fail', (SELECT CAST(sum(n - 1) AS BIGINT) FROM h)
-          UNION ALL SELECT 'horse_number_duplicate_in_race', 'fail', (SELECT count(DISTINCT race_id) FROM (SELECT race_id, horse_number FROM audit GROUP BY 1, 2 HAVING count(*) > 1))
-          UNION ALL SELECT 'finish_position_range', 'fail', (SELECT count(*) FROM audit WHERE TRY_CAST(finish_position AS INTEGER) NOT BETWEEN 1 AND 30)
-          UNION ALL SELECT 'starters_per_race_range', 'fail', (SELECT count(*) FROM (SELECT race_id, count(*) AS n FROM h GROUP BY 1) WHERE n > 30)
-          UNION ALL SELECT 'race_date_out_of_target_period', 'fail', (SELECT count(*) FROM audit WHERE race_date NOT BETWEEN '19950101' AND '19991231')
-          UNION ALL SELECT 'venue_empty', 'fail', (SELECT count(*) FROM audit WHERE trim(venue) = '')
-          UNION ALL SELECT 'odds_non_numeric', 'warn', (SELECT count(*) FROM audit WHERE odds = 'x')
-          UNION ALL SELECT 'popularity_non_numeric', 'warn', (SELECT count(*) FROM audit WHERE popularity = '?')
-          UNION ALL SELECT 'race_without_horse_data', 'fail', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
-          UNION ALL SELECT 'horse_without_pedigree', 'warn', (SELECT CASE WHEN count(*) FILTER (NOT k) > 0.2 * count(*) THEN count(*) FILTER (NOT k) ELSE 0 END FROM (SELECT trim(horse_id) AS h, bool_or(sire IS NOT NULL) AS k FROM audit WHERE trim(horse_id) <> '' GROUP BY 1))
-          UNION ALL SELECT 'required_column_missing_rate_over_0pct', 'fail', (SELECT count(DISTINCT col) FROM gaps WHERE kind = 'true' AND lev LIKE 'required%')
-          UNION ALL SELECT 'important_column_missing_over_10pct', 'warn', (SELECT count(*) FROM (SELECT col FROM gaps WHERE lev = 'important_warn' GROUP BY 1 HAVING count(*) FILTER (kind = 'true') > 0.1 * count(*))))
-        SELECT *, CASE WHEN failed_count = 0 THEN 'pass' ELSE level END AS status,
-          (SELECT CASE WHEN bool_or(failed_count > 0 AND level = 'fail') THEN 'fail' WHEN bool_or(failed_count > 0) THEN 'warn' ELSE 'pass' END FROM x) AS verdict FROM x"""
+        f""", {MISSINGNESS_SQL}, {CHECKS_SQL}
+        SELECT 'true-missing' AS reason, "column", required_level, true_missing_count AS count, severity, CASE WHEN "column" IN ('race_id', 'horse_id', 'finish_position') THEN 'P0'
+          WHEN "column" IN ('result_time', 'race_date', 'venue', 'horse_name', 'frame_number', 'horse_number') THEN 'P1' WHEN required_level = 'important_warn' THEN 'P2' ELSE 'P0' END AS priority, example_keys FROM mis WHERE true_missing_count > 0
+        UNION ALL SELECT 'domain-allowed-missing', "column", required_level, domain_allowed_count, 'info', 'Domain allowed', domain_example_keys FROM mis WHERE domain_allowed_count > 0
+        UNION ALL SELECT 'derived-field-candidate', "column", required_level, derivable_count, 'warn', 'Schema review', derivable_example_keys FROM mis WHERE derivable_count > 0
+        UNION ALL SELECT 'alias-candidate', "column", required_level, alias_count, 'warn', 'Schema review', alias_candidate FROM mis WHERE alias_count > 0
+        UNION ALL SELECT 'consistency:' || name, '(check)', 'consistency', failed_count, status, CASE WHEN name IN ('race_without_horse_data', 'horse_id_missing', 'race_id_duplicate') THEN 'P0' ELSE 'P1' END, '' FROM chk WHERE failed_count > 0"""
     ),
 )
-def consistency_checks(spark, sf):
-    rows = audit_rows(spark, sf)
-    master = races(spark, sf).select(F.col("race_id").cast("string").alias("race_id"))
-    return Q.consistency_checks(master, rows, S.column_missingness(rows), "19950101", "19991231")
+def audit_reasons(spark, sf):
+    return A.audit_reasons(*_audited(spark, sf), P.priority(F.col("column")))
+
+
+@query(
+    "fail_reasons",
+    with_audit(
+        f""", {MISSINGNESS_SQL}, {CHECKS_SQL} SELECT 'required:' || "column" AS reason, true_missing_count AS count FROM mis WHERE required_level LIKE 'required%' AND true_missing_count > 0
+        UNION ALL SELECT 'check:' || name, failed_count FROM chk WHERE status = 'fail'"""
+    ),
+)
+def fail_reasons(spark, sf):
+    return A.fail_reasons(*_audited(spark, sf))
 
 
 # ---- one row ----------------------------------------------------------------
@@ -323,6 +354,21 @@ def repair_plan(spark, sf):
     return P.repair_plan(_repairs(spark, sf))
 
 
+@query(
+    "repair_plan_aliases",
+    with_audit(
+        f"""{REPAIR_SQL}, al AS (SELECT race_id FROM audit WHERE NOT {_FIELD_SQL["race_number"]} AND coalesce(race_number_source, '') NOT IN ('', 'race_number'))
+        SELECT action, reason, col AS "column", count(*) AS count FROM act GROUP BY 1, 2, 3
+        UNION ALL SELECT 'schema-review', 'alias-candidate', 'race_number', count(*) FROM al"""
+    ),
+)
+def repair_plan_aliases(spark, sf):
+    old, new = _two_sides(spark, sf)
+    decisions = P.refresh_decisions(old, new, "repair-missing", NOW)
+    records = P.repair_records(P.gap_records(audit_rows(spark, sf), A.ALIAS_SOURCES), decisions)
+    return P.repair_plan(records).select("action", "reason", "column", "count")
+
+
 @query(
     "repair_samples",
     with_audit(

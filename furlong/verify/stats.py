@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furlong.functions.racing import distance_band, month_season
+from furlong.operators import audit as A
 from furlong.operators import stats as S
-from furlong.verify.base import audit_rows, entries, query, r, races, runners, table, with_audit, with_entries, with_runners
+from furlong.verify.base import audit_grains, audit_rows, entries, query, r, races, runners, table, with_audit, with_entries, with_runners
 
 ID = ["race_id", "runner_no", "horse_id", "jockey_id"]
 ID_SQL = "race_id, runner_no, horse_id, jockey_id"
@@ -174,7 +175,30 @@ def date_coverage(spark, sf):
     return S.date_coverage(table(spark, sf, "orders").select(text.alias("day")), "day")
 
 
-_FIELD_SQL = {f: f"({f} IS NULL OR trim({f}) = '')" for f in S.CORE_FIELDS + S.RESULT_FIELDS + S.IMPORTANT_FIELDS}
+# How much each audited field is needed, written out here so that the SQL does not follow the operator.
+LEVELS = {
+    "race_id": "required",
+    "race_date": "required",
+    "venue": "required",
+    "race_number": "required",
+    "horse_id": "required",
+    "horse_name": "required",
+    "frame_number": "required",
+    "horse_number": "required",
+    "finish_position": "required_if_result",
+    "result_time": "required_if_result",
+    "margin": "required_if_result",
+    "odds": "important_warn",
+    "popularity": "important_warn",
+    "horse_weight": "important_warn",
+    "jockey": "important_warn",
+    "trainer": "important_warn",
+    "sire": "important_warn",
+    "dam": "important_warn",
+    "broodmare_sire": "important_warn",
+}
+REQUIRED = [f for f, level in LEVELS.items() if level != "important_warn"]
+_FIELD_SQL = {f: f"({f} IS NULL OR trim({f}) = '')" for f in LEVELS}
 _PLACED = "regexp_matches(trim(coalesce(finish_position, '')), '^[0-9]+$')"
 
 
@@ -195,33 +219,48 @@ def kind_sql(f):
 
 
 GAPS_SQL = "gaps AS (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS col, '{S.required_level(f)}' AS lev, {kind_sql(f)} AS kind, race_id || ':' || trim(horse_id) AS key FROM audit"
+    f"SELECT '{f}' AS col, '{LEVELS[f]}' AS lev, {kind_sql(f)} AS kind, race_id || ':' || trim(horse_id) AS key FROM audit"
     for f in _FIELD_SQL
 ) + ")"
 
 
+MISSINGNESS_SQL = f"""{GAPS_SQL}, al AS (SELECT 'race_number' AS col, race_number_source AS source, count(*) AS n FROM audit
+    WHERE NOT {_FIELD_SQL["race_number"]} AND race_number_source NOT IN ('', 'race_number') GROUP BY 2),
+  an AS (SELECT col, string_agg(source, ',' ORDER BY source) AS names, count(*) AS n_names, CAST(sum(n) AS BIGINT) AS n_rows FROM al GROUP BY 1),
+  m AS (SELECT col, lev, count(*) AS total, count(kind) AS miss, count(*) FILTER (kind = 'domain') AS dom,
+    count(*) FILTER (kind = 'derivable') AS der, count(*) FILTER (kind = 'true') AS tru FROM gaps GROUP BY 1, 2),
+  ex AS (SELECT col, string_agg(key, ',' ORDER BY key) FILTER (kind = 'true') AS keys, string_agg(key, ',' ORDER BY key) FILTER (kind = 'domain') AS dkeys,
+    string_agg(key, ',' ORDER BY key) FILTER (kind = 'derivable') AS vkeys FROM (SELECT col, kind, key, row_number() OVER (PARTITION BY col, kind ORDER BY key) AS rn
+    FROM (SELECT DISTINCT col, kind, key FROM gaps WHERE kind IS NOT NULL)) WHERE rn <= 5 GROUP BY col),
+  mis AS (SELECT m.col AS "column", lev AS required_level, total AS total_count, miss AS missing_count, dom AS domain_allowed_count, der AS derivable_count, tru AS true_missing_count,
+    round(miss / CAST(total AS DOUBLE), 6) AS missing_rate, round(tru / CAST(total AS DOUBLE), 6) AS true_missing_rate,
+    CASE WHEN lev = 'important_warn' THEN CASE WHEN tru > 0.1 * total THEN 'warn' ELSE 'pass' END WHEN tru > 0 THEN 'fail' WHEN miss > 0 THEN 'warn' ELSE 'pass' END AS severity,
+    coalesce(keys, '') AS example_keys, coalesce(dkeys, '') AS domain_example_keys, coalesce(vkeys, '') AS derivable_example_keys,
+    coalesce(names, '') AS alias_candidate, coalesce(n_names, 0) AS alias_count, coalesce(n_rows, 0) AS alias_rows
+    FROM m LEFT JOIN ex ON m.col = ex.col LEFT JOIN an ON m.col = an.col)"""
+
+
+@query("column_missingness", with_audit(f", {MISSINGNESS_SQL} SELECT * FROM mis"))
+def column_missingness(spark, sf):
+    return A.column_missingness(audit_grains(spark, sf))
+
+
 @query(
-    "column_missingness",
+    "alias_candidates",
     with_audit(
-        f""", {GAPS_SQL}, m AS (SELECT col, lev, count(*) AS total, count(kind) AS miss, count(*) FILTER (kind = 'domain') AS dom,
-          count(*) FILTER (kind = 'derivable') AS der, count(*) FILTER (kind = 'true') AS tru FROM gaps GROUP BY 1, 2),
-        ex AS (SELECT col, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT col, key, row_number() OVER (PARTITION BY col ORDER BY key) AS rn
-          FROM (SELECT DISTINCT col, key FROM gaps WHERE kind = 'true')) WHERE rn <= 5 GROUP BY col)
-        SELECT m.col AS "column", lev AS required_level, total AS total_count, miss AS missing_count, dom AS domain_allowed_count, der AS derivable_count, tru AS true_missing_count,
-          round(miss / CAST(total AS DOUBLE), 6) AS missing_rate, round(tru / CAST(total AS DOUBLE), 6) AS true_missing_rate,
-          CASE WHEN lev = 'important_warn' THEN CASE WHEN tru > 0.1 * total THEN 'warn' ELSE 'pass' END WHEN tru > 0 THEN 'fail' WHEN miss > 0 THEN 'warn' ELSE 'pass' END AS severity,
-          coalesce(keys, '') AS example_keys FROM m LEFT JOIN ex ON m.col = ex.col"""
+        f""" SELECT 'race_number' AS "column", race_number_source AS source, count(*) AS n_rows FROM audit
+        WHERE NOT {_FIELD_SQL["race_number"]} AND coalesce(race_number_source, '') NOT IN ('', 'race_number') GROUP BY 2"""
     ),
 )
-def column_missingness(spark, sf):
-    return S.column_missingness(audit_rows(spark, sf))
+def alias_candidates(spark, sf):
+    return A.alias_candidates(audit_grains(spark, sf)).withColumnRenamed("rows", "n_rows")
 
 
 @query(
     "group_missingness",
     with_audit(
         ", m AS (SELECT *, CASE WHEN "
-        + " OR ".join(_FIELD_SQL[f] for f in S.CORE_FIELDS + S.RESULT_FIELDS)
+        + " OR ".join(_FIELD_SQL[f] for f in REQUIRED)
         + " THEN 1 ELSE 0 END AS gap FROM audit) "
         + " UNION ALL ".join(
             f"SELECT '{k}' AS group_key, coalesce({k}, '') AS group_value, count(*) AS n_rows, CAST(sum(gap) AS BIGINT) AS n_missing, "
