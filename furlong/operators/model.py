@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from furlong.operators.prep import stable_unit
 from furlong.operators.skew import HOT_ROWS, column_quantiles, join_group_stats, ranked, value_ranks, with_row
 from furlong.operators.within_group import normalise
+from furlong.session import shared_dir
 
 FEATURES = "features"
 
@@ -121,9 +122,9 @@ def _fit(estimator, df: DataFrame, stages: Sequence, extra: Sequence[str]):
 
 
 def train_logistic(
-    df: DataFrame, stages: Sequence, label: str = "label", weight: str | None = None, max_iter: int = 20
+    df: DataFrame, stages: Sequence, label: str = "label", weight: str | None = None, max_iter: int = 20, tol: float = 1e-6
 ) -> PipelineModel:
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=max_iter)
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=max_iter, tol=tol)
     if weight:
         lr = lr.setWeightCol(weight)
     return _fit(Pipeline(stages=[*stages, lr]), df, stages, [label, weight])
@@ -194,6 +195,99 @@ def out_of_fold(df: DataFrame, stages: Sequence, race: str, label: str = "label"
     return out
 
 
+def fold_of(keys: Sequence[str], folds: int) -> Column:
+    """Fold 0..folds-1 from the MD5 of the keys, joined by |: the same in any engine, and whole groups stay together."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
+
+
+def running_margins(model, scored: DataFrame, out: str) -> DataFrame:
+    """Add the array of a boosted model's raw scores after its first tree, its first two trees, and so on."""
+    names = [f"_tree{i}" for i in range(len(model.trees))]
+    for tree, name in zip(model.trees, names):
+        scored = tree.setPredictionCol(name).transform(scored)
+    terms = F.array(*[F.col(n) * float(w) for n, w in zip(names, model.treeWeights)])
+    sums = F.transform(
+        F.sequence(F.lit(1), F.lit(len(names))),
+        lambda k: F.aggregate(F.slice(terms, F.lit(1), k), F.lit(0.0), lambda a, x: a + x),
+    )
+    return scored.withColumn(out, sums).drop(*names)
+
+
+class TreeSearch:
+    """Group folds over boosted trees with a grid of depths; the number of rounds comes from the same fits.
+
+    Each (fold, depth) is fitted once, for ``rounds`` rounds, on the other folds, its preparation stages too. The held
+    fold gets the scores after every round, and all of them are written once: losses of every (depth, rounds) and the
+    out-of-fold scores of the best one are read from that table, with no further fit. Rows of one race
+    are in one fold. A fold whose complement lacks rows raises, as there is nothing to fit.
+
+    losses: (depth, rounds, fold, n, loss), the log loss, or the squared error of a regression.
+    """
+
+    def __init__(
+        self, df: DataFrame, stages: Sequence, race: str = "race_id", label: str = "label", folds: int = 5,
+        depths: Sequence[int] = (3, 5), rounds: int = 20, regression: bool = False, seed: int = 42,
+    ):
+        self.stages, self.label, self.folds, self.regression, self.seed = list(stages), label, folds, regression, seed
+        path = shared_dir(df.sparkSession, "folds")
+        folded = df.withColumn("fold", fold_of([race], folds))
+        for k in range(folds):
+            rest = _needed(folded.filter(F.col("fold") != k), stages, [label])
+            try:
+                prep = Pipeline(stages=self.stages).fit(rest)
+                ready = prep.transform(rest).select(FEATURES, label).persist()
+                scored = prep.transform(folded.filter(F.col("fold") == k))
+                made = []
+                for d in depths:
+                    kind = GBTRegressor if regression else GBTClassifier
+                    gbt = kind(featuresCol=FEATURES, labelCol=label, maxIter=rounds, maxDepth=d, seed=seed)
+                    scored = running_margins(gbt.fit(ready), scored, f"_m{d}")
+                    made.append(F.struct(F.lit(d).alias("depth"), F.col(f"_m{d}").alias("margins")))
+                scored.select(*df.columns, "fold", F.array(*made).alias("_points")).write.mode("append").parquet(path)
+                ready.unpersist()
+            finally:
+                rest.unpersist()
+        self.columns = df.columns
+        self.table = df.sparkSession.read.parquet(path)
+
+    def score(self, margin: Column) -> Column:
+        return margin if self.regression else 1 / (1 + F.exp(-2 * margin))
+
+    def losses(self) -> DataFrame:
+        y = F.col(self.label).cast("double")
+        points = self.table.select("fold", y.alias("_y"), F.explode("_points").alias("p")).select(
+            "fold", "_y", F.col("p.depth").alias("depth"), F.posexplode("p.margins").alias("at", "margin")
+        )
+        if self.regression:
+            loss = (F.col("margin") - F.col("_y")) * (F.col("margin") - F.col("_y"))
+        else:
+            loss = F.ln(1 + F.exp(-2 * (2 * F.col("_y") - 1) * F.col("margin")))
+        return points.groupBy("depth", (F.col("at") + 1).alias("rounds"), "fold").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss")
+        )
+
+    def best(self) -> tuple[int, int]:
+        """(depth, rounds) with the least mean loss over the folds; ties go to fewer rounds, then less depth."""
+        mean = self.losses().groupBy("depth", "rounds").agg(F.avg("loss").alias("loss"))
+        top = mean.agg(F.min(F.struct("loss", "rounds", "depth")).alias("b")).first()["b"]
+        return top["depth"], top["rounds"]
+
+    def out_of_fold(self, out: str = "oof", point: tuple[int, int] | None = None) -> DataFrame:
+        """The rows with their fold and the score of a model that has not seen their race."""
+        depth, rounds = point or self.best()
+        of_depth = F.filter("_points", lambda p: p["depth"] == depth)[0]["margins"]
+        return self.table.select(*self.columns, "fold", self.score(F.get(of_depth, F.lit(rounds - 1))).alias(out))
+
+    def fit(self, df: DataFrame, point: tuple[int, int] | None = None) -> PipelineModel:
+        """The model on all rows, with rounds scaled up by folds / (folds - 1) as it learns from more of them."""
+        depth, rounds = point or self.best()
+        return train_trees(
+            df, self.stages, self.label, self.regression, max_iter=int(rounds * self.folds / (self.folds - 1)),
+            max_depth=depth, seed=self.seed,
+        )
+
+
 def ev_weights(
     scored: DataFrame, probability: str = "oof", odds: str = "odds", center: float = 0.0, tau: float = 0.5, out: str = "weight"
 ) -> DataFrame:

@@ -261,6 +261,106 @@ def cross_validate(spark, sf):
     return _report("best of grid", M.win_probability(cv.bestModel.transform(test)))
 
 
+_FOLD_SQL = "('0x' || substr(md5(CAST(race_id AS VARCHAR)), 1, 8))::BIGINT % 5"
+
+
+def _tree_search(spark, sf):
+    train, _ = _split(spark, sf)
+    return M.TreeSearch(train, M.prep_stages(NUMERIC, CATEGORIES), folds=5, depths=(2, 4), rounds=6)
+
+
+@query(
+    "cross_validate_trees",
+    with_runners(
+        f"""{_SPLIT_SQL} SELECT CAST(fold AS INTEGER) AS fold, depth, CAST(rounds AS INTEGER) AS rounds, n, races, TRUE AS beats_even_odds
+        FROM (SELECT {_FOLD_SQL} AS fold, count(*) AS n, count(DISTINCT race_id) AS races FROM train GROUP BY 1), (VALUES (2), (4)) d(depth), range(1, 7) r(rounds)"""
+    ),
+)
+def cross_validate_trees(spark, sf):
+    search = _tree_search(spark, sf)
+    races = search.table.groupBy("fold").agg(F.count_distinct("race_id").alias("races"))
+    return search.losses().join(races, "fold").select(
+        "fold", "depth", "rounds", "n", "races", (F.col("loss") < F.ln(F.lit(2.0))).alias("beats_even_odds")
+    )
+
+
+@query(
+    "ev_weights_trees",
+    with_runners(
+        f"""{_SPLIT_SQL} SELECT CAST({_FOLD_SQL} AS INTEGER) AS fold, count(*) AS n, TRUE AS in_range, TRUE AS ranks, TRUE AS beats_base_rate,
+        1.0::DOUBLE AS mean_weight FROM train GROUP BY 1"""
+    ),
+)
+def ev_weights_trees(spark, sf):
+    scored = _tree_search(spark, sf).out_of_fold()
+    p, y = F.col("oof"), F.col("label")
+    per_fold = scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), (F.min(p.between(0, 1).cast("int")) == 1).alias("in_range"),
+        (F.corr("oof", "label") > 0.1).alias("ranks"), (M.brier("oof", "label") < F.var_pop(y)).alias("beats_base_rate"),
+    )
+    return M.with_row(per_fold, M.ev_weights(scored).agg(F.round(F.avg("weight"), 6).alias("mean_weight")))
+
+
+_CELLS_SQL = """, y AS (SELECT *, CASE WHEN CAST(floor(price) AS BIGINT) % 100 < CASE surface WHEN 'A' THEN 30 WHEN 'N' THEN 45 ELSE 60 END
+   + CASE WHEN venue < '3' THEN 10 ELSE 0 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM runners)"""
+
+
+def _cells(spark, sf):
+    """A label that SQL can make too, and that leans on two categories."""
+    share = F.when(F.col("surface") == "A", 30).when(F.col("surface") == "N", 45).otherwise(60)
+    y = F.floor("price") % 100 < share + F.when(F.col("venue") < "3", 10).otherwise(0)
+    return runners(spark, sf).withColumn("label", y.cast("double"))
+
+
+@query(
+    "logistic_moments",
+    with_runners(
+        f"""{_CELLS_SQL} SELECT 'surface' AS feature, surface AS value, count(*) AS n, round(avg(label), 4) AS mean_probability FROM y GROUP BY 2
+        UNION ALL SELECT 'venue', venue, count(*), round(avg(label), 4) FROM y GROUP BY 2"""
+    ),
+)
+def logistic_moments(spark, sf):
+    """At the maximum of the likelihood the scores of every category sum to its labels; any other fit differs."""
+    df = _cells(spark, sf)
+    model = M.train_logistic(df, M.prep_stages([], CATEGORIES), max_iter=200, tol=1e-10)
+    scored = M.win_probability(model.transform(df))
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in CATEGORIES])
+    return scored.select("probability_1", F.explode(each).alias("c")).groupBy("c.feature", "c.value").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("probability_1"), 4).alias("mean_probability")
+    )
+
+
+@query(
+    "tree_cells",
+    with_runners("SELECT surface, count(*) AS n, round(avg(price), 4) AS lowest, round(avg(price), 4) AS highest FROM runners GROUP BY 1"),
+)
+def tree_cells(spark, sf):
+    """Trees deep enough to part all categories predict the mean of each."""
+    df = runners(spark, sf).withColumn("price", F.col("price").cast("double"))
+    model = M.train_trees(df, M.prep_stages([], ["surface"]), label="price", regression=True, max_iter=2, max_depth=3)
+    out = model.transform(df).groupBy("surface")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("prediction"), 4).alias("lowest"), F.round(F.max("prediction"), 4).alias("highest")
+    )
+
+
+@query(
+    "calibrate_steps",
+    with_runners(
+        f"""{_CELLS_SQL}, g AS (SELECT CAST(qty AS DOUBLE) AS score, sum(label) AS s, count(*) AS c FROM y GROUP BY 1),
+        c AS (SELECT score, sum(s) OVER w AS cs, sum(c) OVER w AS cc, sum(s) OVER w - s AS bs, sum(c) OVER w - c AS bc FROM g WINDOW w AS (ORDER BY score)),
+        ab AS (SELECT a.score AS lo, b.score AS hi, (b.cs - a.bs) / CAST(b.cc - a.bc AS DOUBLE) AS m FROM c a JOIN c b ON b.score >= a.score),
+        low AS (SELECT x.score, ab.lo, min(m) AS m FROM c x JOIN ab ON ab.lo <= x.score AND ab.hi >= x.score GROUP BY 1, 2)
+        SELECT score, round(max(m), 6) AS calibrated FROM low GROUP BY 1"""
+    ),
+)
+def calibrate_steps(spark, sf):
+    """Every step of the isotonic curve; the SQL is its definition: the largest of the least means around a score."""
+    df = _cells(spark, sf).withColumn("score", F.col("qty").cast("double"))
+    curve = M.calibrator_column(M.fit_calibrator(df, "score", "label"))
+    return df.select("score").distinct().select("score", F.round(curve(F.col("score")), 6).alias("calibrated"))
+
+
 @query("calibrate", with_runners(f"{_SPLIT_SQL} SELECT count(*) AS n, TRUE AS in_range, TRUE AS improved FROM test"))
 def calibrate(spark, sf):
     train, test = _split(spark, sf)
