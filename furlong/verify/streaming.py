@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furlong.functions import arrays as A
+from furlong.operators import model as M
 from furlong.plans import features as P
+from furlong.plans import predict as W
 from furlong.plans.partitioned import partitioned_build
 from furlong.session import shared_dir
 from furlong.sources.keyed import KeyedTable
@@ -296,3 +298,43 @@ def feature_pipeline(spark, sf):
     # smoothed rates end in a 5 at the seventh digit too often to be rounded there
     digits = {"odds_z_in_race": 4} | {c: 12 for c in made if c.endswith("_smooth")}
     return out.select(*ID, *[r(c, digits.get(c, 6)) if kinds[c] == "double" else c for c in made])
+
+
+# ---- from history to expected value -----------------------------------------
+
+_CUT = "1998-06-01"
+_CURVE = ([0.1, 0.3, 0.6], [0.05, 0.25, 0.45])
+
+
+def _predict_sql():
+    chain = ", a AS MATERIALIZED " + prior_sql("jockey_id, venue", f"{WON} AS jw; count(*) AS jn", "src")
+    chain += ", b AS MATERIALIZED " + prior_sql("horse_id, surface", f"{WON} AS hw; count(*) AS hn", "a")
+    chain += ", c AS MATERIALIZED " + prior_sql("trainer_id", f"{WON} AS tw; count(*) AS tn", "b")
+    return with_runners(
+        f""", src AS MATERIALIZED (SELECT * REPLACE (CASE WHEN race_date < DATE '{_CUT}' THEN finish END AS finish) FROM runners){chain},
+        s AS (SELECT *, round(0.1137::DOUBLE + 2 * CASE WHEN jn > 0 THEN jw / CAST(jn AS DOUBLE) ELSE 0.0 END + CASE WHEN hn > 0 THEN hw / CAST(hn AS DOUBLE) ELSE 0.0 END + 0.05::DOUBLE * (runner_no % 3), 9) AS raw,
+          round(0.2219::DOUBLE + 3 * (tw + 0.375::DOUBLE) / (tn + 5) - 0.01::DOUBLE * runner_no, 9) AS pl FROM c WHERE race_date >= DATE '{_CUT}'),
+        k AS (SELECT *, greatest(least(raw, 1.0), 0.0) AS x, greatest(least(pl, 1.0), 0.0) AS y FROM s),
+        q AS (SELECT *, round(CASE WHEN x <= 0.1 THEN 0.05::DOUBLE WHEN x <= 0.3 THEN 0.05::DOUBLE + (x - 0.1) * (0.2::DOUBLE / 0.2) WHEN x <= 0.6 THEN 0.25::DOUBLE + (x - 0.3) * (0.2::DOUBLE / 0.3) ELSE 0.45::DOUBLE END, 9) AS p FROM k),
+        n AS (SELECT *, p / sum(p) OVER w AS pn, y / sum(y) OVER w AS ps FROM q WINDOW w AS (PARTITION BY race_id)),
+        e AS (SELECT *, 0.6::DOUBLE * pn + 0.4::DOUBLE * ps AS m FROM n)
+        SELECT {", ".join(ID)}, raw AS p_raw, round(pn, 6) AS p_norm, CAST(rank() OVER (PARTITION BY race_id ORDER BY p DESC) AS BIGINT) AS predicted_rank,
+          round(m / sum(m) OVER (PARTITION BY race_id), 6) AS p_ensemble, round(CASE WHEN runner_no <> 5 THEN pn * odds END, 8) AS expected_value FROM e"""
+    )
+
+
+@query("predict_races", _predict_sql())
+def predict_races(spark, sf):
+    df = runners(spark, sf)
+    cut = F.lit(_CUT).cast("date")
+    history = df.filter(F.col("race_date") < cut)
+    entries = df.filter(F.col("race_date") >= cut).withColumn("odds", F.when(F.col("runner_no") != 5, F.col("odds")))
+    features = W.target_features(entries, history, TIE)
+    raw = 0.1137 + 2 * F.col("jockey_course_win_rate") + F.col("horse_surface_win_rate") + 0.05 * (F.col("runner_no") % 3)
+    place = 0.2219 + 3 * F.col("trainer_win_rate_smooth") - 0.01 * F.col("runner_no")
+    curve = M.piecewise(*_CURVE)
+    out = W.predict_races(
+        features, W.Scorer.of_column(F.round(raw, 9), calibrator=lambda p: F.round(curve(p), 9)),
+        W.Scorer.of_column(F.round(place, 9), "place3"),
+    )
+    return out.select(*ID, "p_raw", r("p_norm"), "predicted_rank", r("p_ensemble"), r("expected_value", 8))
