@@ -30,6 +30,25 @@ def found_ids(html: Column, patterns: Sequence[str]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(*hits)), lambda x: x != "")))
 
 
+# Bet types by how many runners they name and whether their order counts.
+BET_ODDS = {"win": (1, True), "quinella": (2, False), "exacta": (2, True), "trio": (3, False), "trifecta": (3, True)}
+
+
+def two_digits(n: Column) -> Column:
+    text = n.cast("string")
+    return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
+
+
+def odds_of_bet(html: Column, bet_type: str) -> Column:
+    """Odds of a bet type by key; a key that the page shows again has its last odds."""
+    cells = odds_cells(html, *BET_ODDS[bet_type])
+    numbered = F.transform(cells, lambda c, i: F.struct(c["key"].alias("key"), i.alias("at"), c["odds"].alias("odds")))
+    last = F.filter(
+        numbered, lambda c: ~F.exists(F.slice(numbered, c["at"] + 2, F.size(numbered)), lambda d: d["key"] == c["key"])
+    )
+    return F.transform(last, lambda c: F.struct(c["key"].alias("key"), c["odds"].alias("odds")))
+
+
 def odds_cells(html: Column, legs: int, ordered: bool) -> Column:
     """Array of (key, odds); keys are two-digit runner numbers, sorted where order does not matter."""
     pattern = F.lit("(?i)" + ODDS_CELL.format(numbers=ODDS_NUMBERS[legs]))
@@ -37,8 +56,8 @@ def odds_cells(html: Column, legs: int, ordered: bool) -> Column:
     odds = F.regexp_extract_all(html, pattern, 2)
 
     def key(k: Column) -> Column:
-        numbers = F.transform(F.split(k, ","), lambda x: F.lpad(F.ltrim(x, F.lit("0")), 2, "0"))
-        return F.array_join(numbers if ordered else F.array_sort(numbers), ",")
+        numbers = F.transform(F.split(k, ","), lambda x: x.cast("decimal(38,0)"))
+        return F.array_join(F.transform(numbers if ordered else F.array_sort(numbers), two_digits), ",")
 
     return F.transform(
         F.arrays_zip(keys.alias("k"), odds.alias("o")),

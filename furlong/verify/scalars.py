@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import arrays as A
 from furlong.functions import pages as P
+from furlong.functions.race_page import race_fields
 from furlong.functions import racing as R
 from furlong.functions import text as T
 from furlong.operators.history import has_history, smooth_rate
@@ -724,6 +725,57 @@ def extract_odds(spark, sf):
     )
 
 
+@query(
+    "extract_odds_by_bet",
+    with_entries(
+        """, c AS (SELECT race_id, list_transform(range(1, 4), lambda k: CAST((CAST(qty AS INTEGER) * k + runner_no) % 120 AS BIGINT)) AS n, runner_no, row_number() OVER (PARTITION BY race_id ORDER BY runner_no, horse_id, jockey_id, price, qty, discount, tax) AS pos FROM entries),
+        k AS (SELECT race_id, pos, runner_no + 0.5::DOUBLE AS odds, bet, CASE WHEN bet IN ('quinella', 'trio') THEN list_sort(n[1:legs]) ELSE n[1:legs] END AS ns
+          FROM c, (VALUES ('win', 1), ('quinella', 2), ('exacta', 2), ('trio', 3), ('trifecta', 3)) b(bet, legs)),
+        s AS (SELECT race_id, bet, pos, odds, array_to_string(list_transform(ns, lambda x: CASE WHEN x < 10 THEN '0' ELSE '' END || CAST(x AS VARCHAR)), ',') AS key FROM k)
+        SELECT race_id, bet AS bet_type, key, arg_max(odds, pos) AS odds FROM s GROUP BY ALL"""
+    ),
+)
+def extract_odds_by_bet(spark, sf):
+    """One page for each race with a row of cells for every runner, whose keys meet again on the page."""
+    n = [F.format_string("%d", ((F.col("qty").cast("int") * k + F.col("runner_no")) % 120).cast("bigint")) for k in (1, 2, 3)]
+    odds = F.concat(F.lit("</td>\n<TD class=\"oddsvalue\">"), F.col("runner_no"), F.lit(".5</TD></tr>"))
+    cells = F.concat(*[x for m in (1, 2, 3) for x in (F.lit("<tr><td>"), F.concat_ws(",", *n[:m]), odds)])
+    order = ["runner_no", "horse_id", "jockey_id", "price", "qty", "discount", "tax"]
+    pages = entries(spark, sf).groupBy("race_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("cells")))), lambda x: x["cells"]), "").alias("html")
+    )
+    kinds = F.array(*[F.struct(F.lit(b).alias("bet_type"), P.odds_of_bet(F.col("html"), b).alias("cells")) for b in P.BET_ODDS])
+    return pages.select("race_id", F.explode(kinds).alias("k")).select(
+        "race_id", "k.bet_type", F.explode("k.cells").alias("c")
+    ).select("race_id", "bet_type", "c.key", "c.odds")
+
+
+_RACE_PAGE = (
+    """concat('<html><title>t</title><h1> </h1><h1>', CASE o_orderkey % 4 WHEN 0 THEN '東京特別' WHEN 1 THEN concat('夏の障害 ', 2000 + o_orderkey % 9 * 100, 'm') WHEN 2 THEN '3歳未勝利' ELSE '記念(G2)' END, '</h1>',
+      CASE WHEN o_orderkey % 4 < 3 THEN concat('<div class="x mainrace_data"><span>', CASE o_orderkey % 4 WHEN 0 THEN concat('芝右外', 1000 + o_orderkey % 9 * 100, 'm') WHEN 1 THEN '距離不明' ELSE concat('直線 ダート 距離 ', 1200 + o_orderkey % 5 * 100, 'ｍ') END,
+        '</span> / 天候 : ', CASE WHEN o_custkey % 2 = 0 THEN '晴' ELSE '小雨' END, ' / ', CASE o_orderkey % 4 WHEN 0 THEN '芝 : 良' ELSE '馬場：稍重' END, ' / 発走 : ', 9 + o_orderkey % 8, ':05</div>') ELSE '' END,
+      CASE WHEN o_custkey % 3 > 0 THEN concat('<p class="smalltxt">', date_format(o_orderdate, 'yyyy'), '年', month(o_orderdate), '月', day(o_orderdate), '日 ', o_custkey % 7 + 1, '回東京', o_custkey % 12 + 1, '日目 1勝クラス</p>') ELSE '' END, '</html>')"""
+)
+
+
+@query(
+    "race_page_fields",
+    """WITH o AS (SELECT *, o_orderkey % 4 AS v, o_custkey % 3 > 0 AS small FROM orders)
+    SELECT o_orderkey AS page_id, CASE v WHEN 0 THEN '東京特別' WHEN 1 THEN '夏の障害 ' || (2000 + o_orderkey % 9 * 100) || 'm' WHEN 2 THEN '3歳未勝利' ELSE '記念(G2)' END AS race_name,
+      CASE v WHEN 0 THEN '芝' WHEN 1 THEN '障害' WHEN 2 THEN 'ダート' END AS surface,
+      CAST(CASE v WHEN 0 THEN 1000 + o_orderkey % 9 * 100 WHEN 1 THEN 2000 + o_orderkey % 9 * 100 WHEN 2 THEN 1200 + o_orderkey % 5 * 100 END AS INTEGER) AS distance,
+      CASE WHEN v < 3 THEN CASE WHEN o_custkey % 2 = 0 THEN '晴' ELSE '小雨' END END AS weather, CASE v WHEN 0 THEN '良' WHEN 1 THEN '稍重' WHEN 2 THEN '稍重' END AS going,
+      CASE WHEN small THEN strftime(o_orderdate, '%Y%m%d') END AS race_date, CASE WHEN v < 3 THEN (9 + o_orderkey % 8) || ':05' END AS post_time,
+      CASE WHEN v = 2 THEN '未勝利' WHEN v = 3 THEN 'G2' WHEN small THEN '1勝クラス' WHEN v = 0 THEN 'オープン' ELSE '不明' END AS race_class,
+      CASE WHEN small THEN CAST(o_custkey % 7 + 1 AS INTEGER) END AS meeting, CASE WHEN small THEN CAST(o_custkey % 12 + 1 AS INTEGER) END AS meeting_day,
+      CASE v WHEN 0 THEN '右外' WHEN 2 THEN '直線' END AS direction FROM o""",
+)
+def race_page_fields(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_RACE_PAGE).alias("html")).transform(
+        lambda df: race_fields(df, F.col("html")).drop("html")
+    )
+
+
 PAGE_RULES = {
     "title": [r"<h1[^>]*>([^<]*)</h1>", r"<title>([^<]*)</title>"],
     "lang": [r'<html[^>]*lang="([a-z]+)"', r'<meta[^>]*language[^>]*content="([a-z]+)"'],
