@@ -5,9 +5,10 @@ features are the tags around it, words of their class, id and role names, and pr
 text. The field labels each block as article or not; weights are learned from labelled pages and
 the best labelling is found by Viterbi.
 
-Labelled pages come from a bounded sample of the table. Pages with an article or main element label
-themselves; each sample page's paragraphs are also laid out anew in known ways (other containers,
-menus, notices, adverts, forms, sidebars, reader comments), so that the labels are known.
+Labelled pages come from a bounded sample of the table: whole pages with an article or main element, which
+label themselves. Each one's paragraphs are also laid out anew in known ways (other containers, menus, notices,
+adverts, forms, sidebars, reader comments), so that the labels are known. Where no page labels itself, only such
+layouts are learned from, with the paragraphs of the sample, or made-up ones if it has none.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ from pyspark.sql import functions as F
 NAME = "op4_article_text"
 SQL = None
 SAMPLE_PAGES = 150
+SAMPLE_CHARS = 50_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|(<)|([^<]+)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # fixed values: element kinds of the HTML standard
-_SILENT = frozenset("script style noscript template textarea title iframe svg math object select option canvas audio video".split())
+_SILENT = frozenset("script style noscript template textarea title iframe svg annotation select option canvas audio video".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr svg object math annotation semantics mi mo mn ms mtext mrow mfrac msqrt "
+    "mroot msup msub msubsup mover munder munderover mstyle mpadded mfenced".split()
 )
 _CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -130,7 +133,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag == "br":
             text.append(" ")
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE and not silent:
             close_block()
         if slash:
             if any(t == tag for t, _ in stack):
@@ -217,39 +220,37 @@ class Field:
         return "\n".join(b.text for b, y in zip(blocks, self.labels(blocks), strict=True) if y)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, penalty: float = 0.0005) -> Field:
-    """Maximum likelihood with an L2 penalty, by gradient steps with adaptive rates (Adam).
-
-    All pages are padded to one length, and forward-backward runs over all of them at once.
-    """
-    pages = [p for p in pages if p[0]]
-    names = sorted({f for blocks, _ in pages for b in blocks for f in b.features})
-    place = {f: k for k, f in enumerate(names)}
-    n, longest = len(pages), max((len(b) for b, _ in pages), default=0)
-    if not n:
-        return Field([], np.zeros(0), np.zeros((2, 2)), np.zeros((2, 2)))
-    size = np.array([len(b) for b, _ in pages])
-    gold = np.zeros((n, longest), dtype=np.int64)
-    row, col, feature = [], [], []
-    for i, (blocks, labels) in enumerate(pages):
-        gold[i, : len(labels)] = labels
-        for t, b in enumerate(blocks):
-            for f in b.features:
-                row.append(i), col.append(t), feature.append(place[f])
-    row, col, feature = (np.array(x) for x in (row, col, feature))
-    valid = np.arange(longest)[None, :] < size[:, None]
-    theta = np.zeros(len(names) + 8)
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    seen_pairs = np.zeros((2, 2))
-    both = valid[:, 1:]
-    np.add.at(seen_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    last = size - 1
-    seen_ends = np.stack([np.bincount(gold[:, 0], minlength=2), np.bincount(gold[np.arange(n), last], minlength=2)])
-    seen = np.bincount(feature, weights=gold[row, col], minlength=len(names))
-    for step in range(1, rounds + 1):
-        w, pairs, ends = theta[: len(names)], theta[len(names) : -4].reshape(2, 2), theta[-4:].reshape(2, 2)
+class Pages:
+    """Labelled pages of about one length, padded to the longest, with what a step of the training needs."""
+
+    def __init__(self, pages: list[tuple[list[Block], list[int]]], place: dict[str, int]):
+        n, longest = len(pages), max(len(b) for b, _ in pages)
+        self.n, self.longest, self.features = n, longest, len(place)
+        size = np.array([len(b) for b, _ in pages])
+        gold = np.zeros((n, longest), dtype=np.int64)
+        row, col, feature = [], [], []
+        for i, (blocks, labels) in enumerate(pages):
+            gold[i, : len(labels)] = labels
+            for t, b in enumerate(blocks):
+                for f in b.features:
+                    row.append(i), col.append(t), feature.append(place[f])
+        self.row, self.col, self.feature = (np.array(x) for x in (row, col, feature))
+        self.valid = np.arange(longest)[None, :] < size[:, None]
+        self.last = size - 1
+        both = self.valid[:, 1:]
+        seen_pairs = np.zeros((2, 2))
+        np.add.at(seen_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        ends = [np.bincount(gold[:, 0], minlength=2), np.bincount(gold[np.arange(n), self.last], minlength=2)]
+        seen = np.bincount(self.feature, weights=gold[self.row, self.col], minlength=self.features)
+        self.seen = np.concatenate([seen, seen_pairs.ravel(), np.stack(ends).ravel()])
+
+    def expected(self, theta: np.ndarray) -> np.ndarray:
+        """What the field expects of features, label pairs and ends, by forward-backward over all pages at once."""
+        n, longest, last, valid = self.n, self.longest, self.last, self.valid
+        w, pairs, ends = theta[: self.features], theta[self.features : -4].reshape(2, 2), theta[-4:].reshape(2, 2)
         score = np.zeros((n, longest, 2))
-        score[:, :, 1] = np.bincount(row * longest + col, weights=w[feature], minlength=n * longest).reshape(n, longest)
+        own = np.bincount(self.row * longest + self.col, weights=w[self.feature], minlength=n * longest)
+        score[:, :, 1] = own.reshape(n, longest)
         fore, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         fore[:, 0] = score[:, 0] + ends[0]
         for t in range(1, longest):
@@ -262,15 +263,32 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, penalty
         total = np.logaddexp.reduce(fore[np.arange(n), last] + ends[1], axis=1)
         node = np.exp(fore + back - total[:, None, None]) * valid[:, :, None]
         edge = fore[:, :-1, :, None] + pairs[None, None] + (score[:, 1:] + back[:, 1:])[:, :, None, :]
-        edge = np.exp(edge - total[:, None, None, None]) * both[:, :, None, None]
-        slope = np.concatenate(
-            [
-                seen - np.bincount(feature, weights=node[row, col, 1], minlength=len(names)),
-                (seen_pairs - edge.sum(axis=(0, 1))).ravel(),
-                (seen_ends - np.stack([node[:, 0].sum(axis=0), node[np.arange(n), last].sum(axis=0)])).ravel(),
-            ]
-        )
-        slope = slope / n - penalty * theta
+        edge = np.exp(edge - total[:, None, None, None]) * valid[:, 1:, None, None]
+        of_features = np.bincount(self.feature, weights=node[self.row, self.col, 1], minlength=self.features)
+        of_ends = np.stack([node[:, 0].sum(axis=0), node[np.arange(n), last].sum(axis=0)])
+        return np.concatenate([of_features, edge.sum(axis=(0, 1)).ravel(), of_ends.ravel()])
+
+
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, penalty: float = 0.0005) -> Field:
+    """Maximum likelihood with an L2 penalty, by gradient steps with adaptive rates (Adam).
+
+    Pages are worked in groups whose lengths lie between two powers of two, so that a long page does not
+    pad the others.
+    """
+    pages = [p for p in pages if p[0]]
+    names = sorted({f for blocks, _ in pages for b in blocks for f in b.features})
+    if not pages:
+        return Field([], np.zeros(0), np.zeros((2, 2)), np.zeros((2, 2)))
+    place = {f: k for k, f in enumerate(names)}
+    lengths: dict[int, list[tuple[list[Block], list[int]]]] = {}
+    for p in pages:
+        lengths.setdefault(max(len(p[0]), 32).bit_length(), []).append(p)
+    groups = [Pages(group, place) for _, group in sorted(lengths.items())]
+    seen = sum(g.seen for g in groups)
+    theta = np.zeros(len(names) + 8)
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        slope = (seen - sum(g.expected(theta) for g in groups)) / len(pages) - penalty * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta = theta + 0.2 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return Field(names, theta[: len(names)], theta[len(names) : -4].reshape(2, 2), theta[-4:].reshape(2, 2))
@@ -331,7 +349,7 @@ def laid_out(texts: list[str], rng: random.Random) -> tuple[list[Block], list[in
         def one(m: re.Match) -> str:
             words = rng.choice(texts).split()
             if m[1] == "long":
-                return html.escape(" ".join(words[:120]))
+                return html.escape(" ".join(words))
             if m[1] == "short":
                 return html.escape(" ".join(words[: rng.randint(1, 6)]))
             return "".join(f'<li><a href="/x">{html.escape(w)}</a></li>' for w in words[: rng.randint(2, 8)])
@@ -353,25 +371,51 @@ def laid_out(texts: list[str], rng: random.Random) -> tuple[list[Block], list[in
     return blocks, [int(mark in b.text) for b in blocks]
 
 
+def made_up(rng: random.Random) -> list[str]:
+    """Paragraphs of no meaning, for a sample without any."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    return [" ".join(word() for _ in range(rng.choice((3, 9, 25, 60)))) + rng.choice((".", ".", "")) for _ in range(12)]
+
+
 def labelled_pages(sample: list[str | None], seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+    """Each page of the sample that labels itself, whole, and three layouts of its paragraphs.
+
+    If none does, the layouts of every page's paragraphs of 13 words or more; if there are none, of made-up ones.
+    """
     rng = random.Random(seed)
     out = []
     for page in sample:
         own = self_labelled(page)
-        texts = [b.text for b, y in zip(*own, strict=True) if y][:40] if own else []
+        texts = [b.text for b, y in zip(*own, strict=True) if y] if own else []
         if own:
-            out.append((own[0][:60], own[1][:60]))
+            out.append(own)
         out += [laid_out(texts, rng) for _ in range(3)] if texts else []
-    return out
+    if out:
+        return out
+    for page in sample:
+        texts = [b.text for b in leaf_blocks(page) if len(b.text.split()) > 12]
+        out += [laid_out(texts, rng) for _ in range(3)] if texts else []
+    return out or [laid_out(made_up(rng), rng) for _ in range(300)]
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Field:
-    """A field trained on at most sample_pages pages, those with the least hash of their html."""
-    rows = pages.filter(F.col(html_col).isNotNull()).select(html_col)
+def fit(
+    pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS
+) -> Field:
+    """A field trained on at most sample_pages whole pages of at most sample_chars characters.
+
+    Pages with an article or main element come first, then those with the least hash of their html.
+    """
+    marked = F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")
+    rows = pages.filter(F.length(html_col) <= sample_chars).select(
+        html_col, F.struct((~marked).cast("int").alias("u"), F.xxhash64(html_col).alias("x")).alias("h")
+    )
     # first the hashes alone, so that tasks send no pages which are not taken
-    least = rows.select(F.xxhash64(html_col).alias("h")).distinct().orderBy("h").limit(sample_pages)
-    last = least.agg(F.max("h")).first()[0]
-    taken = rows.filter(F.xxhash64(html_col) <= F.lit(last)).distinct()
+    last = rows.select("h").distinct().orderBy("h").limit(sample_pages).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return train(labelled_pages([]))
+    least = F.struct(F.lit(last["u"]).alias("u"), F.lit(last["x"]).cast("bigint").alias("x"))
+    taken = rows.filter(F.col("h") <= least).select(html_col).distinct()
     sample = sorted(taken.limit(sample_pages).collect())
     return train(labelled_pages([r[0] for r in sample]))
 
