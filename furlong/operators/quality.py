@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions.text import int_or_null, number_or_null, version_key
-from furlong.operators.skew import column_value_counts, quantiles, stored_ranges, with_row
+from furlong.operators.skew import column_value_counts, quantiles, stored_ranges
 from furlong.operators.stats import (
     CORE_FIELDS,
     IMPORTANT_FIELDS,
