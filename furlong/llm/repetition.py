@@ -103,11 +103,12 @@ def _repeated_windows(words: Words, n: int) -> np.ndarray:
 def _dup_lines(texts: Texts, words: Words) -> np.ndarray:
     """Per text, how many lines with a word are equal to an earlier line."""
     breaks = np.flatnonzero(texts.data == 0x0A)
-    cut = np.union1d(breaks, texts.at[:-1] - 1)
-    starts = cut + 1
-    ends = np.minimum(np.append(cut[1:], len(texts.data)), len(texts.data))
+    starts = np.union1d(breaks + 1, texts.at[:-1])
+    starts = starts[starts < len(texts.data)]
     line_text = np.searchsorted(texts.at, starts, side="right") - 1
-    ends = np.minimum(ends, texts.at[np.minimum(line_text + 1, len(texts))])
+    # a line ends before the next break, the last one of a text where the text ends
+    ends = np.append(breaks, len(texts.data))[np.searchsorted(breaks, starts)]
+    ends = np.minimum(ends, texts.at[line_text + 1])
     has_word = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     keep = has_word & (starts < ends)
     starts, ends, line_text = starts[keep], ends[keep], line_text[keep]
