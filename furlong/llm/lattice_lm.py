@@ -7,9 +7,14 @@ recursion over the bytes of each word gives the probability of the word summed o
 text's probability is the product over its words, each times the learned probability that the text
 goes on, and of the learned probability that it ends.
 
+The weights are learned from the training rows by forward-backward over the lattices of their distinct
+words. A word of the training rows is an arc of its lattice too, from end to end, weighted by its count
+less a discount; the paths over pieces share what the discounts leave, so any word has a probability and
+those of all words sum to 1.
+
 A vocabulary file that keeps merge ranks instead of log-probabilities (all scores whole numbers
 down to minus its size) gets log-probabilities from the ranks by Zipf's law. Bytes can always stand
-alone, as byte pieces, so every word has a finite score.
+alone, as byte pieces, so every word has a finite score. Those are the weights that learning starts from.
 """
 
 from __future__ import annotations
@@ -23,22 +28,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.vocabulary import SPACE_MARK, HashTable, Vocabulary, model_path, padded, read_model, sub_hash
+from furlong.llm.vocabulary import SPACE_MARK, HashTable, Vocabulary, model_path, padded, read_model, span_hashes
 from furlong.llm.words import Texts, hash_bytes, texts_of
 from furlong.session import shared_dir
 
 NAME = "op8_lattice_likelihood"
 SQL = None
 HOT_WORDS = 300_000
+FIT_PASSES = 3
+PRIOR = 1000.0
+_CELLS = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOG10 = 1 / np.log(10)
 
 
 class Lattice:
-    """log10 probabilities of words under the weighted pieces."""
+    """log10 probabilities of words under the weighted pieces; logp replaces the weights of the file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, logp: np.ndarray | None = None):
         self.vocabulary = v = Vocabulary(model)
         # a file of merge ranks has whole scores only; characters and marks come last there
         ranks = (v.score[v.normal] == np.round(v.score[v.normal])).all()
@@ -47,36 +55,97 @@ class Lattice:
             weight = -np.log(place + 2.0)
         else:
             weight = np.where(v.normal, v.score, v.score[v.normal].min())
-        usable = v.normal | v.is_byte
-        total = np.log(np.exp(weight[usable]).sum())
-        self.logp = weight - total
+        self.usable = v.normal | v.is_byte
+        total = np.log(np.exp(weight[self.usable]).sum())
+        self.logp = weight - total if logp is None else logp
         self.byte_logp = self.logp[v.byte_id]
         self.longest = max(len(v.piece[i]) for i in v.ids)
+        self.lengths = sorted({len(v.piece[i]) for i in v.ids})
+
+    def _arcs(self, sums: np.ndarray, size: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(end, length) to the rows that have a piece there, and the pieces."""
+        out, width = {}, sums.shape[1] - 1
+        for length in self.lengths:
+            if length > width:
+                break
+            inside = np.arange(width - length + 1)[:, None] + length <= size[None, :]
+            start, row = np.nonzero(inside)
+            piece = self.vocabulary.find(span_hashes(sums, row, start, length))
+            hit = np.flatnonzero(piece >= 0)
+            start, row, piece = start[hit], row[hit], piece[hit]
+            cuts = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]])) if len(start) else start
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(start)], strict=False):
+                out[int(start[lo]) + length, length] = row[lo:hi], piece[lo:hi]
+        return out
+
+    def _forward(self, rows: np.ndarray, size: np.ndarray, arcs: dict) -> np.ndarray:
+        n, width = rows.shape
+        alpha = np.full((width + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for end in range(1, width + 1):
+            total = np.where(size >= end, alpha[end - 1] + self.byte_logp[rows[:, end - 1]], -np.inf)
+            for length in self.lengths:
+                if length > end:
+                    break
+                if (end, length) in arcs:
+                    some, piece = arcs[end, length]
+                    total[some] = np.logaddexp(total[some], alpha[end - length, some] + self.logp[piece])
+            alpha[end] = total
+        return alpha
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for places, rows, sums, size in padded([SPACE_MARK + w for w in words]):
+            step = max(1, _CELLS // rows.shape[1])
+            for lo in range(0, len(places), step):
+                yield tuple(x[lo : lo + step] for x in (places, rows, sums, size))
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """log10 of the marginal probability of each word with a space mark before it."""
         out = np.zeros(len(words))
-        for places, rows, sums, size in padded([SPACE_MARK + w for w in words]):
+        for places, rows, sums, size in self._groups(words):
+            alpha = self._forward(rows, size, self._arcs(sums, size))
+            out[places] = alpha[size, np.arange(len(size))] * _LOG10
+        return out
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each piece is used in the words, expected over all their cuts."""
+        out = np.zeros(self.vocabulary.size)
+        for _, rows, sums, size in self._groups(words):
             n, width = rows.shape
-            alpha = np.full((n, width + 1), -np.inf)
-            alpha[:, 0] = 0.0
-            for end in range(1, width + 1):
+            arcs = self._arcs(sums, size)
+            alpha = self._forward(rows, size, arcs)
+            whole = alpha[size, np.arange(n)]
+            beta = np.full((width + 1, n), -np.inf)
+            beta[size, np.arange(n)] = 0.0
+            for end in range(width, 0, -1):
                 live = np.flatnonzero(size >= end)
-                total = alpha[live, end - 1] + self.byte_logp[rows[live, end - 1]]
-                for length in range(1, min(end, self.longest) + 1):
-                    piece = self.vocabulary.find(sub_hash(sums[live], end - length, end))
-                    some = np.flatnonzero(piece >= 0)
-                    if len(some):
-                        more = alpha[live[some], end - length] + self.logp[piece[some]]
-                        total[some] = np.logaddexp(total[some], more)
-                alpha[live, end] = total
-            out[places] = alpha[np.arange(n), size] * _LOG10
+                of = rows[live, end - 1]
+                after = beta[end, live] + self.byte_logp[of]
+                used = np.exp(alpha[end - 1, live] + after - whole[live])
+                out += np.bincount(self.vocabulary.byte_id[of], weights=used, minlength=len(out))
+                beta[end - 1, live] = np.logaddexp(beta[end - 1, live], after)
+                for length in self.lengths:
+                    if length > end:
+                        break
+                    if (end, length) in arcs:
+                        some, piece = arcs[end, length]
+                        after = beta[end, some] + self.logp[piece]
+                        used = np.exp(alpha[end - length, some] + after - whole[some])
+                        out += np.bincount(piece, weights=used, minlength=len(out))
+                        beta[end - length, some] = np.logaddexp(beta[end - length, some], after)
         return out
 
+    def fitted(self, used: np.ndarray) -> np.ndarray:
+        """Log-probabilities from expected uses; the present ones count as PRIOR uses in all, so none is 0."""
+        prior = np.where(self.usable, np.exp(self.logp), 0.0)
+        p = np.where(self.usable, used, 0.0) + PRIOR * prior / prior.sum()
+        with np.errstate(divide="ignore"):
+            return np.where(self.usable, np.log(p / p.sum()), self.logp)
+
 
 @lru_cache(maxsize=2)
-def lattice(model: bytes) -> Lattice:
-    return Lattice(model)
+def lattice(model: bytes, logp: bytes | None = None) -> Lattice:
+    return Lattice(model, None if logp is None else np.frombuffer(logp))
 
 
 def _lowered(batch_column: pa.Array) -> Iterator[Texts]:
@@ -113,21 +182,73 @@ def word_counts(docs: DataFrame, train_col: str, text_col: str = "text") -> Data
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def weigh_words(counts: DataFrame, model: bytes) -> DataFrame:
-    """(h, c, lp): hash of the word, its count, log10 of its lattice probability."""
+def fit_weights(words: DataFrame, model: bytes, passes: int = FIT_PASSES) -> bytes:
+    """Log-probabilities of the pieces after so many passes of forward-backward over all distinct words.
+
+    Each word counts once, as the pieces are there for words that are rare or were not seen; what goes to
+    the driver is a number per piece.
+    """
+    logp = None
+    for _ in range(passes):
+
+        def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
+            lat = lattice(model, logp)
+            used = np.zeros(lat.vocabulary.size)
+            for batch in batches:
+                used += lat.expected(batch.column(0).to_pylist())
+            some = np.flatnonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(used[some])], names=["piece", "n"])
+
+        rows = words.select("word").mapInArrow(expect, "piece bigint, n double")
+        got = rows.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each piece
+        lat = lattice(model, logp)
+        used = np.zeros(lat.vocabulary.size)
+        used[got["piece"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=float)
+        logp = lat.fitted(used).tobytes()
+    return logp
+
+
+def weigh_words(
+    counts: DataFrame, model: bytes, logp: bytes | None = None, discount: float = 0.0, spelled: float = 1.0, total: int = 0
+) -> DataFrame:
+    """(h, c, lp): hash of the word, its count, log10 of its lattice probability.
+
+    With a total, a training word is an arc of its own from its mark to its end, with its count less
+    discount as share of the total; the paths over pieces share the rest, spelled.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model)
+        lat = lattice(model, logp)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            h = hash_bytes(words).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), batch.column(1), pa.array(lat.words(words))], names=["h", "c", "lp"]
-            )
+            h, lp = hash_bytes(words).view(np.int64), lat.words(words)
+            if total:
+                own = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / total
+                with np.errstate(divide="ignore"):
+                    lp = np.logaddexp(np.log(own), lp / _LOG10 + np.log(spelled)) * _LOG10
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1), pa.array(lp)], names=["h", "c", "lp"])
 
     return counts.mapInArrow(work, "h bigint, c bigint, lp double")
 
 
+def learned_words(counts: DataFrame, model: bytes, passes: int) -> DataFrame:
+    """weigh_words with piece weights, word arcs and their discount learned from the words of training rows."""
+    folder = shared_dir(counts.sparkSession, "counts")
+    counts.write.parquet(folder)
+    counts = counts.sparkSession.read.parquet(folder)
+    known = counts.filter("c > 0")
+    n = known.agg(
+        F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"),
+        F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice"),
+    ).first()
+    if not n["tokens"]:
+        return weigh_words(counts, model)
+    # what words found once tell of the words not seen (absolute discounting); some stays for those in any case
+    discount = min(max(n["once"], 1) / max(n["once"] + 2 * n["twice"], 2), 0.9)
+    spelled = discount * n["types"] / n["tokens"]
+    return weigh_words(counts, model, fit_weights(known, model, passes), discount, spelled, n["tokens"])
+
+
 def score_texts(
     docs: DataFrame,
     train_col: str,
@@ -135,6 +256,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     hot_words: int = HOT_WORDS,
+    passes: int = 0,
 ) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
@@ -142,6 +264,9 @@ def score_texts(
     hot_words of the most frequent words go to the tasks as an array and cover most tokens where
     they stand; all other words meet their values in a join, so every token is scored.
 
+    Without passes the pieces keep the weights of the file. With them the weights are learned from the
+    distinct words of the training rows, so many passes of forward-backward, and those words are arcs too.
+
     A null or empty text is the end token alone. Without a training row all counts are 0. A null
     train value counts as false. Repeated rows are scored (and counted) one by one; columns other
     than the three named are not read.
@@ -151,7 +276,8 @@ def score_texts(
         F.col(id_col).alias("_id"), F.coalesce(F.col(train_col), F.lit(False)).alias("_train"), F.col(text_col).alias("_text")
     )
     folder = shared_dir(spark, "words")
-    weigh_words(word_counts(docs, "_train", "_text"), model).write.parquet(folder)
+    counts = word_counts(docs, "_train", "_text")
+    (learned_words(counts, model, passes) if passes else weigh_words(counts, model)).write.parquet(folder)
     values = spark.read.parquet(folder)
     ends = docs.filter("_train").count()
     sizes = (
@@ -243,7 +369,7 @@ def held_out(id_col: str = "doc_id"):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (~held_out()).alias("train"))
-    scored = score_texts(docs, "train", read_model(model_path()))
+    scored = score_texts(docs, "train", read_model(model_path()), passes=FIT_PASSES)
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

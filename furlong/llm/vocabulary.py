@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 
-from furlong.llm.words import hash_bytes, hash_rows, sub_hash
+from furlong.llm.words import hash_bytes, hash_rows, span_hashes, sub_hash
 
 SPACE_MARK = "▁".encode()
 WIDTHS = (8, 12, 16, 24, 32, 48, 64, 96, 128)
@@ -118,4 +118,4 @@ def padded(items: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             yield part, rows, hash_rows(rows), size[part]
 
 
-__all__ = ["SPACE_MARK", "HashTable", "Vocabulary", "model_path", "padded", "read_model", "sub_hash"]
+__all__ = ["SPACE_MARK", "HashTable", "Vocabulary", "model_path", "padded", "read_model", "span_hashes", "sub_hash"]

@@ -73,6 +73,12 @@ def sub_hash(sums: np.ndarray, start: int, end: int) -> np.ndarray:
     return mix(raw + np.array([end - start], dtype=np.uint64) * _GRAM)
 
 
+def span_hashes(sums: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of spans of one length, each in its row."""
+    raw = (sums[row, start + length] - sums[row, start]) * _power(_INV, sums.shape[1] + 1)[start]
+    return mix(raw + np.array([length], dtype=np.uint64) * _GRAM)
+
+
 def hash_bytes(items: list[bytes]) -> np.ndarray:
     """span_hash of whole byte strings."""
     ends = np.cumsum([len(x) for x in items], dtype=np.int64) if items else np.zeros(0, dtype=np.int64)
