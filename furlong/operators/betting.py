@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations, permutations
 
@@ -91,19 +91,12 @@ def pro_action(difficulty_: Column, max_ev: Column) -> tuple[Column, Column]:
     return action, confidence
 
 
-def _ways(top_n: int) -> Column:
-    """All combinations of all bet types over top_n ranks, written out: an array of (bet_type, last, l0, l1, l2)."""
+def _ways(kind: str, top_n: int) -> Column:
+    """All combinations of a bet type over top_n ranks: an array of (last, l0, l1, l2), a constant."""
+    rule = BET_TYPES[kind]
     found = []
-    for kind, rule in BET_TYPES.items():
-        for legs in (permutations if rule["ordered"] else combinations)(range(top_n), rule["size"]):
-            ranks = [*legs, *[None] * (LEGS - len(legs))]
-            found.append(
-                F.struct(
-                    F.lit(kind).alias("bet_type"),
-                    F.lit(max(legs)).alias("last"),
-                    *[F.lit(i).cast("int").alias(f"l{n}") for n, i in enumerate(ranks)],
-                )
-            )
+    for legs in (permutations if rule["ordered"] else combinations)(range(top_n), rule["size"]):
+        found.append(F.struct(F.lit(max(legs)).alias("last"), *[F.lit(i).alias(f"l{n}") for n, i in enumerate(legs)]))
     return F.array(*found)
 
 
@@ -111,14 +104,38 @@ def _mean_ev(legs: Sequence[Column]) -> Column:
     return reduce(lambda x, y: x + y, [x["ev"] for x in legs]) / len(legs)
 
 
+def _bets_of(kind: str, runners: Column, top_n: int) -> Column:
+    """The candidates of a bet type in order of position: an array by falling expected value, then by rising ranks."""
+    rule = BET_TYPES[kind]
+    ranks = [f"l{n}" for n in range(rule["size"])]
+
+    def bet(way: Column) -> Column:
+        legs = [F.get(runners, way[n]) for n in ranks]
+        mean = _mean_ev(legs)
+        return F.struct(
+            F.round(mean, 9).alias("_k"),
+            *[(-way[n]).alias(f"_{n}") for n in ranks],
+            F.concat_ws("→" if rule["ordered"] else "-", *[x["no"] for x in legs]).alias("combination"),
+            mean.alias("expected_value"),
+            reduce(lambda x, y: x * y, [x["p"] for x in legs], F.lit(rule["factor"])).alias("probability"),
+        )
+
+    # those that need a rank the race does not have go at once
+    there = F.filter(_ways(kind, top_n), lambda w: w["last"] < F.size(runners))
+    placed = F.sort_array(F.transform(there, bet), asc=False)
+    return F.slice(placed, 1, rule["keep"]) if rule["keep"] else placed
+
+
 def bet_candidates(
-    df: DataFrame, race: str, number: str, ev: str, probability: str, ties: Sequence[str], top_n: int = 5
+    df: DataFrame, race: str, number: str, ev: str, probability: str, ties: Sequence[str], top_n: int = 5, gathered: bool = False
 ) -> DataFrame:
     """(race, bet_type, combination, expected_value, probability, position) from the best top_n by expected value.
 
     Expected values are averaged, probabilities multiplied; position orders the
     candidates of a type, and types with a limit keep that many. The runners of a race
-    are gathered once, after the cut to top_n; all types read them by rank.
+    are gathered once, after the cut to top_n; all types read them by rank. The candidates of a
+    race are put in order inside its row, so they are neither shuffled nor sorted as rows. With
+    gathered they stay there: (race, bets), an array of the other columns by type and position.
     """
     order = [F.desc(ev), *[F.col(t) for t in ties]]
     top = top_per_group(df, [race], order, top_n, "_rn")
@@ -126,31 +143,23 @@ def bet_candidates(
         "_rn", F.col(number).cast("string").alias("no"), F.col(ev).alias("ev"), F.col(probability).alias("p")
     )
     arrays = top.groupBy(race).agg(F.array_sort(F.collect_list(runner)).alias("_a"))
-    # the ways are a constant; those that need a rank the race does not have go at once
-    ways = arrays.select(race, "_a", F.explode(_ways(top_n)).alias("_w")).filter(F.col("_w.last") < F.size("_a"))
-    legs = [F.get("_a", F.col(f"_w.l{n}")) for n in range(LEGS)]
-    text, mean, chance, keep = [], [], [], []
-    for kind, rule in BET_TYPES.items():
-        used, here = legs[: rule["size"]], F.col("_w.bet_type") == kind
-        text.append(F.when(here, F.concat_ws("→" if rule["ordered"] else "-", *[x["no"] for x in used])))
-        mean.append(F.when(here, _mean_ev(used)))
-        chance.append(F.when(here, reduce(lambda x, y: x * y, [x["p"] for x in used], F.lit(rule["factor"]))))
-        if rule["keep"]:
-            keep.append((F.col("bet_type") != kind) | (F.col("position") <= rule["keep"]))
-    bets = ways.select(
-        race,
-        "_w.*",
-        F.coalesce(*text).alias("combination"),
-        F.coalesce(*mean).alias("expected_value"),
-        F.coalesce(*chance).alias("probability"),
-    )
-    # the rows of a race are still together, so this window sorts but does not shuffle
-    best = Window.partitionBy(race, "bet_type").orderBy(-F.round("expected_value", 9), *[f"l{n}" for n in range(LEGS)])
-    return (
-        bets.withColumn("position", F.row_number().over(best))
-        .filter(reduce(lambda x, y: x & y, keep))
-        .select(race, "bet_type", "combination", "expected_value", "probability", "position")
+    fields = ("combination", "expected_value", "probability")
+    made = arrays.select(race, *[_bets_of(kind, F.col("_a"), top_n).alias(f"_{n}") for n, kind in enumerate(BET_TYPES)])
+    if gathered:
+
+        def placed(kind: str) -> Callable[[Column, Column], Column]:
+            return lambda b, i: F.struct(F.lit(kind).alias("bet_type"), *[b[f].alias(f) for f in fields], (i + 1).alias("position"))
+
+        each = [F.transform(F.col(f"_{n}"), placed(kind)) for n, kind in enumerate(BET_TYPES)]
+        return made.select(race, F.concat(*each).alias("bets"))
+    # the fields of a type are arrays of one order
+    typed = [
+        F.struct(F.lit(kind).alias("bet_type"), *[F.col(f"_{n}")[f].alias(f) for f in fields]) for n, kind in enumerate(BET_TYPES)
+    ]
+    rows = made.select(race, F.explode(F.array(*typed)).alias("_t")).select(
+        race, "_t.bet_type", F.posexplode(F.arrays_zip(*[F.col(f"_t.{f}").alias(f) for f in fields])).alias("_at", "_b")
     )
+    return rows.select(race, "bet_type", *[f"_b.{f}" for f in fields], (F.col("_at") + 1).alias("position"))
 
 
 def best_bet_type(candidates: DataFrame, race: str) -> DataFrame:
@@ -228,21 +237,29 @@ def bet_list(
     per_race: int,
     price: int = 100,
 ) -> DataFrame:
-    """Candidates worth buying, the first per_race of each race in type order, with runner names."""
-    order = F.lit(0)
-    for i, kind in enumerate(BET_TYPES):
-        order = F.when(F.col("bet_type") == kind, F.lit(i)).otherwise(order)
-    good = candidates.filter((F.col("expected_value") >= min_ev) & (F.col("probability") >= min_probability))
-    kept = top_per_group(good.withColumn("_o", order), [race], [F.col("_o"), F.col("position")], per_race, "bet_no").drop("_o")
-    legs = kept.select(race, "bet_no", F.posexplode(F.split("combination", "[-→]")).alias("_i", "_no"))
-    names = runners.groupBy(race, F.col(number).cast("string").alias("_no")).agg(F.min(name).alias("_name"))
-    named = (
-        legs.join(names, [race, "_no"], "left")
-        .groupBy(race, "bet_no")
-        .agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_name", F.concat(F.lit("#"), "_no")).alias("_name")))).alias("_l"))
-        .select(race, "bet_no", F.transform("_l", lambda x: x["_name"]).alias("horse_names"))
+    """Candidates worth buying, the first per_race of each race in type order, with runner names.
+
+    candidates are those of bet_candidates, gathered by race; a race is cut to its bets inside its row, and
+    meets the names of its runners once. A runner without a name is #number.
+    """
+    good = F.filter("bets", lambda b: (b["expected_value"] >= min_ev) & (b["probability"] >= min_probability))
+    kept = candidates.select(race, F.slice(good, 1, per_race).alias("_bets"))
+    names = runners.groupBy(race).agg(
+        F.collect_list(F.struct(F.col(number).cast("string").alias("no"), F.col(name).alias("name"))).alias("_names")
+    )
+    # the outer form: the plain one puts a filter below the join that works all bets out a second time
+    rows = kept.join(names, race, "left").select(race, "_names", F.posexplode_outer("_bets").alias("_at", "_b"))
+
+    def named(no: Column) -> Column:
+        of = F.transform(F.filter("_names", lambda x: x["no"] == no), lambda x: x["name"])
+        return F.coalesce(F.array_min(of), F.concat(F.lit("#"), no))
+
+    return rows.filter(F.col("_at").isNotNull()).select(
+        race, *[f"_b.{c}" for c in ("bet_type", "combination", "expected_value", "probability", "position")],
+        (F.col("_at") + 1).alias("bet_no"),
+        F.transform(F.split("_b.combination", "[-→]"), named).alias("horse_names"),
+        F.lit(price).alias("unit_price"), F.lit(price).alias("total_cost"),
     )
-    return kept.join(named, [race, "bet_no"]).withColumn("unit_price", F.lit(price)).withColumn("total_cost", F.lit(price))
 
 
 def bet_totals(bets: DataFrame, race: str) -> DataFrame:

@@ -214,7 +214,7 @@ _LIST_SQL = f"""{CANDIDATES_SQL}, kept AS (SELECT * FROM (SELECT *, row_number()
 
 def _bets(spark, sf):
     df = scored(entries(spark, sf)).withColumn("name", F.col("horse_id"))
-    cand = B.bet_candidates(df, "race_id", "runner_no", "ev", "p", TIE)
+    cand = B.bet_candidates(df, "race_id", "runner_no", "ev", "p", TIE, gathered=True)
     names = df.groupBy("race_id", "runner_no").agg(F.concat(F.lit("H"), F.min("name")).alias("name"))
     return B.bet_list(cand, names, "race_id", "runner_no", "name", 1.2, 0.005, 6)
 
