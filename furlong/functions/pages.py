@@ -40,13 +40,20 @@ def two_digits(n: Column) -> Column:
 
 
 def odds_of_bet(html: Column, bet_type: str) -> Column:
-    """Odds of a bet type by key; a key that the page shows again has its last odds."""
+    """Odds of a bet type by key; a key that the page shows again has its last odds.
+
+    Cells are sorted by key and place, so the last one of a key stands before another key: a page of n cells
+    takes n log n steps. The sorted cells are bound as one value, else every step would read the page again.
+    """
     cells = odds_cells(html, *BET_ODDS[bet_type])
     numbered = F.transform(cells, lambda c, i: F.struct(c["key"].alias("key"), i.alias("at"), c["odds"].alias("odds")))
-    last = F.filter(
-        numbered, lambda c: ~F.exists(F.slice(numbered, c["at"] + 2, F.size(numbered)), lambda d: d["key"] == c["key"])
-    )
-    return F.transform(last, lambda c: F.struct(c["key"].alias("key"), c["odds"].alias("odds")))
+
+    def last(by_key: Column) -> Column:
+        kept = F.filter(by_key, lambda c, i: ~F.coalesce(F.get(by_key, i + 1)["key"] == c["key"], F.lit(False)))
+        return F.sort_array(F.transform(kept, lambda c: F.struct(c["at"].alias("at"), c["key"].alias("key"), c["odds"].alias("odds"))))
+
+    found = F.get(F.transform(F.array(F.sort_array(numbered)), last), F.lit(0))
+    return F.transform(found, lambda c: F.struct(c["key"].alias("key"), c["odds"].alias("odds")))
 
 
 def odds_cells(html: Column, legs: int, ordered: bool) -> Column:
@@ -57,7 +64,7 @@ def odds_cells(html: Column, legs: int, ordered: bool) -> Column:
 
     def key(k: Column) -> Column:
         numbers = F.transform(F.split(k, ","), lambda x: x.cast("decimal(38,0)"))
-        return F.array_join(F.transform(numbers if ordered else F.array_sort(numbers), two_digits), ",")
+        return F.array_join(F.transform(numbers if ordered else F.sort_array(numbers), two_digits), ",")
 
     return F.transform(
         F.arrays_zip(keys.alias("k"), odds.alias("o")),

@@ -18,6 +18,14 @@ def test_odds_by_bet_type(spark):
     assert got[1] == got[2] == [{}] * 5
 
 
+def test_a_page_is_read_once_for_a_bet_type(spark):
+    n = 3000
+    html = "".join(cell(str(k % 1000), f"{k}.5") for k in range(n))
+    df = spark.createDataFrame([(html,)], "html string").select(P.odds_of_bet(F.col("html"), "win").alias("o"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    assert [(c["key"], c["odds"]) for c in df.first()["o"]] == [(f"{k % 1000:02d}", k + 0.5) for k in range(n - 1000, n)]
+
+
 def fields(spark, *pages):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").repartition(2)
     return [r.asDict() for r in race_fields(df, F.col("html")).drop("html").orderBy("i").collect()]
