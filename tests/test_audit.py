@@ -5,6 +5,7 @@ import random
 from furlong.operators import audit as A
 from furlong.operators import repair as R
 from furlong.operators import stats as S
+from furlong.verify.base import audit_rows
 
 COLUMNS = [*A.FIELDS, "race_number_derived", "race_number_source", "source_page_type"]
 SCHEMA = ", ".join(f"{c} {'int' if c == 'race_number_derived' else 'string'}" for c in COLUMNS)
@@ -105,3 +106,16 @@ def test_alias_records_go_to_schema_review(spark):
     assert {(r["column"], r["reason"], r["priority"]) for r in extra} == {("race_number", "alias-candidate", "Schema review")}
     want = df.filter(~S.is_missing("race_number") & df["race_number_source"].isin("round", "race_no")).count()
     assert len(extra) == want > 0
+
+
+def test_decisions_take_one_grouping_of_both_sides(spark, small):
+    rows = audit_rows(spark, small).dropDuplicates(["race_id", "horse_id"]).orderBy("race_id", "horse_id")
+    kind, first = rows.schema, rows.limit(3).collect()
+    nobody = [None if c == "horse_id" else first[0][c] for c in kind.names]
+    old = spark.createDataFrame([*first, first[0], nobody], kind)
+    new = spark.createDataFrame([*first, nobody], kind)
+    got = R.refresh_decisions(old, new, "repair-missing", "2000-06-01 00:00:00")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [race_id") == 1
+    seen = {(r["race_id"], r["horse_id"]): r["reason"] for r in got.collect()}
+    assert len(seen) == 4 and set(seen.values()) == {"record-hash-same"}
