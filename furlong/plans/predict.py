@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.operators import model as M
-from furlong.operators.joins import history_plus_target
 from furlong.operators.prep import FUTURE_FIELDS
 from furlong.operators.skew import HOT_ROWS
 from furlong.plans import features as P
-from furlong.plans.partitioned import ROW, entities, of_entity, uneven
+from furlong.plans.partitioned import ROW, entities, finished, of_entity, uneven
 
 TARGET = "_target"
 
@@ -47,23 +46,29 @@ def target_features(
     its features of that key have their defaults. Columns that only one side has are null in the other.
     """
     entries = before_the_race(target, outcome).withColumn(TARGET, F.lit(True))
-    both = P.with_scalars(history_plus_target(history, entries)).withColumn(ROW, F.monotonically_increasing_id())
-    base = P.stored(both)
+    both = history.unionByName(entries, allowMissingColumns=True)
+    first = P.with_scalars(both).columns
+    base = P.stored(P.with_inputs(both).withColumn(ROW, F.monotonically_increasing_id()))
+    # races of the target in the history: looked for among the written rows, so neither side is read a second time
+    kinds = base.groupBy("race_id").agg(F.max(TARGET).alias("_entered"), F.bool_or(F.col(TARGET).isNull()).alias("_run"))
+    again = kinds.filter(F.col("_entered") & F.col("_run") & F.col("race_id").isNotNull()).select("race_id")
+    if not again.isEmpty():
+        base = P.stored(base.filter(F.col(TARGET).isNull()).join(again, "race_id", "left_anti").unionByName(base.filter(TARGET)))
     wanted = base.filter(TARGET)
     of = entities(base, tie)
     hot = uneven(base, list(of), hot_rows)
     out = wanted
-    for stage in stages:
-        out = stage(out, wanted)
     branches = []
     for key, build in of.items():
-        known = base.join(wanted.select(key).distinct(), key, "left_semi")
-        near = known.unionByName(wanted.filter(F.col(key).isNull()))
+        near = base.join(wanted.select(key).distinct(), key, "left_semi")
+        if None in hot.get(key, ()):
+            near = near.unionByName(wanted.filter(F.col(key).isNull()))
+        # a join that shuffles by the key has dealt the rows already: without a union they are not shuffled again
         branches.append(of_entity(near, key, build, hot.get(key, ())))
     for branch in [*branches, P.gates(base, base)]:
-        made = [c for c in branch.columns if c not in base.columns]
+        made = [c for c in branch.columns if c not in (*base.columns, "inner_gate")]
         out = out.join(branch.filter(TARGET).select(ROW, *made), ROW)
-    return P.with_changes(out).drop(ROW, TARGET, "inner_gate")
+    return finished(out, wanted, stages, [c for c in first if c != TARGET])
 
 
 @dataclass

@@ -60,6 +60,16 @@ def test_a_window_of_an_entity_needs_one_shuffle(spark, rows):
         assert plan.count("Exchange hashpartitioning") == 1, key
 
 
+def test_branches_read_a_number_for_ties_and_send_totals(spark, rows):
+    known = P.stored(rows.filter("jockey_id IS NOT NULL AND horse_id IS NOT NULL AND sire IS NOT NULL"))
+    course = spark.createDataFrame([("v", "A", 1000, 300.0)], "venue string, surface string, distance int, straight double")
+    out = partitioned_build(known, TIE, [P.course(course, {"straight": 250.0})])
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [line for line in plan if "FileScan parquet" in line and "_row#" in line]
+    assert len(scans) == 7 and sum("price#" in line for line in scans) == 1  # the rows themselves, no branch
+    assert not [line for line in plan if "Exchange hashpartitioning(race_id" in line]
+
+
 def test_laps_and_course_stages(spark):
     rows = spark.createDataFrame(
         [("v", "A", 1000, 1, {200: 12.0, 400: 24.0, 600: 37.0, 800: 50.0, 1000: 900.0}), ("v", "A", 900, 5, {200: 13.0}), ("w", "A", 300, None, None)],
