@@ -108,12 +108,19 @@ def predict_races(
     ensemble blends it with the shares of the place score where a race has all of them. expected_value is
     p_norm * odds, null where there are no odds above 0 or no chance.
     """
-    base = P.stored(main.score(features, "p_raw") if place is None else place.score(main.score(features, "p_raw"), "_place"))
-    out = M.score_races(base, race, "p_raw", main.target, "p_norm", "predicted_rank", hot_rows, main.calibrator)
-    if place is None:
-        out = out.withColumn("p_ensemble", F.col("p_norm"))
-    else:
+    scored = main.score(features, "p_raw") if place is None else place.score(main.score(features, "p_raw"), "_place")
+    base = P.stored(scored)
+
+    def build(df: DataFrame, whole: DataFrame, how: dict) -> DataFrame:
+        hot_rows = how.get("hot_rows", HOT_ROWS)
+        out = M.score_races(df, race, "p_raw", main.target, "p_norm", "predicted_rank", hot_rows, main.calibrator)
+        if place is None:
+            return out.withColumn("p_ensemble", F.col("p_norm"))
         out = M.score_races(out, race, "_place", place.target, "_share", "_place_rank", hot_rows, place.calibrator)
-        out = M.ensemble(out, race, "p_norm", "_share", main.target, "p_ensemble").drop("_place", "_share", "_place_rank")
+        out = M.ensemble(out, race, "p_norm", "_share", main.target, "p_ensemble", hot_rows)
+        return out.drop("_place", "_share", "_place_rank")
+
+    # rows are dealt by race once for all that is worked out in it; hot and missing races go another way
+    out = of_entity(base, race, build, uneven(base, [race], hot_rows).get(race, ()))
     price = F.when(F.col(odds) > 0, F.col(odds).cast("double"))
     return out.withColumn("expected_value", F.col("p_norm") * price)

@@ -64,6 +64,29 @@ def test_a_fitted_model_scores_and_races_sum_to_one(rows, made):
         assert best["predicted_rank"] == 1
 
 
+def test_races_are_dealt_once_and_hot_or_missing_ones_get_the_same_numbers(spark, rows, made):
+    main = W.Scorer.of_column(F.round(0.1 + F.col("odds") / 300, 9))
+    place = W.Scorer.of_column(F.when(F.col("runner_no") != 3, F.col("odds") / 500), "place3")
+    known = made.filter("race_id IS NOT NULL")
+    usual = W.predict_races(known, main, place)
+    plan = usual._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(race_id") == plan.count("Exchange hashpartitioning(") == 1
+    columns = ["race_id", "runner_no", "horse_id", "p_raw", "p_norm", "predicted_rank", "p_ensemble", "expected_value"]
+    got, hot = ([tuple(cell(r[c]) for c in columns) for r in df.collect()] for df in (usual, W.predict_races(known, main, place, hot_rows=3)))
+    assert sorted(got, key=str) == sorted(hot, key=str)
+    speed = [W.predict_races(known, W.Scorer(main.score, "rank"), hot_rows=n).collect() for n in (2_000_000, 3)]
+    got, hot = ([tuple(cell(r[c]) for c in columns) for r in out] for out in speed)
+    assert sorted(got, key=str) == sorted(hot, key=str)
+
+
+def test_a_race_that_is_also_in_the_history_counts_once(rows, made):
+    late, early = rows.filter(F.col("race_date") >= CUT), rows.filter(F.col("race_date") < CUT)
+    twice = W.target_features(late, early.unionByName(late.filter("race_id % 8 = 0")), TIE)
+    columns = sorted(made.columns)
+    got, want = (sorted(str(tuple(cell(r[c]) for c in columns)) for r in df.collect()) for df in (twice, made))
+    assert got == want
+
+
 def test_empty_target_and_no_history(spark, rows):
     none = rows.filter("false")
     assert W.target_features(none, rows, TIE).count() == 0
