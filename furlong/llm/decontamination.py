@@ -2,8 +2,8 @@
 
 1. Passages are two neighbouring blocks of 32 words, so they overlap by half. Their words are
    hashed into 2 ** 15 terms; document frequencies are counted over all blocks of all documents.
-2. A randomised SVD of the TF-IDF matrix of benchmark parts and of a bounded sample of documents
-   gives the latent space. Each power pass is one Spark job that sums A'(A X) by blocks of terms.
+2. A randomised SVD of the TF-IDF matrix of benchmark parts and of all documents gives the latent
+   space. Each power pass is one Spark job over all passages that sums A'(A X) by blocks of terms.
 3. Every passage of every document is projected and compared by cosine with all benchmark parts.
    The benchmark is the stated query set: it goes to the tasks in groups of at most ITEMS items.
    An item of words that are frequent in the corpus has no weight there, and the more items there are,
@@ -24,24 +24,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.llm.words import SPACE, Texts, Words, give_back, hash_bytes, mix, texts_of
-from furlong.session import shared_dir
 
 NAME = "op9_latent_decontamination"
 SQL = None
 TERMS, RANK, SPARE, POWER_PASSES = 1 << 15, 96, 10, 1
 BLOCK, PART, ITEMS = 32, 64, 20_000
-FIT_DOCUMENTS = 500
 COMMON = 0.02
 COSINE, SHARE, ANSWER = 0.15, 0.6, 0.5
 LEAST = 4
 _PAIRS = 1 << 22
 _TERM_ROWS = 2048
 _GRAM_TERMS = 1 << 13  # rows of a dense product at once
-_FIT_CHUNK = 1 << 18
+_FIT_CHUNK = 1 << 20
+_SPLITS_OF_SUM = 4  # splits of the input that one task of the fit adds up
+_SUMS_AT_ONCE = 64  # partial sums of a block of terms that meet in one group
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = ~SPACE
@@ -166,12 +167,15 @@ def passage_vectors(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.n
     return block[keep], starts[keep], text[keep]
 
 
-def fit_space(sample: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "text", rank: int = RANK) -> np.ndarray:
-    """TERMS x (rank + 1): idf-weighted right singular vectors of the sample's passages and the benchmark
+def fit_space(docs: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "text", rank: int = RANK) -> np.ndarray:
+    """TERMS x (rank + 1): idf-weighted right singular vectors of all passages of docs and the benchmark
     parts, and the squared weights.
 
-    The parts get as much weight in all as the sample, so directions of the benchmark are kept.
+    The parts get as much weight in all as the documents, so directions of the benchmark are kept. A task
+    keeps one sum of TERMS x width numbers, whatever it reads; the sums of tasks meet in bounded groups.
     """
+    splits = docs.select(text_col).rdd.getNumPartitions()
+    tasks = max(min(splits, 12), -(-splits // _SPLITS_OF_SUM))
     rng, width = np.random.default_rng(7), rank + SPARE
     basis = np.linalg.qr(rng.standard_normal((TERMS, width), dtype=np.float32))[0]
     own_terms = [_terms(w) for w in parts.words]
@@ -179,58 +183,71 @@ def fit_space(sample: DataFrame, parts: Parts, idf: np.ndarray, text_col: str =
     own = np.concatenate(own_terms) if own_terms else np.zeros(0, dtype=np.int64)
     owner = np.repeat(np.arange(len(own_terms)), [len(t) for t in own_terms])
 
-    def gram(terms: np.ndarray, row: np.ndarray, product: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """A' product, where row r of A has scale[r] * idf[term] for each of its terms."""
-        out = np.zeros((TERMS, product.shape[1]), dtype=np.float64)
+    def gram(terms: np.ndarray, row: np.ndarray, product: np.ndarray, out: np.ndarray) -> None:
+        """Adds to each term's row of out the rows of product that hold the term."""
         order = np.argsort(terms, kind="stable")
         terms, row = terms[order], row[order]
         # a bounded number of terms at a time, however many words the benchmark has
         for lo in range(0, len(terms), _GRAM_TERMS):
             part, of = terms[lo : lo + _GRAM_TERMS], row[lo : lo + _GRAM_TERMS]
             new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out[part[new]] += np.add.reduceat(product[of] * scale[of][:, None], new, axis=0)
-        out *= idf[:, None]
-        return out
+            out[part[new]] += np.add.reduceat(product[of], new, axis=0)
 
     for turn in range(POWER_PASSES + 1):
         weights = _with_length(basis * idf[:, None], idf)
 
         def partial(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros((TERMS, width)), 0
+            counts = idf > 0
             for batch in batches:
                 for texts in texts_of(batch.column(0), _FIT_CHUNK):
                     words = lowered_words(texts)
                     vectors, first, text = passage_vectors(words, weights)
                     if not len(first):
                         continue
-                    scale = 1 / np.sqrt(np.maximum(vectors[:, -1], 1.0))
-                    vectors = vectors[:, :-1]
-                    size = np.minimum(2 * BLOCK, words.first[text + 1] - first)
-                    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    row, terms = np.repeat(np.arange(len(first)), size), _terms(words.hash)[at]
-                    row, terms = row[idf[terms] > 0], terms[idf[terms] > 0]
-                    total += gram(terms, row, vectors * scale[:, None], scale)
+                    # both blocks of a passage take its vector: each word is added once, not once per passage
+                    vectors = vectors[:, :-1] / np.maximum(vectors[:, -1:], 1.0)
+                    starts, of = _blocks(words)
+                    kept = _passages(of)
+                    product = np.zeros((len(starts), width), dtype=np.float32)
+                    product[kept] = vectors
+                    two = np.append(of[1:] == of[:-1], False)[kept]
+                    product[kept[two] + 1] += vectors[two]
+                    terms = _terms(words.hash)
+                    at = np.flatnonzero(counts[terms])
+                    gram(terms[at], np.searchsorted(starts, at, side="right") - 1, product, total)
                     n += len(first)
+            total *= idf[:, None]
             blobs = [total[k : k + _TERM_ROWS].astype(np.float32).tobytes() for k in range(0, TERMS, _TERM_ROWS)]
             blocks = pa.array(np.arange(len(blobs)), pa.int32())
-            yield pa.RecordBatch.from_arrays([blocks, pa.array(np.full(len(blobs), n)), pa.array(blobs, pa.binary())], names=["block", "n", "blob"])
+            own = pa.array(np.full(len(blobs), TaskContext.get().partitionId()), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [blocks, own, pa.array(np.full(len(blobs), n)), pa.array(blobs, pa.binary())], names=["block", "task", "n", "blob"]
+            )
 
         def add_up(group: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(b, dtype=np.float32).astype(np.float64) for b in group["blob"])
-            return pd.DataFrame({"block": group["block"].iloc[:1], "n": [group["n"].sum()], "blob": [total.astype(np.float32).tobytes()]})
-
-        kind = "block int, n bigint, blob binary"
-        sums = sample.select(text_col).mapInArrow(partial, kind).groupBy("block").applyInPandas(add_up, kind).toPandas()
+            first = group[["block", "task"]].iloc[:1].reset_index(drop=True)
+            return first.assign(n=[group["n"].sum()], blob=[total.astype(np.float32).tobytes()])
+
+        kind = "block int, task int, n bigint, blob binary"
+        sums, groups = docs.select(text_col).coalesce(tasks).mapInArrow(partial, kind), tasks
+        while groups > _SUMS_AT_ONCE:
+            groups = -(-groups // _SUMS_AT_ONCE)
+            sums = sums.withColumn("task", F.pmod("task", F.lit(groups))).groupBy("block", "task").applyInPandas(add_up, kind)
+        sums = sums.groupBy("block").applyInPandas(add_up, kind).toPandas()
         product = np.zeros((TERMS, width))
         for block, blob in zip(sums["block"], sums["blob"], strict=True):
             rows = np.frombuffer(blob, dtype=np.float32).reshape(-1, width)
             product[block * _TERM_ROWS : block * _TERM_ROWS + len(rows)] = rows
         if len(own):
             vectors = np.add.reduceat(weights[own], starts, axis=0)
-            scale = 1 / np.sqrt(np.maximum(vectors[:, -1], 1.0))
-            vectors = vectors[:, :-1]
+            vectors = vectors[:, :-1] / np.maximum(vectors[:, -1:], 1.0)
             share = max(1.0, sums["n"].max() / len(starts) if len(sums) else 1.0)
-            product += share * gram(own, owner, vectors * scale[:, None], scale)
+            of_parts = np.zeros((TERMS, width))
+            gram(own, owner, vectors, of_parts)
+            product += share * idf[:, None] * of_parts
+            del of_parts
         del sums, weights
         if turn < POWER_PASSES:
             basis = np.linalg.qr(product.astype(np.float32))[0]
@@ -386,7 +403,6 @@ def find_leaks(
     cosine: float = COSINE,
     share: float = SHARE,
     answer: float = ANSWER,
-    fit_documents: int = FIT_DOCUMENTS,
 ) -> DataFrame:
     """(id, item_id, cosine, lcs_share, answer_share): each document and benchmark item that it holds.
 
@@ -395,9 +411,8 @@ def find_leaks(
     docs each give their rows. Items with a null id are left out; rows that repeat an item id are parts
     of one item. An empty benchmark gives no rows. Other columns are not read.
 
-    The latent space is fitted on at most about fit_documents distinct texts, chosen by their hash; the
-    frequencies, the search and the check cover all documents. The benchmark is read in groups of
-    ITEMS items, each with its own pass, so what goes to a task is bounded. A pair below cosine is found
+    The latent space, the frequencies, the search and the check cover all documents. The benchmark is read
+    in groups of ITEMS items, each with its own passes, so what goes to a task is bounded. A pair below cosine is found
     too if enough of the part's words are there (see Holders); its cosine may be 0.
     """
     spark = docs.sparkSession
@@ -406,12 +421,6 @@ def find_leaks(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     frequency, blocks = document_frequencies(rows)
     idf = term_weights(frequency, blocks)
-    every = max(1, rows.count() // max(1, fit_documents))
-    # copies of a text come once, so the sample stays bounded however many there are; it is read several times
-    hashed = rows.select("text", F.xxhash64("text").alias("_h")).filter(F.pmod("_h", F.lit(every)) == 0)
-    folder = shared_dir(spark, "latent")
-    hashed.dropDuplicates(["_h"]).select("text").write.parquet(folder)
-    sample = spark.read.parquet(folder).coalesce(8)
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text")
     groups = max(1, -(-items.count() // ITEMS))
     out = None
@@ -420,7 +429,7 @@ def find_leaks(
         parts = item_parts([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
         if not parts.words:
             continue
-        space = fit_space(sample, parts, idf)
+        space = fit_space(rows, parts, idf)
         found = rows.mapInArrow(_searcher(parts, space, frequency, cosine, share, answer, id_col), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
