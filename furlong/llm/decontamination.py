@@ -39,7 +39,8 @@ COSINE, SHARE, ANSWER = 0.15, 0.6, 0.5
 LEAST = 4
 _PAIRS = 1 << 22
 _TERM_ROWS = 2048
-_GRAM_TERMS = 1 << 13  # rows of a dense product at once
+_GROUPS = 1024  # groups of rows that are added up at once
+_LAYERS = 64  # a group of more rows is added up by itself
 _FIT_CHUNK = 1 << 20
 _SPLITS_OF_SUM = 4  # splits of the input that one task of the fit adds up
 _SUMS_AT_ONCE = 64  # partial sums of a block of terms that meet in one group
@@ -144,6 +145,48 @@ def _passages(text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(follows | alone)
 
 
+def _add_groups(table: np.ndarray, rows: np.ndarray, first: np.ndarray, out: np.ndarray, own: np.ndarray) -> None:
+    """out[own[k]] += the sum of table[rows[first[k] : first[k + 1]]]; no group is empty, own has no value twice.
+
+    Groups go by size, so that one row of each of them can be added at a time, to a bounded buffer.
+    """
+    size = np.diff(np.append(first, len(rows)))
+    for k in np.flatnonzero(size > _LAYERS):
+        for lo in range(first[k], first[k] + size[k], _GROUPS):
+            out[own[k]] += table[rows[lo : min(lo + _GROUPS, first[k] + size[k])]].sum(axis=0, dtype=out.dtype)
+    order = np.argsort(-size, kind="stable")
+    order = order[np.count_nonzero(size > _LAYERS) :]
+    for lo in range(0, len(order), _GROUPS):
+        some = order[lo : lo + _GROUPS]
+        at, least = first[some], -size[some]
+        total = table[rows[at]]
+        one = np.empty_like(total)
+        for layer in range(1, -least[0]):
+            n = np.searchsorted(least, -layer)  # groups with more rows than that
+            np.take(table, rows[at[:n] + layer], axis=0, out=one[:n], mode="clip")
+            total[:n] += one[:n]
+        out[own[some]] += total
+
+
+def _block_of(starts: np.ndarray, n: int) -> np.ndarray:
+    """The block of each of n words."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+
+
+def _first_of_runs(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[_first_of_runs(values)]
+
+
+def _true_cells(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, by way of its flat form, which is faster."""
+    return np.divmod(np.flatnonzero(matrix), matrix.shape[1])
+
+
 def passage_vectors(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the weight rows of all passages, the first word and the text of each passage.
 
@@ -153,12 +196,9 @@ def passage_vectors(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.n
     block = np.zeros((len(starts), weights.shape[1]), dtype=np.float32)
     terms = _terms(words.hash)
     at = np.flatnonzero(weights[terms, -1])  # the last column is positive where a term counts
-    owner = np.searchsorted(starts, at, side="right") - 1
-    step = 1 << 14
-    for k in range(0, len(at), step):
-        own = owner[k : k + step]
-        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        block[own[new]] += np.add.reduceat(weights[terms[at[k : k + step]]], new, axis=0)
+    owner = _block_of(starts, len(words))[at]
+    new = _first_of_runs(owner)
+    _add_groups(weights, terms[at], new, block, owner[new])
     if not len(starts):
         return block, starts, text
     follows = np.append(text[1:] == text[:-1], False)
@@ -177,24 +217,19 @@ def fit_space(docs: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "t
     splits = docs.select(text_col).rdd.getNumPartitions()
     tasks = max(min(splits, 12), -(-splits // _SPLITS_OF_SUM))
     rng, width = np.random.default_rng(7), rank + SPARE
-    basis = np.linalg.qr(rng.standard_normal((TERMS, width), dtype=np.float32))[0]
-    own_terms = [_terms(w) for w in parts.words]
-    starts = np.cumsum([0, *[len(t) for t in own_terms]])[:-1]
-    own = np.concatenate(own_terms) if own_terms else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(own_terms)), [len(t) for t in own_terms])
+    basis = _orthonormal(rng.standard_normal((TERMS, width), dtype=np.float32))
+    own = _terms(np.concatenate(parts.words)) if parts.words else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(parts.words)), [len(w) for w in parts.words])
 
     def gram(terms: np.ndarray, row: np.ndarray, product: np.ndarray, out: np.ndarray) -> None:
         """Adds to each term's row of out the rows of product that hold the term."""
-        order = np.argsort(terms, kind="stable")
+        order = np.argsort(terms.astype(np.uint16), kind="stable")  # TERMS is at most 2 ** 16; short keys sort by radix
         terms, row = terms[order], row[order]
-        # a bounded number of terms at a time, however many words the benchmark has
-        for lo in range(0, len(terms), _GRAM_TERMS):
-            part, of = terms[lo : lo + _GRAM_TERMS], row[lo : lo + _GRAM_TERMS]
-            new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out[part[new]] += np.add.reduceat(product[of], new, axis=0)
+        new = _first_of_runs(terms)
+        _add_groups(product, row, new, out, terms[new])
 
     for turn in range(POWER_PASSES + 1):
-        weights = _with_length(basis * idf[:, None], idf)
+        weights = _with_length(basis, idf)
 
         def partial(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros((TERMS, width)), 0
@@ -215,7 +250,7 @@ def fit_space(docs: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "t
                     product[kept[two] + 1] += vectors[two]
                     terms = _terms(words.hash)
                     at = np.flatnonzero(counts[terms])
-                    gram(terms[at], np.searchsorted(starts, at, side="right") - 1, product, total)
+                    gram(terms[at], _block_of(starts, len(words))[at], product, total)
                     n += len(first)
             total *= idf[:, None]
             blobs = [total[k : k + _TERM_ROWS].astype(np.float32).tobytes() for k in range(0, TERMS, _TERM_ROWS)]
@@ -236,31 +271,63 @@ def fit_space(docs: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "t
             groups = -(-groups // _SUMS_AT_ONCE)
             sums = sums.withColumn("task", F.pmod("task", F.lit(groups))).groupBy("block", "task").applyInPandas(add_up, kind)
         sums = sums.groupBy("block").applyInPandas(add_up, kind).toPandas()
-        product = np.zeros((TERMS, width))
+        product = np.zeros((TERMS, width), dtype=np.float32)
         for block, blob in zip(sums["block"], sums["blob"], strict=True):
             rows = np.frombuffer(blob, dtype=np.float32).reshape(-1, width)
             product[block * _TERM_ROWS : block * _TERM_ROWS + len(rows)] = rows
         if len(own):
-            vectors = np.add.reduceat(weights[own], starts, axis=0)
+            vectors = _part_vectors(parts, weights)
             vectors = vectors[:, :-1] / np.maximum(vectors[:, -1:], 1.0)
-            share = max(1.0, sums["n"].max() / len(starts) if len(sums) else 1.0)
-            of_parts = np.zeros((TERMS, width))
-            gram(own, owner, vectors, of_parts)
-            product += share * idf[:, None] * of_parts
-            del of_parts
-        del sums, weights
+            share = max(1.0, sums["n"].max() / len(vectors) if len(sums) else 1.0)
+            known, place = np.unique(own, return_inverse=True)
+            of_parts = np.zeros((len(known), width))
+            gram(place, owner, vectors, of_parts)
+            for lo in range(0, len(known), _TERM_ROWS):
+                some = known[lo : lo + _TERM_ROWS]
+                product[some] += share * idf[some, None] * of_parts[lo : lo + _TERM_ROWS]
+            del of_parts, vectors
+        del sums, weights, partial
         if turn < POWER_PASSES:
-            basis = np.linalg.qr(product.astype(np.float32))[0]
+            basis = _orthonormal(product)
         give_back()
     # basis' A'A basis: its eigenvectors turn the basis into the leading singular vectors
-    values, turned = np.linalg.eigh(basis.T @ product)
-    lead = turned[:, np.argsort(-values)[:rank]]
-    return _with_length((basis @ lead) * idf[:, None], idf)
+    pieces = [slice(k, k + _TERM_ROWS) for k in range(0, TERMS, _TERM_ROWS)]
+    values, turned = np.linalg.eigh(sum(basis[p].T.astype(np.float64) @ product[p] for p in pieces))
+    lead = turned[:, np.argsort(-values)[:rank]].astype(np.float32)
+    return _with_length(basis @ lead, idf)
 
 
-def _with_length(weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights, and as last column what a term adds to the squared length of a passage."""
-    return np.hstack([weights, (idf**2)[:, None]]).astype(np.float32)
+def _orthonormal(columns: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, written over them: QR of pieces of rows, then of what they leave.
+
+    The driver holds the matrix once, not in the several wider copies of a QR of the whole.
+    """
+    width = columns.shape[1]
+    pieces = [slice(k, k + _TERM_ROWS) for k in range(0, len(columns), _TERM_ROWS)]
+    rest = []
+    for p in pieces:
+        columns[p], r = np.linalg.qr(columns[p])
+        rest.append(r)
+    turned = np.linalg.qr(np.vstack(rest))[0]
+    for k, p in enumerate(pieces):
+        columns[p] = columns[p] @ turned[k * width : (k + 1) * width]
+    return columns
+
+
+def _part_vectors(parts: Parts, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weight rows of all parts."""
+    out = np.zeros((len(parts.words), weights.shape[1]), dtype=np.float32)
+    starts = np.cumsum([0, *[len(w) for w in parts.words]])[:-1]
+    _add_groups(weights, _terms(np.concatenate(parts.words)), starts, out, np.arange(len(out)))
+    return out
+
+
+def _with_length(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The basis times idf, and as last column what a term adds to the squared length of a passage."""
+    out = np.empty((len(basis), basis.shape[1] + 1), dtype=np.float32)
+    np.multiply(basis, idf[:, None], out=out[:, :-1], casting="same_kind")
+    out[:, -1] = idf**2
+    return out
 
 
 # ---- search and check
@@ -343,6 +410,8 @@ class Holders:
         self.part = part[new]
         self.words, self.at = np.unique(word[new], return_index=True)
         self.at = np.append(self.at, len(new))
+        self.terms = np.zeros(TERMS, dtype=bool)
+        self.terms[_terms(self.words)] = True
 
     def candidates(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(passage, part) by passages, counted as in passage_vectors."""
@@ -350,11 +419,11 @@ class Holders:
         kept = _passages(text)
         if not len(self.words) or not len(kept):
             return
-        known = np.minimum(np.searchsorted(self.words, words.hash), len(self.words) - 1)
-        at = np.flatnonzero(self.words[known] == words.hash)
+        at = np.flatnonzero(self.terms[_terms(words.hash)])
+        known = np.minimum(np.searchsorted(self.words, words.hash[at]), len(self.words) - 1)
+        same = self.words[known] == words.hash[at]
         wide = np.int64(len(self.words))
-        block = np.searchsorted(starts, at, side="right") - 1
-        key = np.unique(block * wide + known[at])
+        key = _distinct(_block_of(starts, len(words))[at[same]] * wide + known[same])
         block, known = key // wide, key % wide
         number = np.full(len(starts), -1)
         number[kept] = np.arange(len(kept))
@@ -366,7 +435,7 @@ class Holders:
             first, word, own = first[inside], known[inside], block[inside]
             inside = (text[first] == text[own]) & (number[first] >= 0)
             keys.append(number[first[inside]] * wide + word[inside])
-        key = np.unique(np.concatenate(keys))
+        key = _distinct(np.concatenate(keys))
         passage, known = key // wide, key % wide
         size = self.at[known + 1] - self.at[known]
         before = np.concatenate([[0], np.cumsum(size)])
@@ -382,7 +451,7 @@ class Holders:
             entry = np.repeat(self.at[known[a:b]] - (before[a:b] - before[a]), size[a:b]) + np.arange(before[b] - before[a])
             pair = np.repeat(passage[a:b] - lo, size[a:b]) * wide + self.part[entry]
             found = np.bincount(pair, weights=self.times[entry], minlength=(hi - lo) * wide).reshape(-1, wide)
-            p, q = np.nonzero(found >= self.need)
+            p, q = _true_cells(found >= self.need)
             if len(p):
                 yield lo + p, q
             lo = hi
@@ -438,13 +507,12 @@ def find_leaks(
 def _close(vectors: np.ndarray, queries: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(passage, part) of a cosine of at least cosine."""
     for k in range(0, len(vectors), 4096):
-        p, q = np.nonzero(vectors[k : k + 4096] @ queries.T >= cosine)
+        p, q = _true_cells(vectors[k : k + 4096] @ queries.T >= cosine)
         yield k + p, q
 
 
 def _searcher(parts: Parts, space: np.ndarray, frequency: np.ndarray, cosine: float, share: float, answer: float, id_col: str):
-    starts = np.cumsum([0, *[len(w) for w in parts.words]])[:-1]
-    queries = np.add.reduceat(space[_terms(np.concatenate(parts.words))], starts, axis=0)[:, :-1]
+    queries = _part_vectors(parts, space)[:, :-1]
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
