@@ -119,3 +119,18 @@ def test_decisions_take_one_grouping_of_both_sides(spark, small):
     assert "Join" not in plan and plan.count("Aggregate [race_id") == 1
     seen = {(r["race_id"], r["horse_id"]): r["reason"] for r in got.collect()}
     assert len(seen) == 4 and set(seen.values()) == {"record-hash-same"}
+
+
+def test_the_loop_over_joined_rows_is_short_enough_for_the_jvm_to_compile(spark, small):
+    """HotSpot never compiles methods of more than 8000 bytes."""
+    from furlong.verify.base import audit_rows
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = A.counted_grains(audit_rows(spark, small), "19950101", "19991231")
+        stages = frame._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8000
