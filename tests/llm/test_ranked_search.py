@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from furlong.llm import ranked_search
 from furlong.llm.ranked_search import build_index, top_documents
 from furlong.llm.treap import pack, search, unpack
 
@@ -75,6 +77,18 @@ def test_equals_scoring_every_document(spark, shard_docs, group_bytes, k):
     assert sorted(got, key=str) == sorted(brute(rows, ITEMS, k), key=str)
 
 
+def test_a_row_group_of_the_index_holds_few_shards_whatever_a_file_holds(spark, monkeypatch, tmp_path):
+    folder = f"{tmp_path}/index"
+    monkeypatch.setattr(ranked_search, "GROUP_OF_SHARDS", 1, raising=False)
+    monkeypatch.setattr(ranked_search, "shared_dir", lambda spark, purpose: folder)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index, _ = build_index(spark.createDataFrame(corpus(200), DOCS).coalesce(1), shard_docs=10)
+    files = [pq.ParquetFile(f).metadata for f in sorted(map(str, tmp_path.glob("index/*.parquet")))]
+    assert sum(m.num_rows for m in files) == index.count() > 20
+    assert [m.num_row_groups for m in files] == [m.num_rows for m in files]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == was
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(corpus(20), DOCS)
     items = spark.createDataFrame([("a", "w1"), ("b", "w2")], "item_id string, text string")
