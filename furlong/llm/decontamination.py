@@ -214,7 +214,8 @@ def fit_space(docs: DataFrame, parts: Parts, idf: np.ndarray, text_col: str = "t
     The parts get as much weight in all as the documents, so directions of the benchmark are kept. A task
     keeps one sum of TERMS x width numbers, whatever it reads; the sums of tasks meet in bounded groups.
     """
-    splits = docs.select(text_col).rdd.getNumPartitions()
+    last = docs.select(F.spark_partition_id().alias("split")).agg(F.max("split")).first()[0]
+    splits = 1 if last is None else last + 1
     tasks = max(min(splits, 12), -(-splits // _SPLITS_OF_SUM))
     rng, width = np.random.default_rng(7), rank + SPARE
     basis = _orthonormal(rng.standard_normal((TERMS, width), dtype=np.float32))
