@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from furlong.operators.joins import top_per_group
 from furlong.operators.prep import number_rows
-from furlong.operators.skew import column_quantiles, column_value_counts, mean_ranks, quantiles, stored_ranges, with_row
+from furlong.operators.skew import column_quantiles, column_value_counts, quantiles, stored_ranges, tied_ranks, with_row
 from furlong.session import shared_dir
 
 
@@ -99,26 +99,25 @@ def outlier_rate(df: DataFrame, columns: Sequence[str], factor: float = 3.0, lea
 def rank_correlations(long: DataFrame) -> DataFrame:
     """(feature, spearman) from rows (feature, x, y) without nulls; 0 where one side is constant.
 
-    One pass for all features: counts per distinct pair, average ranks of both sides in stored ranges of
-    (feature, value), and the sums of the correlation. The plan is the same for any number of features.
+    One pass for all features. Counts per distinct pair lie in stored ranges of (feature, x), where x is
+    ranked; sums per y follow from them and are ranked by y in turn, so ranks are never joined back to
+    the pairs. The plan is the same for any number of features.
     """
+    # dealt by ranges of x before they are counted: the counts need no shuffle of their own
+    joint = long.repartitionByRange("feature", "x").withColumn("_slice", F.spark_partition_id().cast("bigint"))
     path = shared_dir(long.sparkSession, "pairs")
-    long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-    joint = long.sparkSession.read.parquet(path)
-    sides = joint.select("feature", "n", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value")), F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("_p"))
-    sides = sides.groupBy("feature", "_p.side", "_p.value").agg(F.sum("n").alias("n"))
-    ranks = mean_ranks(stored_ranges(sides, ["feature", "side"]), ["feature", "side"], "rank")
-    x = ranks.filter("side = 'x'").select("feature", F.col("value").alias("x"), F.col("rank").alias("_rx"))
-    y = ranks.filter("side = 'y'").select("feature", F.col("value").alias("y"), F.col("rank").alias("_ry"))
-    placed = joint.join(x, ["feature", "x"]).join(y, ["feature", "y"])
-    n = F.col("n")
-    s = placed.groupBy("feature").agg(
+    joint.groupBy("feature", "x", "y").agg(F.min("_slice").alias("_slice"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    by_x = tied_ranks(long.sparkSession.read.parquet(path), ["feature"], "_rx", "x")
+    n, rx, ry = F.col("n"), F.col("_rx"), F.col("_ry")
+    sums = by_x.groupBy("feature", "y").agg(F.sum(n * rx).alias("a"), F.sum(n * rx * rx).alias("aa"), F.sum(n).alias("n"))
+    by_y = tied_ranks(stored_ranges(sums, ["feature"], "y"), ["feature"], "_ry", "y")
+    s = by_y.groupBy("feature").agg(
         F.sum(n).alias("n"),
-        F.sum(n * F.col("_rx")).alias("a"),
-        F.sum(n * F.col("_ry")).alias("b"),
-        F.sum(n * F.col("_rx") * F.col("_ry")).alias("ab"),
-        F.sum(n * F.col("_rx") * F.col("_rx")).alias("aa"),
-        F.sum(n * F.col("_ry") * F.col("_ry")).alias("bb"),
+        F.sum("a").alias("a"),
+        F.sum(n * ry).alias("b"),
+        F.sum(F.col("a") * ry).alias("ab"),
+        F.sum("aa").alias("aa"),
+        F.sum(n * ry * ry).alias("bb"),
     )
     cov = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
     va = F.col("aa") - F.col("a") * F.col("a") / F.col("n")
@@ -200,15 +199,25 @@ def vif(df: DataFrame, columns: Sequence[str], most: float = 999.0) -> DataFrame
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
-def shuffled_column(df: DataFrame, column: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """df with the values of one column dealt out again by hash order.
+def shuffled_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """df with ``_dealt_<column>`` for each of the columns: its values, dealt out again by hash order.
 
-    Rows and values are numbered in two different hash orders, slice by slice, and
-    joined on the number: every value is used exactly once.
+    Rows and values are numbered in two different hash orders, slice by slice, and joined on the number, once for
+    all columns: every value is used exactly once.
     """
-    left = number_rows(df.drop(column), F.xxhash64(F.lit(seed), *keys), "_no")
-    right = number_rows(df.select(column, *keys), F.xxhash64(F.lit(seed + 1), *keys), "_no").select("_no", column)
-    return left.join(right, "_no").drop("_no").select(*df.columns)
+    left = number_rows(df, F.xxhash64(F.lit(seed), *keys), "_no")
+    right = number_rows(df.select(*dict.fromkeys([*columns, *keys])), F.xxhash64(F.lit(seed + 1), *keys), "_no")
+    return left.join(right.select("_no", *[F.col(c).alias(f"_dealt_{c}") for c in columns]), "_no").drop("_no")
+
+
+def shuffled_column(df: DataFrame, column: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """df with the values of one column dealt out again by hash order."""
+    return with_dealt(shuffled_columns(df, [column], keys, seed), df.columns, column)
+
+
+def with_dealt(dealt: DataFrame, columns: Sequence[str], column: str) -> DataFrame:
+    """The columns of a frame of shuffled_columns, one of them with its dealt values."""
+    return dealt.select(*[F.col(f"_dealt_{c}").alias(c) if c == column else c for c in columns])
 
 
 def permutation_importance(
@@ -222,15 +231,17 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance): how much the rank correlation of the prediction falls when a column is shuffled."""
 
-    # the scorings go side by side as rows of one frame, the untouched one under no name; ranks are taken once
-    scored = None
+    # rows are dealt once for all columns and written; the scorings go side by side as rows of one frame, the
+    # untouched one under no name, and are written for the ranks, which pass over them twice
+    dealt_path, scored_path, path = (shared_dir(df.sparkSession, p) for p in ("dealt", "scored", "importance"))
+    shuffled_columns(df, features, keys, seed).write.parquet(dealt_path)
+    dealt = df.sparkSession.read.parquet(dealt_path)
     for c in [None, *features]:
-        rows = predict(df if c is None else shuffled_column(df, c, keys, seed)).select(
+        rows = predict(dealt.select(*df.columns) if c is None else with_dealt(dealt, df.columns, c)).select(
             F.lit(c or "").alias("feature"), F.col(prediction).cast("double").alias("x"), F.col(target).cast("double").alias("y")
         )
-        scored = rows if scored is None else scored.unionByName(rows)
-    path = shared_dir(df.sparkSession, "importance")
-    rank_correlations(scored.filter(F.col("x").isNotNull() & F.col("y").isNotNull())).write.parquet(path)
+        rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).write.mode("append").parquet(scored_path)
+    rank_correlations(df.sparkSession.read.parquet(scored_path)).write.parquet(path)
     found = df.sparkSession.read.parquet(path)
     base = found.filter("feature = ''").select(F.col("spearman").alias("_base"))
     return with_row(found.filter("feature <> ''"), base).select("feature", (F.col("_base") - F.col("spearman")).alias("importance"))

@@ -262,3 +262,30 @@ def test_a_card_of_one_race_is_read_by_a_pushed_filter(spark, small):
     card = race_card(entries(spark, small), ["horse_id"], only=7)
     plan = card._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_orderkey,7)" in plan and {r["race_id"] for r in card.collect()} == {7}
+
+
+def test_importance_deals_rows_once_for_all_features_and_ranks_match_brute_force(spark, monkeypatch):
+    from furlong.operators import analysis
+
+    calls, number_rows = [], analysis.number_rows
+    monkeypatch.setattr(analysis, "number_rows", lambda *a, **b: calls.append(a) or number_rows(*a, **b))
+    rows = [(i, (i * 7) % 11, (i * 5) % 3, float(i % 4 > 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, a bigint, b bigint, y double")
+    predict = lambda d: d.select((F.col("y") * 2 + F.col("a") * 0.01 + F.col("b") * 0).alias("p"), "y")
+    out = {r.feature: r.importance for r in analysis.permutation_importance(df, predict, ["a", "b"], "y", "p", ["k"]).collect()}
+    assert len(calls) == 2 and abs(out["b"]) < 1e-12 and set(out) == {"a", "b"}
+
+    def mean_ranks(values):
+        place = sorted(values)
+        return [place.index(v) + (place.count(v) + 1) / 2 for v in values]
+
+    long = [(f, float(x), float(y)) for f, n in (("u", 5), ("v", 40)) for x, y in (((i * 13) % n, (i * i) % 9) for i in range(200))]
+    long += [("flat", 1.0, float(i)) for i in range(9)]
+    got = {r.feature: r.spearman for r in analysis.rank_correlations(spark.createDataFrame(long, "feature string, x double, y double")).collect()}
+    for f in ("u", "v"):
+        x, y = (mean_ranks([r[k] for r in long if r[0] == f]) for k in (1, 2))
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        cov = sum((a - mx) * (b - my) for a, b in zip(x, y))
+        want = cov / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+        assert abs(got[f] - want) < 1e-9
+    assert got["flat"] == 0.0
