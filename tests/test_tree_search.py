@@ -5,6 +5,9 @@ import math
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from furlong.operators import model as M
@@ -76,3 +79,33 @@ def test_isotonic_steps_against_pooling(spark):
     curve = M.calibrator_column(M.fit_calibrator(df, "s", "label"))
     for r in df.filter("s IS NOT NULL").distinct().select("s", curve(F.col("s")).alias("c")).collect():
         assert r["c"] == pytest.approx(want[r["s"]])
+
+
+def test_cross_validation_prepares_rows_once_for_all_points_of_a_fold(rows, monkeypatch):
+    fits, fit = [], M.StringIndexer._fit
+    monkeypatch.setattr(M.StringIndexer, "_fit", lambda self, df: fits.append(df.count()) or fit(self, df))
+    stages = M.prep_stages(["a"], ["b"])
+    found = M.cross_validate(rows, stages, folds=3, grid={"regParam": [0.0, 0.1, 5.0]})
+    assert len(fits) == 4 and fits[3] == 360 and sum(fits[:3]) == 720  # the other folds of three, then all rows
+    monkeypatch.undo()
+    folded = rows.withColumn("_fold", F.floor(M.stable_unit(["race_id"]) * 3).cast("int"))
+    lr = M.LogisticRegression(featuresCol=M.FEATURES, labelCol="label", maxIter=20)
+    search = CrossValidator(
+        estimator=Pipeline(stages=[*stages, lr]), estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1, 5.0]).build(),
+        evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, foldCol="_fold",
+    )
+    want = search.fit(folded)
+    assert found.avgMetrics == pytest.approx(want.avgMetrics, abs=1e-9) and found.stdMetrics == pytest.approx(want.stdMetrics, abs=1e-9)
+    assert found.bestModel.stages[-1].coefficients.toArray() == pytest.approx(want.bestModel.stages[-1].coefficients.toArray(), abs=1e-6)
+
+
+def test_running_margins_pass_rows_through_all_trees_at_once(rows):
+    stages = M.prep_stages(["a"], ["b"])
+    model = M.train_trees(rows, stages, max_iter=3, max_depth=3)
+    ready = Pipeline(stages=stages).fit(rows).transform(rows)
+    plan = M.running_margins(model.stages[-1], ready, "m").select("no", "m")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("UDF(features") == 1
+    scored = model.transform(rows).select("no", M.vector_to_array("rawPrediction")[1].alias("raw"))
+    for r in plan.join(scored, "no").collect():
+        assert len(r["m"]) == 3 and 2 * r["m"][2] == pytest.approx(2 * r["raw"], abs=1e-12)
