@@ -100,16 +100,20 @@ class Scorer:
 
 def predict_races(
     features: DataFrame, main: Scorer, place: Scorer | None = None, race: str = "race_id", odds: str = "odds",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, source: DataFrame | None = None,
 ) -> DataFrame:
     """Add p_raw, p_norm, predicted_rank, p_ensemble and expected_value to feature rows.
 
     The main score is calibrated and shared out so that a race sums to 1 (operators.model.score_races). The
     ensemble blends it with the shares of the place score where a race has all of them. expected_value is
     p_norm * odds, null where there are no odds above 0 or no chance.
+
+    source has the same races as the features and a shorter plan. Races are counted on it, and where none is hot or
+    missing the features are not written in between: the plan carries the columns that the result is asked for.
     """
     scored = main.score(features, "p_raw") if place is None else place.score(main.score(features, "p_raw"), "_place")
-    base = P.stored(scored)
+    hot = None if source is None else uneven(source, [race], hot_rows).get(race, ())
+    base = P.stored(scored) if hot is None or hot else scored
 
     def build(df: DataFrame, whole: DataFrame, how: dict) -> DataFrame:
         hot_rows = how.get("hot_rows", HOT_ROWS)
@@ -121,6 +125,6 @@ def predict_races(
         return out.drop("_place", "_share", "_place_rank")
 
     # rows are dealt by race once for all that is worked out in it; hot and missing races go another way
-    out = of_entity(base, race, build, uneven(base, [race], hot_rows).get(race, ()))
+    out = of_entity(base, race, build, uneven(base, [race], hot_rows).get(race, ()) if hot is None else hot)
     price = F.when(F.col(odds) > 0, F.col(odds).cast("double"))
     return out.withColumn("expected_value", F.col("p_norm") * price)

@@ -93,3 +93,19 @@ def test_empty_target_and_no_history(spark, rows):
     one = W.target_features(rows.filter("race_id % 40 = 0"), none, TIE)
     got = one.collect()
     assert len(got) > 0 and {r["jockey_course_win_rate"] for r in got} == {0.0}
+
+
+def test_features_are_not_written_where_races_are_counted_on_a_source(rows, made, monkeypatch):
+    main = W.Scorer.of_column(F.round(0.1 + F.col("odds") / 300, 9))
+    place = W.Scorer.of_column(F.when(F.col("runner_no") != 3, F.col("odds") / 500), "place3")
+    known = made.filter("race_id IS NOT NULL")
+    columns = ["race_id", "runner_no", "horse_id", "p_raw", "p_norm", "predicted_rank", "p_ensemble", "expected_value"]
+    cells = lambda df: sorted((tuple(cell(r[c]) for c in columns) for r in df.collect()), key=str)
+    want = cells(W.predict_races(known, main, place))
+    written, store = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df: written.append(df) or store(df))
+    lazy = W.predict_races(known, main, place, source=known)
+    assert not written and cells(lazy) == want
+    plan = lazy.select("race_id", "p_norm")._jdf.queryExecution().executedPlan().toString()
+    assert "jockey_180d" not in plan
+    assert cells(W.predict_races(known, main, place, hot_rows=3, source=known)) == want and len(written) == 1
