@@ -82,3 +82,27 @@ def test_laps_and_course_stages(spark):
     assert (first.race_pace_front, first.race_pace_back, first.race_pace_diff) == (12.0, 13.0, -1.0)
     assert (first.straight, first.inner_advantage, second.straight, second.inner_advantage) == (300.0, 1, 300.0, 0)
     assert second.race_pace_front is None and (third.straight, third.inner_advantage, third.lap_200m) == (250.0, 0, None)
+
+
+def exchanged(df, column, capsys):
+    """How many exchanges carry the column."""
+    capsys.readouterr()
+    df.explain("formatted")
+    parts = capsys.readouterr().out.split("\n\n")
+    return sum(") Exchange" in p and f"{column}#" in p.split("Arguments")[0] for p in parts)
+
+
+def test_the_build_of_single_operators_shuffles_whole_rows_once(rows, capsys):
+    df = rows.filter("race_id IS NOT NULL").withColumn("note", F.concat_ws("-", "race_id", "runner_no"))
+    out = P.feature_build(df)
+    assert "_row" not in out.columns and exchanged(out, "note", capsys) == 1
+    assert out.select("note").count() == df.count()
+
+
+def test_market_deals_even_races_twice(rows):
+    base = P.with_scalars(P.stored(rows.filter("race_id IS NOT NULL")))
+    plan = P.market(base, base)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(race_id") == plan.count("Exchange hashpartitioning(") == 2
+    lost = rows.filter("race_id % 2 = 0").withColumn("race_id", F.when(F.col("runner_no") < 3, F.col("race_id")))
+    base = P.with_scalars(P.stored(lost))
+    assert not P.even(base, "race_id") and P.market(base, base).count() == lost.count()
