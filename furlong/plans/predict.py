@@ -18,7 +18,7 @@ from furlong.operators import model as M
 from furlong.operators.prep import FUTURE_FIELDS
 from furlong.operators.skew import HOT_ROWS
 from furlong.plans import features as P
-from furlong.plans.partitioned import ROW, entities, finished, of_entity, uneven
+from furlong.plans.partitioned import ROW, carried, entities, finished, of_entity, uneven
 
 TARGET = "_target"
 
@@ -57,7 +57,7 @@ def target_features(
     wanted = base.filter(TARGET)
     of = entities(base, tie)
     hot = uneven(base, list(of), hot_rows)
-    out = wanted
+    out = carried(wanted, first)
     branches = []
     for key, build in of.items():
         near = base.join(wanted.select(key).distinct(), key, "left_semi")

@@ -106,3 +106,10 @@ def test_market_deals_even_races_twice(rows):
     lost = rows.filter("race_id % 2 = 0").withColumn("race_id", F.when(F.col("runner_no") < 3, F.col("race_id")))
     base = P.with_scalars(P.stored(lost))
     assert not P.even(base, "race_id") and P.market(base, base).count() == lost.count()
+
+
+def test_rows_meet_without_what_they_tell_by_themselves(rows, capsys):
+    known = P.stored(rows.filter("jockey_id IS NOT NULL AND horse_id IS NOT NULL AND sire IS NOT NULL"))
+    out = partitioned_build(known, TIE)
+    assert {"gate_ratio", "implied_prob", "odds_is_missing"} <= set(out.columns)
+    assert [exchanged(out, c, capsys) for c in ("gate_ratio", "implied_prob", "odds_is_missing")] == [0, 0, 0]
